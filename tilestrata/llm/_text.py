@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer single text forms a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: ASCII-only lower-casing of single bytes.
 LOWER = np.arange(256, dtype=np.uint8)

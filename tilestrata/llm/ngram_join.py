@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from tilestrata.llm._text import chunks, shingle_set, text_buffers, word_hashes
 from tilestrata.llm.components import components
 from tilestrata.llm.merge import bitmap, has, merged, pack, slot
-from tilestrata.llm.storage import cut
+from tilestrata.llm.storage import arrow_rows, cut
 
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
 BITMAP_BITS = 24
+#: Rows of an Arrow batch that holds texts or sets.
+BATCH_ROWS = 1000
 #: The most matches asked for, and the price of verifying one shingle against reading one posting.
 MOST_MATCHES, VERIFY_COST = 12, 0.25
 
@@ -68,7 +70,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
             for s in _sets(b.column("text"), size):
                 held.append((s >> shift).astype(np.int32))
                 n += len(s)
-                if n > 4_000_000:
+                if n > 1_000_000:
                     total += np.bincount(np.concatenate(held), minlength=width).astype(np.uint32)
                     held, n = [], 0
         if held:
@@ -151,6 +153,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """One row per input row: id, n_shingles, component_id; two texts link when 100 * common >= percent * union."""
+    with arrow_rows(df.sparkSession, BATCH_ROWS):
+        return _near_components(df, id_col, text_col, size, percent)
+
+
+def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     docs = _rows(df, id_col, text_col)
     counts = spark.sparkContext.broadcast(sketch(docs, size))
