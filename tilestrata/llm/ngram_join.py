@@ -5,14 +5,15 @@ hold a token (a counter sketch of all documents) and then by hash. Two sets that
 the threshold share at least l tokens within their first n - ceil(t * n) + l tokens, for any l; each
 document takes the l of least estimated cost (posting lists to read, plus candidates to
 verify, of which there can be no more than postings / l), and a pair needs as many
-common prefix tokens as the smaller of its two values before it is verified.
+common prefix tokens as the smaller of its two values before it is verified. Positions bound the
+overlap further: after the last of m common prefix tokens no more can be common than the shorter rest.
 
 Steps: (1) sketch; (2) per document n, a 128-bit fingerprint of the set, l and the prefix; (3)
 equal sets become one class; (4) postings of tokens that two classes share; (5) in each posting list, the
 member whose tokens are most common in the corpus is the pivot: pairs with pivots are verified first
 and united, which makes large groups of near copies one component with a number of pairs linear in
-the group; (6) every other pair of a list that lies across components is counted, verified if it has enough
-common tokens, and united. A pair left out lies in one component already, so components are exact.
+the group; (6) every other pair of a list that lies across components, and whose 256-bit parity signatures differ in no more bits
+than sets of the threshold can, is counted, verified if it has enough common tokens, and united. A pair left out lies in one component already, so components are exact.
 Sets for verification are recomputed from the texts of the candidates alone, found by a bitmap.
 
 Sets are 64-bit hashes of n-grams, compared as sorted arrays.
@@ -83,18 +84,19 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """(id, n, fp, cen, ell, prefix) per row; counts is the broadcast sketch."""
+    """(id, n, fp, cen, ell, sig, prefix) per row; counts is the broadcast sketch."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         est = counts.value
         for b in batches:
-            n, fp, cen, ell, pre = [], [], [], [], []
+            n, fp, cen, ell, sig, pre = [], [], [], [], [], []
             for s in _sets(b.column("text"), size):
                 k = len(s)
                 n.append(k)
+                sig.append(np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
                 if not k:
-                    fp.append(None), cen.append(0.0), ell.append(0), pre.append([])
+                    fp.append(None), cen.append(0.0), ell.append(0), pre.append(np.zeros(0, np.int64))
                     continue
                 fp.append(hashlib.md5(s.tobytes()).digest())
                 c = est[s >> shift]
@@ -110,14 +112,14 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
                 matches = np.arange(1, most + 1)
                 l = int(np.argmin(lists * (1 + VERIFY_COST * k / matches))) + 1
                 cen.append(float(np.log1p(c).mean())), ell.append(l), pre.append(s[order[: shortest + l - 1]].view(np.int64))
-            flat = np.concatenate(pre).astype(np.int64) if pre else np.zeros(0, np.int64)
+            flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
             at = np.concatenate(([0], np.cumsum([len(p) for p in pre]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(cen, pa.float32()), pa.array(ell, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                names=["id", "n", "fp", "cen", "ell", "prefix"],
+                [b.column("id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(cen, pa.float32()), pa.array(ell, pa.int32()), pa.array(sig, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                names=["id", "n", "fp", "cen", "ell", "sig", "prefix"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, fp binary, cen float, ell int, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n int, fp binary, cen float, ell int, sig array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,24 +164,32 @@ def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, perce
     docs = _rows(df, id_col, text_col)
     counts = spark.sparkContext.broadcast(sketch(docs, size))
     slim = cut(prefixes(docs, size, percent, counts), "prefixes")
-    classes = slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "prefix")])
-    posts = classes.select("id", "n", "cen", "ell", F.explode("prefix").alias("tok"))
-    heads = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("cen", "id", "n", "ell")).alias("top")).filter("held > 1")
-    posts = cut(posts.join(heads, "tok").select("tok", "id", "n", "ell", F.col("top.id").alias("pid"), F.col("top.n").alias("pn"), F.col("top.ell").alias("pell")), "postings")
-
-    alike = "100 * least(n, pn) >= %d * greatest(n, pn)" % percent
-    first = posts.filter(f"id != pid and {alike}").groupBy(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("ell", "pell")).alias("need"))
-    first = cut(first.filter("2 * m >= need").select("a", "b"), "star-pairs")
+    classes = slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "sig", "prefix")])
+    posts = classes.select("id", "n", "cen", "ell", F.posexplode("prefix").alias("pos", "tok"))
+    heads = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("cen", "id", "n", "ell", "pos")).alias("top")).filter("held > 1")
+    posts = cut(posts.join(heads, "tok").select("tok", "id", "n", "ell", "pos", *[F.col(f"top.{x}").alias("p" + x) for x in ("id", "n", "ell", "pos")]), "postings")
+
+    # what two sets share at most, by a common token and its places; the same for all m common prefix tokens
+    around = "(1 + least(pos, ppos) + least(n - pos, pn - ppos) - 1)"
+    alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn) and 100 * {around} >= {percent} * (n + pn - {around})"
+    both = [F.count(F.lit(1)).alias("m"), F.min(F.least("ell", "pell")).alias("need"), F.max("pos").alias("pos"), F.max("ppos").alias("ppos"), F.first("n").alias("n"), F.first("pn").alias("pn")]
+    enough = f"100 * (m + rest) >= {percent} * (n + pn - m - rest)"
+    first = posts.filter(f"id != pid and {alike}").groupBy("id", "pid").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1"))
+    first = cut(first.filter(f"2 * m >= need and {enough}").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "star-pairs")
     links = _verified(first, docs, size, percent)
     named = components(links)
 
-    own = cut(posts.join(named, "id", "left").select("tok", "id", "n", "ell", F.coalesce("component", "id").alias("c")), "placed")
+    marks = classes.select("id", "sig").join(named, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
+    own = cut(posts.select("tok", "id", "n", "ell", "pos").join(marks, "id"), "placed")
     main = own.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tok", "main")
-    rest = own.join(main, "tok")
-    odd = rest.filter("c != main").select("tok", "id", "n", "ell", "c")
-    other = rest.select("tok", *[F.col(x).alias("p" + x) for x in ("id", "n", "ell", "c")], "main")
-    met = odd.join(other, "tok").filter(f"c != pc and (pc = main or id < pid) and {alike}")
-    second = met.groupBy(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("ell", "pell")).alias("need")).filter("m >= need").select("a", "b")
+    rest = cut(own.join(main, "tok"), "across")
+    odd = rest.filter("c != main").drop("main")
+    other = rest.select("tok", *[F.col(x).alias("p" + x) for x in ("id", "n", "ell", "pos", "sig", "c")], "main")
+    apart = " + ".join(f"bit_count(sig[{i}] ^ psig[{i}])" for i in range(4))
+    met = odd.join(other, "tok").filter(f"c != pc and (pc = main or id < pid) and {alike} and ({apart}) * {100 + percent} <= {100 - percent} * (n + pn)")
+    flip = F.col("id") > F.col("pid")
+    met = met.select(*[F.when(flip, F.col("p" + x)).otherwise(F.col(x)).alias(x) for x in ("id", "n", "pos", "ell")], *[F.when(flip, F.col(x)).otherwise(F.col("p" + x)).alias("p" + x) for x in ("id", "n", "pos", "ell")])
+    second = met.groupBy("id", "pid").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1")).filter(f"m >= need and {enough}").select(F.col("id").alias("a"), F.col("pid").alias("b"))
     second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more = _verified(second, docs, size, percent)
     if not more.isEmpty():
