@@ -22,6 +22,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Sets hashes of strings of different length apart.
+LENGTH_SALT = U64(0xD6E8FEB86659FD93)
 _powers = {"n": 0, "up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
@@ -56,7 +58,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
         n = max(n, CHUNK_BYTES + 1)
         with np.errstate(over="ignore"):
@@ -98,12 +100,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray):
     """64-bit hash of every lower-cased word, with starts, ends and each text's range of words."""
     starts, ends, rng = word_spans(data, offsets)
     base, end = int(offsets[0]), int(offsets[-1])
-    up, down = _pow(end - base + 1)
+    up, down = powers(end - base + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(end - base + 1, U64)
         np.cumsum((LOWER[data[base:end]].astype(U64) + U64(1)) * up[: end - base], out=sums[1:])
         raw = (sums[ends - base] - sums[starts - base]) * down[starts - base]
-        return mix64(raw ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))), starts, ends, rng
+        return mix64(raw ^ ((ends - starts).astype(U64) * LENGTH_SALT)), starts, ends, rng
+
+
+def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] for each pair."""
+    up, down = powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
+        return mix64(((sums[ends] - sums[starts]) * down[starts]) ^ ((ends - starts).astype(U64) * LENGTH_SALT))
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of data[start:end] put one after another."""
+    size = ends - starts
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    return data[np.arange(at[-1]) + np.repeat(starts - at[:-1], size)], at
 
 
 _GRAM = (U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5))
