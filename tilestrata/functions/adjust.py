@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilestrata.functions.color import clamp01, from_hsl, hsl, lerp, limit, luma
+from tilestrata.functions.color import bind, clamp01, from_hsl, hsl, lerp, let, limit, luma
 
 KINDS = ("invert", "desaturate", "brightness_contrast", "hue_sat", "levels", "curves", "posterize", "threshold", "gradient_map")
 
@@ -44,10 +44,15 @@ def adjusted(kind: str, rgb: list[Column], wrap: str = "signed", **p) -> list[Co
         k, add = finite(p.get("contrast", 1.0), 1.0), finite(p.get("brightness", 0.0), 0.0)
         return [limit((c - 0.5) * k + 0.5 + add) for c in rgb]
     if kind == "hue_sat":
-        h, s, l = hsl(r, g, b)
-        h = h + finite(p.get("hue", 0.0), 0.0) / 360.0
-        whole = F.floor(h) if wrap == "euclid" else F.when(h >= 0, F.floor(h)).otherwise(F.ceil(h))
-        return list(from_hsl(h - whole, limit(s * finite(p.get("saturation", 1.0), 1.0)), limit(l + finite(p.get("lightness", 0.0), 0.0))))
+        turn = finite(p.get("hue", 0.0), 0.0) / 360.0
+        more, add = finite(p.get("saturation", 1.0), 1.0), finite(p.get("lightness", 0.0), 0.0)
+
+        def moved(h: Column, s: Column, l: Column) -> Column:
+            h = h + turn
+            whole = F.floor(h) if wrap == "euclid" else F.when(h >= 0, F.floor(h)).otherwise(F.ceil(h))
+            return bind([h - whole, limit(s * more), limit(l + add)], from_hsl)
+
+        return let([r, g, b], lambda r, g, b: bind(list(hsl(r, g, b)), moved))
     if kind == "levels":
         ib, iw = finite(p.get("input_black", 0.0), 0.0), finite(p.get("input_white", 1.0), 1.0)
         ob, ow = finite(p.get("output_black", 0.0), 0.0), finite(p.get("output_white", 1.0), 1.0)

@@ -77,6 +77,22 @@ def to_u16(c: Column, srgb: bool = True) -> Column:
     return F.round((srgb_encode(c) if srgb else clamp01(c)) * 65535.0).cast("int")
 
 
+def bind(values: list[Column], body) -> Column:
+    """body's struct (or list of columns, as a struct of o0, o1, ...) with its arguments evaluated once, where they would else be repeated in it many times."""
+
+    def run(e: Column) -> Column:
+        out = body(*[e[f"v{i}"] for i in range(len(values))])
+        return out if isinstance(out, Column) else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(out)])
+
+    return F.transform(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])), run)[0]
+
+
+def let(values: list[Column], body, n: int = 3) -> list[Column]:
+    """bind() taken apart into n columns."""
+    one = bind(values, body)
+    return [one[f"o{i}"] for i in range(n)]
+
+
 def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Hue 0..1, saturation and lightness."""
     hi, lo = F.greatest(r, g, b), F.least(r, g, b)

@@ -120,7 +120,7 @@ def smudge(px: DataFrame, samples: DataFrame, radius: int, strength: float) -> D
     A stroke gets only the pixels within radius of its own samples.
     """
     near = samples.select("stroke_id", "px", "py").withColumn("x", F.explode(F.sequence(F.floor("px").cast("int") - radius, F.floor("px").cast("int") + radius))).withColumn("y", F.explode(F.sequence(F.floor("py").cast("int") - radius, F.floor("py").cast("int") + radius)))
-    own = near.select("stroke_id", "x", "y").distinct().join(px.select("x", "y", *RGBA), ["x", "y"])
+    own = near.select(F.col("stroke_id").alias("stroke_id"), "x", "y").distinct().join(px.select("x", "y", *RGBA), ["x", "y"])
 
     def run(key, pix: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         image = {(int(v[0]), int(v[1])): np.array(v[2:], float) for v in pix[["x", "y", *RGBA]].to_numpy()}
@@ -137,7 +137,8 @@ def smudge(px: DataFrame, samples: DataFrame, radius: int, strength: float) -> D
                         image[x, y] = edits[x, y] = old + (carried - old) * strength * (1 - t)
         return pd.DataFrame([(key[0], x, y, *v) for (x, y), v in sorted(edits.items())], columns=["stroke_id", "x", "y", *RGBA])
 
-    return own.groupBy("stroke_id").cogroup(samples.groupBy("stroke_id")).applyInPandas(run, "stroke_id long, x int, y int, r double, g double, b double, a double")
+    path = samples.select(*[F.col(c).alias(c) for c in ("stroke_id", "seq", "px", "py")])
+    return own.groupBy(own["stroke_id"]).cogroup(path.groupBy(path["stroke_id"])).applyInPandas(run, "stroke_id long, x int, y int, r double, g double, b double, a double")
 
 
 def simplify_path(samples: DataFrame, tolerance: float) -> DataFrame:

@@ -149,7 +149,10 @@ def unmix(px: list[Column], matte: tuple[float, ...], lo: float, hi: float) -> l
 
 
 def despeckle(sel: DataFrame, most: int = 64) -> DataFrame:
-    """sel without eight-connected specks of at most `most` places."""
+    """sel without eight-connected specks of at most `most` places.
+
+    A speck reaches at most `most` places far, so each tile decides with a halo of that width.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = {(int(a), int(b)) for a, b in zip(pdf["x"], pdf["y"], strict=True)}
@@ -167,9 +170,12 @@ def despeckle(sel: DataFrame, most: int = 64) -> DataFrame:
                             todo.append(q)
             if len(part) <= most:
                 gone.update(part)
-        return pdf[[(int(a), int(b)) not in gone for a, b in zip(pdf["x"], pdf["y"], strict=True)]]
+        return pdf[[c and (int(a), int(b)) not in gone for a, b, c in zip(pdf["x"], pdf["y"], pdf["core"], strict=True)]]
 
-    return sel.groupBy(F.lit(0)).applyInPandas(run, sel.schema)
+    near = lambda c: F.explode(F.array_distinct(F.array(*[tile_of(F.col(c) + d) for d in (-most, 0, most)])))
+    rows = sel.withColumn("tx", near("x")).withColumn("ty", near("y"))
+    rows = rows.withColumn("core", (F.col("tx") == tile_of(F.col("x"))) & (F.col("ty") == tile_of(F.col("y"))))
+    return rows.groupBy("tx", "ty").applyInPandas(run, rows.schema).select(sel.columns)
 
 
 def remove_matte(px: DataFrame, rect: Rect, tolerance: float = 0.1, softness: float = 0.5) -> DataFrame:
@@ -185,7 +191,8 @@ def remove_matte(px: DataFrame, rect: Rect, tolerance: float = 0.1, softness: fl
     ring = edge.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _ring(outside)])).alias("p")).select("p.x", "p.y")
     clear = component_of(like.unionByName(ring), outside.x, outside.y).filter(rect.contains())
     k = 1 + round(2 * softness)
-    near = clear.select((F.col("x") + F.explode(F.sequence(F.lit(-k), F.lit(k)))).alias("x"), "y").select("x", (F.col("y") + F.explode(F.sequence(F.lit(-k), F.lit(k)))).alias("y")).distinct().withColumn("band", F.lit(True))
+    reach = F.sequence(F.lit(-k), F.lit(k))
+    near = clear.withColumn("i", F.explode(reach)).withColumn("j", F.explode(reach)).select((F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y")).distinct().withColumn("band", F.lit(True))
     kept = px.join(clear, ["x", "y"], "left_anti").join(near, ["x", "y"], "left")
     soft = unmix(pixel(), matte, tolerance, tolerance * (1 + softness) + 0.05)
     return kept.select("x", "y", *[F.when(F.col("band"), n).otherwise(o).alias(c) for c, n, o in zip(RGBA, soft, pixel(), strict=True)]).filter("a <> 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilestrata.functions.color import lerp, limit, luma, smoothstep, srgb_decode, srgb_encode
+from tilestrata.functions.color import lerp, let, limit, luma, smoothstep, srgb_decode, srgb_encode
 from tilestrata.operators.raster import RGBA, pixel
 
 SMALL = 1e-7
@@ -72,16 +72,17 @@ def from_hsl_degrees(h: Column, s: Column, l: Column) -> list[Column]:
 
 def sponge(px: list[Column], exposure: float, saturate: bool) -> list[Column]:
     """Saturation scaled in encoded colour; greys stay."""
-    h, s, l = hsl_degrees(*[srgb_encode(c) for c in px[:3]])
-    out = from_hsl_degrees(h, limit(s * (1.0 + exposure if saturate else 1.0 - exposure)), l)
+    factor = 1.0 + exposure if saturate else 1.0 - exposure
+    h, s, l = let([srgb_encode(c) for c in px[:3]], hsl_degrees)
+    out = let([h, limit(s * factor), l], from_hsl_degrees)
     return [*[F.when(s < 1e-6, c).otherwise(srgb_decode(o)) for c, o in zip(px[:3], out, strict=True)], px[3]]
 
 
 def recolor(px: list[Column], colour: tuple[float, ...]) -> list[Column]:
     """The colour's hue and saturation at the pixel's lightness, scaled to its luma."""
-    _, _, l = hsl_degrees(*px[:3])
-    h, s, _ = hsl_degrees(*[F.lit(float(c)) for c in colour[:3]])
-    new = from_hsl_degrees(h, s, l)
+    _, _, l = let(px[:3], hsl_degrees)
+    h, s, _ = let([F.lit(float(c)) for c in colour[:3]], hsl_degrees)
+    new = let([h, s, l], from_hsl_degrees)
     want, got = luma(*px[:3]), luma(*new)
     return [*[F.when(got > 1e-6, limit(c * (want / F.nullif(got, F.lit(0.0))))).otherwise(want) for c in new], px[3]]
 
@@ -92,8 +93,8 @@ def heal(src: list[Column], mean_src: list[Column], mean_dst: list[Column], dst:
 
 def mixed(px: DataFrame, cover: DataFrame, target: list[Column], least: float = 1e-4) -> DataFrame:
     """Edits: target mixed in by coverage, kept where channels change by more than `least` in sum."""
-    rows = px.join(cover, ["x", "y"])
-    new = [lerp(c, t, F.col("cov")) for c, t in zip(pixel(), target, strict=True)]
+    rows = px.join(cover, ["x", "y"]).withColumns({f"t_{c}": t for c, t in zip(RGBA, target, strict=True)})
+    new = [lerp(c, F.col(f"t_{n}"), F.col("cov")) for c, n in zip(pixel(), RGBA, strict=True)]
     moved = sum((F.abs(n - c) for n, c in zip(new, pixel(), strict=True)), F.lit(0.0))
     return rows.filter(moved > least).select("x", "y", *[n.alias(c) for n, c in zip(new, RGBA, strict=True)])
 
