@@ -165,8 +165,11 @@ def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, perce
     counts = spark.sparkContext.broadcast(sketch(docs, size))
     slim = cut(prefixes(docs, size, percent, counts), "prefixes")
     classes = slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "sig", "prefix")])
-    posts = classes.select("id", "n", "cen", "ell", F.posexplode("prefix").alias("pos", "tok"))
-    heads = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("cen", "id", "n", "ell", "pos")).alias("top")).filter("held > 1")
+    # lists of one posting go first, in rows as narrow as can be; what a class is like comes to the rest by id
+    posts = classes.select("id", F.posexplode("prefix").alias("pos", "tok"))
+    shared = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("tok")
+    posts = cut(posts.join(shared, "tok").select("tok", "id", "pos"), "shared-postings").join(classes.select("id", "n", "cen", "ell"), "id")
+    heads = posts.groupBy("tok").agg(F.max(F.struct("cen", "id", "n", "ell", "pos")).alias("top"))
     posts = cut(posts.join(heads, "tok").select("tok", "id", "n", "ell", "pos", *[F.col(f"top.{x}").alias("p" + x) for x in ("id", "n", "ell", "pos")]), "postings")
 
     # what two sets share at most, by a common token and its places; the same for all m common prefix tokens
