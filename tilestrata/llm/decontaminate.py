@@ -61,15 +61,13 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str,
         ranked = vocab.join(counts, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("df"))
         place = wins.select("win_id", "win", F.posexplode("win").alias("off", "word")).join(ranked, "word")
         prefix = place.groupBy("win_id").agg(F.min(F.struct("df", "word", "off")).alias("p"), F.first("win").alias("win"))
-        prefix = prefix.filter("p.df > 0").groupBy("p.word").agg(F.collect_list(F.struct("win_id", F.col("p.off").alias("off"), "win")).alias("wins"))
-        prefix = cut(prefix, "prefix")
+        prefix = cut(prefix.filter("p.df > 0").select("win_id", "p.word", "p.off", "win"), "prefix")
         at = words.select("doc", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(prefix), "word")
-        start = lambda x: F.col("pos") - x["off"]
-        fits = lambda x: (start(x) >= 0) & (start(x) + F.size(x["win"]) <= F.size("w"))
-        same = lambda x: F.slice("w", F.greatest(start(x), F.lit(0)) + 1, F.size(x["win"])) == x["win"]
-        hits = F.filter("wins", lambda x: fits(x) & same(x))
-        at = at.select("doc", F.explode(F.transform(hits, lambda x: F.struct(x["win_id"].alias("win_id"), start(x).alias("start"), F.size(x["win"]).alias("len")))).alias("h"))
-        found.append(at.select("doc", "h.win_id", "h.start", "h.len"))
+        # expressions with generated code only: so rows that leave this stage don't hold a document's words
+        start, size = F.col("pos") - F.col("off"), F.size("win")
+        fits = (start >= 0) & (start + size <= F.size("w"))
+        at = at.filter(fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("win")))
+        found.append(at.select("doc", "win_id", start.alias("start"), size.alias("len")))
     return reduce(DataFrame.unionByName, found)
 
 
