@@ -38,6 +38,15 @@ def test_query_equals_sql(spark, duck, name):
     assert got == rows(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["despeckle", "smudge", "supersample", "bezier_warp", "perspective", "remove_matte", "brush_stroke", "palette_two_means"])
+@pytest.mark.parametrize("name", ["smudge", "supersample", "bezier_warp", "perspective", "remove_matte", "brush_stroke", "palette_two_means"])
 def test_query_without_sql_runs(spark, name):
     assert queries()[name](spark, SF).count() > 0
+
+
+def test_despeckle_across_tiles(spark):
+    from tilestrata.operators.region import despeckle
+
+    speck = [(255, 255), (256, 256)]
+    large = [(x, 0) for x in range(250, 262)]
+    sel = spark.createDataFrame([(*p, 1.0) for p in speck + large], "x int, y int, cov double")
+    assert sorted((r["x"], r["y"]) for r in despeckle(sel, 5).collect()) == sorted(large)

@@ -83,14 +83,14 @@ class Command:
     key: str | None = None
 
 
-def layer_update(name: str, i: int, coalesce: bool = False, **values) -> Command:
+def layer_update(label: str, i: int, coalesce: bool = False, **values) -> Command:
     """Set visible, opacity, blend, name, locked, adjustment or its parameters."""
 
     def step(d: Document) -> Document:
         d.layer(i)
         return replace(d, tree=d.tree.update(i, **values))
 
-    return Command(name, step, f"{name}:{i}" if coalesce else None)
+    return Command(label, step, f"{label}:{i}" if coalesce else None)
 
 
 def add_layer(layer: Layer, above: int | None = None, px: DataFrame | None = None) -> Command:
