@@ -33,7 +33,7 @@ SHARPNESS = 6.0
 #: A longer phrase counts once for every so many symbols, so that a passage which a sample happens to hold doesn't decide.
 LONGEST = 10
 #: Symbols parsed in lockstep at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Most letters told apart; rarer ones never match.
 ALPHABET = 120
 
