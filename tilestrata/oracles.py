@@ -8,8 +8,8 @@ from tilestrata.operators.tiles import Rect
 BOX, SEL_A = Rect(-12, -10, 20, 18), Rect(-20, -20, 30, 24)
 POLYGON = [(-20, -18), (22, -10), (10, 20), (-6, 2), (-24, 14)]
 PX = f"px AS ({PX_SQL.format(n=64, h=32)})"
-GREY = "grey AS (SELECT i AS x, CAST(vec_id AS INT) AS y, v AS r, v AS g, v AS b, 1.0::DOUBLE AS a FROM (SELECT vec_id, CAST(i AS INT) AS i, least(greatest(embedding[i + 1]::DOUBLE + 0.5, 0.0::DOUBLE), 1.0::DOUBLE) AS v FROM embeddings, range(64) t(i)) WHERE vec_id < 64)"
-STAMPS = f"k AS (SELECT seq AS n, px * 0.5 - 30.0 AS cx, py * 0.5 - 32.0 AS cy FROM ({STROKES_SQL}) WHERE stroke_id = 1 AND seq <= 8)"
+GREY = "grey AS (SELECT i AS x, CAST(vec_id AS INT) AS y, v AS r, v AS g, v AS b, 1.0::DOUBLE AS a FROM (SELECT vec_id, CAST(i AS INT) AS i, least(greatest(embedding[i + 1]::DOUBLE + 0.5, 0.0::DOUBLE), 1.0::DOUBLE) AS v FROM embeddings, range(64) t(i)))"
+STAMPS = f"k AS (SELECT seq AS n, px * 0.5 - 30.0 AS cx, py * 0.5 - 32.0 AS cy FROM ({STROKES_SQL}))"
 
 
 def R(e: str, name: str) -> str:
@@ -214,7 +214,7 @@ CUBE = "CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) * abs({d}) * abs({d}) - 2.5
 
 def component(like: str, x: int, y: int, name: str) -> str:
     """Recursive CTE of the places of `like` connected with a seed."""
-    return f"{name} AS (SELECT x, y FROM {like} WHERE x = {x} AND y = {y} UNION SELECT l.x, l.y FROM {name} c JOIN {like} l ON abs(l.x - c.x) + abs(l.y - c.y) = 1)"
+    return f"{name} AS (SELECT x, y FROM {like} WHERE x = {x} AND y = {y} UNION SELECT l.x, l.y FROM {name} c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy) JOIN {like} l ON l.x = c.x + dx AND l.y = c.y + dy)"
 
 
 def like(name: str, x: int, y: int, tol: float, radius: int | None = None) -> str:
@@ -317,8 +317,8 @@ def oracle_sql() -> dict[str, str]:
     q["emboss"] = taps({c: f"{c}4 + 0.6 * ((-{c}0 - {c}1 + {c}2 - {c}3 + {c}5 + {c}7 + {c}8 + {c}4) - {c}4)" for c in "rgb"})
     q["edge_detect"] = taps({c: f"{c}4 + 0.9 * (sqrt(pow(({c}2 - {c}0) + 2 * ({c}5 - {c}3) + ({c}8 - {c}6), 2) + pow(({c}6 + 2 * {c}1 + {c}0) - ({c}8 + 2 * {c}7 + {c}2), 2)) - {c}4)" for c in "rgb"})
     lum = f"lm AS (SELECT x, y, 0.2126 * {enc('r')} + 0.7152 * {enc('r')} + 0.0722 * {enc('r')} AS l FROM grey)"
-    sob = "sb AS (SELECT gr.x, gr.y, sum(l * dx * (2 - abs(dy))) AS gx, sum(l * dy * (2 - abs(dx))) AS gy FROM gr, (SELECT i AS dx, j AS dy FROM range(-1, 2) a(i), range(-1, 2) b(j)) JOIN lm ON lm.x = gr.x + dx AND lm.y = gr.y + dy GROUP BY 1, 2)"
-    g64 = grid(Rect(0, 0, 64, 64))
+    sob = "sb AS MATERIALIZED (SELECT gr.x, gr.y, sum(l * dx * (2 - abs(dy))) AS gx, sum(l * dy * (2 - abs(dx))) AS gy FROM gr, (SELECT i AS dx, j AS dy FROM range(-1, 2) a(i), range(-1, 2) b(j)) JOIN lm ON lm.x = gr.x + dx AND lm.y = gr.y + dy GROUP BY 1, 2)"
+    g64 = "gr AS (SELECT x, y FROM grey)"
     mag = "sqrt(gx * gx + gy * gy)"
     q["sobel"] = w(GREY, lum, g64, sob) + f"SELECT x, y, {R(mag, 'mag')} FROM sb"
     q["box_mean"] = w(PX, L[1], grid(BOX)) + f"SELECT gr.x, gr.y, {', '.join(R(f'sum({c}) / 25', c) for c in 'rgba')} FROM gr JOIN l1 ON abs(l1.x - gr.x) <= 2 AND abs(l1.y - gr.y) <= 2 GROUP BY 1, 2"
@@ -339,8 +339,8 @@ def oracle_sql() -> dict[str, str]:
     q["matte_unmix"] = w(PX, L[1], "u AS (SELECT *, least(greatest((sqrt(pow(r - 0.5, 2) + pow(g - 0.4, 2) + pow(b - 0.6, 2)) - 0.1::DOUBLE) / (0.5::DOUBLE - 0.1::DOUBLE), 0.0), 1.0) AS cov FROM l1)") + f"SELECT x, y, {', '.join(R(f'CASE WHEN cov > 0 THEN {clamp(f'({c} - {m} * (1 - cov)) / cov')} ELSE 0.0 END', c) for c, m in zip('rgb', ('0.5', '0.4', '0.6'), strict=True))}, {R('a * cov', 'a')} FROM u"
     q["palette_mode"] = w(PX, f"k AS (SELECT layer_id, {R('g', 'v')}, count(*) AS n FROM px GROUP BY 1, 2)") + "SELECT layer_id, v FROM (SELECT layer_id, v, row_number() OVER (PARTITION BY layer_id ORDER BY n DESC, v) AS k FROM k) WHERE k = 1"
     q["finger_coverage"] = w(STAMPS, COVER) + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {R('cov', 'cov')} FROM cover WHERE cov > 0"
-    fall = "fo AS (SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, (CASE WHEN t <= 0 THEN 1.0 ELSE 1 - pow(t, 1.0::DOUBLE / (1.0::DOUBLE - 0.4::DOUBLE)) END) * 0.8 AS cov FROM (SELECT i, j, sqrt(pow(i + 0.5 - cx, 2) + pow(j + 0.5 - cy, 2)) / 7.0 AS t FROM k, range(CAST(floor(cx - 7) AS BIGINT), CAST(ceil(cx + 7) AS BIGINT) + 1) a(i), range(CAST(floor(cy - 7) AS BIGINT), CAST(ceil(cy + 7) AS BIGINT) + 1) b(j) WHERE n = 1) WHERE t < 1)"
-    q["stamp_single"] = w(PX, L[1], STAMPS, fall) + painted(("0.9", "0.2", "0.1", "1.0"), "1.0", "fo") + f" UNION ALL SELECT {ALL} FROM l1 WHERE NOT EXISTS (SELECT 1 FROM fo WHERE fo.x = l1.x AND fo.y = l1.y)"
+    fall = "fo AS (SELECT CAST(i AS INT) AS x, CAST(j AS INT) AS y, (CASE WHEN t <= 0 THEN 1.0 ELSE 1 - pow(t, 1.0::DOUBLE / (1.0::DOUBLE - 0.4::DOUBLE)) END) * 0.8 AS cov FROM (SELECT i, j, sqrt(pow(i + 0.5 - cx, 2) + pow(j + 0.5 - cy, 2)) / 7.0 AS t FROM k1, range(CAST(floor(cx - 7) AS BIGINT), CAST(ceil(cx + 7) AS BIGINT) + 1) a(i), range(CAST(floor(cy - 7) AS BIGINT), CAST(ceil(cy + 7) AS BIGINT) + 1) b(j)) WHERE t < 1)"
+    q["stamp_single"] = w(PX, L[1], STAMPS, "k1 AS (SELECT (min(cx) + max(cx)) * 0.5 AS cx, (min(cy) + max(cy)) * 0.5 AS cy FROM k)", fall) + painted(("0.9", "0.2", "0.1", "1.0"), "1.0", "fo") + f" UNION ALL SELECT {ALL} FROM l1 WHERE NOT EXISTS (SELECT 1 FROM fo WHERE fo.x = l1.x AND fo.y = l1.y)"
     lm = GREYL.format(r="r", g="g", b="b")
     mid = f"(least(greatest({clamp(f'1 - abs({clamp(lm)} - 0.5) * 2')} * 0.5, 0.0), 0.999))"
     q["dodge"] = retouched({c: clamp(f"{c} * (1 / (1 - {mid}))") for c in "rgb"})
@@ -350,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
     src = "sc AS (SELECT x - 6 AS x, y + 4 AS y, r AS sr, g AS sg, b AS sb, a AS sa FROM l1)"
     q["clone_stamp"] = w(*RETOUCH, src) + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(R(f'coalesce({c}, 0.0) + (coalesce(s{c}, 0.0) - coalesce({c}, 0.0)) * cov', c) for c in 'rgba')} FROM cover LEFT JOIN l1 USING (x, y) LEFT JOIN sc USING (x, y) WHERE cov > 0"
     q["heal"] = w(*RETOUCH, src, "hh AS (SELECT * FROM cover JOIN l1 USING (x, y) JOIN sc USING (x, y) WHERE cov > 0)", "mm AS (SELECT " + ", ".join(f"avg(s{c}) AS ms{c}, avg({c}) AS md{c}" for c in "rgb") + " FROM hh)") + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(R(f'{c} + ({clamp(f's{c} - ms{c} + md{c}')} - {c}) * cov', c) for c in 'rgb')}, {R('a', 'a')} FROM hh, mm"
-    st6 = f"st AS (SELECT * FROM ({STROKES_SQL}) WHERE stroke_id < 12 AND seq <= 6)"
+    st6 = f"st AS (SELECT * FROM ({STROKES_SQL}))"
 
     def spline(c: str) -> str:
         return f"0.5 * (2 * {c} + ({c}n - {c}p) * t + (2 * {c}p - 5 * {c} + 4 * {c}n - {c}m) * t * t + (3 * {c} - {c}p - 3 * {c}n + {c}m) * t * t * t)"

@@ -55,11 +55,10 @@ def _grey(s: SparkSession, d: str) -> DataFrame:
     return e.select("x", F.col("vec_id").cast("int").alias("y"), *[v.alias(c) for c in "rgb"], F.lit(1.0).alias("a"))
 
 
-GREY = Rect(0, 0, 64, 64)
-
-
-def _grey64(s: SparkSession, d: str) -> DataFrame:
-    return _grey(s, d).filter(GREY.contains())
+def _extent(s: SparkSession, d: str) -> Rect:
+    """Window of the whole grey image: a row of places for each vector (one-row aggregate)."""
+    r = s.read.parquet(f"{d}/embeddings.parquet").agg(F.max("vec_id").alias("y"), F.max(F.size("embedding")).alias("w")).first()
+    return Rect(0, 0, int(r["w"] or 0), int(-1 if r["y"] is None else r["y"]) + 1)
 
 
 def _nodes(s: SparkSession, d: str) -> LayerTree:
@@ -69,12 +68,17 @@ def _nodes(s: SparkSession, d: str) -> LayerTree:
 
 
 def _strokes(s: SparkSession, d: str) -> DataFrame:
-    return fx.strokes(s, d).filter("stroke_id < 12 and seq <= 6")
+    return fx.strokes(s, d)
 
 
 def _stamps(s: SparkSession, d: str) -> DataFrame:
-    k = fx.strokes(s, d).filter("stroke_id = 1 and seq <= 8")
-    return k.select("stroke_id", F.col("seq").alias("n"), (F.col("px") * 0.5 - 30.0).alias("cx"), (F.col("py") * 0.5 - 32.0).alias("cy"), "pressure")
+    return fx.strokes(s, d).select("stroke_id", F.col("seq").alias("n"), (F.col("px") * 0.5 - 30.0).alias("cx"), (F.col("py") * 0.5 - 32.0).alias("cy"), "pressure")
+
+
+def _middle(s: SparkSession, d: str) -> DataFrame:
+    """One stamp in the middle of all samples."""
+    mid = lambda c: (F.min(c) + F.max(c)) * 0.5
+    return _stamps(s, d).agg(F.lit(0).cast("long").alias("stroke_id"), F.lit(1).alias("n"), mid("cx").alias("cx"), mid("cy").alias("cy"), F.lit(1.0).alias("pressure"))
 
 
 def _cover(s: SparkSession, d: str) -> DataFrame:
@@ -262,11 +266,11 @@ def queries() -> dict[str, Query]:
     q["sharpen"] = lambda s, d: show(stencil.sharpen(layer(s, d, 1), BOX, 1.0, 0.8))
     q["emboss"] = lambda s, d: show(stencil.emboss(layer(s, d, 1), BOX, 0.6))
     q["edge_detect"] = lambda s, d: show(stencil.edge_detect(layer(s, d, 1), BOX, 0.9))
-    q["sobel"] = lambda s, d: stencil.sobel(_grey64(s, d), GREY).select("x", "y", rounded(F.col("mag")).alias("mag"))
+    q["sobel"] = lambda s, d: stencil.sobel(_grey(s, d), _extent(s, d)).select("x", "y", rounded(F.col("mag")).alias("mag"))
     q["box_mean"] = lambda s, d: show(stencil.box_mean(layer(s, d, 1), BOX, 2))
     q["eyedropper"] = lambda s, d: stencil.eyedropper(layer(s, d, 1), -31, 4, 2, CANVAS).select(*[rounded(F.col(c)).alias(c) for c in RGBA])
     q["thumbnail"] = _thumb
-    q["snap_edge"] = lambda s, d: stencil.snap_to_edge(stencil.sobel(_grey64(s, d), GREY), 30, 30, 8, 0.2).select("x", "y", rounded(F.col("mag")).alias("mag"))
+    q["snap_edge"] = lambda s, d: stencil.snap_to_edge(stencil.sobel(_grey(s, d), _extent(s, d)), 30, 30, 8, 0.2).select("x", "y", rounded(F.col("mag")).alias("mag"))
     # geometry
     q["resample_nearest"] = lambda s, d: show(resample.resample(layer(s, d, 1), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "nearest"))
     q["resample_bilinear"] = lambda s, d: show(resample.resample(layer(s, d, 1).filter(BOX.contains()), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "bilinear"))
@@ -275,19 +279,19 @@ def queries() -> dict[str, Query]:
     q["bezier_warp"] = lambda s, d: show(resample.bezier_warp(layer(s, d, 1).filter(BOX.contains()), BOX, 2, 3, [(-12.0, -10.0), (-3.0, -13.0), (8.0, -10.0), (-10.0, 8.0), (-2.0, 10.0), (9.0, 7.0)]))
     q["snap_grid"] = lambda s, d: pixels(s, d).select("layer_id", "x", "y", resample.snap_to_grid(F.col("x"), 5).cast("int").alias("gx"), resample.snap_to_grid(F.col("y"), 5).cast("int").alias("gy"))
     # regions
-    q["magic_wand"] = lambda s, d: cov(region.magic_wand(_grey64(s, d), 20, 20, 0.12, GREY))
-    q["region_grow"] = lambda s, d: cov(region.region_grow(_grey64(s, d), 20, 20, 0.2, GREY, 9))
-    q["quick_select"] = lambda s, d: cov(region.quick_select(_grey64(s, d), [(20, 20), (40, 31)], 0.15, GREY, 12))
-    q["bucket_fill"] = lambda s, d: show(region.bucket_fill(_grey64(s, d), 20, 20, (0.9, 0.2, 0.1, 1.0), 0.25, GREY))
-    q["matte_detect_solid"] = lambda s, d: region.detect_solid(_grey64(s, d), GREY, 0.3, 0.5).select(*[rounded(F.col(c)).alias(c) for c in "rgb"], rounded(F.col("covered")).alias("covered"), "solid")
+    q["magic_wand"] = lambda s, d: cov(region.magic_wand(_grey(s, d), 20, 20, 0.12, _extent(s, d)))
+    q["region_grow"] = lambda s, d: cov(region.region_grow(_grey(s, d), 20, 20, 0.2, _extent(s, d), 9))
+    q["quick_select"] = lambda s, d: cov(region.quick_select(_grey(s, d), [(20, 20), (40, 31)], 0.15, _extent(s, d), 12))
+    q["bucket_fill"] = lambda s, d: show(region.bucket_fill(_grey(s, d), 20, 20, (0.9, 0.2, 0.1, 1.0), 0.25, _extent(s, d)))
+    q["matte_detect_solid"] = lambda s, d: region.detect_solid(_grey(s, d), _extent(s, d), 0.3, 0.5).select(*[rounded(F.col(c)).alias(c) for c in "rgb"], rounded(F.col("covered")).alias("covered"), "solid")
     q["matte_unmix"] = lambda s, d: show(layer(s, d, 1).select("x", "y", *named(region.unmix(pixel(), (0.5, 0.4, 0.6), 0.1, 0.5))))
     q["palette_two_means"] = lambda s, d: region.two_means(fx.palette(s, d).select("r", "g", "b")).select("k", *[rounded(F.col(c)).alias(c) for c in "rgb"], "n")
     q["palette_mode"] = _mode
     q["despeckle"] = lambda s, d: region.despeckle(_mask(s, d).filter("cov > 0.93").select("x", "y", F.lit(1.0).alias("cov")), 3)
-    q["remove_matte"] = lambda s, d: show(region.remove_matte(_grey64(s, d).withColumns({c: F.when(BOX.expand(-2).contains(F.col("x") - 40, F.col("y") - 30), F.col(c)).otherwise(0.25) for c in "rgb"}), GREY))
+    q["remove_matte"] = lambda s, d: show(region.remove_matte(_grey(s, d).withColumns({c: F.when(BOX.expand(-2).contains(F.col("x") - 40, F.col("y") - 30), F.col(c)).otherwise(0.25) for c in "rgb"}), _extent(s, d)))
     # brushes and retouching
-    q["stamp_single"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_stamps(s, d).filter("n = 1"), brush.Brush(14.0, 0.4, 0.8)), (0.9, 0.2, 0.1, 1.0)))
-    q["stamp_order"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_stamps(s, d), brush.Brush(16.0, 0.2, 0.6)), (0.9, 0.2, 0.1, 1.0)))
+    q["stamp_single"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_middle(s, d), brush.Brush(14.0, 0.4, 0.8)), (0.9, 0.2, 0.1, 1.0)))
+    q["stamp_order"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_stamps(s, d), brush.Brush(16.0, 0.2, 0.6)), (0.9, 0.2, 0.1, 1.0), ("stroke_id", "n")))
     q["brush_stroke"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(brush.stroke_stamps(_strokes(s, d), brush.Brush(8.0)), brush.Brush(8.0)), (0.1, 0.3, 0.9, 0.5), ("stroke_id", "n")))
     q["finger_coverage"] = lambda s, d: cov(_cover(s, d))
     q["dodge"] = _retouch(lambda: retouch.dodge(pixel(), retouch.range_mask(color.luma(*pixel()[:3]), "midtones") * 0.5))
@@ -298,7 +302,7 @@ def queries() -> dict[str, Query]:
     q["clone_stamp"] = lambda s, d: show(retouch.clone_stamp(layer(s, d, 1), _cover(s, d), 6, -4))
     q["catmull_rom"] = _catmull
     q["smudge"] = lambda s, d: show(brush.smudge(layer(s, d, 1), _strokes(s, d), 4, 0.6), "stroke_id")
-    q["simplify_path"] = lambda s, d: brush.simplify_path(fx.strokes(s, d).filter("stroke_id < 20"), 25.0).select("stroke_id", "seq")
+    q["simplify_path"] = lambda s, d: brush.simplify_path(_strokes(s, d), 25.0).select("stroke_id", "seq")
     q["bresenham"] = lambda s, d: brush.bresenham(_lines(s, d)).select("stroke_id", "seq", "x", "y").distinct()
     q["scanline_fill"] = lambda s, d: brush.scanline_fill(_edges(s)).distinct()
     q["nearest_vertex"] = lambda s, d: brush.nearest_vertex(_strokes(s, d).select(F.col("stroke_id").alias("path"), F.col("seq").alias("vertex"), F.col("px").alias("vx"), F.col("py").alias("vy")), 60.0, 60.0, 40.0)
