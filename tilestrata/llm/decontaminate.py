@@ -18,7 +18,7 @@ document are never shuffled: only verified spans are.
 
 Defined results: null and empty texts have no words, are never hit, and items without
 words have no windows; equal windows of several items count for each of them; rows that
-repeat a doc_id share its hits; an empty benchmark leaves all documents clean; other columns
+repeat a doc_id share its hits; rows with a null doc_id have words but no hits, since nothing names them; an empty benchmark leaves all documents clean; other columns
 are not read.
 """
 
