@@ -12,7 +12,6 @@ from tilestrata.queries import queries
 
 SF = "/root/testdata/sf0.001"
 SQL = oracle_sql()
-SLOW = {"quick_select"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +28,7 @@ def rows(columns, data):
     return Counter(tuple(fix(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = queries()[name](spark, SF)
     got = rows(df.columns, df.collect())
