@@ -9,8 +9,9 @@ sample. Phrases are normalised to bits a symbol, phrases * log2(sample length) /
 language with the fewest wins; ties go to the alphabetically first. score is its share
 of 2 ** (-SHARPNESS * bits) over all languages.
 
-The automata are dense transition tables whose missing transitions start a new phrase at the
-root, so that thousands of segments are parsed in lockstep with array operations. Texts are parsed in
+Missing transitions of the automata start a new phrase at the root. Transitions by the most frequent letters
+are dense tables, those by all other letters of any sample a hash table, so that alphabets of any size are told
+apart and thousands of segments are parsed in lockstep with array operations. Texts are parsed in
 segments of `SEGMENT` symbols (a cut ends a phrase), which bounds memory and time for any length.
 
 Defined results: null texts, and texts without a letter, get `und` and score 0; without any labelled
@@ -19,6 +20,7 @@ text all get `und`; rows are judged one by one, so ties, repeats and other colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,10 @@ SHARPNESS = 6.0
 LONGEST = 10
 #: Symbols parsed in lockstep at once.
 BLOCK = 1 << 20
-#: Most letters told apart; rarer ones never match.
-ALPHABET = 120
+#: Most letters of the dense tables, and most cells; transitions by other letters are hashed, with the same results.
+ALPHABET, CELLS = 120, 40_000_000
+#: What a letter takes in an alphabet of 32.
+LETTER_BITS = 5.0
 
 _letters: list[np.ndarray] = []
 _built: dict[tuple, "Tables"] = {}
@@ -90,35 +94,80 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class Hashed:
+    """Values by key (not negative), in open addressing."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.values[slot] = values
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * self.MIX) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, -1 where there is none."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            found = self.keys[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Tables:
-    """Dense tables of all languages in one array: next state * 2 + (1 if a new phrase starts)."""
+    """Transitions of all languages: next state * 2 + (1 if a new phrase starts).
+
+    Codes: 0 the separator, then the letters of all samples by frequency, `width` of these codes in the dense
+    table; the last code is that of letters of no sample, which never match.
+    """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.langs = [lang for lang, _ in samples]
         letters, counts = np.unique(np.concatenate([_points(t) for _, t in samples]), return_counts=True)
-        letters = letters[letters != 32][np.argsort(-counts[letters != 32], kind="stable")][:ALPHABET]
-        self.width = len(letters) + 2
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[_is_letter()] = self.width - 1
-        self.code[letters] = np.arange(1, len(letters) + 1)
-        parts, self.root, self.bits, at = [], [], [], 0
-        for _, text in samples:
+        letters = letters[letters != 32][np.argsort(-counts[letters != 32], kind="stable")]
+        self.other = len(letters) + 1
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[_is_letter()] = self.other
+        self.code[letters] = np.arange(1, self.other)
+        states = 2 * sum(len(t) for _, t in samples)
+        self.width = max(1, min(self.other, ALPHABET + 1, CELLS // max(1, states)))
+        parts, keys, values, self.root, self.bits, at = [], [], [], [], [], 0
+        self.fresh = np.empty((len(samples), self.other + 1), np.int32)
+        for k, (_, text) in enumerate(samples):
             steps = suffix_automaton(self.code[_points(text)].tolist())
-            root = np.full(self.width, at * 2 + 1, np.int32)
+            self.fresh[k] = at * 2 + 1
             for c, to in steps[0].items():
-                root[c] = (at + to) * 2 + 1
-            root[self.width - 1] = at * 2 + 1
-            table = np.tile(root, (len(steps), 1))
+                self.fresh[k, c] = (at + to) * 2 + 1
+            table = np.tile(self.fresh[k, : self.width], (len(steps), 1))
             rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
             cols = np.fromiter((c for s in steps for c in s), np.int64, len(rows))
             to = np.fromiter((t for s in steps for t in s.values()), np.int64, len(rows))
-            known = cols != self.width - 1
-            table[rows[known], cols[known]] = (at + to[known]) * 2
+            dense = cols < self.width
+            table[rows[dense], cols[dense]] = (at + to[dense]) * 2
+            keys.append((at + rows[~dense]) * (self.other + 1) + cols[~dense])
+            values.append((at + to[~dense]) * 2)
             parts.append(table)
             self.root.append(at)
             self.bits.append(np.log2(max(2, len(text))))
             at += len(steps)
         self.table = np.concatenate(parts).reshape(-1)
+        self.rare = Hashed(np.concatenate(keys), np.concatenate(values))
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) by language (columns)."""
@@ -138,7 +187,11 @@ class Tables:
         since = np.zeros((langs, lanes), np.int32)
         for t in range(int(length[0]) if lanes else 0):
             k = int(alive[t])
-            v = self.table[state[:, :k] * np.int32(self.width) + symbols[start[:k] + t]]
+            now = symbols[start[:k] + t]
+            rare = np.flatnonzero(now >= self.width)
+            v = self.table[state[:, :k] * np.int32(self.width) + np.where(now < self.width, now, 0) if len(rare) else state[:, :k] * np.int32(self.width) + now]
+            if len(rare):
+                v[:, rare] = self._rare(state[:, rare], now[rare])
             new = v & 1
             run = since[:, :k]
             run += 1
@@ -151,6 +204,15 @@ class Tables:
             out[:, j] = np.bincount(owner[order], weights=count[j], minlength=n)
         return out
 
+    def _rare(self, state: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Transitions by codes that the dense table lacks."""
+        out = self.fresh[:, now]
+        some = np.flatnonzero(now < self.other)
+        keys = state[:, some].astype(np.int64) * (self.other + 1) + now[some]
+        to = self.rare.find(keys.reshape(-1)).reshape(keys.shape)
+        out[:, some] = np.where(to >= 0, to, out[:, some])
+        return out
+
     def bits_per_symbol(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(bits by text and language, letters of each text)."""
         rates, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
@@ -232,8 +294,21 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str
     return shown.mapInArrow(run, schema)
 
 
+def letter_bits(sample: str) -> float:
+    """Entropy of the symbols of a sample."""
+    _, n = np.unique(_points(sample), return_counts=True)
+    return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum())
+
+
 def keep_known(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", most_bits: float = 8.0) -> DataFrame:
-    """df without texts of no language: `und`, or more bits a symbol than any learned language explains."""
+    """df without texts of no language: `und`, or more bits a symbol than the language explains.
+
+    most_bits holds for alphabets of up to 32 letters; it is more by what a symbol of the language's sample takes beyond
+    LETTER_BITS, up to three quarters of what a letter costs that the sample lacks.
+    """
     judged = identify(df, samples, text_col)
     pred, _, bits = judged.columns[-3:]
-    return judged.filter((F.col(pred) != UNKNOWN) & (F.col(bits) <= most_bits)).select(*[F.col(f"`{c}`") for c in df.columns])
+    limits = {lang: min(most_bits + letter_bits(text) - LETTER_BITS, 0.75 * math.log2(max(2, len(text)))) for lang, text in samples}
+    wider = [F.lit(x) for lang, most in limits.items() if most > most_bits for x in (lang, most)]
+    limit = F.coalesce(F.create_map(*wider)[F.col(pred)], F.lit(most_bits)) if wider else F.lit(most_bits)
+    return judged.filter((F.col(pred) != UNKNOWN) & (F.col(bits) <= limit)).select(*[F.col(f"`{c}`") for c in df.columns])
