@@ -42,3 +42,21 @@ def test_hashed_transitions_equal_dense_ones(monkeypatch):
         monkeypatch.setattr(language_id, "ALPHABET", alphabet)
         rates.append(language_id.Tables(samples).bits_per_symbol(probes)[0])
     assert (rates[0] == rates[2]).all() and (rates[1] == rates[2]).all()
+
+
+def test_every_label_is_learned_in_blocks(spark, monkeypatch):
+    """70 languages, each of words of its own."""
+    rng = random.Random(5)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 4, 6]))) for _ in range(30)] for _ in range(70)]
+    rows = [(i * 6 + k, " ".join(rng.choices(w, k=60)), f"l{i:02}") for i, w in enumerate(words) for k in range(6 - (i == 69))]
+    df = spark.createDataFrame([*rows, (9000, None, "l00"), (9001, "12 %", "l01")], "doc_id long, text string, lang string")
+    samples = language_id.learn(df)
+    assert [lang for lang, _ in samples] == [f"l{i:02}" for i in range(70)]
+    whole = language_id.identify(df, samples).orderBy("doc_id").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in whole if r["doc_id"] < 9000) and {r["lang_pred"] for r in whole[-2:]} == {"und"}
+    monkeypatch.setattr(language_id, "HELD", 30_000)
+    assert 3 < len(language_id.blocks(samples)) < 70
+    by_block = language_id.identify(df, samples).orderBy("doc_id").collect()
+    pred, score, bits = ([r[c] for r in by_block] for c in ("lang_pred", "score", "bits"))
+    assert pred == [r["lang_pred"] for r in whole] and bits == [r["bits"] for r in whole]
+    assert score == pytest.approx([r["score"] for r in whole])

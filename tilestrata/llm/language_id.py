@@ -14,6 +14,9 @@ are dense tables, those by all other letters of any sample a hash table, so that
 apart and thousands of segments are parsed in lockstep with array operations. Texts are parsed in
 segments of `SEGMENT` symbols (a cut ends a phrase), which bounds memory and time for any length.
 
+Every label is learned. Tables of more than `HELD` sample symbols are built and used by blocks of languages, over
+each task's rows again, with the same results.
+
 Defined results: null texts, and texts without a letter, get `und` and score 0; without any labelled
 text all get `und`; rows are judged one by one, so ties, repeats and other columns do not matter; an empty table gives an empty table.
 """
@@ -21,6 +24,7 @@ text all get `und`; rows are judged one by one, so ties, repeats and other colum
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +42,8 @@ LONGEST = 10
 BLOCK = 1 << 20
 #: Most letters of the dense tables, and most cells; transitions by other letters are hashed, with the same results.
 ALPHABET, CELLS = 120, 40_000_000
+#: Most sample symbols of languages whose tables a worker holds at once.
+HELD = 1 << 21
 #: What a letter takes in an alphabet of 32.
 LETTER_BITS = 5.0
 
@@ -249,44 +255,103 @@ def tables(samples: tuple[tuple[str, str], ...]) -> Tables:
     return _built[samples]
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, doc_symbols: int = 600, languages: int = 64) -> tuple[tuple[str, str], ...]:
-    """(language, sample text) of the `languages` most frequent labels; at most languages * sample_docs * doc_symbols symbols reach the driver."""
+def blocks(samples: tuple[tuple[str, str], ...]) -> list[tuple[tuple[str, str], ...]]:
+    """Samples in order, so many together as HELD allows."""
+    out: list[list] = []
+    size = 0
+    for lang, text in samples:
+        if not out or size + len(text) > HELD:
+            out.append([])
+            size = 0
+        out[-1].append((lang, text))
+        size += len(text)
+    return [tuple(b) for b in out]
+
+
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, doc_symbols: int = 600) -> tuple[tuple[str, str], ...]:
+    """(language, sample text) of every label; at most sample_docs * doc_symbols symbols a label reach the driver."""
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    langs = sorted(r["lang"] for r in common.collect())
-    rows = rows.filter(F.col("lang").isin(langs)).select("lang", "h", F.substring("text", 1, 4 * doc_symbols).alias("t"))
+    rows = rows.select("lang", "h", F.substring("text", 1, 4 * doc_symbols).alias("t"))
     by = Window.partitionBy("lang").orderBy("h", "t")
-    sample = rows.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample_docs)
+    sample = rows.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample_docs).select("lang", "k", "t")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = [normalised(x)[:doc_symbols].strip() for x in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("k"), pa.array(t, pa.string())], names=["lang", "k", "t"])
+
     got: dict[str, list] = {}
-    for r in sample.collect():
+    for r in sample.mapInArrow(short, "lang string, k int, t string").collect():
         got.setdefault(r["lang"], []).append((r["k"], r["t"]))
-    out = [(lang, "".join(normalised(t)[:doc_symbols].strip() + " " for _, t in sorted(got[lang]))) for lang in langs if lang in got]
+    out = [(lang, "".join(t + " " for _, t in sorted(got[lang]))) for lang in sorted(got)]
     return tuple((lang, t) for lang, t in out if t.strip())
 
 
+class Verdict:
+    """The best language of each text of a batch, over the blocks of languages so far."""
+
+    def __init__(self, n: int) -> None:
+        self.pred, self.least, self.mass, self.letters = np.full(n, UNKNOWN, object), np.full(n, np.inf), np.zeros(n), np.zeros(n, np.int64)
+
+    def add(self, known: Tables, texts: list[str | None]) -> None:
+        rates, self.letters = known.bits_per_symbol(texts)
+        best = rates.argmin(axis=1)
+        found = rates[np.arange(len(texts)), best]
+        least = np.minimum(self.least, found)
+        self.mass = self.mass * np.exp2(-SHARPNESS * (self.least - least)) + np.exp2(-SHARPNESS * (rates - least[:, None])).sum(axis=1)
+        self.pred = np.where(found < self.least, np.array(known.langs, object)[best], self.pred)
+        self.least = least
+
+    def columns(self) -> list[pa.Array]:
+        some = self.letters > 0
+        pred, score, bits = np.where(some, self.pred, UNKNOWN), np.zeros(len(some)), np.zeros(len(some))
+        score[some], bits[some] = 1 / self.mass[some], self.least[some]
+        return [pa.array(pred, pa.string()), pa.array(score), pa.array(bits)]
+
+
 def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", columns: list[Column] | None = None) -> DataFrame:
     """columns of df (all by default), with lang_pred, score and bits (bits a symbol of the winner)."""
     taken = set(df.columns)
     new = {c: c if c not in taken or columns is not None else f"_{c}" for c in ("lang_pred", "score", "bits")}
     shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns]), F.col(text_col).cast("string").alias("_langid_text"))
-    send = df.sparkSession.sparkContext.broadcast(samples)
+    send = df.sparkSession.sparkContext.broadcast(blocks(samples))
     names = list(new.values())
 
+    def judged(b: pa.RecordBatch, verdict: Verdict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *verdict.columns()], names=[*b.schema.names[:-1], *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tables(send.value) if send.value else None
+        parts = send.value
+        if len(parts) > 1:
+            yield from spooled(batches, parts)
+            return
+        known = tables(parts[0]) if parts else None
         for b in batches:
-            n, texts = b.num_rows, b.column(b.num_columns - 1).to_pylist()
-            pred, score, bits = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
-            if known and n:
-                rates, letters = known.bits_per_symbol(texts)
-                best = rates.argmin(axis=1)
-                least = rates[np.arange(n), best]
-                share = 1 / np.exp2(-SHARPNESS * (rates - least[:, None])).sum(axis=1)
-                some = letters > 0
-                pred[some] = np.array(known.langs, object)[best[some]]
-                score[some], bits[some] = share[some], least[some]
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(bits)], names=[*b.schema.names[:-1], *names])
+            verdict = Verdict(b.num_rows)
+            if known and b.num_rows:
+                verdict.add(known, b.column(b.num_columns - 1).to_pylist())
+            yield judged(b, verdict)
+
+    def spooled(batches: Iterator[pa.RecordBatch], parts: list) -> Iterator[pa.RecordBatch]:
+        """The task's rows wait in a temporary file and are read once for each block of languages."""
+        with tempfile.TemporaryFile() as file:
+            verdicts, writer = [], None
+            for b in batches:
+                writer = writer or pa.ipc.new_stream(file, b.schema)
+                writer.write_batch(b)
+                verdicts.append(Verdict(b.num_rows))
+            if writer is None:
+                return
+            writer.close()
+            for part in parts:
+                file.seek(0)
+                known = tables(part)
+                for verdict, b in zip(verdicts, pa.ipc.open_stream(file), strict=True):
+                    if b.num_rows:
+                        verdict.add(known, b.column(b.num_columns - 1).to_pylist())
+            file.seek(0)
+            for verdict, b in zip(verdicts, pa.ipc.open_stream(file), strict=True):
+                yield judged(b, verdict)
 
     schema = shown.drop("_langid_text").schema
     for name, kind in zip(names, ("string", "double", "double"), strict=True):
