@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilestrata.llm import language_id
+from tilestrata.llm import language_id, lattice_lm, queries
+from tilestrata.llm import sentencepiece_codec as sp
 
 
 def wide(seed, letters):
@@ -60,3 +61,18 @@ def test_every_label_is_learned_in_blocks(spark, monkeypatch):
     pred, score, bits = ([r[c] for r in by_block] for c in ("lang_pred", "score", "bits"))
     assert pred == [r["lang_pred"] for r in whole] and bits == [r["bits"] for r in whole]
     assert score == pytest.approx([r["score"] for r in whole])
+
+
+def test_rare_words_have_arcs(spark, monkeypatch):
+    """Scores don't depend on which words are broadcast."""
+    model = sp.read_model(queries.MODEL_PATH)
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").filter("length(text) < 3000").limit(60)
+    docs = docs.unionByName(docs.limit(1).select(F.lit(-1).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit("").alias("text"), *docs.columns[2:]), allowMissingColumns=True)
+    got = []
+    for heavy in (1 << 20, 300, 1):
+        monkeypatch.setattr(lattice_lm, "HEAVY", heavy)
+        got.append(lattice_lm.score(docs, model, queries.fold("doc_id", 10) != 0, group_col="lang").orderBy("doc_id").toPandas())
+    for other in got[1:]:
+        assert (other[["doc_id", "n_tokens", "n_known", "train_tokens"]] == got[0][["doc_id", "n_tokens", "n_known", "train_tokens"]]).all(axis=None)
+        assert other.score.to_numpy() == pytest.approx(got[0].score.to_numpy(), rel=1e-9)
+        assert other.base_score.to_numpy() == pytest.approx(got[0].base_score.to_numpy(), rel=1e-9)
