@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilestrata.llm import language_id, lattice_lm, queries
+from tilestrata.llm import exact_dedup, language_id, lattice_lm, queries
 from tilestrata.llm import sentencepiece_codec as sp
 
 
@@ -76,3 +76,10 @@ def test_rare_words_have_arcs(spark, monkeypatch):
         assert (other[["doc_id", "n_tokens", "n_known", "train_tokens"]] == got[0][["doc_id", "n_tokens", "n_known", "train_tokens"]]).all(axis=None)
         assert other.score.to_numpy() == pytest.approx(got[0].score.to_numpy(), rel=1e-9)
         assert other.base_score.to_numpy() == pytest.approx(got[0].base_score.to_numpy(), rel=1e-9)
+
+
+def test_copies_go_by_id_and_text(spark):
+    rows = [(1, "a"), (None, "a"), (None, "only here"), (5, "a"), (5, "also only here"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in exact_dedup.exact_dedup(df).collect()}
+    assert kept == {(1, "a"), (None, "only here"), (5, "also only here"), (7, None)}

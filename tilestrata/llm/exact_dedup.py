@@ -55,7 +55,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """df without the rows whose text another row has; all columns of df."""
+    """df without the rows whose text another row has; all columns of df. Rows go by id and text, so other texts of the same id, or without one, stay."""
     groups = exact_groups(df, id_col, text_col, keep)
-    gone = groups.filter("not kept").select(F.col(id_col).alias("_gone"))
-    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = groups.filter("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_of"))
+    text = F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256)
+    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone")) & (text == F.col("_of")), "left_anti")
