@@ -6,22 +6,26 @@ the threshold share at least l tokens within their first n - ceil(t * n) + l tok
 document takes the l of least estimated cost (posting lists to read, plus candidates to
 verify, of which there can be no more than postings / l), and a pair needs as many
 common prefix tokens as the smaller of its two values before it is verified. Positions bound the
-overlap further: after the last of m common prefix tokens no more can be common than the shorter rest.
+overlap further: after the last of m common prefix tokens no more can be common than the shorter rest, and
+before a common token no more than those of its predecessors that another class has in its prefix too.
 
 Steps: (1) sketch; (2) per document n, a 128-bit fingerprint of the set, l and the prefix; (3)
-equal sets become one class; (4) postings of tokens that two classes share; (5) in each posting list, the
+equal sets become one class; (4) postings of tokens that two classes share, with their rank among them; (5) in each posting list, the
 member whose tokens are most common in the corpus is the pivot: pairs with pivots are verified first
 and united, which makes large groups of near copies one component with a number of pairs linear in
-the group; (6) every other pair of a list that lies across components, and whose 256-bit parity signatures differ in no more bits
+the group; (6) every other pair of a list that lies across components, and whose 512-bit parity signatures differ in no more bits
 than sets of the threshold can, is counted, verified if it has enough common tokens, and united. A pair left out lies in one component already, so components are exact.
 Sets for verification are recomputed from the texts of the candidates alone, found by a bitmap.
 
-Sets are 64-bit hashes of n-grams, compared as sorted arrays.
+Sets are 64-bit hashes of n-grams, compared as sorted arrays. Classes have keys of their own, so ids may be of any type that
+can be ordered. The sketch and the bitmap grow with the rows, up to 2^24 counters and 2^27 bits, which are the same for all larger
+inputs: they then find fewer candidates unlikely, which costs time, not results.
 
 Defined results: null texts and texts without words have an empty set, n_shingles 0 and their own id as component,
 and link with nothing, not even each other; texts of fewer words than n are one shingle; rows
-that repeat an id share a component; an empty table gives an empty table; other
-columns are not read. Ids are integers and not null; rows with a null id are left out.
+that repeat an id are one document with several texts, so they share a component; rows with a null id link like all others, but a
+component is named by its smallest id that isn't null, and null only if it has none; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,17 +36,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilestrata.llm._text import chunks, shingle_set, text_buffers, word_hashes
 from tilestrata.llm.components import components
 from tilestrata.llm.merge import bitmap, has, merged, pack, slot
 from tilestrata.llm.storage import arrow_rows, cut
 
-SKETCH_BITS = 21
+#: Counters of the sketch and bits of the bitmap, as powers of two: least and most, and how many for each row.
+SKETCH_BITS, SKETCH_EACH = (21, 24), 8
 SKETCH_CHUNK = 1 << 16
-BITMAP_BITS = 24
+BITMAP_BITS, BITMAP_EACH = (16, 27), 16
+#: Bits of a set's parity signature.
+SIGNATURE = 512
 #: Rows of an Arrow batch that holds texts or sets.
 BATCH_ROWS = 1000
 #: The most matches asked for, and the price of verifying one shingle against reading one posting.
@@ -57,13 +65,23 @@ def _sets(column, size: int) -> Iterator[np.ndarray]:
             yield shingle_set(hashes[rng[i] : rng[i + 1]], size)
 
 
+def _bits(rows: int, bounds: tuple[int, int], each: int) -> int:
+    return min(bounds[1], max(bounds[0], (rows * each).bit_length()))
+
+
+def _mark(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    """(id, text, mark); mark tells rows without an id apart."""
+    id_, text = F.col(id_col), F.col(text_col)
+    return docs.select(id_.alias("id"), text.cast("string").alias("text"), F.when(id_.isNull(), _mark(text)).alias("mark"))
 
 
-def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Counters of shingles by the top bits of their hash, over all documents."""
-    width, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
+def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
+    """2 ** bits counters of shingles by the top bits of their hash, over all documents."""
+    width, shift = 1 << bits, np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, n = np.zeros(width, np.uint32), [], 0
@@ -83,9 +101,9 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     return merged(docs.select("text").mapInArrow(count, "part long, chunk int, data binary"), width)
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """(id, n, fp, cen, ell, sig, prefix) per row; counts is the broadcast sketch."""
-    shift = np.uint64(64 - SKETCH_BITS)
+def prefixes(docs: DataFrame, size: int, percent: int, counts, bits: int) -> DataFrame:
+    """(id, mark, n, fp, cen, ell, sig, prefix) per row; counts is the broadcast sketch of 2 ** bits counters."""
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         est = counts.value
@@ -94,7 +112,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
             for s in _sets(b.column("text"), size):
                 k = len(s)
                 n.append(k)
-                sig.append(np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
+                sig.append(np.packbits((np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)).view(np.int64))
                 if not k:
                     fp.append(None), cen.append(0.0), ell.append(0), pre.append(np.zeros(0, np.int64))
                     continue
@@ -115,26 +133,30 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
             flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
             at = np.concatenate(([0], np.cumsum([len(p) for p in pre]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(cen, pa.float32()), pa.array(ell, pa.int32()), pa.array(sig, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                names=["id", "n", "fp", "cen", "ell", "sig", "prefix"],
+                [b.column("id"), b.column("mark"), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(cen, pa.float32()), pa.array(ell, pa.int32()), pa.array(sig, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                names=["id", "mark", "n", "fp", "cen", "ell", "sig", "prefix"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, fp binary, cen float, ell int, sig array<long>, prefix array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, mark binary, n int, fp binary, cen float, ell int, sig array<long>, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets reach the threshold."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of class keys, those whose sets reach the threshold."""
     spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = cut(ids, "candidates")
-    marks = spark.sparkContext.broadcast(bitmap(ids, "id", BITMAP_BITS))
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = cut(classes.select("key", "id", "fp").join(keys, "key"), "candidates")
+    bits = _bits(wanted.count(), BITMAP_BITS, BITMAP_EACH)
+    marks = spark.sparkContext.broadcast(bitmap(wanted, "id", bits))
+    kind = docs.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marks.value
+        held = marks.value
         for b in batches:
-            b = b.filter(pa.array(has(bits, b.column("slot").to_numpy())))
+            b = b.filter(pa.array(has(held, b.column("slot").to_numpy())))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in _sets(b.column("text"), size)], pa.binary())], names=["id", "s"])
+                s = [x.tobytes() for x in _sets(b.column("text"), size)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([hashlib.md5(x).digest() for x in s], pa.binary()), pa.array(s, pa.binary())], names=["_id", "_fp", "s"])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,63 +169,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    have = docs.withColumn("slot", slot("id", BITMAP_BITS)).mapInArrow(sets, "id long, s binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    # a class is found by the id and the fingerprint of its first row, so a further row of the id can't stand in for it
+    have = docs.select("id", "text", slot("id", bits).alias("slot")).mapInArrow(sets, f"_id {kind}, _fp binary, s binary")
+    have = have.join(wanted, (F.col("_fp") == F.col("fp")) & F.col("_id").eqNullSafe(F.col("id"))).select("key", "s").dropDuplicates(["key"])
     have = cut(have, "sets")
-    both = pairs.select("a", "b").join(have.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    both = pairs.select("a", "b").join(have.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
     return cut(both.mapInArrow(reach, "a long, b long"), "links")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """One row per input row: id, n_shingles, component_id; two texts link when 100 * common >= percent * union."""
     with arrow_rows(df.sparkSession, BATCH_ROWS):
-        return _near_components(df, id_col, text_col, size, percent)
+        out = _near_components(df, id_col, text_col, size, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, n, mark, component, component_id) of every row."""
     spark = df.sparkSession
     docs = _rows(df, id_col, text_col)
-    counts = spark.sparkContext.broadcast(sketch(docs, size))
-    slim = cut(prefixes(docs, size, percent, counts), "prefixes")
-    classes = slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "sig", "prefix")])
-    # lists of one posting go first, in rows as narrow as can be; what a class is like comes to the rest by id
-    posts = classes.select("id", F.posexplode("prefix").alias("pos", "tok"))
+    bits = _bits(docs.count(), SKETCH_BITS, SKETCH_EACH)
+    counts = spark.sparkContext.broadcast(sketch(docs, size, bits))
+    slim = cut(prefixes(docs, size, percent, counts, bits).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    classes = slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("row").alias("key"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "sig", "prefix")])
+    # lists of one posting go first, in rows as narrow as can be; what a class is like comes to the rest by key
+    posts = classes.select("key", F.posexplode("prefix").alias("pos", "tok"))
     shared = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("tok")
-    posts = cut(posts.join(shared, "tok").select("tok", "id", "pos"), "shared-postings").join(classes.select("id", "n", "cen", "ell"), "id")
-    heads = posts.groupBy("tok").agg(F.max(F.struct("cen", "id", "n", "ell", "pos")).alias("top"))
-    posts = cut(posts.join(heads, "tok").select("tok", "id", "n", "ell", "pos", *[F.col(f"top.{x}").alias("p" + x) for x in ("id", "n", "ell", "pos")]), "postings")
-
-    # what two sets share at most, by a common token and its places; the same for all m common prefix tokens
-    around = "(1 + least(pos, ppos) + least(n - pos, pn - ppos) - 1)"
+    shared = cut(posts.join(shared, "tok").select("tok", "key", "pos"), "shared-postings")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1
+    posts = shared.withColumn("rank", rank).join(classes.select("key", "n", "cen", "ell"), "key")
+    heads = posts.groupBy("tok").agg(F.max(F.struct("cen", "key", "n", "ell", "pos", "rank")).alias("top"))
+    posts = cut(posts.join(heads, "tok").select("tok", "key", "n", "ell", "pos", "rank", *[F.col(f"top.{x}").alias("p" + x) for x in ("key", "n", "ell", "pos", "rank")]), "postings")
+
+    # what two sets share at most, by a common token and its places; the same for all m common prefix tokens. A token before it
+    # that no other class has in its prefix isn't common: the other set holds the later token in its prefix, so it would hold this one there
+    around = "(least(rank, prank) + least(n - pos, pn - ppos))"
     alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn) and 100 * {around} >= {percent} * (n + pn - {around})"
     both = [F.count(F.lit(1)).alias("m"), F.min(F.least("ell", "pell")).alias("need"), F.max("pos").alias("pos"), F.max("ppos").alias("ppos"), F.first("n").alias("n"), F.first("pn").alias("pn")]
     enough = f"100 * (m + rest) >= {percent} * (n + pn - m - rest)"
-    first = posts.filter(f"id != pid and {alike}").groupBy("id", "pid").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1"))
-    first = cut(first.filter(f"2 * m >= need and {enough}").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "star-pairs")
-    links = _verified(first, docs, size, percent)
+    first = posts.filter(f"key != pkey and {alike}").groupBy("key", "pkey").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1"))
+    first = cut(first.filter(f"2 * m >= need and {enough}").select(F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b")).distinct(), "star-pairs")
+    links = _verified(first, classes, docs, size, percent)
     named = components(links)
 
-    marks = classes.select("id", "sig").join(named, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
-    own = cut(posts.select("tok", "id", "n", "ell", "pos").join(marks, "id"), "placed")
+    marks = classes.select("key", "sig").join(named.withColumnRenamed("id", "key"), "key", "left").select("key", "sig", F.coalesce("component", "key").alias("c"))
+    own = cut(posts.select("tok", "key", "n", "ell", "pos").join(marks, "key"), "placed")
     main = own.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tok", "main")
-    rest = cut(own.join(main, "tok"), "across")
+    # between components, only tokens that two of them hold can be common
+    rest = cut(own.join(main, "tok").withColumn("rank", rank), "across")
     odd = rest.filter("c != main").drop("main")
-    other = rest.select("tok", *[F.col(x).alias("p" + x) for x in ("id", "n", "ell", "pos", "sig", "c")], "main")
-    apart = " + ".join(f"bit_count(sig[{i}] ^ psig[{i}])" for i in range(4))
-    met = odd.join(other, "tok").filter(f"c != pc and (pc = main or id < pid) and {alike} and ({apart}) * {100 + percent} <= {100 - percent} * (n + pn)")
-    flip = F.col("id") > F.col("pid")
-    met = met.select(*[F.when(flip, F.col("p" + x)).otherwise(F.col(x)).alias(x) for x in ("id", "n", "pos", "ell")], *[F.when(flip, F.col(x)).otherwise(F.col("p" + x)).alias("p" + x) for x in ("id", "n", "pos", "ell")])
-    second = met.groupBy("id", "pid").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1")).filter(f"m >= need and {enough}").select(F.col("id").alias("a"), F.col("pid").alias("b"))
+    other = rest.select("tok", *[F.col(x).alias("p" + x) for x in ("key", "n", "ell", "pos", "rank", "sig", "c")], "main")
+    apart = " + ".join(f"bit_count(sig[{i}] ^ psig[{i}])" for i in range(SIGNATURE // 64))
+    met = odd.join(other, "tok").filter(f"c != pc and (pc = main or key < pkey) and {alike} and ({apart}) * {100 + percent} <= {100 - percent} * (n + pn)")
+    flip = F.col("key") > F.col("pkey")
+    met = met.select(*[F.when(flip, F.col("p" + x)).otherwise(F.col(x)).alias(x) for x in ("key", "n", "pos", "ell")], *[F.when(flip, F.col(x)).otherwise(F.col("p" + x)).alias("p" + x) for x in ("key", "n", "pos", "ell")])
+    second = met.groupBy("key", "pkey").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1")).filter(f"m >= need and {enough}").select(F.col("key").alias("a"), F.col("pkey").alias("b"))
     second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(second, docs, size, percent)
-    if not more.isEmpty():
-        named = components(links.unionByName(more))
-    label = classes.select("fp", "id").join(named, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    label = cut(label, "labels")
-    out = slim.select("id", "n", "fp").join(label, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return _labelled(slim, classes, named, _verified(second, classes, docs, size, percent))
+
+
+def _labelled(slim: DataFrame, classes: DataFrame, named: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, n, mark, component, component_id) of every row; links are those of class keys not in named, and equal ids link too."""
+    least = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least")).alias("least")
+    rows = slim.select("id", "n", "fp", "mark", "row").join(classes.select("fp", "key", F.col("id").alias("least")), "fp", "left")
+    rows = cut(rows.select("id", "n", "mark", F.coalesce("key", "row").alias("key"), least), "rows")
+    repeated = rows.filter("id is not null").groupBy("id").agg(F.min("key").alias("b"), F.max("key").alias("most")).filter("b != most").select("id", "b")
+    links = cut(links.unionByName(rows.join(repeated, "id").select(F.col("key").alias("a"), "b").filter("a != b").distinct()), "further-links")
+    if not links.isEmpty():
+        named = components(links.unionByName(named.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    named = named.withColumnRenamed("id", "key")
+    least = named.join(rows.select("key", "least").distinct(), "key").groupBy("component").agg(F.min("least").alias("component_id"))
+    label = cut(named.join(least, "component").select("key", "component", "component_id"), "labels")
+    own = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    return rows.join(label, "key", "left").select("id", "n", "mark", F.coalesce("component", "key").alias("component"), own.alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """df with one document of each group of near copies, the one with the smallest id; all columns of df."""
-    gone = near_components(df, id_col, text_col, size, percent).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    """df with one document of each group of near copies, the one with the smallest id; all columns of df.
+
+    Rows that repeat that id are the same document and stay. A group without any id keeps the text of the smallest hash.
+    """
+    with arrow_rows(df.sparkSession, BATCH_ROWS):
+        rows = cut(_near_components(df, id_col, text_col, size, percent), "near-copies")
+    gone = rows.filter("id != component_id").select(F.col("id").alias("_gone"))
+    out = df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    nameless = rows.filter("id is null and n > 0")
+    if nameless.isEmpty():
+        return out
+    stays = nameless.filter("component_id is null").groupBy("component").agg(F.min("mark").alias("mark"))
+    nameless = nameless.join(stays, ["component", "mark"], "left_anti").select(F.col("mark").alias("_gone")).distinct()
+    return out.join(nameless, df[id_col].isNull() & (_mark(df[text_col]) == F.col("_gone")), "left_anti")
