@@ -8,9 +8,12 @@
    values with few repeats. Segments beyond `depth` are taken together as `**`.
 3. Sibling branches that remain literal are merged into one branch when their evidence
    is statistically alike: equal band of the Wilson interval of their blocked share and of their mean
-   remaining depth. Branches without any evidence merge only with each other.
-4. A template is rejected if its smoothed purity (blocked + prior_weight * prior) /
-   (labelled + prior_weight) reaches `purity`; the prior is below it, so templates without
+   remaining depth. Branches without any evidence of their own are compared by what the same path has on all hosts.
+4. Purity is smoothed down the tree. On all hosts together, a path prefix has (blocked + weight * its parent's) /
+   (labelled + weight), from the prior at the root; a host's template has (blocked + weight * q) / (labelled + weight), where q is the
+   mean of its parent template's purity and of its paths' purity on all hosts. So a template without labels is judged by its
+   host's other pages and by equal paths elsewhere, and rejected only where both speak against it.
+5. A template is rejected if its purity reaches `purity`; the prior is below it, so hosts and paths without
    evidence are allowed.
 
 Counting is by aggregation of (host, segments), never by collecting a host's pages, so a
@@ -18,7 +21,7 @@ host with a third of all rows is pre-aggregated before it is shuffled; the last
 meets AQE's skew handling.
 
 Defined results: null URLs and URLs without `://` have empty host and path and get the
-verdict of the empty host's template; rows with equal URLs get equal verdicts; an empty
+verdict of the empty host's template; rows that repeat an id are judged each; rows with equal URLs get equal verdicts; an empty
 table gives an empty table; other columns are not read.
 """
 
@@ -70,42 +73,66 @@ def _band(hits: Column, n: Column) -> Column:
     return F.when(n == 0, "none").when(mid - half > 0.5, "high").when(mid + half < 0.5, "low").otherwise("mixed")
 
 
-def template_tree(urls: DataFrame, depth: int = 4, distinct_share: float = 0.5, least_distinct: int = 8) -> DataFrame:
-    """Templates of (host, _s segments, n, labelled, blocked): adds _t, the URL's template.
+def _shared_purity(urls: DataFrame, depth: int, prior: float, weight: float) -> DataFrame:
+    """urls with _c, the purity on all hosts of each prefix of their segments, one level more for each segment up to `depth`."""
+    out = urls.withColumn("_c", F.array().cast("array<double>"))
+    for level in range(depth):
+        key = F.when(F.size("_s") > level, F.concat_ws("/", F.slice("_s", 1, level + 1)))
+        above = F.when(F.lit(level == 0), F.lit(prior)).otherwise(F.get("_c", F.lit(level - 1)))
+        out = out.withColumn("_g", key)
+        sums = out.filter("_g is not null").groupBy("_g").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max(above).alias("up"))
+        sums = sums.select("_g", ((F.col("b") + weight * F.col("up")) / (F.col("l") + weight)).alias("_x"))
+        out = out.join(sums, "_g", "left").withColumn("_c", F.when(F.col("_x").isNull(), F.col("_c")).otherwise(F.concat("_c", F.array("_x")))).drop("_x", "_g")
+    return out
+
+
+def template_tree(urls: DataFrame, depth: int = 4, distinct_share: float = 0.5, least_distinct: int = 8, prior: float = 0.1, weight: float = 2.0) -> DataFrame:
+    """Templates of (_host, _s segments, n, labelled, blocked): adds _t, the URL's template, and _p, its purity.
 
-    A level takes two aggregations of the distinct (host, segments) rows.
+    A level takes a few aggregations of the distinct (host, segments) rows.
     """
-    tree = urls.withColumn("_t", F.lit(""))
+    hosts = urls.groupBy("_host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    hosts = hosts.select("_host", ((F.col("b") + weight * prior) / (F.col("l") + weight)).alias("_p"))
+    tree = _shared_purity(urls, depth, prior, weight).join(hosts, "_host").withColumn("_t", F.lit(""))
     for level in range(depth):
         segment = F.when(F.size("_s") > level, F.get("_s", F.lit(level)))
-        tree = tree.withColumn("_seg", segment)
-        branch = tree.filter("_seg is not null").groupBy("_host", "_t", "_seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), (F.sum(F.col("n") * F.size("_s")) / F.sum("n")).alias("deep"))
+        tree = cut(tree.withColumn("_seg", segment), "tree")
+        total = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+        branch = tree.filter("_seg is not null").groupBy("_host", "_t", "_seg").agg(*total, (F.sum(F.col("n") * F.size("_s")) / F.sum("n")).alias("deep"), F.sum(F.col("n") * F.get("_c", F.lit(level))).alias("else"), F.max("_p").alias("up"))
         branch = cut(branch, "branches")
         literal = ~F.col("_seg").startswith("{")
         parent = branch.filter(literal).groupBy("_host", "_t").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
         branch = branch.join(parent, ["_host", "_t"], "left")
         wild = literal & (F.col("kinds") >= least_distinct) & (F.col("kinds") >= F.col("all") * distinct_share)
-        alike = F.concat(F.lit("~"), _band(F.col("blocked").cast("double"), F.col("labelled").cast("double")), F.round("deep").cast("int").cast("string"))
+        elsewhere = F.concat(F.lit("like "), F.round(F.col("else") / F.col("n") * 4).cast("int").cast("string"))
+        band = F.when(F.col("labelled") == 0, elsewhere).otherwise(_band(F.col("blocked").cast("double"), F.col("labelled").cast("double")))
+        alike = F.concat(F.lit("~"), band, F.lit(" "), F.round("deep").cast("int").cast("string"))
         node = F.when(wild, F.lit("*")).when(literal, alike).otherwise(F.col("_seg"))
-        named = branch.select("_host", "_t", "_seg", F.concat("_t", F.lit("/"), node).alias("_next"))
-        tree = tree.join(named, ["_host", "_t", "_seg"], "left").withColumn("_t", F.coalesce("_next", "_t")).drop("_next", "_seg")
+        branch = branch.withColumn("_next", F.concat("_t", F.lit("/"), node))
+        total = [F.sum(c).alias(f"_{c}") for c in ("n", "labelled", "blocked", "else")]
+        nodes = branch.groupBy("_host", "_next").agg(*total, F.max("up").alias("_up"))
+        below = (F.col("_up") + F.col("_else") / F.col("_n")) / 2
+        nodes = nodes.select("_host", "_next", ((F.col("_blocked") + weight * below) / (F.col("_labelled") + weight)).alias("_pure"))
+        named = branch.select("_host", "_t", "_seg", "_next").join(nodes, ["_host", "_next"])
+        tree = tree.join(named, ["_host", "_t", "_seg"], "left").withColumns({"_t": F.coalesce("_next", "_t"), "_p": F.coalesce("_pure", "_p")}).drop("_next", "_pure", "_seg")
     return tree
 
 
-def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", purity: float = 0.8, prior: float = 0.1, prior_weight: float = 2.0, depth: int = 4) -> DataFrame:
-    """One row per input row: id, host, path, rule, verdict, template, purity."""
+def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", purity: float = 0.8, prior: float = 0.1, prior_weight: float = 2.0, depth: int = 4, evidence: Column | None = None) -> DataFrame:
+    """One row per input row: id, host, path, rule, verdict, template, purity.
+
+    evidence: condition on columns of df; where it doesn't hold, a rule still decides its row, but isn't learned from.
+    """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    pages = df.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"))
+    pages = df.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"), (F.lit(True) if evidence is None else F.coalesce(evidence, F.lit(False))).alias("_learn"))
     rule, said = match_rules(F.col("_host"), F.col("_path"), rules)
     segments = F.filter(F.split(F.regexp_replace("_path", r"^/|/$", ""), "/"), lambda x: x != "")
     shaped = F.transform(F.slice(segments, 1, depth), _shape)
     pages = pages.withColumns({"rule": rule, "_said": said, "_s": F.when(F.size(segments) > depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)})
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    urls = cut(pages.groupBy("_host", "_s").agg(F.count(F.lit(1)).alias("n"), one(F.col("_said").isNotNull()).alias("labelled"), one(F.col("_said") == "block").alias("blocked")), "urls")
-    tree = template_tree(urls, depth)
-    kinds = tree.groupBy("_host", "_t").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    pure = (F.col("b") + prior_weight * prior) / (F.col("l") + prior_weight)
-    judged = cut(tree.join(kinds.select("_host", "_t", pure.alias("_p")), ["_host", "_t"]).select("_host", "_s", "_t", "_p"), "templates")
+    known = F.col("_learn") & F.col("_said").isNotNull()
+    urls = cut(pages.groupBy("_host", "_s").agg(F.count(F.lit(1)).alias("n"), one(known).alias("labelled"), one(known & (F.col("_said") == "block")).alias("blocked")), "urls")
+    judged = cut(template_tree(urls, depth, prior=prior, weight=prior_weight).select("_host", "_s", "_t", "_p"), "templates")
     out = pages.join(judged, ["_host", "_s"], "left")
     method = F.when(F.coalesce(F.col("_p"), F.lit(0.0)) >= purity, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("_said", method).alias("verdict"), F.col("_t").alias("template"), F.round("_p", 6).alias("purity"))
