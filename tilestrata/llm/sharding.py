@@ -4,13 +4,13 @@ Rows get a global order by (MD5 of the text, id), so that equal texts are neighb
 range exchange of slim rows deals that order to partitions; each partition's total of
 bytes and rows goes to the driver (a few numbers a partition), and their prefix sums turn
 local running sums into global positions. Cuts stand at equal targets total * k / n, moved
-to the nearest row edge, or, where a group of equal texts of at most
-`whole_group_share` of a shard's bytes would be cut, to the nearest edge of the group. Larger
-groups are cut between rows, so that a group with a third of all rows still balances.
+to the nearest edge of a group of equal texts, so that groups stay whole. A
+group larger than a shard's target, which no cut can keep whole and balanced, is cut between rows, so that a group with a
+third of all rows still balances.
 
 Defined results: a null text has no bytes and counts 1 like an empty one; ties in the
 order are rows equal in text and id, whose places are interchangeable; an empty table
-gives no rows; with fewer rows than shards some shards stay empty. Other columns are not read.
+gives no rows; with fewer rows (or bytes) than shards some shards stay empty. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,8 +45,11 @@ def _positions(rows: DataFrame, before: dict[int, tuple[int, int]]) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def byte_shards(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole_group_share: float = 0.01) -> DataFrame:
-    """One row per input row: id, size, text_crc32, shard, slot (place in the shard, gapless from 0)."""
+def byte_shards(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole_group_share: float = 1.0) -> DataFrame:
+    """One row per input row: id, size, text_crc32, shard, slot (place in the shard, gapless from 0).
+
+    whole_group_share: groups of equal texts up to this share of a shard's target stay whole.
+    """
     spark = df.sparkSession
     shared_dir(spark)
     text = F.col(text_col).cast("string")
@@ -89,7 +92,10 @@ def _cuts(placed: DataFrame, rows: DataFrame, total: int, n: int, share: float)
     group = {bytes(r["_h"]): (r["lo"], r["bytes"]) for r in inside.groupBy("_h").agg(F.min("_start").alias("lo"), F.sum("size").alias("bytes")).collect()}
     out = []
     for t in targets.tolist():
-        r = next(r for r in held if r["_start"] < t <= r["_start"] + r["size"] or r["_start"] <= t < r["_start"] + r["size"])
+        if not t:  # fewer bytes than shards
+            out.append(0)
+            continue
+        r = next(r for r in held if r["_start"] < t <= r["_start"] + r["size"])
         lo, size = group[bytes(r["_h"])]
         if size > share * total / n:
             lo, size = r["_start"], r["size"]
@@ -100,6 +106,6 @@ def _cuts(placed: DataFrame, rows: DataFrame, total: int, n: int, share: float)
 def write_shards(df: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with shard and slot, written under path by shard, each file sorted by slot; returns what was written."""
     plan = byte_shards(df, n_shards, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    out = df.join(plan, df[id_col].eqNullSafe(F.col("_id"))).drop("_id")
+    out = df.join(plan, df[id_col].eqNullSafe(plan["_id"])).drop(plan["_id"])
     out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
     return df.sparkSession.read.parquet(path)
