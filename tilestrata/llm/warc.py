@@ -12,19 +12,22 @@ payload column is read (`payload` option), is skipped by seeking over Content-Le
 
 Defined results: a null payload is empty; null targets give records without WARC-Target-URI; CR and LF in a target are
 percent-encoded; rows with a null id are written with an empty one; rows that repeat an id give a record
-each; an empty table gives an empty archive; other columns are not read. A truncated record raises.
+each; an empty table gives an empty archive; other columns are not read. A truncated record raises; an HTTP block without a blank line is all header.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
+from tilestrata.llm.storage import cut
+
 VERSION = "WARC/1.1"
 END = "\r\n"
 ID_PREFIX = "urn:x-record:"
@@ -33,16 +36,21 @@ SCHEMA = "record_id string, record_type string, target_uri string, refers_to str
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "payload_bytes": "x-payload-length"}
 
 
-def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 1000) -> DataFrame:
+def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
     """(id, target columns of df untouched) plus _payload, _digest, _bytes, _stays: the largest id of equal payloads.
 
-    Digests and ids alone are grouped, with partial aggregation; the join back meets AQE's skew handling.
+    Digests and ids alone are grouped, with partial aggregation, and payloads stay where they are while at most `broadcast_rows` distinct
+    payloads repeat; beyond that, rows meet the ids by digest and id, so that equal payloads don't share a task.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = df.withColumns({"_payload": payload, "_bytes": F.octet_length(payload).cast("long"), "_digest": F.sha1(payload)})
-    keep = df.select(F.col(id_col).alias("_i"), payload.alias("_p")).select("_i", F.octet_length("_p").alias("_n"), F.sha1("_p").alias("_digest")).filter(F.col("_n") >= least_bytes)
-    keep = keep.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"), F.max("_i").alias("_stays")).filter("_copies > 1").drop("_copies")
-    return rows.join(keep.hint("shuffle_hash"), "_digest", "left")
+    long = df.select(F.col(id_col).alias("_i"), payload.alias("_p")).select("_i", F.octet_length("_p").alias("_n"), F.sha1("_p").alias("_digest")).filter(F.col("_n") >= least_bytes)
+    keep = long.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"), F.max("_i").alias("_stays")).filter("_copies > 1").drop("_copies")
+    keep = cut(keep, "repeated-payloads")
+    if keep.count() <= broadcast_rows:
+        return rows.join(F.broadcast(keep), "_digest", "left")
+    again = long.join(keep, "_digest").select("_digest", "_i", "_stays").distinct()
+    return rows.join(again, (rows["_digest"] == again["_digest"]) & rows[id_col].eqNullSafe(again["_i"]), "left").drop(again["_digest"]).drop("_i")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -114,7 +122,7 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         for path in partition.files:
-            where, name = fs.FileSystem.from_uri(path)
+            where, name = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
             with where.open_input_file(name) as f:
                 yield from self._records(f, path)
 
@@ -156,7 +164,8 @@ class WarcReader(DataSourceReader):
                     need(after)
                     block = buffer[start - base : start - base + length]
                     if head.get("content-type", "").startswith("application/http"):
-                        block = block[block.find(b"\r\n\r\n") + 4 :]
+                        blank = block.find(b"\r\n\r\n")
+                        block = block[blank + 4 :] if blank >= 0 else b""
                     row = (*row[:-1], None if row[1] == "revisit" else block)
                 yield row
             at = after
@@ -193,11 +202,15 @@ class WarcSource(DataSource):
 
 
 def list_files(spark: SparkSession, path: str) -> list[list]:
-    """[path, bytes] of every data file under path, by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-    return [[x.getPath().toString().replace("file:/", "file:///", 1) if not x.getPath().toString().startswith("file://") and x.getPath().toString().startswith("file:/") else x.getPath().toString(), x.getLen()] for x in found if x.isFile() and not x.getPath().getName().startswith(("_", ".")) and x.getLen()]
+    """[path, bytes] of every data file under path, at any depth, by Spark's own file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        x = found.next()
+        name, parts = x.getPath().toString(), x.getPath().toString()[len(path.rstrip("/")) :].split("/")
+        if x.getLen() and not x.getPath().getName().startswith(("_", ".")) and not any(p.startswith(("_", ".")) for p in parts[:-1]):
+            out.append([re.sub(r"^file:/+", "file:///", name), x.getLen()])
+    return out
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int = 128 << 20) -> DataFrame:
