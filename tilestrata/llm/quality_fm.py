@@ -106,10 +106,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(*self.rows(words, at, stats, chars))[0], -30, 30)))
 
 
-def train(column, labels: np.ndarray, chars: np.ndarray | None, epochs: int = 15, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minibatch AdaGrad, classes weighted to be even; rows are shuffled by a fixed seed."""
+def train(words: np.ndarray, at: np.ndarray, stats: np.ndarray, labels: np.ndarray, chars: np.ndarray | None, epochs: int = 15, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minibatch AdaGrad on features(), classes weighted to be even; rows are shuffled by a fixed seed."""
     rng = np.random.default_rng(seed)
-    words, at, stats = features(column)
     values = stats if chars is None else np.column_stack((stats, chars))
     edges = np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(values) else np.zeros((values.shape[1], BINS - 1))
     size = WORDS + values.shape[1] * (BINS + 1)
@@ -150,17 +149,30 @@ def _chars(df: DataFrame, chars_col: str | None) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", sample_rows: int = 6000) -> Model:
-    """labels: (id, label). At most sample_rows rows and their texts' features reach the driver."""
-    spark = docs.sparkSession
+    """labels: (id, label). The features of at most sample_rows rows reach the driver: 2 ** 13 words and 16 statistics each at most, whatever the texts."""
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y is not null and _id is not null").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_y").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), _chars(docs, chars_col).alias("chars")).join(F.broadcast(picked), "_id").select("_y", "text", "chars", F.xxhash64("_id").alias("k")).toArrow()
-    rows = rows.sort_by([("k", "ascending"), ("_y", "ascending")])
-    return train(rows["text"], rows["_y"].to_numpy().astype(float), rows["chars"].to_numpy() if chars_col else None)
+    chars_col = chars_col if chars_col in docs.columns else None
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), _chars(docs, chars_col).alias("chars")).join(F.broadcast(picked), "_id").select("_y", "text", "chars", F.xxhash64("_id").alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at, stats = features(b.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("_y"), lists, pa.array(list(stats), pa.list_(pa.float64())), b.column("chars")], names=["k", "y", "words", "stats", "chars"])
+
+    # an id that repeats among the documents brings several rows for its label, so the bound is applied again
+    got = rows.mapInArrow(run, "k long, y int, words array<int>, stats array<double>, chars double").orderBy("k", "y", "words", "stats").limit(sample_rows).toArrow().combine_chunks()
+    words = got["words"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    at = np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int64)
+    stats = np.array(got["stats"].to_pylist(), float).reshape(-1, STATS)
+    return train(words.flatten().to_numpy(zero_copy_only=False).astype(np.int32), at, stats, got["y"].to_numpy().astype(float), got["chars"].to_numpy() if chars_col else None)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", chars_col: str | None = "n_chars", columns: list[Column] | None = None) -> DataFrame:
-    """columns of df (all by default) with quality_score, 0 to 1."""
-    shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns if c != "quality_score"]), F.col(text_col).cast("string").alias("_fm_text"), _chars(df, chars_col).alias("_fm_chars"))
+    """columns of df (all by default) with quality_score, 0 to 1. A model that learned from chars_col takes 0 characters where df has no such column."""
+    learned = len(model.edges) > STATS
+    chars_col = chars_col if chars_col in df.columns else None
+    shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns if c != "quality_score"]), F.col(text_col).cast("string").alias("_fm_text"), F.coalesce(_chars(df, chars_col), F.lit(0.0)).alias("_fm_chars"))
     send = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +180,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", chars_col: str
             for lo in range(0, big.num_rows, 2000):
                 b = big.slice(lo, 2000)
                 k = b.num_columns - 2
-                s = send.value.predict(b.column(k), b.column(k + 1).to_numpy(zero_copy_only=False) if chars_col else None)
+                s = send.value.predict(b.column(k), b.column(k + 1).to_numpy(zero_copy_only=False) if learned else None)
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(k)], pa.array(s)], names=[*b.schema.names[:k], "quality_score"])
 
     return shown.mapInArrow(run, shown.drop("_fm_text", "_fm_chars").schema.add("quality_score", "double"))
