@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 Fit: a bounded sample of labelled text per language (`sample_docs` documents with the
-smallest hashed ids, `doc_symbols` symbols of each) becomes a suffix automaton; letters
+smallest hashed ids, `doc_symbols` symbols of each, from a hashed place of the whole text) becomes a suffix automaton; letters
 are lower-cased and every run of other characters is one separator symbol.
 
 Predict: the whole text is parsed greedily into the longest phrases that occur in a language's
@@ -36,8 +36,6 @@ from pyspark.sql.window import Window
 UNKNOWN = "und"
 SEGMENT = 1024
 SHARPNESS = 6.0
-#: A longer phrase counts once for every so many symbols, so that a passage which a sample happens to hold doesn't decide.
-LONGEST = 10
 #: Symbols parsed in lockstep at once.
 BLOCK = 1 << 20
 #: Most letters of the dense tables, and most cells; transitions by other letters are hashed, with the same results.
@@ -190,7 +188,6 @@ class Tables:
         lanes, langs = len(start), len(self.langs)
         state = np.repeat(np.array(self.root, np.int32)[:, None], lanes, axis=1)
         count = np.ones((langs, lanes), np.int32)
-        since = np.zeros((langs, lanes), np.int32)
         for t in range(int(length[0]) if lanes else 0):
             k = int(alive[t])
             now = symbols[start[:k] + t]
@@ -198,12 +195,7 @@ class Tables:
             v = self.table[state[:, :k] * np.int32(self.width) + np.where(now < self.width, now, 0) if len(rare) else state[:, :k] * np.int32(self.width) + now]
             if len(rare):
                 v[:, rare] = self._rare(state[:, rare], now[rare])
-            new = v & 1
-            run = since[:, :k]
-            run += 1
-            new |= run > LONGEST
-            count[:, :k] += new
-            run *= 1 - new
+            count[:, :k] += v & 1
             state[:, :k] = v >> 1
         out = np.zeros((n, langs))
         for j in range(langs):
@@ -219,9 +211,9 @@ class Tables:
         out[:, some] = np.where(to >= 0, to, out[:, some])
         return out
 
-    def bits_per_symbol(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(bits by text and language, letters of each text)."""
-        rates, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+    def bits_per_symbol(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits by text and language, letters of each text, symbols of each text)."""
+        rates, letters, symbols = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
@@ -242,9 +234,10 @@ class Tables:
             offsets = before[ends]
             letters[lo:hi] = np.diff(np.concatenate(([0], np.cumsum(letter)))[ends])
             found = self.phrases(codes[keep], offsets)
-            rates[lo:hi] = found * np.array(self.bits) / np.maximum(1, np.diff(offsets))[:, None]
+            symbols[lo:hi] = np.maximum(1, np.diff(offsets))
+            rates[lo:hi] = found * np.array(self.bits) / symbols[lo:hi, None]
             lo = hi
-        return rates, letters
+        return rates, letters, symbols
 
 
 def tables(samples: tuple[tuple[str, str], ...]) -> Tables:
@@ -268,10 +261,12 @@ def blocks(samples: tuple[tuple[str, str], ...]) -> list[tuple[tuple[str, str],
     return [tuple(b) for b in out]
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, doc_symbols: int = 600) -> tuple[tuple[str, str], ...]:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 192, doc_symbols: int = 1000) -> tuple[tuple[str, str], ...]:
     """(language, sample text) of every label; at most sample_docs * doc_symbols symbols a label reach the driver."""
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    rows = rows.select("lang", "h", F.substring("text", 1, 4 * doc_symbols).alias("t"))
+    # several times the symbols wanted, since runs of other characters shrink to one
+    place = F.pmod(F.col("h"), F.greatest(F.length("text") - 4 * doc_symbols, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", "h", F.col("text").substr(place, F.lit(4 * doc_symbols)).alias("t"))
     by = Window.partitionBy("lang").orderBy("h", "t")
     sample = rows.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= sample_docs).select("lang", "k", "t")
 
@@ -292,27 +287,29 @@ class Verdict:
 
     def __init__(self, n: int) -> None:
         self.pred, self.least, self.mass, self.letters = np.full(n, UNKNOWN, object), np.full(n, np.inf), np.zeros(n), np.zeros(n, np.int64)
+        self.excess = np.zeros(n)
 
     def add(self, known: Tables, texts: list[str | None]) -> None:
-        rates, self.letters = known.bits_per_symbol(texts)
+        rates, self.letters, symbols = known.bits_per_symbol(texts)
         best = rates.argmin(axis=1)
         found = rates[np.arange(len(texts)), best]
         least = np.minimum(self.least, found)
         self.mass = self.mass * np.exp2(-SHARPNESS * (self.least - least)) + np.exp2(-SHARPNESS * (rates - least[:, None])).sum(axis=1)
+        self.excess = np.where(found < self.least, found - np.array(known.bits)[best] / symbols, self.excess)
         self.pred = np.where(found < self.least, np.array(known.langs, object)[best], self.pred)
         self.least = least
 
     def columns(self) -> list[pa.Array]:
         some = self.letters > 0
-        pred, score, bits = np.where(some, self.pred, UNKNOWN), np.zeros(len(some)), np.zeros(len(some))
-        score[some], bits[some] = 1 / self.mass[some], self.least[some]
-        return [pa.array(pred, pa.string()), pa.array(score), pa.array(bits)]
+        pred = np.where(some, self.pred, UNKNOWN)
+        score, bits, excess = (np.where(some, x, 0.0) for x in (1 / np.maximum(self.mass, 1e-300), self.least, self.excess))
+        return [pa.array(pred, pa.string()), pa.array(score), pa.array(bits), pa.array(excess)]
 
 
 def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", columns: list[Column] | None = None) -> DataFrame:
-    """columns of df (all by default), with lang_pred, score and bits (bits a symbol of the winner)."""
+    """columns of df (all by default), with lang_pred, score, bits (bits a symbol of the winner) and excess (bits without the first phrase, which no text can save)."""
     taken = set(df.columns)
-    new = {c: c if c not in taken or columns is not None else f"_{c}" for c in ("lang_pred", "score", "bits")}
+    new = {c: c if c not in taken or columns is not None else f"_{c}" for c in ("lang_pred", "score", "bits", "excess")}
     shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns]), F.col(text_col).cast("string").alias("_langid_text"))
     send = df.sparkSession.sparkContext.broadcast(blocks(samples))
     names = list(new.values())
@@ -354,7 +351,7 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str
                 yield judged(b, verdict)
 
     schema = shown.drop("_langid_text").schema
-    for name, kind in zip(names, ("string", "double", "double"), strict=True):
+    for name, kind in zip(names, ("string", "double", "double", "double"), strict=True):
         schema = schema.add(name, kind)
     return shown.mapInArrow(run, schema)
 
@@ -366,14 +363,14 @@ def letter_bits(sample: str) -> float:
 
 
 def keep_known(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", most_bits: float = 8.0) -> DataFrame:
-    """df without texts of no language: `und`, or more bits a symbol than the language explains.
+    """df without texts of no language: `und`, or more excess bits a symbol than the language explains, so that short texts aren't held against long ones.
 
     most_bits holds for alphabets of up to 32 letters; it is more by what a symbol of the language's sample takes beyond
     LETTER_BITS, up to three quarters of what a letter costs that the sample lacks.
     """
     judged = identify(df, samples, text_col)
-    pred, _, bits = judged.columns[-3:]
+    pred, _, _, excess = judged.columns[-4:]
     limits = {lang: min(most_bits + letter_bits(text) - LETTER_BITS, 0.75 * math.log2(max(2, len(text)))) for lang, text in samples}
     wider = [F.lit(x) for lang, most in limits.items() if most > most_bits for x in (lang, most)]
     limit = F.coalesce(F.create_map(*wider)[F.col(pred)], F.lit(most_bits)) if wider else F.lit(most_bits)
-    return judged.filter((F.col(pred) != UNKNOWN) & (F.col(bits) <= limit)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return judged.filter((F.col(pred) != UNKNOWN) & (F.col(excess) <= limit)).select(*[F.col(f"`{c}`") for c in df.columns])
