@@ -98,6 +98,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold a benchmark window; all columns of docs."""
+    """docs without those that hold a benchmark window; all columns of docs. An id that repeats goes with any of its texts; rows without an id go by their text."""
     bad = decontaminate(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    out = docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    mark = lambda df: F.md5(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    nameless = docs.filter(F.col(id_col).isNull())
+    if nameless.isEmpty():
+        return out
+    nameless = nameless.select(mark(docs).alias("_mark"), F.col(text_col).alias(text_col)).dropDuplicates(["_mark"])
+    bad = decontaminate(nameless, items, "_mark", text_col, **options).filter("contaminated").select(F.col("_mark").alias("_bad"))
+    return out.join(bad, docs[id_col].isNull() & (mark(docs) == bad["_bad"]), "left_anti")

@@ -252,10 +252,10 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with arrow_rows(df.sparkSession, BATCH_ROWS):
         rows = cut(_near_components(df, id_col, text_col, size, percent), "near-copies")
     gone = rows.filter("id != component_id").select(F.col("id").alias("_gone"))
-    out = df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    out = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
     nameless = rows.filter("id is null and n > 0")
     if nameless.isEmpty():
         return out
     stays = nameless.filter("component_id is null").groupBy("component").agg(F.min("mark").alias("mark"))
     nameless = nameless.join(stays, ["component", "mark"], "left_anti").select(F.col("mark").alias("_gone")).distinct()
-    return out.join(nameless, df[id_col].isNull() & (_mark(df[text_col]) == F.col("_gone")), "left_anti")
+    return out.join(nameless, df[id_col].isNull() & (_mark(df[text_col]) == nameless["_gone"]), "left_anti")

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is taken.
+    Only where that is unset and everything runs on one machine (tests) a temporary folder is taken.
     """
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tilestrata-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
