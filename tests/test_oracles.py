@@ -7,11 +7,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tilestrata.oracles import oracle_sql
-from tilestrata.queries import queries
+from tilestrata import command_queries, oracles
+from tilestrata import queries as raster_queries
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = oracles.oracle_sql() | command_queries.oracle_sql()
+QUERIES = raster_queries.queries() | command_queries.queries()
 
 
 @pytest.fixture(scope="module")
@@ -30,22 +31,8 @@ def rows(columns, data):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows(df.columns, df.collect())
     rel = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert got == rows(rel.columns, rel.fetchall())
-
-
-@pytest.mark.parametrize("name", ["smudge", "supersample", "bezier_warp", "perspective", "remove_matte", "brush_stroke", "palette_two_means"])
-def test_query_without_sql_runs(spark, name):
-    assert queries()[name](spark, SF).count() > 0
-
-
-def test_despeckle_across_tiles(spark):
-    from tilestrata.operators.region import despeckle
-
-    speck = [(255, 255), (256, 256)]
-    large = [(x, 0) for x in range(250, 262)]
-    sel = spark.createDataFrame([(*p, 1.0) for p in speck + large], "x int, y int, cov double")
-    assert sorted((r["x"], r["y"]) for r in despeckle(sel, 5).collect()) == sorted(large)

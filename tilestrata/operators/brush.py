@@ -18,7 +18,7 @@ from tilestrata.operators.raster import RGBA, named
 
 @dataclass(frozen=True)
 class Brush:
-    """size in pixels; spacing as a share of size; min_* as shares at no pressure."""
+    """size in pixels; spacing as a share of size; pressure scales size and opacity where asked."""
 
     size: float = 20.0
     hardness: float = 1.0
@@ -26,11 +26,16 @@ class Brush:
     flow: float = 1.0
     spacing: float = 0.25
     size_pressure: bool = False
+    opacity_pressure: bool = False
 
     @property
     def step(self) -> float:
         return max(self.size * self.spacing, 0.5)
 
+    def share(self, of: str) -> Column:
+        """What pressure leaves of the size or the opacity."""
+        return F.least(F.greatest(F.col("pressure"), F.lit(0.0)), F.lit(1.0)) if getattr(self, of) else F.lit(1.0)
+
 
 def falloff(t: Column, hardness: float) -> Column:
     """Coverage at a share t of the radius."""
@@ -64,28 +69,29 @@ def stroke_stamps(samples: DataFrame, brush: Brush) -> DataFrame:
 
 def stamp_cover(stamps: DataFrame, brush: Brush) -> DataFrame:
     """(…, x, y, cov) of every place under each stamp (cx, cy, pressure)."""
-    radius = F.lit(brush.size / 2) * (F.col("pressure") if brush.size_pressure else F.lit(1.0))
+    radius = F.lit(brush.size / 2) * brush.share("size_pressure")
     rows = stamps.withColumn("_r", radius).filter("_r > 0")
     span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("_r")).cast("int"), F.ceil(F.col(c) + F.col("_r")).cast("int")))
     rows = rows.withColumn("x", span("cx")).withColumn("y", span("cy"))
     dx, dy = F.col("x") + 0.5 - F.col("cx"), F.col("y") + 0.5 - F.col("cy")
     t = F.sqrt(dx * dx + dy * dy) / F.col("_r")
-    return rows.withColumn("cov", falloff(t, brush.hardness) * (brush.opacity * brush.flow)).filter((t < 1) & (F.col("cov") > 0)).drop("_r")
+    return rows.withColumn("cov", falloff(t, brush.hardness) * (brush.opacity * brush.flow) * brush.share("opacity_pressure")).filter((t < 1) & (F.col("cov") > 0)).drop("_r")
 
 
 def paint_stamps(px: DataFrame, covered: DataFrame, colour: tuple[float, ...], order: tuple[str, ...] = ("n",), erase: bool = False) -> DataFrame:
     """px after the covers (x, y, cov) in order: a fold for each place, since blending doesn't commute."""
     entry = F.struct(*[F.col(o) for o in order], "cov")
+    if erase:  # erasing commutes: what is left is a product
+        left = covered.groupBy("x", "y").agg(F.product(1.0 - F.col("cov")).alias("left"))
+        out = px.select("x", "y", *RGBA).join(left, ["x", "y"], "left")
+        return out.withColumn("a", F.col("a") * F.coalesce("left", F.lit(1.0))).drop("left").filter("a > 0")
     stack = covered.groupBy("x", "y").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     old = stack.join(px.select("x", "y", *RGBA), ["x", "y"], "left").select("x", "y", "e", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in RGBA])
     start = F.struct(*[F.col(c).cast("double").alias(c) for c in RGBA])
-    if erase:
-        step = lambda acc, e: F.struct(acc["r"].alias("r"), acc["g"].alias("g"), acc["b"].alias("b"), (acc["a"] * (1.0 - e["cov"])).alias("a"))
-    else:
-        src = lambda e: [*[F.lit(float(c)) for c in colour[:3]], e["cov"] * float(colour[3])]
-        step = lambda acc, e: F.struct(*named(blend_pixel("normal", [acc[c] for c in RGBA], src(e))))
+    src = lambda e: [*[F.lit(float(c)) for c in colour[:3]], e["cov"] * float(colour[3])]
+    step = lambda acc, e: F.struct(*named(blend_pixel("normal", [acc[c] for c in RGBA], src(e))))
     new = old.select("x", "y", F.aggregate("e", start, step).alias("p")).select("x", "y", *[F.col(f"p.{c}").alias(c) for c in RGBA]).filter("a > 0")
-    return px.select("x", "y", *RGBA).join(covered.select("x", "y").distinct(), ["x", "y"], "left_anti").unionByName(new)
+    return px.select("x", "y", *RGBA).join(stack.select("x", "y"), ["x", "y"], "left_anti").unionByName(new)
 
 
 def finger_cover(stamps: DataFrame, radius: float, hardness: float) -> DataFrame:
@@ -114,31 +120,62 @@ def catmull_rom(samples: DataFrame, steps: int) -> DataFrame:
     return rows.select("stroke_id", "seq", "k", at("px"), at("py"))
 
 
-def smudge(px: DataFrame, samples: DataFrame, radius: int, strength: float) -> DataFrame:
-    """Edits (stroke_id, x, y, r, g, b, a) of a finger that carries colour along; sequential within a stroke.
+def segment_stamps(samples: DataFrame, step: float) -> DataFrame:
+    """(stroke_id, n, cx, cy, pressure) of stamps that start anew at each sample; a stroke of one sample is one stamp."""
+    w = Window.partitionBy("stroke_id").orderBy("seq")
+    rows = samples
+    for c in ("px", "py", "pressure"):
+        rows = rows.withColumn("_" + c, F.lead(c).over(w))
+    rows = rows.withColumn("_only", F.count(F.lit(1)).over(Window.partitionBy("stroke_id")) == 1)
+    long = F.sqrt((F.col("_px") - F.col("px")) * (F.col("_px") - F.col("px")) + (F.col("_py") - F.col("py")) * (F.col("_py") - F.col("py")))
+    rows = rows.withColumn("_l", F.when(F.col("_only"), 0.0).otherwise(long)).filter("_only or _l > 0")
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_l") / step).cast("int"))))
+    t = F.when(F.col("_only"), 0.0).otherwise(F.col("_k") * step / F.nullif(F.col("_l"), F.lit(0.0)))
+    at = lambda c: F.when(F.col("_only"), F.col(c)).otherwise(F.col(c) + (F.col("_" + c) - F.col(c)) * t)
+    n = F.row_number().over(Window.partitionBy("stroke_id").orderBy("seq", "_k"))
+    return rows.select("stroke_id", n.alias("n"), at("px").alias("cx"), at("py").alias("cy"), at("pressure").alias("pressure"))
+
+
+def carried_colour(stamps: DataFrame, strength: float) -> DataFrame:
+    """stamps (stroke_id, n, ..., r, g, b, a) with the colour carried along: it starts as the first stamp's and each stamp takes `strength` of what is under it.
+
+    A running fold, so a stroke is one sequential group of slim rows.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        under = pdf[list(RGBA)].to_numpy(float)
+        now = under[0].copy()
+        for k in range(len(under)):
+            now = now + (under[k] - now) * strength
+            under[k] = now
+        return pdf.assign(**{c: under[:, i] for i, c in enumerate(RGBA)})
+
+    return stamps.groupBy("stroke_id").applyInPandas(run, stamps.schema)
 
-    A stroke gets only the pixels within radius of its own samples.
+
+def smudge(px: DataFrame, samples: DataFrame, brush: Brush, strength: float) -> DataFrame:
+    """Edits (stroke_id, x, y, r, g, b, a) of a finger that carries colour from the untouched pixels along.
+
+    At each place the last stamp's colour counts, mixed in once by the greatest falloff times strength.
     """
-    near = samples.select("stroke_id", "px", "py").withColumn("x", F.explode(F.sequence(F.floor("px").cast("int") - radius, F.floor("px").cast("int") + radius))).withColumn("y", F.explode(F.sequence(F.floor("py").cast("int") - radius, F.floor("py").cast("int") + radius)))
-    own = near.select(F.col("stroke_id").alias("stroke_id"), "x", "y").distinct().join(px.select("x", "y", *RGBA), ["x", "y"])
-
-    def run(key, pix: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
-        image = {(int(v[0]), int(v[1])): np.array(v[2:], float) for v in pix[["x", "y", *RGBA]].to_numpy()}
-        clear, edits, carried = np.zeros(4), {}, None
-        for cx, cy in path.sort_values("seq")[["px", "py"]].to_numpy():
-            cx, cy = math.floor(cx), math.floor(cy)
-            here = image.get((cx, cy), clear)
-            carried = here if carried is None else carried + (here - carried) * (1 - strength)
-            for x in range(cx - radius, cx + radius + 1):
-                for y in range(cy - radius, cy + radius + 1):
-                    t = math.hypot(x - cx, y - cy) / (radius + 1)
-                    if t < 1:
-                        old = image.get((x, y), clear)
-                        image[x, y] = edits[x, y] = old + (carried - old) * strength * (1 - t)
-        return pd.DataFrame([(key[0], x, y, *v) for (x, y), v in sorted(edits.items())], columns=["stroke_id", "x", "y", *RGBA])
-
-    path = samples.select(*[F.col(c).alias(c) for c in ("stroke_id", "seq", "px", "py")])
-    return own.groupBy(own["stroke_id"]).cogroup(path.groupBy(path["stroke_id"])).applyInPandas(run, "stroke_id long, x int, y int, r double, g double, b double, a double")
+    at = segment_stamps(samples, brush.step)
+    whole = lambda c: F.when(F.col(c) >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("int")
+    under = at.withColumns({"x": whole("cx"), "y": whole("cy")}).join(px.select("x", "y", *RGBA), ["x", "y"], "left")
+    under = under.select("stroke_id", "n", "cx", "cy", "pressure", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in RGBA])
+    stamps = carried_colour(under, min(1.0, max(0.0, strength)))
+    radius = F.lit(brush.size / 2) * brush.share("size_pressure")
+    rows = stamps.withColumn("_r", radius).filter("_r > 0")
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("_r")).cast("int"), F.ceil(F.col(c) + F.col("_r")).cast("int")))
+    rows = rows.withColumn("x", span("cx")).withColumn("y", span("cy"))
+    dx, dy = F.col("x") + 0.5 - F.col("cx"), F.col("y") + 0.5 - F.col("cy")
+    rows = rows.withColumn("_t", F.sqrt(dx * dx + dy * dy) / F.col("_r")).filter("_t < 1")
+    cover = (1.0 - F.col("_t")) * (1.0 - 0.5 * brush.hardness * F.col("_t")) * brush.opacity * brush.flow * brush.share("opacity_pressure")
+    hit = rows.groupBy("stroke_id", "x", "y").agg(F.max(F.least(cover, F.lit(1.0))).alias("cov"), F.max_by(F.struct(*RGBA), "n").alias("s")).filter("cov > 0")
+    old = px.select("x", "y", *[F.col(c).alias("o" + c) for c in RGBA])
+    out = hit.join(old, ["x", "y"], "left")
+    k = F.col("cov") * min(1.0, max(0.0, strength))
+    return out.select("stroke_id", "x", "y", *[(F.coalesce(F.col("o" + c), F.lit(0.0)) * (1.0 - k) + F.col("s." + c) * k).alias(c) for c in RGBA])
 
 
 def simplify_path(samples: DataFrame, tolerance: float) -> DataFrame:
@@ -179,7 +216,7 @@ def scanline_fill(edges: DataFrame) -> DataFrame:
     cross = e.select("path", "y", (F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))).alias("cx"))
     row = Window.partitionBy("path", "y").orderBy("cx")
     span = cross.withColumns({"k": F.row_number().over(row), "end": F.lead("cx").over(row)}).filter("k % 2 = 1 and end is not null")
-    span = span.select("path", "y", F.ceil(F.col("cx") - 0.5).cast("int").alias("s"), F.ceil(F.col("end") - 1.0).cast("int").alias("e"))
+    span = span.select("path", "y", F.ceil(F.col("cx")).cast("int").alias("s"), F.ceil(F.col("end") - 1.0).cast("int").alias("e"))
     return span.select("path", F.explode(F.sequence("s", F.greatest("s", "e"))).alias("x"), "y")
 
 

@@ -7,17 +7,18 @@ only tile-border contacts are joined, so rounds grow with tiles crossed, not pix
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilestrata.functions.blend import blend_pixel
 from tilestrata.functions.color import limit, linear_distance_sq, perceptual_distance_sq
 from tilestrata.operators.raster import RGBA, named, pixel
-from tilestrata.operators.tiles import Rect, read_rect, tile_of
+from tilestrata.operators.tiles import Rect, grid, read_rect, stored, tile_of
 
 
 def _seed(px: DataFrame, x: int, y: int) -> list[float]:
@@ -35,24 +36,30 @@ def select_by_color(px: DataFrame, colour: list[float], tolerance: float, rect:
     return read_rect(px, rect).filter(d <= tolerance * tolerance).select("x", "y", F.lit(1.0).alias("cov"))
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Four-connected labels inside a tile, by repeated minimum over neighbours along runs."""
-    x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
-    w, h = int(pdf["x"].max()) - x0 + 1, int(pdf["y"].max()) - y0 + 1
-    on = np.zeros((h + 2, w + 2), bool)
-    at = pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1
+FOUR = ((0, 1), (0, -1), (1, 0), (-1, 0))
+EIGHT = (*FOUR, (1, 1), (1, -1), (-1, 1), (-1, -1))
+
+
+def labels(x: np.ndarray, y: np.ndarray, steps: tuple[tuple[int, int], ...] = FOUR) -> np.ndarray:
+    """Labels of places, equal where steps connect them, by repeated minimum over neighbours."""
+    x0, y0 = int(x.min()), int(y.min())
+    on = np.zeros((int(y.max()) - y0 + 3, int(x.max()) - x0 + 3), bool)
+    at = y - y0 + 1, x - x0 + 1
     on[at] = True
     label = np.where(on, np.arange(on.size).reshape(on.shape), on.size)
     while True:
-        new = np.minimum.reduce([label, *(np.roll(label, s, a) for s, a in ((1, 0), (-1, 0), (1, 1), (-1, 1)))])
+        new = np.minimum.reduce([label, *(np.roll(label, s, (0, 1)) for s in steps)])
         new = np.where(on, new, on.size)
         flat = np.append(new.ravel(), on.size)
         new = np.where(on, flat[flat[new]], on.size)  # follow labels to theirs
         if (new == label).all():
-            break
+            return label[at].astype(np.int64)
         label = new
+
+
+def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     first = pdf[["x", "y"]].iloc[0]
-    return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "tx": int(first["x"]) >> 8, "ty": int(first["y"]) >> 8, "part": label[at].astype(np.int64)})
+    return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "tx": int(first["x"]) >> 8, "ty": int(first["y"]) >> 8, "part": labels(pdf["x"].to_numpy(), pdf["y"].to_numpy())})
 
 
 def component_of(places: DataFrame, x: int, y: int) -> DataFrame:
@@ -107,37 +114,95 @@ def bucket_fill(px: DataFrame, x: int, y: int, colour: tuple[float, ...], tolera
 
 
 def border(px: DataFrame, rect: Rect) -> DataFrame:
-    """Dense pixels of a rectangle's border."""
+    """Dense pixels of a rectangle's border with the number of border lines they lie on (corners count twice)."""
     inner = rect.shrink(1)
     dense = read_rect(px, rect)
-    return dense if inner.empty else dense.filter(~inner.contains())
+    dense = dense if inner.empty else dense.filter(~inner.contains())
+    lines = [F.col("x") == rect.x, F.col("x") == rect.right - 1, F.col("y") == rect.y, F.col("y") == rect.bottom - 1]
+    return dense.withColumn("n", sum((c.cast("int") for c in lines), F.lit(0)))
 
 
-def detect_solid(px: DataFrame, rect: Rect, tolerance: float = 0.1, share: float = 0.9, rounds: int = 4) -> DataFrame:
+def _mean(n: Column) -> list[Column]:
+    """Weighted means of r, g and b; black where nothing is left."""
+    return [F.coalesce(F.sum(F.col(c) * n) / F.nullif(F.sum(n), F.lit(0)), F.lit(0.0)).alias("m" + c) for c in "rgb"]
+
+
+def _apart(names: str, colour: list[Column]) -> Column:
+    return sum(((F.col(c) - m) * (F.col(c) - m) for c, m in zip(names, colour, strict=True)), F.lit(0.0))
+
+
+def detect_solid(px: DataFrame, rect: Rect, tolerance: float = 0.2, share: float = 0.9, rounds: int = 4) -> DataFrame:
     """One row (r, g, b, covered, solid): the border's mean colour, trimmed in rounds to what lies within tolerance (linear RGB)."""
-    edge = border(px, rect).select("r", "g", "b")
-    mean = edge.agg(*[F.avg(c).alias("m" + c) for c in "rgb"])
-    dist = sum(((F.col(c) - F.col("m" + c)) * (F.col(c) - F.col("m" + c)) for c in "rgb"), F.lit(0.0))
+    edge = border(px, rect).select("r", "g", "b", "n")
+    dist = _apart("rgb", [F.col("m" + c) for c in "rgb"])
+    mean = edge.agg(*_mean(F.col("n")))
     for _ in range(rounds):  # one-row means meet every border pixel
-        near = edge.join(F.broadcast(mean)).filter(dist <= tolerance * tolerance)
-        mean = near.agg(*[F.avg(c).alias("m" + c) for c in "rgb"])
-    out = edge.join(F.broadcast(mean)).agg(*[F.max("m" + c).alias(c) for c in "rgb"], F.avg((dist <= tolerance * tolerance).cast("double")).alias("covered"))
+        mean = edge.join(F.broadcast(mean)).agg(*_mean(F.when(dist <= tolerance * tolerance, F.col("n")).otherwise(0)))
+    near = F.sum(F.when(dist <= tolerance * tolerance, F.col("n")).otherwise(0))
+    out = edge.join(F.broadcast(mean)).agg(*[F.max("m" + c).alias(c) for c in "rgb"], (near / F.sum("n")).alias("covered"))
     return out.withColumn("solid", F.coalesce(F.col("covered") >= share, F.lit(False)))
 
 
-def two_means(rows: DataFrame, rounds: int = 8) -> DataFrame:
-    """Two mean colours (k, r, g, b, n) of rows (r, g, b): starts at the darkest and lightest, ties go to cluster 0."""
-    l = F.col("r") * 0.2126 + F.col("g") * 0.7152 + F.col("b") * 0.0722
-    p = F.struct("r", "g", "b")
-    ends = rows.agg(F.min_by(p, F.struct(l, "r", "g", "b")).alias("c0"), F.max_by(p, F.struct(l, "r", "g", "b")).alias("c1")).first()
-    centre = [list(ends["c0"]), list(ends["c1"])] if ends["c0"] else []
-    for _ in range(rounds if centre else 0):
-        d = [sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("rgb", m, strict=True)), F.lit(0.0)) for m in centre]
+def two_means(rows: DataFrame, rounds: int = 8, weight: str | None = None) -> DataFrame:
+    """Two mean colours (k, r, g, b, n) of rows (r, g, b): starts at the least and the greatest r + g + b, ties go to cluster 0;
+    a cluster that loses all its rows keeps its colour, with n = 0."""
+    n = F.col(weight) if weight else F.lit(1)
+    rows = rows.select("r", "g", "b", n.cast("long").alias("n"))
+    p, key = F.struct("r", "g", "b"), F.struct(F.col("r") + F.col("g") + F.col("b"), "r", "g", "b")
+    ends = rows.agg(F.min_by(p, key).alias("c0"), F.max_by(p, key).alias("c1")).first()
+    if not ends["c0"]:
+        return rows.limit(0).select(F.lit(0).alias("k"), "r", "g", "b", "n")
+    centre = [[*ends["c0"], 0], [*ends["c1"], 0]]
+    for _ in range(rounds):
+        d = [_apart("rgb", [F.lit(v) for v in m[:3]]) for m in centre]
         own = rows.withColumn("k", F.when(d[0] <= d[1], 0).otherwise(1))
-        got = own.groupBy("k").agg(*[F.avg(c).alias(c) for c in "rgb"], F.count(F.lit(1)).alias("n"))
+        got = own.groupBy("k").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"], F.sum("n").alias("n"))
+        centre = [[*c[:3], 0] for c in centre]
         for r in got.collect():  # two rows
-            centre[r["k"]] = [r["r"], r["g"], r["b"]]
-    return got if centre else rows.limit(0).select(F.lit(0).alias("k"), "r", "g", "b", F.lit(0).cast("long").alias("n"))
+            centre[r["k"]] = [r["r"], r["g"], r["b"], r["n"]]
+    return rows.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(centre)], "k int, r double, g double, b double, n long")
+
+
+def detect_checker(px: DataFrame, rect: Rect, tolerance: float = 0.2, share: float = 0.95) -> dict | None:
+    """Colours (even, odd), cell size and origin of a checkerboard along the border, or None. Border lines and counts only reach the driver as one row each."""
+    edge = border(px, rect).cache()
+    try:
+        c = [[r["r"], r["g"], r["b"]] for r in two_means(edge, weight="n").orderBy("k").collect()]
+        if len(c) < 2 or sum((a - b) ** 2 for a, b in zip(*c, strict=True)) <= tolerance * tolerance:
+            return None
+        kind = F.when(_apart("rgb", [F.lit(v) for v in c[0]]) <= _apart("rgb", [F.lit(v) for v in c[1]]), 0).otherwise(1)
+        lines = edge.filter(F.col("y") == rect.y).select(F.lit("x").alias("line"), F.col("x").alias("at"), kind.alias("kind"))
+        lines = lines.unionByName(edge.filter(F.col("x") == rect.x).select(F.lit("y").alias("line"), F.col("y").alias("at"), kind.alias("kind")))
+        turns = transitions(lines)
+        first = {r["line"]: r["at"] for r in turns.groupBy("line").agg(F.min("at").alias("at")).collect()}
+        gaps = turns.filter("gap is not null").groupBy("gap").count().agg(F.max_by("gap", F.struct("count", -F.col("gap"))).alias("gap")).first()["gap"]
+        if gaps is None or len(first) < 2:
+            return None
+        even = _even(first["x"], first["y"], gaps)
+        votes = edge.agg(F.sum(F.when(even == (kind == 0), F.col("n")).otherwise(-F.col("n"))).alias("v")).first()["v"]
+        key = {"even": tuple(c[0] if votes >= 0 else c[1]), "odd": tuple(c[1] if votes >= 0 else c[0]), "cell": int(gaps), "x": first["x"], "y": first["y"]}
+        ok = edge.agg((F.sum(F.when(_apart("rgb", key_colour(key)) <= tolerance * tolerance, F.col("n")).otherwise(0)) / F.sum("n")).alias("s")).first()["s"]
+        return key if ok >= share else None
+    finally:
+        edge.unpersist()
+
+
+def transitions(lines: DataFrame) -> DataFrame:
+    """(line, at, gap) where kind differs from the place before on the line; gap: how far the change before lies."""
+    w = Window.partitionBy("line").orderBy("at")
+    turns = lines.withColumn("before", F.lag("kind").over(w)).filter("before <> kind").select("line", "at")
+    return turns.withColumn("gap", F.col("at") - F.lag("at").over(w))
+
+
+def _even(x: int, y: int, cell: int) -> Column:
+    return F.pmod(F.floor((F.col("x") - x) / cell) + F.floor((F.col("y") - y) / cell), F.lit(2)) == 0
+
+
+def key_colour(key: dict | tuple[float, ...]) -> list[Column]:
+    """The matte's colour at (x, y): a solid one or a checkerboard's."""
+    if isinstance(key, tuple):
+        return [F.lit(float(v)) for v in key[:3]]
+    return [F.when(_even(key["x"], key["y"], key["cell"]), float(a)).otherwise(float(b)) for a, b in zip(key["even"], key["odd"], strict=True)]
 
 
 def unmix(px: list[Column], matte: tuple[float, ...], lo: float, hi: float) -> list[Column]:
@@ -148,60 +213,94 @@ def unmix(px: list[Column], matte: tuple[float, ...], lo: float, hi: float) -> l
     return [*out, px[3] * cov]
 
 
-def despeckle(sel: DataFrame, most: int = 64) -> DataFrame:
-    """sel without eight-connected specks of at most `most` places.
+def unmix_key(px: list[Column], key: list[Column]) -> list[Column]:
+    """The pixel that gives px over the key's colour: the largest share that any channel needs; what the key can't explain stays."""
+
+    def share(p: Column, k: Column) -> Column:
+        return F.when((p < k) & (k > 0), (k - p) / F.nullif(k, F.lit(0.0))).when((p > k) & (k < 1), (p - k) / F.nullif(1.0 - k, F.lit(0.0))).otherwise(0.0)
+
+    a = limit(F.greatest(*[share(p, k) for p, k in zip(px[:3], key, strict=True)]))
+    far = sum(((p - k) * (p - k) for p, k in zip(px[:3], key, strict=True)), F.lit(0.0)) > EPSILON
+    out = [F.when(a > 0, (p - k) / F.nullif(a, F.lit(0.0)) + k) for p, k in zip(px[:3], key, strict=True)]
+    return [*[o.otherwise(F.when(far, p).otherwise(0.0)) for o, p in zip(out, px[:3], strict=True)], F.when(a > 0, px[3] * a).otherwise(F.when(far, px[3]).otherwise(0.0))]
 
-    A speck reaches at most `most` places far, so each tile decides with a halo of that width.
+
+#: Fixed values of matte removal.
+SPECK, SPECK_TOLERANCE, OPAQUE, RAMP, EPSILON = 64, 1.6, 1.0 - 1e-4, 0.05, 1.1920929e-07
+
+
+def specks(candidates: DataFrame, region: DataFrame, most: int = SPECK) -> DataFrame:
+    """(x, y) of the eight-connected parts of candidates with at most `most` + 1 places that touch the region.
+
+    Such a part reaches at most that far, so each tile decides with a halo of that width; a part cut off by the halo is too large anyway.
     """
+    halo = most + 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {(int(a), int(b)) for a, b in zip(pdf["x"], pdf["y"], strict=True)}
-        gone = set()
-        while left:
-            todo, part = [left.pop()], []
-            while todo:
-                p = todo.pop()
-                part.append(p)
-                for dx in (-1, 0, 1):
-                    for dy in (-1, 0, 1):
-                        q = p[0] + dx, p[1] + dy
-                        if q in left:
-                            left.remove(q)
-                            todo.append(q)
-            if len(part) <= most:
-                gone.update(part)
-        return pdf[[c and (int(a), int(b)) not in gone for a, b, c in zip(pdf["x"], pdf["y"], pdf["core"], strict=True)]]
-
-    near = lambda c: F.explode(F.array_distinct(F.array(*[tile_of(F.col(c) + d) for d in (-most, 0, most)])))
-    rows = sel.withColumn("tx", near("x")).withColumn("ty", near("y"))
+        mine = pdf[~pdf["cleared"]].reset_index(drop=True)
+        if not len(mine):
+            return pd.DataFrame({"x": [], "y": []})
+        x, y = mine["x"].to_numpy(), mine["y"].to_numpy()
+        part = pd.factorize(labels(x, y, EIGHT))[0]
+        size = np.bincount(part)
+        there = pdf.loc[pdf["cleared"], ["x", "y"]].to_numpy().astype(np.int64)
+        keys = np.unique(there[:, 0] * (1 << 32) + there[:, 1])
+        beside = np.zeros(len(size), bool)
+        for dx, dy in EIGHT:
+            near = (x.astype(np.int64) + dx) * (1 << 32) + y + dy
+            beside[part[np.isin(near, keys)]] = True
+        return mine.loc[(size[part] <= most + 1) & beside[part] & mine["core"].to_numpy(), ["x", "y"]]
+
+    near = lambda c: F.explode(F.array_distinct(F.array(*[tile_of(F.col(c) + d) for d in (-halo, 0, halo)])))
+    rows = candidates.select("x", "y", F.lit(False).alias("cleared")).unionByName(region.select("x", "y", F.lit(True).alias("cleared")))
+    rows = rows.withColumn("tx", near("x")).withColumn("ty", near("y"))
     rows = rows.withColumn("core", (F.col("tx") == tile_of(F.col("x"))) & (F.col("ty") == tile_of(F.col("y"))))
-    return rows.groupBy("tx", "ty").applyInPandas(run, rows.schema).select(sel.columns)
+    return rows.groupBy("tx", "ty").applyInPandas(run, "x int, y int")
 
 
-def remove_matte(px: DataFrame, rect: Rect, tolerance: float = 0.1, softness: float = 0.5) -> DataFrame:
-    """px without the solid matte that floods in from the border; pixels next to it are unmixed. Raises where no matte is found."""
-    found = detect_solid(px, rect, tolerance).first()
-    if not found["solid"]:
-        raise ValueError("no uniform background on the border")
-    matte = tuple(found[c] for c in "rgb")
-    d2 = sum(((F.col(c) - m) * (F.col(c) - m) for c, m in zip("rgb", matte, strict=True)), F.lit(0.0))
-    like = read_rect(px, rect).filter(d2 <= tolerance * tolerance).select("x", "y")
-    edge = like.filter(~rect.shrink(1).contains())
+def flooded(places: DataFrame, rect: Rect) -> DataFrame:
+    """Of places inside rect, those four-connected with its border."""
     outside = rect.expand(1)
-    ring = edge.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _ring(outside)])).alias("p")).select("p.x", "p.y")
-    clear = component_of(like.unionByName(ring), outside.x, outside.y).filter(rect.contains())
-    k = 1 + round(2 * softness)
-    reach = F.sequence(F.lit(-k), F.lit(k))
-    near = clear.withColumn("i", F.explode(reach)).withColumn("j", F.explode(reach)).select((F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y")).distinct().withColumn("band", F.lit(True))
-    kept = px.join(clear, ["x", "y"], "left_anti").join(near, ["x", "y"], "left")
-    soft = unmix(pixel(), matte, tolerance, tolerance * (1 + softness) + 0.05)
-    return kept.select("x", "y", *[F.when(F.col("band"), n).otherwise(o).alias(c) for c, n, o in zip(RGBA, soft, pixel(), strict=True)]).filter("a <> 0")
-
-
-def _ring(r: Rect) -> Iterator[tuple[int, int]]:
-    for x in range(r.x, r.right):
-        yield x, r.y
-        yield x, r.bottom - 1
-    for y in range(r.y + 1, r.bottom - 1):
-        yield r.x, y
-        yield r.right - 1, y
+    ring = grid(places.sparkSession, outside).filter(~rect.contains())
+    return component_of(places.select("x", "y").unionByName(ring), outside.x, outside.y).filter(rect.contains())
+
+
+def _steps(places: DataFrame, steps: tuple[tuple[int, int], ...] = FOUR) -> DataFrame:
+    """Places one step away."""
+    s = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])
+    return places.select("x", "y", F.explode(s).alias("s")).select((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).distinct()
+
+
+def remove_matte(px: DataFrame, rect: Rect, tolerance: float = 0.2, softness: float = 0.55, enclosed: bool = False) -> DataFrame:
+    """px without its matte, a solid or checkered background found along rect's border (px's bounds); raises ValueError where none is found.
+
+    The matte floods in from the border through pixels within tolerance (with `enclosed`, from everywhere); small parts of nearly its
+    colour that touch it go too. Pixels on the way from matte to subject, up to 1 + round(2 softness) steps deep, and the
+    flood's own soft rim are unmixed from the matte's colour; all others stay as they are.
+    """
+    found = detect_solid(px, rect, tolerance).first()
+    key = tuple(found[c] for c in "rgb") if found["solid"] else detect_checker(px, rect, tolerance)
+    if key is None:
+        raise ValueError("no solid or checkered background on the border")
+    k = key_colour(key)
+    dense = read_rect(px, rect).withColumn("d", _apart("rgb", k)).checkpoint()
+    opaque = F.col("a") >= OPAQUE
+    like = dense.filter(opaque & (F.col("d") <= tolerance * tolerance)).select("x", "y")
+    region = (like if enclosed else flooded(like, rect)).checkpoint()
+    rest = dense.join(region, ["x", "y"], "left_anti")
+    cleared = region.unionByName(specks(rest.filter(opaque & (F.col("d") <= (SPECK_TOLERANCE * tolerance) ** 2)), region)).checkpoint()
+    subject = dense.join(cleared, ["x", "y"], "left_anti")
+    solid = subject.filter(opaque).select("x", "y", "d")
+    s = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in FOUR])
+    highest = solid.select("x", "y", "d", F.explode(s).alias("s")).groupBy((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).agg(F.max("d").alias("top"))
+    ramp = solid.join(highest, ["x", "y"]).filter(F.col("top") > F.col("d") + RAMP).select("x", "y").checkpoint()
+    fringe = frontier = ramp.join(_steps(cleared), ["x", "y"], "left_semi")
+    for _ in range(math.floor(2.0 * max(0.0, softness) + 0.5)):  # a bounded number of rounds
+        frontier = _steps(frontier).join(ramp, ["x", "y"], "left_semi").join(fringe, ["x", "y"], "left_anti").checkpoint()
+        fringe = fringe.unionByName(frontier)
+    rim = cleared.join(_steps(subject.select("x", "y")), ["x", "y"], "left_semi").withColumn("soft", F.lit(True))
+    rim = dense.join(rim, ["x", "y"]).filter(F.col("d") > tolerance * tolerance).select("x", "y")
+    soft = fringe.unionByName(rim).withColumn("soft", F.lit(True))
+    out = px.select("x", "y", *RGBA).join(cleared.join(rim, ["x", "y"], "left_anti"), ["x", "y"], "left_anti").join(soft, ["x", "y"], "left")
+    new = unmix_key(pixel(), k)
+    return stored(out.select("x", "y", *[F.when(F.col("soft"), n).otherwise(o).alias(c) for c, n, o in zip(RGBA, new, pixel(), strict=True)]))

@@ -92,40 +92,56 @@ def perspective(px: DataFrame, src: Rect, quad: list[tuple[float, float]], kind:
     return _sampled(px, out.filter(edge), kind, src)
 
 
-def bezier_warp(px: DataFrame, src: Rect, rows: int, cols: int, points: list[tuple[float, float]], kind: str = "bilinear") -> DataFrame:
-    """src warped by a rows x cols grid of control points; each output place takes the first cell (in grid order) that covers it.
+def bezier_warp(px: DataFrame, src: Rect, rows: int, cols: int, points: list[tuple[int, int]], kind: str = "bilinear") -> DataFrame:
+    """src warped by a rows x cols grid of whole control points; edges belong to their cells.
 
-    Cells are bilinear patches, inverted with eight Newton steps over Arrow batches.
+    Where cells overlap, the first column of the last row that covers a place decides. Cells are bilinear patches, inverted
+    with eight Newton steps, each kept inside the cell, over Arrow batches.
     """
     pts = np.array(points, float).reshape(rows, cols, 2)
-    lo, hi = np.floor(pts.min(axis=(0, 1))).astype(int), np.ceil(pts.max(axis=(0, 1))).astype(int)
-    out = grid(px.sparkSession, Rect(int(lo[0]), int(lo[1]), int(hi[0] - lo[0]), int(hi[1] - lo[1])))
+    lo, hi = pts.min(axis=(0, 1)).astype(int), pts.max(axis=(0, 1)).astype(int)
+    out = grid(px.sparkSession, Rect(int(lo[0]), int(lo[1]), int(hi[0] - lo[0]) + 1, int(hi[1] - lo[1]) + 1))
 
     def run(batches):
         for pdf in batches:
             p = pdf[["x", "y"]].to_numpy(float)
-            sx, sy, done = np.full(len(p), np.nan), np.full(len(p), np.nan), np.zeros(len(p), bool)
+            sx, sy = np.full(len(p), np.nan), np.full(len(p), np.nan)
             for i in range(rows - 1):
+                taken = np.zeros(len(p), bool)
                 for j in range(cols - 1):
-                    q00, q10, q01, q11 = pts[i, j], pts[i, j + 1], pts[i + 1, j], pts[i + 1, j + 1]
-                    u, v = np.full(len(p), 0.5), np.full(len(p), 0.5)
-                    for _ in range(8):
-                        f = ((1 - u) * (1 - v))[:, None] * q00 + (u * (1 - v))[:, None] * q10 + ((1 - u) * v)[:, None] * q01 + (u * v)[:, None] * q11 - p
-                        du = (1 - v)[:, None] * (q10 - q00) + v[:, None] * (q11 - q01)
-                        dv = (1 - u)[:, None] * (q01 - q00) + u[:, None] * (q11 - q10)
-                        det = du[:, 0] * dv[:, 1] - du[:, 1] * dv[:, 0]
-                        det = np.where(np.abs(det) < 1e-12, np.nan, det)
-                        u = u - (f[:, 0] * dv[:, 1] - f[:, 1] * dv[:, 0]) / det
-                        v = v - (du[:, 0] * f[:, 1] - du[:, 1] * f[:, 0]) / det
-                    ok = ~done & (u >= 0) & (u < 1) & (v >= 0) & (v < 1)
-                    sx[ok] = src.x + (j + u[ok]) / (cols - 1) * src.w
-                    sy[ok] = src.y + (i + v[ok]) / (rows - 1) * src.h
-                    done |= ok
-            yield pdf.assign(sx=sx, sy=sy)[done]
+                    quad = [pts[i, j], pts[i, j + 1], pts[i + 1, j + 1], pts[i + 1, j]]
+                    here = inside_quad(quad, p) & ~taken
+                    u, v = inverse_bilinear(quad, p[here])
+                    sx[here] = src.x + (j + u) / (cols - 1) * src.w
+                    sy[here] = src.y + (i + v) / (rows - 1) * src.h
+                    taken |= here
+            hit = ~np.isnan(sx)
+            yield pdf.assign(sx=sx, sy=sy)[hit]
 
     return _sampled(px, out.mapInPandas(run, "x int, y int, sx double, sy double"), kind, src)
 
 
+def inside_quad(quad: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """Whether points lie in a convex quad, its edges included."""
+    side = np.stack([(b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) for a, b in zip(quad, quad[1:] + quad[:1], strict=True)])
+    return ~((side > 0).any(axis=0) & (side < 0).any(axis=0))
+
+
+def inverse_bilinear(quad: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of points in a quad given clockwise from its top left."""
+    a, b, c = quad[1] - quad[0], quad[3] - quad[0], quad[2] - quad[3] - quad[1] + quad[0]
+    u, v, live = np.full(len(p), 0.5), np.full(len(p), 0.5), np.ones(len(p), bool)
+    for _ in range(8):
+        off = p - quad[0] - u[:, None] * a - v[:, None] * b - (u * v)[:, None] * c
+        du, dv = a + v[:, None] * c, b + u[:, None] * c
+        det = du[:, 0] * dv[:, 1] - dv[:, 0] * du[:, 1]
+        live &= np.abs(det) >= 1e-10
+        safe = np.where(live, det, 1.0)
+        u = np.where(live, np.clip(u + (dv[:, 1] * off[:, 0] - dv[:, 0] * off[:, 1]) / safe, 0, 1), u)
+        v = np.where(live, np.clip(v + (du[:, 0] * off[:, 1] - du[:, 1] * off[:, 0]) / safe, 0, 1), v)
+    return u, v
+
+
 def free_transform(src: Rect, scale: tuple[float, float], degrees: float, move: tuple[float, float]) -> tuple[float, ...]:
     """Affine of scaling and turning about the centre, then moving."""
     cx, cy, t = src.x + src.w / 2, src.y + src.h / 2, math.radians(degrees)

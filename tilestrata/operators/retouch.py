@@ -91,30 +91,70 @@ def heal(src: list[Column], mean_src: list[Column], mean_dst: list[Column], dst:
     return [*[limit(s - a + b) for s, a, b in zip(src[:3], mean_src, mean_dst, strict=True)], dst[3]]
 
 
-def mixed(px: DataFrame, cover: DataFrame, target: list[Column], least: float = 1e-4) -> DataFrame:
-    """Edits: target mixed in by coverage, kept where channels change by more than `least` in sum."""
-    rows = px.join(cover, ["x", "y"]).withColumns({f"t_{c}": t for c, t in zip(RGBA, target, strict=True)})
+def edited(rows: DataFrame, target: list[Column], least: float = 1e-4) -> DataFrame:
+    """Edits of rows (x, y, r, g, b, a, cov): target mixed in by coverage, kept where channels change by more than `least` in sum."""
+    rows = rows.withColumns({f"t_{c}": t for c, t in zip(RGBA, target, strict=True)})
     new = [lerp(c, F.col(f"t_{n}"), F.col("cov")) for c, n in zip(pixel(), RGBA, strict=True)]
     moved = sum((F.abs(n - c) for n, c in zip(new, pixel(), strict=True)), F.lit(0.0))
     return rows.filter(moved > least).select("x", "y", *[n.alias(c) for n, c in zip(new, RGBA, strict=True)])
 
 
-def clone_stamp(px: DataFrame, cover: DataFrame, dx: int, dy: int) -> DataFrame:
-    """Edits: pixels from an offset, mixed in by coverage; absent ones are transparent."""
-    source = px.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), *[F.col(c).alias("s" + c) for c in RGBA])
+def mixed(px: DataFrame, cover: DataFrame, target: list[Column], least: float = 1e-4) -> DataFrame:
+    """edited() of the stored pixels under a cover."""
+    return edited(px.join(cover, ["x", "y"]), target, least)
+
+
+def _both(px: DataFrame, cover: DataFrame, source: DataFrame) -> DataFrame:
+    """Places of a cover with their pixel and source pixel (s-columns); absent ones are transparent."""
+    source = source.select("x", "y", *[F.col(c).alias("s" + c) for c in RGBA])
     rows = cover.join(px.select("x", "y", *RGBA), ["x", "y"], "left").join(source, ["x", "y"], "left")
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for p in ("", "s") for c in (p + c for c in RGBA)})
+
+
+def clone_stamp(px: DataFrame, cover: DataFrame, dx: int, dy: int, source: DataFrame | None = None) -> DataFrame:
+    """Edits: pixels from an offset, mixed in by coverage; absent ones are transparent. source: another relation to take from, as the composite of all layers."""
+    moved = (px if source is None else source).withColumns({"x": F.col("x") - dx, "y": F.col("y") - dy})
+    rows = _both(px, cover, moved)
+    return rows.select("x", "y", *[lerp(F.col(c), F.col("s" + c), F.col("cov")).alias(c) for c in RGBA])
+
+
+def clone_strokes(px: DataFrame, cover: DataFrame, samples: DataFrame, anchor: tuple[int, int], aligned: bool, source: DataFrame | None = None) -> DataFrame:
+    """Edits of cloning strokes (stroke_id) whose source starts at an anchor: aligned strokes all keep the first stroke's offset,
+    others start at the anchor again. cover: (stroke_id, x, y, cov)."""
+    first = samples.groupBy("stroke_id").agg(F.min_by(F.struct("px", "py"), "seq").alias("p"))
+    start = lambda c: F.floor(F.col(c)).cast("int")
+    offs = first.select("stroke_id", (F.lit(anchor[0]) - start("p.px")).alias("dx"), (F.lit(anchor[1]) - start("p.py")).alias("dy"))
+    if aligned:
+        one = offs.agg(F.min_by(F.struct("dx", "dy"), "stroke_id").alias("o")).select("o.dx", "o.dy")
+        offs = offs.select("stroke_id").join(F.broadcast(one))  # one row
+    at = cover.join(offs, "stroke_id").select("stroke_id", "x", "y", "cov", (F.col("x") + F.col("dx")).alias("qx"), (F.col("y") + F.col("dy")).alias("qy"))
+    taken = (px if source is None else source).select(F.col("x").alias("qx"), F.col("y").alias("qy"), *[F.col(c).alias("s" + c) for c in RGBA])
+    rows = at.join(px.select("x", "y", *RGBA), ["x", "y"], "left").join(taken, ["qx", "qy"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.select("x", "y", *[lerp(zero(c), zero("s" + c), F.col("cov")).alias(c) for c in RGBA])
+    return rows.select("stroke_id", "x", "y", *[lerp(zero(c), zero("s" + c), F.col("cov")).alias(c) for c in RGBA])
+
+
+def stroke_means(px: DataFrame, source: DataFrame, samples: DataFrame, dx: int, dy: int) -> DataFrame:
+    """One row of means over a stroke's samples: the source at their offset places, the pixels at their places; absent ones are transparent."""
+    at = samples.select(F.floor("px").cast("int").alias("x"), F.floor("py").cast("int").alias("y"))
+    moved = source.withColumns({"x": F.col("x") - dx, "y": F.col("y") - dy})
+    rows = _both(px, at, moved)
+    return rows.agg(*[F.coalesce(F.avg(p + c), F.lit(0.0)).alias(n + c) for p, n in (("s", "ms"), ("", "md")) for c in "rgb"])
+
+
+def healing(px: DataFrame, cover: DataFrame, samples: DataFrame, dx: int, dy: int, source: DataFrame | None = None) -> DataFrame:
+    """Edits: the source's texture at an offset, moved to the destination's mean; means are taken at the samples (px, py)."""
+    source = px if source is None else source
+    rows = _both(px, cover, source.withColumns({"x": F.col("x") - dx, "y": F.col("y") - dy}))
+    rows = rows.join(F.broadcast(stroke_means(px, source, samples, dx, dy)))  # one row
+    return edited(rows, heal([F.col("s" + c) for c in RGBA], [F.col("ms" + c) for c in "rgb"], [F.col("md" + c) for c in "rgb"], pixel()))
 
 
-def healing(px: DataFrame, cover: DataFrame, dx: int, dy: int) -> DataFrame:
-    """Edits: the source's texture with the destination's mean, over the covered places."""
-    source = px.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), *[F.col(c).alias("s" + c) for c in RGBA])
-    rows = cover.join(px.select("x", "y", *RGBA), ["x", "y"]).join(source, ["x", "y"])
-    means = rows.agg(*[F.avg("s" + c).alias("ms" + c) for c in "rgb"], *[F.avg(c).alias("md" + c) for c in "rgb"])
-    rows = rows.join(F.broadcast(means))  # one row
-    new = heal([F.col("s" + c) for c in RGBA], [F.col("ms" + c) for c in "rgb"], [F.col("md" + c) for c in "rgb"], pixel())
-    return rows.select("x", "y", *[lerp(o, n, F.col("cov")).alias(c) for o, n, c in zip(pixel(), new, RGBA, strict=True)])
+def toward_neighbourhood(px: DataFrame, cover: DataFrame, means: DataFrame, amount: float | None = None) -> DataFrame:
+    """Edits toward box means (x, y, r, g, b, a): the blur brush and spot healing; with an amount, the sharpen brush away from them."""
+    rows = _both(px, cover, means)
+    soft = [F.col("s" + c) for c in RGBA]
+    return edited(rows, soft if amount is None else sharpen_target(pixel(), soft, amount))
 
 
 def last_write(edits: DataFrame, order: str) -> DataFrame:

@@ -109,3 +109,19 @@ def outline_edges(a: DataFrame) -> DataFrame:
 
 def clamped(a: DataFrame) -> DataFrame:
     return a.withColumn("cov", limit(F.col("cov")))
+
+
+def selected_tiles(a: DataFrame, dx: int = 0, dy: int = 0) -> DataFrame:
+    """(tx, ty) of the tiles of a layer at an offset that the selection touches."""
+    at = lambda c, d: F.shiftright(F.col(c) - d, 8)
+    return a.filter("cov > 0").select(at("x", dx).alias("tx"), at("y", dy).alias("ty")).distinct()
+
+
+def coverage_at(a: DataFrame, x: int, y: int) -> DataFrame:
+    """One row: the coverage of a place, 0 where there is none."""
+    return a.filter((F.col("x") == x) & (F.col("y") == y)).agg(F.coalesce(F.max("cov"), F.lit(0.0)).alias("cov"))
+
+
+def fingerprint(a: DataFrame) -> DataFrame:
+    """One row: an order-free key of a selection's places and coverages."""
+    return a.filter("cov > 0").agg(F.coalesce(F.bit_xor(F.xxhash64("x", "y", "cov")), F.lit(0).cast("long")).alias("key"), F.count(F.lit(1)).alias("n"))

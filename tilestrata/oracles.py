@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilestrata.fixtures import CANVAS, PX_SQL, STROKES_SQL, layer_sql
+from tilestrata.fixtures import CANVAS, PALETTE_SQL, PX_SQL, STROKES_SQL, layer_sql
 from tilestrata.operators.tiles import Rect
 
 BOX, SEL_A = Rect(-12, -10, 20, 18), Rect(-20, -20, 30, 24)
@@ -349,7 +349,40 @@ def oracle_sql() -> dict[str, str]:
     q["burn"] = retouched({c: f"{c} * (1 - {sh})" for c in "rgb"})
     src = "sc AS (SELECT x - 6 AS x, y + 4 AS y, r AS sr, g AS sg, b AS sb, a AS sa FROM l1)"
     q["clone_stamp"] = w(*RETOUCH, src) + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(R(f'coalesce({c}, 0.0) + (coalesce(s{c}, 0.0) - coalesce({c}, 0.0)) * cov', c) for c in 'rgba')} FROM cover LEFT JOIN l1 USING (x, y) LEFT JOIN sc USING (x, y) WHERE cov > 0"
-    q["heal"] = w(*RETOUCH, src, "hh AS (SELECT * FROM cover JOIN l1 USING (x, y) JOIN sc USING (x, y) WHERE cov > 0)", "mm AS (SELECT " + ", ".join(f"avg(s{c}) AS ms{c}, avg({c}) AS md{c}" for c in "rgb") + " FROM hh)") + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(R(f'{c} + ({clamp(f's{c} - ms{c} + md{c}')} - {c}) * cov', c) for c in 'rgb')}, {R('a', 'a')} FROM hh, mm"
+    zero = lambda *t: ", ".join(f"coalesce({a}.{c}, 0.0) AS {p}{c}" for a, p in t for c in "rgba")
+    spot = "spot AS (SELECT CAST(floor(cx) AS INT) AS x, CAST(floor(cy) AS INT) AS y FROM k)"
+    mm = "mm AS (SELECT " + ", ".join(f"avg(s{c}) AS ms{c}, avg({c}) AS md{c}" for c in "rgb") + f" FROM (SELECT {zero(('d', ''), ('s', 's'))} FROM spot LEFT JOIN l1 d ON d.x = spot.x AND d.y = spot.y LEFT JOIN l1 s ON s.x = spot.x + 6 AND s.y = spot.y - 4))"
+    hh = f"hh AS (SELECT cover.x, cover.y, cov, {zero(('d', ''), ('s', 's'))} FROM cover LEFT JOIN l1 d ON d.x = cover.x AND d.y = cover.y LEFT JOIN l1 s ON s.x = cover.x + 6 AND s.y = cover.y - 4)"
+    healed = {c: f"{c} + ({clamp(f's{c} - ms{c} + md{c}')} - {c}) * cov" for c in "rgb"}
+    q["heal"] = w(*RETOUCH, spot, mm, hh, f"o AS (SELECT x, y, {cols(healed)}, a, {' + '.join(f'abs({e} - {c})' for c, e in healed.items())} AS moved FROM hh, mm)") + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {rgba()} FROM o WHERE moved > 1e-4"
+    # smudge: stamps of 6 places, 6 apart; a running mix along each stroke; at a place the last stamp's colour and the greatest cover
+    sg = f"sg AS (SELECT *, lead(cx) OVER q AS nx, lead(cy) OVER q AS ny, count(*) OVER (PARTITION BY stroke_id) AS m FROM (SELECT stroke_id, seq, px * 0.5 - 30.0 AS cx, py * 0.5 - 32.0 AS cy FROM ({STROKES_SQL})) WINDOW q AS (PARTITION BY stroke_id ORDER BY seq))"
+    sl = "sl AS (SELECT *, CASE WHEN m = 1 THEN 0.0 ELSE sqrt(pow(nx - cx, 2) + pow(ny - cy, 2)) END AS ln FROM sg)"
+    ss = "ss AS (SELECT stroke_id, row_number() OVER (PARTITION BY stroke_id ORDER BY seq, i) AS n, CASE WHEN ln = 0 THEN cx ELSE cx + (nx - cx) * (i * 6.0::DOUBLE / ln) END AS cx, CASE WHEN ln = 0 THEN cy ELSE cy + (ny - cy) * (i * 6.0::DOUBLE / ln) END AS cy FROM (SELECT *, unnest(range(0, CAST(floor(ln / 6.0) AS BIGINT) + 1)) AS i FROM sl WHERE m = 1 OR ln > 0))"
+    un = f"un AS MATERIALIZED (SELECT ss.*, {zero(('p', ''))} FROM ss LEFT JOIN l1 p ON p.x = CAST(trunc(cx) AS INT) AND p.y = CAST(trunc(cy) AS INT))"
+    ca = f"ca AS (SELECT stroke_id, n, cx, cy, r, g, b, a FROM un WHERE n = 1 UNION ALL SELECT un.stroke_id, un.n, un.cx, un.cy, {', '.join(f'ca.{c} + (un.{c} - ca.{c}) * 0.6::DOUBLE' for c in 'rgba')} FROM ca JOIN un ON un.stroke_id = ca.stroke_id AND un.n = ca.n + 1)"
+    pl = "pl AS (SELECT *, sqrt(pow(i + 0.5 - cx, 2) + pow(j + 0.5 - cy, 2)) / 3.0::DOUBLE AS t FROM ca, range(-4, 5) u(di), range(-4, 5) v(dj), LATERAL (SELECT CAST(floor(cx) AS INT) + di AS i, CAST(floor(cy) AS INT) + dj AS j))"
+    hi = "hi AS (SELECT stroke_id, CAST(i AS INT) AS x, CAST(j AS INT) AS y, max((1 - t) * (1 - 0.25 * t)) AS cov, " + ", ".join(f"arg_max({c}, n) AS s{c}" for c in "rgba") + " FROM pl WHERE t < 1 GROUP BY 1, 2, 3)"
+    q["smudge"] = w(PX, L[1], sg, sl, ss, un, ca, pl, hi) + f"SELECT stroke_id, x, y, {', '.join(R(f'coalesce(l1.{c}, 0.0) * (1 - cov * 0.6) + s{c} * (cov * 0.6)', c) for c in 'rgba')} FROM hi LEFT JOIN l1 USING (x, y) WHERE cov > 0"
+    # border means in rounds, corners twice
+    ext = "ex AS (SELECT max(x) AS mx, max(y) AS my FROM grey)"
+    bo = "bo AS (SELECT r, g, b, CAST(x = 0 AS INT) + CAST(x = mx AS INT) + CAST(y = 0 AS INT) + CAST(y = my AS INT) AS n FROM grey, ex WHERE x = 0 OR y = 0 OR x = mx OR y = my)"
+    away = lambda m: f"(pow(r - {m}.mr, 2) + pow(g - {m}.mg, 2) + pow(b - {m}.mb, 2)) <= 0.3::DOUBLE * 0.3"
+    rounds = ["k0 AS (SELECT " + ", ".join(f"sum({c} * n) / sum(n) AS m{c}" for c in "rgb") + " FROM bo)"]
+    rounds += [f"k{i + 1} AS (SELECT " + ", ".join(f"coalesce(sum({c} * n) / nullif(sum(n), 0), 0.0) AS m{c}" for c in "rgb") + f" FROM bo, k{i} WHERE {away(f'k{i}')})" for i in range(4)]
+    q["matte_detect_solid"] = w(GREY, ext, bo, *rounds) + f"SELECT {', '.join(R(f'max(k4.m{c})', c) for c in 'rgb')}, {R('sum(CASE WHEN ' + away('k4') + ' THEN n ELSE 0 END) / sum(n)', 'covered')}, sum(CASE WHEN {away('k4')} THEN n ELSE 0 END) / sum(n) >= 0.5 AS solid FROM bo, k4"
+    # two means, eight rounds from the least and the greatest r + g + b
+    pal = f"pal AS ({PALETTE_SQL})"
+    order = "{'s': r + g + b, 'r': r, 'g': g, 'b': b}"
+    means = [f"c0 AS (SELECT 0 AS k, arg_min(r, {order}) AS r, arg_min(g, {order}) AS g, arg_min(b, {order}) AS b, 0 AS n FROM pal UNION ALL SELECT 1, arg_max(r, {order}), arg_max(g, {order}), arg_max(b, {order}), 0 FROM pal)"]
+    for i in range(8):
+        d = lambda k: f"(pow(p.r - {k}.r, 2) + pow(p.g - {k}.g, 2) + pow(p.b - {k}.b, 2))"
+        means.append(f"c{i + 1} AS (SELECT o.k, coalesce(avg(p.r), any_value(o.r)) AS r, coalesce(avg(p.g), any_value(o.g)) AS g, coalesce(avg(p.b), any_value(o.b)) AS b, count(p.r) AS n FROM c{i} o LEFT JOIN (SELECT p.r, p.g, p.b, CASE WHEN {d('u')} <= {d('v')} THEN 0 ELSE 1 END AS k FROM pal p, (SELECT * FROM c{i} WHERE k = 0) u, (SELECT * FROM c{i} WHERE k = 1) v) p ON p.k = o.k GROUP BY o.k)")
+    q["palette_two_means"] = w(pal, *means) + f"SELECT k, {', '.join(R(c, c) for c in 'rgb')}, n FROM c8"
+    # eight by eight samples of a polygon a place
+    corners = ", ".join(f"({a[0]}.0, {a[1]}.0, {b[0]}.0, {b[1]}.0)" for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+    q["supersample"] = w(f"eg AS (SELECT ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, by2::DOUBLE AS by2 FROM (VALUES {corners}) t(ax, ay, bx, by2))", "sm AS (SELECT x, y, x + (i + 0.5) / 8.0::DOUBLE AS sx, y + (j + 0.5) / 8.0::DOUBLE AS sy FROM range(-24, 22) a(x), range(-18, 20) b(y), range(8) c(i), range(8) d(j))",
+                         "hits AS (SELECT x, y, sx, sy, count(*) AS n FROM sm JOIN eg ON (ay > sy) <> (by2 > sy) AND sx < ax + (sy - ay) / (by2 - ay) * (bx - ax) GROUP BY 1, 2, 3, 4)") + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {R('count(*) / 64.0::DOUBLE', 'cov')} FROM hits WHERE n % 2 = 1 GROUP BY 1, 2"
     st6 = f"st AS (SELECT * FROM ({STROKES_SQL}))"
 
     def spline(c: str) -> str:
@@ -360,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
     ln = "ln AS (SELECT stroke_id, seq, CAST(floor(px) AS INT) AS x0, CAST(floor(py) AS INT) AS y0, CAST(floor(lead(px) OVER o) AS INT) AS x1, CAST(floor(lead(py) OVER o) AS INT) AS y1 FROM st WINDOW o AS (PARTITION BY stroke_id ORDER BY seq))"
     n = "greatest(abs(x1 - x0), abs(y1 - y0))"
     q["bresenham"] = w(st6, ln) + f"SELECT DISTINCT stroke_id, seq, CAST(x0 + CASE WHEN n = 0 THEN 0 ELSE floor((x1 - x0) * k / n::DOUBLE + 0.5) END AS INT) AS x, CAST(y0 + CASE WHEN n = 0 THEN 0 ELSE floor((y1 - y0) * k / n::DOUBLE + 0.5) END AS INT) AS y FROM (SELECT *, {n} AS n, unnest(range(0, {n} + 1)) AS k FROM ln WHERE x1 IS NOT NULL)"
-    q["scanline_fill"] = w(cross) + "SELECT DISTINCT 1 AS path, CAST(x AS INT) AS x, y FROM (SELECT y, CAST(ceil(cx - 0.5) AS BIGINT) AS s, CAST(ceil(nx - 1) AS BIGINT) AS e FROM pr WHERE k % 2 = 1 AND nx IS NOT NULL) z, range(s, greatest(s, e) + 1) t(x)"
+    q["scanline_fill"] = w(cross) + "SELECT DISTINCT 1 AS path, CAST(x AS INT) AS x, y FROM (SELECT y, CAST(ceil(cx) AS BIGINT) AS s, CAST(ceil(nx - 1) AS BIGINT) AS e FROM pr WHERE k % 2 = 1 AND nx IS NOT NULL) z, range(s, greatest(s, e) + 1) t(x)"
     q["nearest_vertex"] = w(st6) + "SELECT stroke_id AS path, seq AS vertex, px AS vx, py AS vy FROM st WHERE pow(px - 60, 2) + pow(py - 60, 2) <= 1600 ORDER BY pow(px - 60, 2) + pow(py - 60, 2), stroke_id, seq LIMIT 1"
     q["last_write_wins"] = w(PX) + f"SELECT {ALL} FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY layer_id DESC) AS k FROM px) WHERE k = 1"
     return q

@@ -55,19 +55,20 @@ def fold(leaves: DataFrame, layers: list[Layer]) -> DataFrame:
     return rows.select("x", "y", F.aggregate("e", start, step).alias("p")).select("x", "y", *[F.col(f"p.{c}").alias(c) for c in RGBA])
 
 
-def composite(px: DataFrame, tree: LayerTree, masks: DataFrame | None = None, region: Rect | None = None, parent: int | None = None, dx: int = 0, dy: int = 0) -> DataFrame | None:
+def composite(px: DataFrame, tree: LayerTree, masks: DataFrame | None = None, region: Rect | None = None, parent: int | None = None, dx: int = 0, dy: int = 0, masked: frozenset[int] | None = None) -> DataFrame | None:
     """Sparse composite (x, y, r, g, b, a) of px (layer_id, x, y, r, g, b, a); masks are (layer_id, x, y, cov) for the layers that have one.
 
-    None where nothing can show.
+    masked: the layers that have a mask, an empty one included; those with rows in masks by default. None where nothing can show.
     """
+    if masked is None:
+        masked = frozenset(r["layer_id"] for r in masks.select("layer_id").distinct().collect()) if masks is not None else frozenset()
     shown = [x for x in tree.children(parent) if x.visible and x.opacity > 0]
     parts = []
-    masked = {r["layer_id"] for r in masks.select("layer_id").distinct().collect()} if masks is not None else set()
     plain: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for z, x in enumerate(shown):
         ox, oy = dx + x.dx, dy + x.dy
         if x.kind == "group":
-            inner = composite(px, tree, masks, region, x.id, ox, oy)
+            inner = composite(px, tree, masks, region, x.id, ox, oy, masked)
             if inner is not None:
                 parts.append(inner.withColumn("z", F.lit(z)))
         elif x.kind == "raster" and x.id not in masked:

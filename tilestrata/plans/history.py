@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilestrata.operators import raster, resample, selection, tiles
+from tilestrata.operators import brush, raster, region, resample, selection, tiles, vector
 from tilestrata.operators.tiles import Rect
 from tilestrata.plans.compositor import composite, merge_down
 from tilestrata.plans.tree import Layer, LayerTree
@@ -22,7 +22,11 @@ class CommandError(ValueError):
 
 @dataclass(frozen=True)
 class Document:
-    """Canvas, tree, pixels (layer_id, x, y, r, g, b, a), masks (layer_id, x, y, cov), selection (x, y, cov) and slices."""
+    """Canvas, tree, pixels (layer_id, x, y, r, g, b, a), masks (layer_id, x, y, cov), selection (x, y, cov), slices and paths (operators/vector.py).
+
+    masked: the layers with a mask, an empty one included (those with mask rows by default).
+    The pixels of a vector layer are the raster of its paths, made anew whenever they change.
+    """
 
     canvas: Rect
     tree: LayerTree
@@ -30,7 +34,9 @@ class Document:
     masks: DataFrame
     selection: DataFrame | None = None
     slices: tuple[tuple[str, Rect], ...] = ()
+    paths: DataFrame | None = None
     removed: frozenset[int] = field(default_factory=frozenset)
+    masked: frozenset[int] | None = None
 
     def layer(self, i: int) -> Layer:
         if i not in self.tree.by_id or i in self.removed:
@@ -51,8 +57,20 @@ class Document:
         return replace(self, pixels=self.pixels.filter(F.col("layer_id") != i).unionByName(own))
 
     def with_mask(self, i: int, mask: DataFrame | None) -> "Document":
-        rest = self.masks.filter(F.col("layer_id") != i)
-        return replace(self, masks=rest if mask is None else rest.unionByName(mask.select(F.lit(i).alias("layer_id"), "x", "y", "cov")))
+        rest, masked = self.masks.filter(F.col("layer_id") != i), self.with_masks()
+        if mask is None:
+            return replace(self, masks=rest, masked=masked - {i})
+        return replace(self, masks=rest.unionByName(mask.select(F.lit(i).alias("layer_id"), "x", "y", "cov")), masked=masked | {i})
+
+    def with_masks(self) -> frozenset[int]:
+        if self.masked is not None:
+            return self.masked
+        return frozenset(r["layer_id"] for r in self.masks.select("layer_id").distinct().collect())
+
+    def local(self, i: int) -> Rect:
+        """The canvas in a layer's own coordinates."""
+        x = self.layer(i)
+        return Rect(self.canvas.x - x.dx, self.canvas.y - x.dy, self.canvas.w, self.canvas.h)
 
     def new_id(self) -> int:
         return max(self.tree.by_id, default=0) + 1
@@ -68,7 +86,7 @@ class Document:
         tree = self.tree
         for i in self.removed:
             tree = tree.without(i) if i in tree.by_id else tree
-        return composite(self.pixels, tree, self.masks, region)
+        return composite(self.pixels, tree, self.masks, region, masked=self.masked)
 
 
 Step = Callable[[Document], Document]
@@ -107,8 +125,8 @@ def duplicate(i: int) -> Command:
     def step(d: Document) -> Document:
         x, new = d.layer(i), d.new_id()
         out = replace(d, tree=d.tree.insert_above(replace(x, id=new, name=f"{x.name} copy"), i))
-        mask = d.masks.filter(F.col("layer_id") == i).drop("layer_id")
-        return out.with_pixels(new, d.of(i)).with_mask(new, mask)
+        out = out.with_pixels(new, d.of(i))
+        return out.with_mask(new, d.masks.filter(F.col("layer_id") == i).drop("layer_id")) if i in d.with_masks() else out
 
     return Command("duplicate", step)
 
@@ -138,7 +156,7 @@ def insert_subtree(other: Document, root: int) -> Command:
         tree, new = d.tree.insert_subtree(other.tree, root)
         ids = F.create_map(*[F.lit(v) for kv in new.items() for v in kv])
         moved = lambda df: df.filter(F.col("layer_id").isin(list(new))).withColumn("layer_id", ids[F.col("layer_id")])
-        return replace(d, tree=tree, pixels=d.pixels.unionByName(moved(other.pixels)), masks=d.masks.unionByName(moved(other.masks)))
+        return replace(d, tree=tree, pixels=d.pixels.unionByName(moved(other.pixels)), masks=d.masks.unionByName(moved(other.masks)), masked=d.with_masks() | {new[i] for i in other.with_masks() if i in new})
 
     return Command("insert subtree", step)
 
@@ -167,11 +185,105 @@ def paint(i: int, edits: DataFrame) -> Command:
     return pixel_step("paint", i, lambda d, px: tiles.upsert(px, edits))
 
 
+def set_buffer(i: int, px: DataFrame) -> Command:
+    """A layer's pixels replaced as a whole: by a plug-in, a filter or another tool."""
+    return pixel_step("set pixels", i, lambda d, old: px)
+
+
+def apply_filter(i: int, change: Callable[[DataFrame, Rect], DataFrame]) -> Command:
+    """A filter on the dense window of the layer's bounds."""
+
+    def step(d: Document, px: DataFrame) -> DataFrame:
+        b = tiles.bounds_of(px)
+        return px if b is None else tiles.stored(change(px, b))
+
+    return pixel_step("filter", i, step)
+
+
+def paint_stroke(i: int, samples: DataFrame, tip: brush.Brush, colour: tuple[float, ...] = (0.0, 0.0, 0.0, 1.0), erase: bool = False) -> Command:
+    """Strokes of (stroke_id, seq, px, py, pressure), with a brush or an eraser."""
+
+    def change(d: Document, px: DataFrame) -> DataFrame:
+        covered = brush.stamp_cover(brush.stroke_stamps(samples, tip), tip)
+        return brush.paint_stamps(px, covered, colour, ("stroke_id", "n"), erase)
+
+    return pixel_step("stroke", i, change)
+
+
+def stroke_selection(i: int, rect: Rect, width: float, colour: tuple[float, ...], opacity: float = 1.0) -> Command:
+    """The inner border of a rectangular selection."""
+    return pixel_step("stroke selection", i, lambda d, px: tiles.upsert(px, raster.stroke_selection(px, rect, width, colour, d.local(i), opacity)))
+
+
+def gradient(i: int, kind: str, p0: tuple[float, float], p1: tuple[float, float], fg: tuple[float, ...], bg: tuple[float, ...], wrap: str = "clamp", reverse: bool = False, opacity: float = 1.0) -> Command:
+    def change(d: Document, px: DataFrame) -> DataFrame:
+        sel = d.selected(i) if d.selection is not None else None
+        return tiles.upsert(px, raster.fill_gradient(px, kind, p0, p1, fg, bg, d.local(i), wrap, reverse, opacity, sel))
+
+    return pixel_step("gradient", i, change)
+
+
+def bucket(i: int, x: int, y: int, colour: tuple[float, ...], tolerance: float) -> Command:
+    def change(d: Document, px: DataFrame) -> DataFrame:
+        sel = d.selected(i) if d.selection is not None else None
+        return tiles.upsert(px, region.bucket_fill(px, x, y, colour, tolerance, d.local(i), sel))
+
+    return pixel_step("bucket", i, change)
+
+
+def remove_background(i: int, tolerance: float = 0.2, softness: float = 0.55, enclosed: bool = False) -> Command:
+    """Fails where no background is found."""
+
+    def change(d: Document, px: DataFrame) -> DataFrame:
+        b = tiles.bounds_of(px)
+        try:
+            return px if b is None else region.remove_matte(px, b, tolerance, softness, enclosed)
+        except ValueError as e:
+            raise CommandError(str(e)) from e
+
+    return pixel_step("remove background", i, change)
+
+
+def wand(i: int, x: int, y: int, tolerance: float, mode: str = "replace", contiguous: bool = True) -> Command:
+    """Selects what is like a layer's place; within whole tiles of the layer."""
+
+    def step(d: Document) -> Document:
+        layer, b = d.layer(i), tiles.tile_bounds(tiles.stored(d.of(i))).first()
+        if b["x"] is None:
+            raise CommandError("the layer is empty")
+        got = region.magic_wand(d.of(i), x, y, tolerance, Rect(b["x"], b["y"], int(b["w"]), int(b["h"])), contiguous)
+        got = got.withColumns({"x": F.col("x") + layer.dx, "y": F.col("y") + layer.dy})
+        return select(mode, got).step(d)
+
+    return Command("wand", step)
+
+
+def add_vector(layer: Layer, paths: DataFrame, above: int | None = None) -> Command:
+    def step(d: Document) -> Document:
+        own = paths.withColumn("layer_id", F.lit(layer.id))
+        out = replace(d, tree=d.tree.insert_above(layer, above), paths=own if d.paths is None else d.paths.unionByName(own))
+        return out.with_pixels(layer.id, vector.rasterize(own).drop("layer_id"))
+
+    return Command("add vector layer", step)
+
+
+def edit_vector(i: int, change: Callable[[DataFrame], DataFrame]) -> Command:
+    """A vector layer's paths changed and its pixels drawn anew."""
+
+    def step(d: Document) -> Document:
+        d.unlocked(i)
+        if d.paths is None:
+            raise CommandError("there are no paths")
+        own = change(d.paths.filter(F.col("layer_id") == i))
+        out = replace(d, paths=d.paths.filter(F.col("layer_id") != i).unionByName(own))
+        return out.with_pixels(i, vector.rasterize(own).drop("layer_id"))
+
+    return Command("edit vector", step)
+
+
 def fill(i: int, colour: tuple[float, ...], opacity: float = 1.0) -> Command:
     def change(d: Document, px: DataFrame) -> DataFrame:
-        x = d.layer(i)
-        local = Rect(d.canvas.x - x.dx, d.canvas.y - x.dy, d.canvas.w, d.canvas.h)
-        return tiles.upsert(px, raster.fill_selection(px, d.selected(i) if d.selection is not None else None, colour, local, opacity))
+        return tiles.upsert(px, raster.fill_selection(px, d.selected(i) if d.selection is not None else None, colour, d.local(i), opacity))
 
     return pixel_step("fill", i, change)
 
@@ -185,15 +297,27 @@ def flip(i: int, axis: str) -> Command:
         if b is None:
             return d
         lo, hi = (b.x, b.right - 1) if axis == "x" else (b.y, b.bottom - 1)
-        mask = d.masks.filter(F.col("layer_id") == i).drop("layer_id")
-        return d.with_pixels(i, raster.flip(d.of(i), axis, lo, hi)).with_mask(i, raster.flip(mask, axis, lo, hi))
+        out = d.with_pixels(i, raster.flip(d.of(i), axis, lo, hi))
+        return out.with_mask(i, raster.flip(d.masks.filter(F.col("layer_id") == i).drop("layer_id"), axis, lo, hi)) if i in d.with_masks() else out
 
     return Command("flip", step)
 
 
+def warp(i: int, change: Callable[[DataFrame, Rect], DataFrame]) -> Command:
+    """A layer's pixels mapped by resample.perspective or resample.bezier_warp, given its bounds."""
+
+    def step(d: Document, px: DataFrame) -> DataFrame:
+        b = tiles.bounds_of(px)
+        return px if b is None else change(px, b)
+
+    return pixel_step("transform", i, step)
+
+
 def transform(i: int, affine: tuple[float, ...], kind: str = "bicubic") -> Command:
-    """Whole-pixel moves only change the offset."""
+    """Whole-pixel moves only change the offset; maps that flatten everything fail."""
     a, b, c, e, tx, ty = affine
+    if abs(a * e - b * c) <= 1e-6:
+        raise CommandError("the transform has no inverse")
     if (a, b, c, e) == (1, 0, 0, 1) and tx == int(tx) and ty == int(ty):
         return move_by(i, int(tx), int(ty))
 

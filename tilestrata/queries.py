@@ -276,7 +276,7 @@ def queries() -> dict[str, Query]:
     q["resample_bilinear"] = lambda s, d: show(resample.resample(layer(s, d, 1).filter(BOX.contains()), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "bilinear"))
     q["resample_bicubic"] = lambda s, d: show(resample.resample(layer(s, d, 1).filter(BOX.contains()), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "bicubic"))
     q["perspective"] = lambda s, d: show(resample.perspective(layer(s, d, 1).filter(BOX.contains()), BOX, [(-14.0, -12.0), (10.0, -9.0), (7.0, 11.0), (-11.0, 8.0)]))
-    q["bezier_warp"] = lambda s, d: show(resample.bezier_warp(layer(s, d, 1).filter(BOX.contains()), BOX, 2, 3, [(-12.0, -10.0), (-3.0, -13.0), (8.0, -10.0), (-10.0, 8.0), (-2.0, 10.0), (9.0, 7.0)]))
+    q["bezier_warp"] = lambda s, d: show(resample.bezier_warp(layer(s, d, 1).filter(BOX.contains()), BOX, 2, 3, [(-12, -10), (-3, -13), (8, -10), (-10, 8), (-2, 10), (9, 7)]))
     q["snap_grid"] = lambda s, d: pixels(s, d).select("layer_id", "x", "y", resample.snap_to_grid(F.col("x"), 5).cast("int").alias("gx"), resample.snap_to_grid(F.col("y"), 5).cast("int").alias("gy"))
     # regions
     q["magic_wand"] = lambda s, d: cov(region.magic_wand(_grey(s, d), 20, 20, 0.12, _extent(s, d)))
@@ -287,7 +287,7 @@ def queries() -> dict[str, Query]:
     q["matte_unmix"] = lambda s, d: show(layer(s, d, 1).select("x", "y", *named(region.unmix(pixel(), (0.5, 0.4, 0.6), 0.1, 0.5))))
     q["palette_two_means"] = lambda s, d: region.two_means(fx.palette(s, d).select("r", "g", "b")).select("k", *[rounded(F.col(c)).alias(c) for c in "rgb"], "n")
     q["palette_mode"] = _mode
-    q["despeckle"] = lambda s, d: region.despeckle(_mask(s, d).filter("cov > 0.93").select("x", "y", F.lit(1.0).alias("cov")), 3)
+    q["despeckle"] = lambda s, d: region.specks(_mask(s, d).filter("cov > 0.93"), _mask(s, d).filter("cov < 0.5"), 3)
     q["remove_matte"] = lambda s, d: show(region.remove_matte(_grey(s, d).withColumns({c: F.when(BOX.expand(-2).contains(F.col("x") - 40, F.col("y") - 30), F.col(c)).otherwise(0.25) for c in "rgb"}), _extent(s, d)))
     # brushes and retouching
     q["stamp_single"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_middle(s, d), brush.Brush(14.0, 0.4, 0.8)), (0.9, 0.2, 0.1, 1.0)))
@@ -298,10 +298,10 @@ def queries() -> dict[str, Query]:
     q["burn"] = _retouch(lambda: retouch.burn(pixel(), retouch.range_mask(color.luma(*pixel()[:3]), "shadows") * 0.5))
     q["sponge"] = _retouch(lambda: retouch.sponge(pixel(), 0.4, True))
     q["recolor"] = _retouch(lambda: retouch.recolor(pixel(), (0.2, 0.6, 0.4)))
-    q["heal"] = lambda s, d: show(retouch.healing(layer(s, d, 1), _cover(s, d), 6, -4))
+    q["heal"] = lambda s, d: show(retouch.healing(layer(s, d, 1), _cover(s, d), _stamps(s, d).select(F.col("cx").alias("px"), F.col("cy").alias("py")), 6, -4))
     q["clone_stamp"] = lambda s, d: show(retouch.clone_stamp(layer(s, d, 1), _cover(s, d), 6, -4))
     q["catmull_rom"] = _catmull
-    q["smudge"] = lambda s, d: show(brush.smudge(layer(s, d, 1), _strokes(s, d), 4, 0.6), "stroke_id")
+    q["smudge"] = lambda s, d: show(brush.smudge(layer(s, d, 1), _stamps(s, d).select("stroke_id", F.col("n").alias("seq"), F.col("cx").alias("px"), F.col("cy").alias("py"), "pressure"), brush.Brush(6.0, 0.5, spacing=1.0), 0.6), "stroke_id")
     q["simplify_path"] = lambda s, d: brush.simplify_path(_strokes(s, d), 25.0).select("stroke_id", "seq")
     q["bresenham"] = lambda s, d: brush.bresenham(_lines(s, d)).select("stroke_id", "seq", "x", "y").distinct()
     q["scanline_fill"] = lambda s, d: brush.scanline_fill(_edges(s)).distinct()
