@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilestrata.llm.storage import cut
+from tilestrata.llm.storage import cut, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of ASCII letters, digits and everything beyond ASCII.
@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a benchmark window; all columns of docs. An id that repeats goes with any of its texts; rows without an id go by their text."""
-    bad = decontaminate(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("_bad"))
+    bad = small(decontaminate(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("_bad")))
     out = docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
     mark = lambda df: F.md5(F.coalesce(df[text_col].cast("string"), F.lit("")))
     nameless = docs.filter(F.col(id_col).isNull())

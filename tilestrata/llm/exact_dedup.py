@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilestrata.llm.merge import bitmap, has, slot
-from tilestrata.llm.storage import arrow_rows, cut
+from tilestrata.llm.storage import arrow_rows, cut, small
 
 #: Bits of the bitmap of hashes as powers of two, least and most, and how many for each hash.
 BITMAP_BITS, BITMAP_EACH = (16, 27), 16
@@ -91,6 +91,6 @@ def _distinct_members(hashed: DataFrame, many: DataFrame) -> DataFrame:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """df without the rows whose text another row has; all columns of df. Rows go by id and text, so other texts of the same id, or without one, stay."""
     groups = exact_groups(df, id_col, text_col, keep)
-    gone = groups.filter("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_of"))
-    text = F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256)
+    gone = small(groups.filter("not kept").select(F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_of")))
+    text = F.unhex(F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256))
     return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]) & (text == gone["_of"]), "left_anti")

@@ -261,7 +261,7 @@ def blocks(samples: tuple[tuple[str, str], ...]) -> list[tuple[tuple[str, str],
     return [tuple(b) for b in out]
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 192, doc_symbols: int = 1000) -> tuple[tuple[str, str], ...]:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 160, doc_symbols: int = 800) -> tuple[tuple[str, str], ...]:
     """(language, sample text) of every label; at most sample_docs * doc_symbols symbols a label reach the driver."""
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     # several times the symbols wanted, since runs of other characters shrink to one

@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 from tilestrata.llm._text import chunks, shingle_set, text_buffers, word_hashes
 from tilestrata.llm.components import components
 from tilestrata.llm.merge import bitmap, has, merged, pack, slot
-from tilestrata.llm.storage import arrow_rows, cut
+from tilestrata.llm.storage import arrow_rows, cut, small
 
 #: Counters of the sketch and bits of the bitmap, as powers of two: least and most, and how many for each row.
 SKETCH_BITS, SKETCH_EACH = (21, 24), 8
@@ -101,6 +101,11 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     return merged(docs.select("text").mapInArrow(count, "part long, chunk int, data binary"), width)
 
 
+def telling_none(n: int, percent: int) -> bool:
+    """Whether sets of n are so large that signatures hardly tell them apart: the threshold allows half of all bits to differ."""
+    return n * (100 - percent) >= SIGNATURE // 2 * 100
+
+
 def prefixes(docs: DataFrame, size: int, percent: int, counts, bits: int) -> DataFrame:
     """(id, mark, n, fp, cen, ell, sig, prefix) per row; counts is the broadcast sketch of 2 ** bits counters."""
     shift = np.uint64(64 - bits)
@@ -112,7 +117,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts, bits: int) -> Dat
             for s in _sets(b.column("text"), size):
                 k = len(s)
                 n.append(k)
-                sig.append(np.packbits((np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)).view(np.int64))
+                sig.append(None if telling_none(k, percent) else np.packbits((np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)).view(np.int64))
                 if not k:
                     fp.append(None), cen.append(0.0), ell.append(0), pre.append(np.zeros(0, np.int64))
                     continue
@@ -184,6 +189,24 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def _likely(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, pos, tok) of prefixes, less most tokens that aren't shared: a bitmap tells, so that few of those meet the join."""
+    bits = _bits(shared.count(), BITMAP_BITS, BITMAP_EACH)
+    mask = (1 << bits) - 1
+    marks = classes.sparkSession.sparkContext.broadcast(bitmap(shared, "tok", bits, F.col("tok").bitwiseAND(F.lit(mask).cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("prefix")
+            tok, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            pos = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
+            keep = has(marks.value, tok & mask)
+            key = np.repeat(b.column("key").to_numpy(), np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(tok[keep])], names=["key", "pos", "tok"])
+
+    return classes.mapInArrow(run, "key long, pos int, tok long")
+
+
 def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(id, n, mark, component, component_id) of every row."""
     spark = df.sparkSession
@@ -191,11 +214,11 @@ def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, perce
     bits = _bits(docs.count(), SKETCH_BITS, SKETCH_EACH)
     counts = spark.sparkContext.broadcast(sketch(docs, size, bits))
     slim = cut(prefixes(docs, size, percent, counts, bits).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    classes = slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("row").alias("key"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "sig", "prefix")])
+    classes = cut(slim.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("row").alias("key"), *[F.first(c).alias(c) for c in ("n", "cen", "ell", "sig", "prefix")]), "classes")
     # lists of one posting go first, in rows as narrow as can be; what a class is like comes to the rest by key
     posts = classes.select("key", F.posexplode("prefix").alias("pos", "tok"))
-    shared = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("tok")
-    shared = cut(posts.join(shared, "tok").select("tok", "key", "pos"), "shared-postings")
+    shared = cut(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("tok"), "shared-tokens")
+    shared = cut(_likely(classes.select("key", "prefix"), shared).join(shared, "tok").select("tok", "key", "pos"), "shared-postings")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1
     posts = shared.withColumn("rank", rank).join(classes.select("key", "n", "cen", "ell"), "key")
     heads = posts.groupBy("tok").agg(F.max(F.struct("cen", "key", "n", "ell", "pos", "rank")).alias("top"))
@@ -212,15 +235,18 @@ def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, perce
     links = _verified(first, classes, docs, size, percent)
     named = components(links)
 
-    marks = classes.select("key", "sig").join(named.withColumnRenamed("id", "key"), "key", "left").select("key", "sig", F.coalesce("component", "key").alias("c"))
-    own = cut(posts.select("tok", "key", "n", "ell", "pos").join(marks, "key"), "placed")
-    main = own.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tok", "main")
-    # between components, only tokens that two of them hold can be common
-    rest = cut(own.join(main, "tok").withColumn("rank", rank), "across")
+    group = named.select(F.col("id").alias("key"), "component")
+    own = cut(posts.select("tok", "key", "n", "ell", "pos").join(group, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component"), "placed")
+    main = own.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k"), F.min("ell").alias("ell")).groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.min("ell").alias("lm")).filter("kinds > 1").select("tok", "main", "lm")
+    # between components, only tokens that two of them hold can be common; who has fewer of those than a pair needs meets nobody.
+    # Signatures come in last, where rows lie by key already
+    held = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    rest = own.join(main, "tok").withColumns({"rank": rank, "held": held}).filter("held >= least(ell, lm)").drop("held", "lm")
+    rest = cut(rest.join(classes.select("key", "sig"), "key"), "across")
     odd = rest.filter("c != main").drop("main")
     other = rest.select("tok", *[F.col(x).alias("p" + x) for x in ("key", "n", "ell", "pos", "rank", "sig", "c")], "main")
     apart = " + ".join(f"bit_count(sig[{i}] ^ psig[{i}])" for i in range(SIGNATURE // 64))
-    met = odd.join(other, "tok").filter(f"c != pc and (pc = main or key < pkey) and {alike} and ({apart}) * {100 + percent} <= {100 - percent} * (n + pn)")
+    met = odd.join(other, "tok").filter(f"c != pc and (pc = main or key < pkey) and {alike} and (sig is null or psig is null or ({apart}) * {100 + percent} <= {100 - percent} * (n + pn))")
     flip = F.col("key") > F.col("pkey")
     met = met.select(*[F.when(flip, F.col("p" + x)).otherwise(F.col(x)).alias(x) for x in ("key", "n", "pos", "ell")], *[F.when(flip, F.col(x)).otherwise(F.col("p" + x)).alias("p" + x) for x in ("key", "n", "pos", "ell")])
     second = met.groupBy("key", "pkey").agg(*both).withColumn("rest", F.expr("least(n - pos, pn - ppos) - 1")).filter(f"m >= need and {enough}").select(F.col("key").alias("a"), F.col("pkey").alias("b"))
@@ -251,7 +277,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     with arrow_rows(df.sparkSession, BATCH_ROWS):
         rows = cut(_near_components(df, id_col, text_col, size, percent), "near-copies")
-    gone = rows.filter("id != component_id").select(F.col("id").alias("_gone"))
+    gone = small(rows.filter("id != component_id").select(F.col("id").alias("_gone")))
     out = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
     nameless = rows.filter("id is null and n > 0")
     if nameless.isEmpty():

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,12 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, written and read again, to be broadcast where it has at most so many rows (of a few dozen bytes each), and shuffled otherwise."""
+    df = cut(df, "keys")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs started inside send at most so many rows in an Arrow batch, which bounds a worker's memory where rows are wide."""
