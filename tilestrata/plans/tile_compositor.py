@@ -108,19 +108,25 @@ def _mix(mode: str, d: np.ndarray, s: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown blend mode {mode!r}")
 
 
-def blend_arrays(mode: str, dst: np.ndarray, src: np.ndarray, opacity: float) -> np.ndarray:
-    """src over dst, both (n, n, 4); where src has no alpha, dst stays as it is."""
-    sa = np.clip(np.nan_to_num(src[..., 3:], nan=0.0) * np.float32(opacity), 0, 1)
-    da = np.clip(np.nan_to_num(dst[..., 3:], nan=0.0), 0, 1)
-    left = da * (1 - sa)
-    oa = np.minimum(left + sa, 1)
-    d, s = dst[..., :3], src[..., :3]
-    if mode == "normal":
-        rgb = d * left + s * sa
-    else:
-        rgb = d * left + s * (sa * (1 - da)) + (sa * da) * _mix(mode, d, s)
-    out = np.concatenate((rgb / np.where(oa > 0, oa, 1), oa), axis=2)
-    return np.where(sa > 0, out, dst)
+def _over(mode: str, acc: np.ndarray, src: np.ndarray, opacity: float) -> None:
+    """src (straight) over acc, whose colours carry their alpha; acc changes."""
+    if np.isnan(src.sum()):
+        src = np.nan_to_num(src, nan=0.0)
+    sa = np.clip(src[..., 3] * np.float32(opacity), 0, 1)[..., None]
+    add = src * sa
+    add[..., 3] = sa[..., 0]
+    if mode != "normal":
+        da, s = acc[..., 3:], src[..., :3]
+        add[..., :3] += sa * da * (_mix(mode, acc[..., :3] / np.where(da > 0, da, 1), s) - s)
+    acc *= 1 - sa
+    acc += add
+    np.minimum(acc[..., 3], 1, out=acc[..., 3])
+
+
+def _straight(acc: np.ndarray) -> np.ndarray:
+    a = acc[..., 3:]
+    acc[..., :3] /= np.where(a > 0, a, 1)
+    return acc
 
 
 def can_composite(tree: LayerTree) -> bool:
@@ -144,8 +150,9 @@ def composite(tiles: DataFrame, tree: LayerTree) -> DataFrame:
                 continue
             own = fold(parts, x.id) if x.kind == "group" else _joined(parts.get(x.id))
             if own is not None:
-                acc = blend_arrays(x.blend, np.zeros(SHAPE, np.float32) if acc is None else acc, own, x.opacity)
-        return acc
+                acc = np.zeros(SHAPE, np.float32) if acc is None else acc
+                _over(x.blend, acc, own, x.opacity)
+        return None if acc is None else _straight(acc)
 
     def run(key, rows):
         parts: dict[int, list[np.ndarray]] = {}
