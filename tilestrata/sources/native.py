@@ -45,12 +45,37 @@ def load(spark: SparkSession, path: str) -> Document:
     return out
 
 
-def autosave(d: Document, folder: str, stamp: int) -> str:
+def autosave(d: Document, folder: str, stamp: int, keep: int = 5) -> str:
+    """A snapshot under folder, under its stamp; older ones than the `keep` newest go."""
     path = f"{folder}/v{stamp:020d}"
     save(d, path)
+    spark = d.pixels.sparkSession
+    for old in snapshots(spark, folder)[keep:]:
+        where, fs = _at(spark, old)
+        fs.delete(where, True)
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """Whole snapshots under folder, newest first; the metadata is written last, so a snapshot without it is a half."""
+    where, fs = _at(spark, folder)
+    if not fs.exists(where):
+        return []
+    names = sorted((x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory() and x.getPath().getName().startswith("v")), reverse=True)
+    return [f"{folder}/{n}" for n in names if fs.exists(_at(spark, f"{folder}/{n}/meta/_SUCCESS")[0])]
+
+
+def recover(spark: SparkSession, folder: str) -> Document | None:
+    """The newest whole snapshot."""
+    found = snapshots(spark, folder)
+    return load(spark, found[0]) if found else None
+
+
 def window(spark: SparkSession, path: str, layer: int, rect: Rect) -> DataFrame:
     """One layer's pixels in a rectangle; the tile predicate prunes row groups."""
     tiles = F.col("tx").between(rect.x >> 8, (rect.right - 1) >> 8) & F.col("ty").between(rect.y >> 8, (rect.bottom - 1) >> 8)
