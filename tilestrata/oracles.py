@@ -174,41 +174,72 @@ def gradient(t: str, reverse: bool) -> str:
 
 
 def taps(expr: dict[str, str]) -> str:
-    """Nine clamped taps t00..t22 (row, column) of each channel over BOX; expr uses {c}XY names as `c_yx`."""
+    """Nine clamped taps t00..t22 (row, column) of each channel over CANVAS; expr uses {c}XY names as `c_yx`."""
     names = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     fetch = ", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {c}{k}" for c in "rgba" for k in range(9))
     off = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(names))
-    return w(PX, L[1], grid(BOX), "dn AS (SELECT x, y, coalesce(r, 0.0) AS r, coalesce(g, 0.0) AS g, coalesce(b, 0.0) AS b, coalesce(a, 0.0) AS a FROM gr LEFT JOIN l1 USING (x, y))",
-             f"t AS (SELECT gr.x, gr.y, k, d.r, d.g, d.b, d.a FROM gr, (VALUES {off}) o(k, dx, dy) JOIN dn d ON d.x = least(greatest(gr.x + dx, {BOX.x}), {BOX.right - 1}) AND d.y = least(greatest(gr.y + dy, {BOX.y}), {BOX.bottom - 1}))",
+    return w(PX, L[1], grid(CANVAS), "dn AS (SELECT x, y, coalesce(r, 0.0) AS r, coalesce(g, 0.0) AS g, coalesce(b, 0.0) AS b, coalesce(a, 0.0) AS a FROM gr LEFT JOIN l1 USING (x, y))",
+             f"t AS (SELECT gr.x, gr.y, k, d.r, d.g, d.b, d.a FROM gr, (VALUES {off}) o(k, dx, dy) JOIN dn d ON d.x = least(greatest(gr.x + dx, {CANVAS.x}), {CANVAS.right - 1}) AND d.y = least(greatest(gr.y + dy, {CANVAS.y}), {CANVAS.bottom - 1}))",
              f"n AS (SELECT x, y, {fetch} FROM t GROUP BY x, y)") + f"SELECT x, y, {', '.join(R(clamp(expr[c]), c) for c in 'rgb')}, {R('a4', 'a')} FROM n"
 
 
 def blur(sigma: float, k: int) -> list[str]:
-    """Two clamped passes over BOX."""
+    """Two clamped passes over CANVAS."""
     total = f"(SELECT sum(exp(-(i * i) / (2 * {sigma} * {sigma}))) FROM range(-{k}, {k + 1}) q(i))"
     wt = f"wt AS (SELECT i AS d, exp(-(i * i) / (2 * {sigma} * {sigma})) / {total} AS w FROM range(-{k}, {k + 1}) q(i))"
     acc = ", ".join(f"sum(s.{c} * wt.w) AS {c}" for c in "rgba")
-    return [PX, L[1], grid(BOX), "dn AS (SELECT x, y, coalesce(r, 0.0) AS r, coalesce(g, 0.0) AS g, coalesce(b, 0.0) AS b, coalesce(a, 0.0) AS a FROM gr LEFT JOIN l1 USING (x, y))", wt,
-            f"h1 AS (SELECT gr.x, gr.y, {acc} FROM gr, wt JOIN dn s ON s.y = gr.y AND s.x = least(greatest(gr.x + wt.d, {BOX.x}), {BOX.right - 1}) GROUP BY gr.x, gr.y)",
-            f"h2 AS (SELECT gr.x, gr.y, {acc} FROM gr, wt JOIN h1 s ON s.x = gr.x AND s.y = least(greatest(gr.y + wt.d, {BOX.y}), {BOX.bottom - 1}) GROUP BY gr.x, gr.y)"]
+    return [PX, L[1], grid(CANVAS), "dn AS (SELECT x, y, coalesce(r, 0.0) AS r, coalesce(g, 0.0) AS g, coalesce(b, 0.0) AS b, coalesce(a, 0.0) AS a FROM gr LEFT JOIN l1 USING (x, y))", wt,
+            f"h1 AS (SELECT gr.x, gr.y, {acc} FROM gr, wt JOIN dn s ON s.y = gr.y AND s.x = least(greatest(gr.x + wt.d, {CANVAS.x}), {CANVAS.right - 1}) GROUP BY gr.x, gr.y)",
+            f"h2 AS (SELECT gr.x, gr.y, {acc} FROM gr, wt JOIN h1 s ON s.x = gr.x AND s.y = least(greatest(gr.y + wt.d, {CANVAS.y}), {CANVAS.bottom - 1}) GROUP BY gr.x, gr.y)"]
 
 
 def resampled(span: str, wx: str, wy: str) -> str:
-    bx = [1.25 * x - 0.5 * y + 3 for x in (BOX.x, BOX.right) for y in (BOX.y, BOX.bottom)]
-    by = [0.25 * x + 0.75 * y - 2 for x in (BOX.x, BOX.right) for y in (BOX.y, BOX.bottom)]
+    bx = [1.25 * x - 0.5 * y + 3 for x in (CANVAS.x, CANVAS.right) for y in (CANVAS.y, CANVAS.bottom)]
+    by = [0.25 * x + 0.75 * y - 2 for x in (CANVAS.x, CANVAS.right) for y in (CANVAS.y, CANVAS.bottom)]
     import math
 
     r = Rect(math.floor(min(bx)), math.floor(min(by)), math.ceil(max(bx)) - math.floor(min(bx)), math.ceil(max(by)) - math.floor(min(by)))
     ia, ib, ic, d = INV["ia"], INV["ib"], INV["ic"], INV["id"]
     tx, ty = -(ia * 3.0 + ic * -2.0), -(ib * 3.0 + d * -2.0)
     at = f"pos AS (SELECT x, y, x * {ia}::DOUBLE + y * {ic}::DOUBLE + ({tx})::DOUBLE AS sx, x * ({ib})::DOUBLE + y * {d}::DOUBLE + ({ty})::DOUBLE AS sy FROM gr), fl AS (SELECT *, CAST(floor(sx) AS INT) AS ix, CAST(floor(sy) AS INT) AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM pos)"
-    base = [PX, L[1], grid(r), at, f"bx AS (SELECT * FROM l1 WHERE {inside(BOX)})"]
+    base = [PX, L[1], grid(r), at, f"bx AS (SELECT * FROM l1 WHERE {inside(CANVAS)})"]
     if not span:
-        return w(*base) + f"SELECT fl.x, fl.y, {rgba('p.')} FROM fl JOIN l1 p ON p.x = ix AND p.y = iy WHERE {inside(BOX, 'ix', 'iy')}"
+        return w(*base) + f"SELECT fl.x, fl.y, {rgba('p.')} FROM fl JOIN l1 p ON p.x = ix AND p.y = iy WHERE {inside(CANVAS, 'ix', 'iy')}"
     s = ", ".join(f"sum(wv * p.{c} * p.a) AS {c}" for c in "rgb")
     return w(*base, f"tp AS (SELECT x, y, ix + i AS qx, iy + j AS qy, ({wx}) * ({wy}) AS wv FROM fl, range({span}) u(i), range({span}) v(j))", f"sm AS (SELECT tp.x, tp.y, {s}, sum(wv * p.a) AS a FROM tp JOIN bx p ON p.x = qx AND p.y = qy WHERE wv <> 0 GROUP BY 1, 2)") + f"SELECT x, y, {', '.join(R(f'{c} / a', c) for c in 'rgb')}, {R('a', 'a')} FROM sm WHERE a > 0"
 
 
+def perspective(quad: list[tuple[float, float]]) -> str:
+    """CANVAS seen through a quad: the eight numbers of the map solve linear equations, places take four weighted taps."""
+    import math
+
+    import numpy as np
+
+    to = [(CANVAS.x, CANVAS.y), (CANVAS.right, CANVAS.y), (CANVAS.right, CANVAS.bottom), (CANVAS.x, CANVAS.bottom)]
+    rows = [r for (x, y), (u, v) in zip(quad, to, strict=True) for r in ([x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y])]
+    m = [f"({float(v)!r})::DOUBLE" for v in np.linalg.solve(np.array(rows, float), np.array(to, float).ravel())]
+    x0, y0 = (math.floor(min(p[k] for p in quad)) for k in (0, 1))
+    out = Rect(x0, y0, math.ceil(max(p[0] for p in quad)) - x0, math.ceil(max(p[1] for p in quad)) - y0)
+    pos = f"pos AS (SELECT x, y, ({m[0]} * x + {m[1]} * y + {m[2]}) / ({m[6]} * x + {m[7]} * y + 1) AS sx, ({m[3]} * x + {m[4]} * y + {m[5]}) / ({m[6]} * x + {m[7]} * y + 1) AS sy FROM gr)"
+    fl = f"fl AS (SELECT *, CAST(floor(sx) AS INT) AS ix, CAST(floor(sy) AS INT) AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM pos WHERE {inside(CANVAS, 'sx', 'sy')})"
+    tp = "tp AS (SELECT x, y, ix + i AS qx, iy + j AS qy, (CASE WHEN i = 0 THEN 1 - fx ELSE fx END) * (CASE WHEN j = 0 THEN 1 - fy ELSE fy END) AS wv FROM fl, range(2) u(i), range(2) v(j))"
+    sums = ", ".join(f"sum(wv * p.{c} * p.a) AS {c}" for c in "rgb")
+    return w(PX, L[1], grid(out), pos, fl, tp, f"sm AS (SELECT tp.x, tp.y, {sums}, sum(wv * p.a) AS a FROM tp JOIN l1 p ON p.x = qx AND p.y = qy WHERE wv <> 0 GROUP BY 1, 2)") + f"SELECT x, y, {', '.join(R(f'{c} / a', c) for c in 'rgb')}, {R('a', 'a')} FROM sm WHERE a > 0"
+
+
+def hsl_columns(r: str, g: str, b: str) -> str:
+    """Further columns z_h (degrees), z_s and z_l of a colour."""
+    turn = lambda e: f"({e} - 6 * floor({e} / 6))"
+    hue = f"CASE WHEN z_d < 1e-7 THEN 0.0 WHEN z_hi = z_1 THEN {turn('((z_2 - z_3) / z_d)')} WHEN z_hi = z_2 THEN (z_3 - z_1) / z_d + 2 ELSE (z_1 - z_2) / z_d + 4 END * 60"
+    return f", {r} AS z_1, {g} AS z_2, {b} AS z_3, greatest(z_1, z_2, z_3) AS z_hi, least(z_1, z_2, z_3) AS z_lo, z_hi - z_lo AS z_d, (z_hi + z_lo) / 2 AS z_l, CASE WHEN z_d < 1e-7 THEN 0.0 ELSE z_d / nullif(1 - abs(2 * z_l - 1), 0) END AS z_s, {hue} AS z_h"
+
+
+def from_hsl_columns(h: str, s: str, l: str) -> str:
+    """Further columns z_r, z_g and z_b by the fast ramp."""
+    one = lambda *k: "CASE " + " ".join(f"WHEN z_k = {i} THEN {v}" for i, v in enumerate(k)) + " END + z_m"
+    return f", (({h}) - 360 * floor(({h}) / 360)) / 360 AS z_t, (1 - abs(2 * {l} - 1)) * {s} AS z_c, z_c * (1 - abs(z_t * 12 - 2 * floor(z_t * 6) - 1)) AS z_x, {l} - z_c / 2 AS z_m, CAST(floor(z_t * 6) AS INT) % 6 AS z_k, {one('z_c', 'z_x', '0', '0', 'z_x', 'z_c')} AS z_r, {one('z_x', 'z_c', 'z_c', 'z_x', '0', '0')} AS z_g, {one('0', '0', 'z_x', 'z_c', 'z_c', 'z_x')} AS z_b"
+
+
 CUBE = "CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) * abs({d}) * abs({d}) - 2.5 * abs({d}) * abs({d}) + 1 WHEN abs({d}) <= 2 THEN -0.5 * abs({d}) * abs({d}) * abs({d}) + 2.5 * abs({d}) * abs({d}) - 4 * abs({d}) + 2 ELSE 0.0 END"
 
 
@@ -321,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
     g64 = "gr AS (SELECT x, y FROM grey)"
     mag = "sqrt(gx * gx + gy * gy)"
     q["sobel"] = w(GREY, lum, g64, sob) + f"SELECT x, y, {R(mag, 'mag')} FROM sb"
-    q["box_mean"] = w(PX, L[1], grid(BOX)) + f"SELECT gr.x, gr.y, {', '.join(R(f'sum({c}) / 25', c) for c in 'rgba')} FROM gr JOIN l1 ON abs(l1.x - gr.x) <= 2 AND abs(l1.y - gr.y) <= 2 GROUP BY 1, 2"
+    q["box_mean"] = w(PX, L[1], grid(CANVAS)) + f"SELECT gr.x, gr.y, {', '.join(R(f'sum({c}) / 25', c) for c in 'rgba')} FROM gr JOIN l1 ON abs(l1.x - gr.x) <= 2 AND abs(l1.y - gr.y) <= 2 GROUP BY 1, 2"
     q["eyedropper"] = w(PX, L[1]) + f"SELECT {', '.join(R(f'coalesce(sum({c}), 0.0) / 20', c) for c in 'rgba')} FROM l1 WHERE x BETWEEN -32 AND -29 AND y BETWEEN 2 AND 6"
     q["thumbnail"] = w(PX, L[1]) + f"SELECT CAST(floor((x + 32) / 4.0) AS INT) AS x, CAST(floor((y + 32) / 4.0) AS INT) AS y, {', '.join(R(f'sum({c} * a) / sum(a)', c) for c in 'rgb')}, {R('sum(a) / 16', 'a')} FROM l1 GROUP BY 1, 2"
     q["snap_edge"] = w(GREY, lum, g64, sob) + f"SELECT x, y, {R('m', 'mag')} FROM (SELECT x, y, {mag} AS m FROM sb) WHERE m >= 0.2 AND pow(x - 30, 2) + pow(y - 30, 2) <= 64 ORDER BY m DESC, y, x LIMIT 1"
@@ -349,6 +380,10 @@ def oracle_sql() -> dict[str, str]:
     q["burn"] = retouched({c: f"{c} * (1 - {sh})" for c in "rgb"})
     src = "sc AS (SELECT x - 6 AS x, y + 4 AS y, r AS sr, g AS sg, b AS sb, a AS sa FROM l1)"
     q["clone_stamp"] = w(*RETOUCH, src) + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(R(f'coalesce({c}, 0.0) + (coalesce(s{c}, 0.0) - coalesce({c}, 0.0)) * cov', c) for c in 'rgba')} FROM cover LEFT JOIN l1 USING (x, y) LEFT JOIN sc USING (x, y) WHERE cov > 0"
+    q["sponge"] = retouched({c: f"CASE WHEN z_s < 1e-6 THEN {c} ELSE {dec(f'z_{c}')} END" for c in "rgb"}, hsl_columns(enc("r"), enc("g"), enc("b")) + from_hsl_columns("z_h", clamp("z_s * 1.4"), "z_l"))
+    mine, got = GREYL.format(r="r", g="g", b="b"), GREYL.format(r="z_r", g="z_g", b="z_b")
+    q["recolor"] = retouched({c: f"CASE WHEN {got} > 1e-6 THEN {clamp(f'z_{c} * ({mine} / nullif({got}, 0))')} ELSE {mine} END" for c in "rgb"}, hsl_columns(clamp("r"), clamp("g"), clamp("b")) + from_hsl_columns("150.0::DOUBLE", "0.5::DOUBLE", "z_l"))
+    q["perspective"] = perspective([(-34.0, -30.0), (28.0, -27.0), (30.0, 31.0), (-29.0, 26.0)])
     zero = lambda *t: ", ".join(f"coalesce({a}.{c}, 0.0) AS {p}{c}" for a, p in t for c in "rgba")
     spot = "spot AS (SELECT CAST(floor(cx) AS INT) AS x, CAST(floor(cy) AS INT) AS y FROM k)"
     mm = "mm AS (SELECT " + ", ".join(f"avg(s{c}) AS ms{c}, avg({c}) AS md{c}" for c in "rgb") + f" FROM (SELECT {zero(('d', ''), ('s', 's'))} FROM spot LEFT JOIN l1 d ON d.x = spot.x AND d.y = spot.y LEFT JOIN l1 s ON s.x = spot.x + 6 AND s.y = spot.y - 4))"

@@ -27,6 +27,7 @@ ADJUST = {
 SEL_A, SEL_B = Rect(-20, -20, 30, 24), Rect(-4, -8, 28, 30)
 POLYGON = [(-20, -18), (22, -10), (10, 20), (-6, 2), (-24, 14)]
 BOX = Rect(-12, -10, 20, 18)
+QUAD = [(-34.0, -30.0), (28.0, -27.0), (30.0, 31.0), (-29.0, 26.0)]
 
 
 def rounded(c: Column) -> Column:
@@ -262,21 +263,21 @@ def queries() -> dict[str, Query]:
     q["slice_export_rows"] = lambda s, d: show(raster.slice_rows(layer(s, d, 1), _slices(s)), "file")
     q["slice_names"] = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", raster.safe_name(F.col("url")).alias("name"))
     # stencils
-    q["gaussian"] = lambda s, d: show(stencil.gaussian_blur(layer(s, d, 1), BOX, 1.2))
-    q["sharpen"] = lambda s, d: show(stencil.sharpen(layer(s, d, 1), BOX, 1.0, 0.8))
-    q["emboss"] = lambda s, d: show(stencil.emboss(layer(s, d, 1), BOX, 0.6))
-    q["edge_detect"] = lambda s, d: show(stencil.edge_detect(layer(s, d, 1), BOX, 0.9))
+    q["gaussian"] = lambda s, d: show(stencil.gaussian_blur(layer(s, d, 1), CANVAS, 1.2))
+    q["sharpen"] = lambda s, d: show(stencil.sharpen(layer(s, d, 1), CANVAS, 1.0, 0.8))
+    q["emboss"] = lambda s, d: show(stencil.emboss(layer(s, d, 1), CANVAS, 0.6))
+    q["edge_detect"] = lambda s, d: show(stencil.edge_detect(layer(s, d, 1), CANVAS, 0.9))
     q["sobel"] = lambda s, d: stencil.sobel(_grey(s, d), _extent(s, d)).select("x", "y", rounded(F.col("mag")).alias("mag"))
-    q["box_mean"] = lambda s, d: show(stencil.box_mean(layer(s, d, 1), BOX, 2))
+    q["box_mean"] = lambda s, d: show(stencil.box_mean(layer(s, d, 1), CANVAS, 2))
     q["eyedropper"] = lambda s, d: stencil.eyedropper(layer(s, d, 1), -31, 4, 2, CANVAS).select(*[rounded(F.col(c)).alias(c) for c in RGBA])
     q["thumbnail"] = _thumb
     q["snap_edge"] = lambda s, d: stencil.snap_to_edge(stencil.sobel(_grey(s, d), _extent(s, d)), 30, 30, 8, 0.2).select("x", "y", rounded(F.col("mag")).alias("mag"))
     # geometry
-    q["resample_nearest"] = lambda s, d: show(resample.resample(layer(s, d, 1), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "nearest"))
-    q["resample_bilinear"] = lambda s, d: show(resample.resample(layer(s, d, 1).filter(BOX.contains()), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "bilinear"))
-    q["resample_bicubic"] = lambda s, d: show(resample.resample(layer(s, d, 1).filter(BOX.contains()), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), BOX, "bicubic"))
-    q["perspective"] = lambda s, d: show(resample.perspective(layer(s, d, 1).filter(BOX.contains()), BOX, [(-14.0, -12.0), (10.0, -9.0), (7.0, 11.0), (-11.0, 8.0)]))
-    q["bezier_warp"] = lambda s, d: show(resample.bezier_warp(layer(s, d, 1).filter(BOX.contains()), BOX, 2, 3, [(-12, -10), (-3, -13), (8, -10), (-10, 8), (-2, 10), (9, 7)]))
+    q["resample_nearest"] = lambda s, d: show(resample.resample(layer(s, d, 1), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), CANVAS, "nearest"))
+    q["resample_bilinear"] = lambda s, d: show(resample.resample(layer(s, d, 1), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), CANVAS, "bilinear"))
+    q["resample_bicubic"] = lambda s, d: show(resample.resample(layer(s, d, 1), (1.25, 0.25, -0.5, 0.75, 3.0, -2.0), CANVAS, "bicubic"))
+    q["perspective"] = lambda s, d: show(resample.perspective(layer(s, d, 1), CANVAS, QUAD))
+    q["bezier_warp"] = lambda s, d: show(resample.bezier_warp(layer(s, d, 1), CANVAS, 2, 3, [(-34, -30), (-3, -38), (33, -29), (-30, 28), (-2, 35), (31, 27)]))
     q["snap_grid"] = lambda s, d: pixels(s, d).select("layer_id", "x", "y", resample.snap_to_grid(F.col("x"), 5).cast("int").alias("gx"), resample.snap_to_grid(F.col("y"), 5).cast("int").alias("gy"))
     # regions
     q["magic_wand"] = lambda s, d: cov(region.magic_wand(_grey(s, d), 20, 20, 0.12, _extent(s, d)))
