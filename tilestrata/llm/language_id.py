@@ -36,7 +36,8 @@ from pyspark.sql.window import Window
 UNKNOWN = "und"
 SEGMENT = 1024
 SHARPNESS = 6.0
-#: Symbols parsed in lockstep at once.
+#: Texts judged at once, and symbols parsed in lockstep.
+ROWS = 1000
 BLOCK = 1 << 20
 #: Most letters of the dense tables, and most cells; transitions by other letters are hashed, with the same results.
 ALPHABET, CELLS = 120, 40_000_000
@@ -149,28 +150,31 @@ class Tables:
         self.code = np.zeros(0x110000, np.int32)
         self.code[_is_letter()] = self.other
         self.code[letters] = np.arange(1, self.other)
-        states = 2 * sum(len(t) for _, t in samples)
-        self.width = max(1, min(self.other, ALPHABET + 1, CELLS // max(1, states)))
-        parts, keys, values, self.root, self.bits, at = [], [], [], [], [], 0
+        most = 2 * sum(len(t) for _, t in samples)
+        self.width = max(1, min(self.other, ALPHABET + 1, CELLS // max(1, most)))
+        self.table = np.empty(most * self.width, np.int32)  # states never reached take no memory
+        keys, values, self.root, self.bits, at = [], [], [], [], 0
         self.fresh = np.empty((len(samples), self.other + 1), np.int32)
         for k, (_, text) in enumerate(samples):
             steps = suffix_automaton(self.code[_points(text)].tolist())
             self.fresh[k] = at * 2 + 1
             for c, to in steps[0].items():
                 self.fresh[k, c] = (at + to) * 2 + 1
-            table = np.tile(self.fresh[k, : self.width], (len(steps), 1))
-            rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
-            cols = np.fromiter((c for s in steps for c in s), np.int64, len(rows))
-            to = np.fromiter((t for s in steps for t in s.values()), np.int64, len(rows))
+            table = self.table[at * self.width : (at + len(steps)) * self.width].reshape(-1, self.width)
+            table[:] = self.fresh[k, : self.width]
+            sizes = np.fromiter(map(len, steps), np.int32, len(steps))
+            many = int(sizes.sum())
+            rows = np.repeat(np.arange(len(steps), dtype=np.int32), sizes)
+            cols = np.fromiter((c for s in steps for c in s), np.int32, many)
+            to = np.fromiter((t for s in steps for t in s.values()), np.int32, many)
+            del steps
             dense = cols < self.width
             table[rows[dense], cols[dense]] = (at + to[dense]) * 2
-            keys.append((at + rows[~dense]) * (self.other + 1) + cols[~dense])
+            keys.append((at + rows[~dense]).astype(np.int64) * (self.other + 1) + cols[~dense])
             values.append((at + to[~dense]) * 2)
-            parts.append(table)
             self.root.append(at)
             self.bits.append(np.log2(max(2, len(text))))
-            at += len(steps)
-        self.table = np.concatenate(parts).reshape(-1)
+            at += len(table)
         self.rare = Hashed(np.concatenate(keys), np.concatenate(values))
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -261,7 +265,7 @@ def blocks(samples: tuple[tuple[str, str], ...]) -> list[tuple[tuple[str, str],
     return [tuple(b) for b in out]
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 160, doc_symbols: int = 800) -> tuple[tuple[str, str], ...]:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 128, doc_symbols: int = 800) -> tuple[tuple[str, str], ...]:
     """(language, sample text) of every label; at most sample_docs * doc_symbols symbols a label reach the driver."""
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     # several times the symbols wanted, since runs of other characters shrink to one
@@ -324,10 +328,12 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str
             return
         known = tables(parts[0]) if parts else None
         for b in batches:
-            verdict = Verdict(b.num_rows)
-            if known and b.num_rows:
-                verdict.add(known, b.column(b.num_columns - 1).to_pylist())
-            yield judged(b, verdict)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                verdict = Verdict(part.num_rows)
+                if known:
+                    verdict.add(known, part.column(part.num_columns - 1).to_pylist())
+                yield judged(part, verdict)
 
     def spooled(batches: Iterator[pa.RecordBatch], parts: list) -> Iterator[pa.RecordBatch]:
         """The task's rows wait in a temporary file and are read once for each block of languages."""
