@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from tilestrata.operators.tiles import Rect
 from tilestrata.oracles import FLAT, PX, SEL_A, L, R, inside, moved, rgba, stack, w
 from tilestrata.plans import history as h
 from tilestrata.plans.tree import Layer, LayerTree
+from tilestrata.scratch import new_path
 from tilestrata.sources import native
 from tilestrata.streaming import strokes
 
@@ -104,17 +103,9 @@ def _box_means(s: SparkSession, d: str) -> DataFrame:
     return stencil.box_mean(layer(s, d, 1), CANVAS, 2)
 
 
-def _shared(s: SparkSession) -> str:
-    """A new folder that driver and executors share; on one machine a temporary one will do."""
-    where = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not where and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{where or 'file://' + tempfile.mkdtemp(prefix='tilestrata-')}/document-{uuid.uuid4().hex}"
-
-
 def _saved(s: SparkSession, d: str) -> DataFrame:
     """A document written and read again."""
-    path = _shared(s)
+    path = new_path(s, "document")
     native.save(document(s, d), path)
     return base.show(native.load(s, path).pixels, "layer_id")
 

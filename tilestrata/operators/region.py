@@ -1,8 +1,7 @@
 """Connected-region operators.
 
-Candidates come from a filter; the component of the seed is found by frontier rounds (four-neighbour joins),
-each written to a checkpoint. For large regions, tiles are labelled by a kernel first and
-only tile-border contacts are joined, so rounds grow with tiles crossed, not pixels.
+Candidates come from a filter; tiles are labelled by a kernel, and parts that touch across tile
+borders are united in rounds, each kept in the shared folder, whose number grows with the logarithm of the parts. Places lie within 2^30 of the origin.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from tilestrata.functions.blend import blend_pixel
 from tilestrata.functions.color import limit, linear_distance_sq, perceptual_distance_sq
 from tilestrata.operators.raster import RGBA, named, pixel
 from tilestrata.operators.tiles import Rect, grid, read_rect, stored, tile_of
+from tilestrata.scratch import settled
 
 
 def _seed(px: DataFrame, x: int, y: int) -> list[float]:
@@ -62,20 +62,38 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "tx": int(first["x"]) >> 8, "ty": int(first["y"]) >> 8, "part": labels(pdf["x"].to_numpy(), pdf["y"].to_numpy())})
 
 
+def united(links: DataFrame) -> DataFrame:
+    """(u, v) of every node u but the roots: v is the smallest node that links (a, b) reach. Rounds grow with the logarithm of the nodes."""
+    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        wide = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = wide.groupBy("u").agg(F.min("v").alias("m"))
+        near = wide.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = settled(near.filter("u <> v").distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == before:
+            return edges
+        before = now
+
+
 def component_of(places: DataFrame, x: int, y: int) -> DataFrame:
-    """Of places (x, y), those four-connected with (x, y)."""
-    tiled = places.select("x", "y").groupBy(tile_of(F.col("x")), tile_of(F.col("y"))).applyInPandas(_label_tile, "x int, y int, tx int, ty int, part long").checkpoint()
-    key = ["tx", "ty", "part"]
+    """Of places (x, y), those four-connected with (x, y): parts within tiles by a kernel, then the parts that touch across tiles united."""
+    part = (F.col("tx").cast("long") + (1 << 22)) * (1 << 40) + (F.col("ty").cast("long") + (1 << 22)) * (1 << 17) + F.col("part")
+    tiled = places.select("x", "y").groupBy(tile_of(F.col("x")), tile_of(F.col("y"))).applyInPandas(_label_tile, "x int, y int, tx int, ty int, part long")
+    tiled = settled(tiled.select("x", "y", part.alias("id")))
+    seed = tiled.filter((F.col("x") == x) & (F.col("y") == y)).select("id").first()
+    if seed is None:
+        return tiled.limit(0).select("x", "y")
     edge = tiled.filter("(x & 255) in (0, 255) or (y & 255) in (0, 255)")
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    near = edge.withColumn("s", F.explode(steps)).select(*[F.col(k).alias("o" + k) for k in key], (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    links = near.join(edge, ["x", "y"]).filter("tx <> otx or ty <> oty").select(*key, *["o" + k for k in key]).distinct().checkpoint()
-    reached = frontier = tiled.filter((F.col("x") == x) & (F.col("y") == y)).select(key)
-    while not frontier.isEmpty():
-        step = links.join(frontier.select(*[F.col(k).alias("o" + k) for k in key]), ["o" + k for k in key], "left_semi").select(key).distinct()
-        frontier = step.join(reached, key, "left_anti").checkpoint()
-        reached = reached.unionByName(frontier).checkpoint()
-    return tiled.join(reached, key, "left_semi").select("x", "y")
+    step = F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))
+    near = edge.withColumn("s", F.explode(step)).select(F.col("id").alias("a"), (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    roots = united(near.join(edge.withColumnRenamed("id", "b"), ["x", "y"]).filter("a <> b").select("a", "b"))
+    own = roots.filter(F.col("u") == seed["id"]).select("v").first()
+    root = own["v"] if own else seed["id"]
+    return tiled.join(roots.filter(F.col("v") == root).select(F.col("u").alias("id")), "id", "left_semi").unionByName(tiled.filter(F.col("id") == root)).select("x", "y")
 
 
 def magic_wand(px: DataFrame, x: int, y: int, tolerance: float, rect: Rect, contiguous: bool = True, radius: int | None = None) -> DataFrame:
@@ -283,20 +301,20 @@ def remove_matte(px: DataFrame, rect: Rect, tolerance: float = 0.2, softness: fl
     if key is None:
         raise ValueError("no solid or checkered background on the border")
     k = key_colour(key)
-    dense = read_rect(px, rect).withColumn("d", _apart("rgb", k)).checkpoint()
+    dense = settled(read_rect(px, rect).withColumn("d", _apart("rgb", k)))
     opaque = F.col("a") >= OPAQUE
     like = dense.filter(opaque & (F.col("d") <= tolerance * tolerance)).select("x", "y")
-    region = (like if enclosed else flooded(like, rect)).checkpoint()
+    region = settled(like if enclosed else flooded(like, rect))
     rest = dense.join(region, ["x", "y"], "left_anti")
-    cleared = region.unionByName(specks(rest.filter(opaque & (F.col("d") <= (SPECK_TOLERANCE * tolerance) ** 2)), region)).checkpoint()
+    cleared = settled(region.unionByName(specks(rest.filter(opaque & (F.col("d") <= (SPECK_TOLERANCE * tolerance) ** 2)), region)))
     subject = dense.join(cleared, ["x", "y"], "left_anti")
     solid = subject.filter(opaque).select("x", "y", "d")
     s = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in FOUR])
     highest = solid.select("x", "y", "d", F.explode(s).alias("s")).groupBy((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).agg(F.max("d").alias("top"))
-    ramp = solid.join(highest, ["x", "y"]).filter(F.col("top") > F.col("d") + RAMP).select("x", "y").checkpoint()
+    ramp = settled(solid.join(highest, ["x", "y"]).filter(F.col("top") > F.col("d") + RAMP).select("x", "y"))
     fringe = frontier = ramp.join(_steps(cleared), ["x", "y"], "left_semi")
     for _ in range(math.floor(2.0 * max(0.0, softness) + 0.5)):  # a bounded number of rounds
-        frontier = _steps(frontier).join(ramp, ["x", "y"], "left_semi").join(fringe, ["x", "y"], "left_anti").checkpoint()
+        frontier = settled(_steps(frontier).join(ramp, ["x", "y"], "left_semi").join(fringe, ["x", "y"], "left_anti"))
         fringe = fringe.unionByName(frontier)
     rim = cleared.join(_steps(subject.select("x", "y")), ["x", "y"], "left_semi").withColumn("soft", F.lit(True))
     rim = dense.join(rim, ["x", "y"]).filter(F.col("d") > tolerance * tolerance).select("x", "y")

@@ -12,8 +12,11 @@ from tilestrata.operators import brush, raster, region, resample, selection, til
 from tilestrata.operators.tiles import Rect
 from tilestrata.plans.compositor import composite, merge_down
 from tilestrata.plans.tree import Layer, LayerTree
+from tilestrata.scratch import settled
 
 LIMIT = 100
+#: After so many commands the document is computed and kept.
+CUT = 16
 
 
 class CommandError(ValueError):
@@ -417,13 +420,16 @@ class History:
     """Applied and undone versions, at most `limit` back."""
 
     def __init__(self, document: Document, limit: int = LIMIT) -> None:
-        self.document, self.limit = document, limit
+        self.document, self.limit, self.count = document, limit, 0
         self.done: list[tuple[Command, Document]] = []
         self.undone: list[tuple[Command, Document]] = []
 
     def do(self, command: Command) -> Document:
         """Applies a command; what was undone is dropped. A failing command changes nothing."""
         after = command.step(self.document)
+        self.count += 1
+        if self.count % CUT == 0:  # plans of a long session don't grow without end
+            after = replace(after, pixels=settled(after.pixels), masks=settled(after.masks))
         same = self.done and command.key is not None and self.done[-1][0].key == command.key
         if same:
             self.done[-1] = command, self.done[-1][1]
