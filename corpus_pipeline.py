@@ -1,4 +1,9 @@
-"""A corpus from raw documents to token ids: each stage works on all that the one before kept."""
+"""A corpus from raw documents to token ids: each stage works on all that the one before kept.
+
+Every stage but the last returns the columns of its input, whatever their names; an empty table stays empty. Rows with a null id
+take part in all stages and are told apart by their text; rows that repeat an id are judged each by
+language identification and exact deduplication, and are one document of several texts in the two stages after.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,27 @@ from tilestrata.llm.storage import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; those without letters, or that no language explains, go."""
+    """Documents of a learned language; null and empty texts, those without letters, and those that no language explains go. Lengths don't matter: short texts are judged by what they need beyond one phrase."""
     return language_id.keep_known(docs, language_id.learn(docs.filter(queries.fold("doc_id", 4) != 2)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the smallest id."""
+    """One document of each text, the one with the smallest id (ties are one document); null counts as an empty text."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingle sets of Jaccard 0.8 or more, the one with the smallest id."""
+    """One document of each group linked by five-word shingle sets of Jaccard 0.8 or more, the one with the smallest id. Texts without words link with nothing and stay."""
     return ngram_join.drop_near_copies(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of ten words of a benchmark item."""
+    """Documents without any window of ten words of a benchmark item; an empty benchmark leaves all. Null texts have no words and stay."""
     return decontaminate.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = queries.MODEL_PATH) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; null and empty texts have none."""
     from pyspark.sql import functions as F
 
     return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(model_path), columns=[F.col(c) for c in ("doc_id", "lang", "source")])

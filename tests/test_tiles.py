@@ -58,3 +58,16 @@ def test_pointwise_and_window(spark, px):
     near(image(tc.to_rows(tc.window(tiles, rect))), image(one.filter(rect.contains())))
     half = tc.pointwise(tiles, lambda a: a * 0.5)
     near(image(tc.to_rows(half)), image(one.select("x", "y", *[(F.col(c) * 0.5).alias(c) for c in "rgba"])))
+
+
+def test_recomposite_of_changed_tiles(spark, px):
+    from tilestrata.streaming.recomposite import recomposite
+
+    tree = LayerTree([Layer(1), Layer(2, index=1, blend="screen", opacity=0.7, dx=130, dy=-3), Layer(3, index=2, opacity=0.5, dx=256)])
+    tiles = tc.to_tiles(px.filter("layer_id < 4"))
+    old = tc.composite(tiles, tree)
+    edited = px.filter("layer_id < 4").withColumn("r", F.when((F.col("layer_id") == 2) & (F.col("x") < 0) & (F.col("y") < 0), 0.0).otherwise(F.col("r")))
+    changed = spark.createDataFrame([(2, -1, -1)], "layer_id int, tx int, ty int")
+    new = tc.to_tiles(edited)
+    got = recomposite(old.withColumn("px", F.col("px")), new, tree, changed)
+    near(image(tc.to_rows(got)), image(tc.to_rows(tc.composite(new, tree))))

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilestrata import fixtures as fx
 from tilestrata import oracles as sql
 from tilestrata import queries as base
 from tilestrata.fixtures import CANVAS, layer, pixels
 from tilestrata.functions import adjust, color
-from tilestrata.operators import brush, raster, retouch, selection, stencil, tiles, vector
+from tilestrata.operators import brush, raster, retouch, selection, stencil, tiles, vector, view
 from tilestrata.operators.tiles import Rect
 from tilestrata.oracles import FLAT, PX, SEL_A, L, R, inside, moved, rgba, stack, w
 from tilestrata.plans import history as h
+from tilestrata.plans import tree_tables
 from tilestrata.plans.tree import Layer, LayerTree
 from tilestrata.scratch import new_path
 from tilestrata.sources import native
@@ -80,6 +82,20 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("stroke_id") % 4).cast("int").alias("layer_id"), F.col("stroke_id").cast("int").alias("path"), "vertices", (F.col("stroke_id") % 2 == 0).alias("closed"), ink(0.2, 0.4, 0.6).alias("fill"), ink(0.9, 0.1, 0.3).alias("stroke"), (F.col("stroke_id") % 4).cast("double").alias("width"))
 
 
+def _forest(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, id, parent, idx, visible, opacity): documents are nations, groups market segments (ids below 0), leaves customers."""
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_custkey").cast("long").alias("id"), "c_mktsegment", F.col("c_acctbal").cast("double").alias("bal"))
+    group = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("c_mktsegment"))
+    c = c.withColumn("parent", -group.cast("long"))
+    leaves = c.select("doc_id", "id", "parent", (F.col("id") % 7).cast("long").alias("idx"), (F.col("id") % 5 > 0).alias("visible"), F.when(F.col("bal") < 0, 0.0).otherwise(1.0).alias("opacity"))
+    groups = c.select("doc_id", F.col("parent").alias("id")).distinct().select("doc_id", "id", F.lit(None).cast("long").alias("parent"), F.col("id").alias("idx"), (F.col("id") % 3 != 0).alias("visible"), F.lit(1.0).alias("opacity"))
+    return groups.unionByName(leaves)
+
+
+FOREST_SQL = [
+    "fc AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS BIGINT) AS id, -dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS parent, c_acctbal AS bal FROM customer)",
+    "fg AS (SELECT DISTINCT doc_id, parent AS id FROM fc)",
+]
 VECTOR_SQL = [
     f"st AS ({fx.STROKES_SQL})",
     "pv AS (SELECT stroke_id AS path, list({'x': CAST(floor(px) AS INT), 'y': CAST(floor(py) AS INT)} ORDER BY seq) AS v FROM st WHERE seq <= 5 GROUP BY 1)",
@@ -239,6 +255,18 @@ def queries() -> dict[str, Query]:
     q["unpremultiply"] = lambda s, d: base.show(pixels(s, d).select("layer_id", "x", "y", *raster.named(color.unpremultiply(*color.premultiply(*raster.pixel())))), "layer_id")
     q["sel_point"] = lambda s, d: selection.coverage_at(base._mask(s, d), 3, -4).select(base.rounded(F.col("cov")).alias("cov"))
     q["sel_tiles"] = lambda s, d: selection.selected_tiles(base._mask(s, d), 250, -7)
+    # views
+    views = lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 5000) * 0.75 - 1000.0).alias("pan_x"), (F.col("o_custkey") * -1.25).alias("pan_y"), ((F.col("o_orderkey") % 8 + 1) / 64.0).alias("zoom"), F.lit(1920).alias("w"), F.lit(1080).alias("h"))
+    q["visible_region"] = lambda s, d: view.visible_region(views(s, d).withColumn("zoom", F.col("zoom") / 8.0)).select("id", "x", "y", "vw", "vh")
+    there = lambda s, d: views(s, d).select("id", *[base.rounded(view.to_screen(F.col(c), 12.5, 0.25, 40.0)).alias(n) for c, n in (("pan_x", "sx"), ("pan_y", "sy"))], *[base.rounded(view.to_document(view.to_screen(F.col(c), 12.5, 0.25, 40.0), 12.5, 0.25, 40.0)).alias(n) for c, n in (("pan_x", "bx"), ("pan_y", "back_y"))])
+    q["screen_transform"] = there
+    q["grid_lines"] = lambda s, d: view.grid_lines(views(s, d).select("id", F.col("pan_x").alias("lo"), (F.col("pan_x") + 90.5).alias("hi")), 16).select("id", "at")
+    half = lambda px, r, k: tiles.stored(tiles.read_rect(px, r).select("x", "y", *[(1.0 - F.col(c)).alias(c) for c in "rgb"], "a"))
+    q["filter_preview"] = lambda s, d: base.show(view.preview(base._grey(s, d), half, 100_000))
+    # trees of many documents: a nation's customers in groups by market segment
+    q["render_order_many"] = lambda s, d: tree_tables.render_order(_forest(s, d)).select("doc_id", "pos", "id", "depth")
+    q["visible_leaves_many"] = lambda s, d: tree_tables.visible_leaves(_forest(s, d))
+    q["descendants_many"] = lambda s, d: tree_tables.descendants(_forest(s, d), _forest(s, d).filter("parent is null"))
     # streams and plug-ins
     q["latest_requests"] = lambda s, d: strokes.latest_requests(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.col("value").alias("payload")))
     q["changed_tiles"] = lambda s, d: strokes.changed_tiles(strokes.tile_signatures(pixels(s, d)), strokes.tile_signatures(pixels(s, d).filter("not (layer_id = 1 and x < 0 and y < 0)")))
@@ -314,6 +342,16 @@ def oracle_sql() -> dict[str, str]:
     q["unpremultiply"] = w(PX) + f"SELECT layer_id, {ALL} FROM px"
     q["sel_point"] = w(PX) + f"SELECT {R('coalesce(max(r), 0.0)', 'cov')} FROM px WHERE layer_id = 7 AND x = 3 AND y = -4"
     q["sel_tiles"] = w(PX) + "SELECT DISTINCT CAST(floor((x - 250) / 256.0) AS INT) AS tx, CAST(floor((y + 7) / 256.0) AS INT) AS ty FROM px WHERE layer_id = 7 AND r > 0"
+    view_sql = "vw AS (SELECT o_orderkey AS id, (o_orderkey % 5000) * 0.75::DOUBLE - 1000 AS px, o_custkey * -1.25::DOUBLE AS py, (o_orderkey % 8 + 1) / 64.0::DOUBLE AS zm FROM orders)"
+    span = lambda p, n: f"ceil({p} + {n} / (zm / 8)) - floor({p})"
+    cut_ = lambda p, n: f"CAST(floor({p}) + floor(greatest({span(p, n)} - 65536, 0) / 2) AS BIGINT)"
+    q["visible_region"] = w(view_sql) + f"SELECT id, {cut_('px', 1920)} AS x, {cut_('py', 1080)} AS y, CAST(least({span('px', 1920)}, 65536) AS BIGINT) AS vw, CAST(least({span('py', 1080)}, 65536) AS BIGINT) AS vh FROM vw"
+    q["screen_transform"] = w(view_sql) + f"SELECT id, {R('40 + (px - 12.5) * 0.25::DOUBLE', 'sx')}, {R('40 + (py - 12.5) * 0.25::DOUBLE', 'sy')}, {R('px', 'bx')}, {R('py', 'back_y')} FROM vw"
+    q["grid_lines"] = w(view_sql) + "SELECT id, unnest(range(CAST(floor(floor(px) / 16) * 16 AS BIGINT), CAST(floor(ceil(px + 90.5) / 16) * 16 AS BIGINT) + 1, 16)) AS at FROM vw"
+    q["filter_preview"] = w(sql.GREY) + f"SELECT x, y, {', '.join(R(f'1 - {c}', c) for c in 'rgb')}, {R('a', 'a')} FROM grey"
+    q["render_order_many"] = w(*FOREST_SQL, "fo AS (SELECT doc_id, id, 0 AS depth, id AS g, -1 AS i, 0 AS k FROM fg UNION ALL SELECT doc_id, id, 1, parent, id % 7, id FROM fc)") + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, depth, i, k) - 1 AS pos, id, depth FROM fo"
+    q["visible_leaves_many"] = w(*FOREST_SQL) + "SELECT doc_id, id FROM fc WHERE id % 5 > 0 AND bal >= 0 AND parent % 3 <> 0"
+    q["descendants_many"] = w(*FOREST_SQL) + "SELECT doc_id, parent AS root, id FROM fc"
     q["latest_requests"] = "SELECT event_type AS kind, max(event_id) AS id, arg_max(value, event_id) AS payload FROM events GROUP BY 1"
     q["changed_tiles"] = w(PX) + "SELECT DISTINCT CAST(floor(x / 256.0) AS INT) AS tx, CAST(floor(y / 256.0) AS INT) AS ty FROM px WHERE layer_id = 1 AND x < 0 AND y < 0"
     q["save_load_native"] = w(PX) + f"SELECT layer_id, {ALL} FROM px"

@@ -138,7 +138,7 @@ def composite(tiles: DataFrame, tree: LayerTree) -> DataFrame:
     """Tiles (tx, ty, px) of the composite of tiles (layer_id, tx, ty, px); masks and adjustments take plans/compositor.py."""
     if not can_composite(tree):
         raise ValueError("only raster layers and groups are composited as tiles")
-    moved = _offsets(tree)
+    moved = offsets(tree)
     shown = tiles.filter(F.col("layer_id").isin(list(moved)))
     if any(o != (0, 0) for o in moved.values()):
         shown = _placed(shown, {i: o for i, o in moved.items() if o != (0, 0)})
@@ -172,12 +172,13 @@ def _joined(parts: list[np.ndarray] | None) -> np.ndarray | None:
     return parts[0] if len(parts) == 1 else np.sum(parts, axis=0)
 
 
-def _offsets(tree: LayerTree, parent: int | None = None, dx: int = 0, dy: int = 0) -> dict[int, tuple[int, int]]:
+def offsets(tree: LayerTree, parent: int | None = None, dx: int = 0, dy: int = 0) -> dict[int, tuple[int, int]]:
+    """Where the layers that can show lie, groups above included."""
     out: dict[int, tuple[int, int]] = {}
     for x in tree.children(parent):
         if x.visible and x.opacity > 0:
             at = dx + x.dx, dy + x.dy
-            out |= _offsets(tree, x.id, *at) if x.kind == "group" else {x.id: at}
+            out |= offsets(tree, x.id, *at) if x.kind == "group" else {x.id: at}
     return out
 
 
