@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilestrata.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, ngram_join, quality_fm, sentencepiece_codec, sharding, url_filter, warc
+from tilestrata.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, ngram_join, quality_fm, sentencepiece_codec, sharding, token_alignment, url_filter, warc
 from tilestrata.llm.storage import scratch
 
 #: Rank file of op12 and the pattern that splits text before its merges (a fixed value of the vocabulary).
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Tokenizer file of op11's first side.
+TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Vocabulary file of op3, op5 and op11.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -83,6 +85,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER_PATH, model_path: str = MODEL_PATH) -> DataFrame:
+    a, b = token_alignment.read_file(tokenizer_path), token_alignment.read_file(model_path)
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b, columns=[F.col("doc_id")])
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH, pattern: str = RANKS_PATTERN) -> DataFrame:
     ranks = byte_bpe.read_ranks(ranks_path)
     out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, columns=[F.col("doc_id")]), ranks)
@@ -91,7 +98,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_lm_score, op4_warc, op5_sentencepiece, op6_ngram_join, op7_quality_fm, op8_exact_dedup, op9_decontamination, op10_url_filter, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_lm_score, op4_warc, op5_sentencepiece, op6_ngram_join, op7_quality_fm, op8_exact_dedup, op9_decontamination, op10_url_filter, op11_token_alignment, op12_byte_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
