@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilestrata.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, ngram_join, quality_fm, sentencepiece_codec, sharding, token_alignment, url_filter, warc
-from tilestrata.llm.storage import scratch
+from tilestrata.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, ngram_join, prefix_trie, quality_fm, sentencepiece_codec, sharding, token_alignment, url_filter, warc
+from tilestrata.llm.storage import cut, scratch
 
 #: Rank file of op12 and the pattern that splits text before its merges (a fixed value of the vocabulary).
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -97,8 +97,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = cut(prefix_trie.paths(table(spark, sf_dir, "conversations")), "paths")
+    return prefix_trie.nodes(prefix_trie.graft(convs, F.col("conv_id") - F.col("conv_id") % 5, fold("conv_id", 9).cast("int")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_lm_score, op4_warc, op5_sentencepiece, op6_ngram_join, op7_quality_fm, op8_exact_dedup, op9_decontamination, op10_url_filter, op11_token_alignment, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_lm_score, op4_warc, op5_sentencepiece, op6_ngram_join, op7_quality_fm, op8_exact_dedup, op9_decontamination, op10_url_filter, op11_token_alignment, op12_byte_bpe, op13_prefix_trie)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,4 +144,19 @@ hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(ra
 it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+        "op13_prefix_trie": """
+WITH o AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT) % 9 AS h FROM o),
+r AS (SELECT c.conv_id, coalesce(p.s[1:c.h], []) || c.s[c.h + 1:] AS s FROM h c LEFT JOIN o p ON p.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+k AS (SELECT conv_id, d, sha256(to_json(s[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(to_json(s[1:d - 1])::VARCHAR) END AS up, CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS b, len(s) = d AS e FROM m),
+n AS (SELECT k, any_value(d) AS d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(b) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (e), '')) AS ends FROM k GROUP BY k),
+c AS (SELECT up AS k, count(*) AS c FROM n WHERE up IS NOT NULL GROUP BY up),
+x AS (SELECT n.*, coalesce(c.c, 0) AS c FROM n LEFT JOIN c USING (k)),
+a AS (SELECT DISTINCT k.k AS top, l.k FROM k JOIN k l ON l.conv_id = k.conv_id AND l.d >= k.d),
+t AS (SELECT a.top AS k, sum(saved)::BIGINT AS saved, count(*) FILTER (x.c = 0) AS leaves FROM a JOIN x ON x.k = a.k GROUP BY a.top)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, x.c AS n_children, t.leaves AS n_leaves, t.saved AS saved_tokens, x.ends AS ends_sha256
+FROM x JOIN t USING (k) LEFT JOIN x p ON p.k = x.up""",
     }
