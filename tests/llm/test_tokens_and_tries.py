@@ -32,15 +32,15 @@ def odd(spark):
 
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.splitlines())}
-    return tiktoken.Encoding("own", pat_str=queries.RANKS_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_byte_bpe_is_the_library_s(spark, odd):
     code = encoding()
-    got = byte_bpe.decode(byte_bpe.encode(odd, RANKS, queries.RANKS_PATTERN, cut_first=True), RANKS).collect()
+    got = byte_bpe.decode(byte_bpe.encode(odd, RANKS, byte_bpe.PATTERN, cut_first=True), RANKS).collect()
     assert Counter((r["doc_id"], r["text"], tuple(r["token_ids"])) for r in got) == Counter((r["doc_id"], r["text"], tuple(code.encode_ordinary(r["text"] or ""))) for r in odd.collect())
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(r["token_ids"]) and r["row"] == "struct" and r["key.at"] == "seen" for r in got)
-    empty = byte_bpe.decode(byte_bpe.encode(odd.limit(0), RANKS, queries.RANKS_PATTERN), RANKS)
+    empty = byte_bpe.decode(byte_bpe.encode(odd.limit(0), RANKS, byte_bpe.PATTERN), RANKS)
     assert empty.count() == 0 and {"token_ids", "decoded", "key.at"} <= set(empty.columns)
 
 

@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Every task explodes its texts into pre-tokens with positions. Consecutive texts form a block of bounded size; a block
-   has a list of its distinct words, and a text's pre-tokens are positions in that list (packed, compressed).
+   has a list of its distinct words, frequent ones first, and a text's pre-tokens are places in that list (packed, compressed).
 2. The words of all blocks are shuffled by word and sorted, so that equal words of all blocks follow each other and each
-   distinct word is merged once, whatever its frequency; its ids go back to (block, place in the list).
+   distinct word is merged once, whatever its frequency; its ids go back to (block, place in the list), as many to a row as
+   the task has of a block among 2 ** 18 words.
 3. Ids and texts of a block meet by block, ids first; each text is put together by position while the block streams by.
 
-A word is at most once in a block, so a word that every text has is spread thinly: a block gives 2 ** 17 rows or more, a
-word one of them. Blocks are cut by size, so no key of the last shuffle is larger than a block (or one single text).
+A word is at most once in a block, so one that every text has is spread thinly: of a block's words it is a single row.
+Blocks are cut by size, so no key of the last shuffle is larger than a block (or one single text).
 
 The texts are read once for the words and once for the positions. Both must see the same rows in the same order, as a scan
 of files does; a block's key is a hash of its words and place, so a difference is an error, never a wrong result. With
@@ -25,11 +26,13 @@ bytes; null ids give null, an id beyond the vocabulary is an error.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -41,8 +44,12 @@ from pyspark.sql import types as T
 
 from tilestrata.llm.storage import cut
 
-#: A block ends with the text that reaches one of these: distinct words, distinct pieces between spaces, bytes of text.
-BLOCK_WORDS, BLOCK_PIECES, BLOCK_BYTES = 1 << 17, 1 << 18, 1 << 25
+#: The pattern of byte-level vocabularies, which splits text before the merges (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A block ends with the text that reaches one of these: distinct words, characters.
+BLOCK_WORDS, BLOCK_CHARS = 1 << 19, 1 << 25
+#: Pieces between spaces that are kept, and words whose ids are sorted by block at once.
+KEPT_PIECES, AT_ONCE = 1 << 18, 1 << 18
 #: Ids of a batch of results.
 BATCH_IDS = 1 << 20
 
@@ -124,20 +131,30 @@ class _Block:
         if not text:
             self.texts.append(b"")
             return
+        if len(self.led) + len(self.bare) > KEPT_PIECES:
+            self.led, self.bare = {}, {}
         first, *rest = pieces(text)
         led, split = self.led, self._split
         out = [self.bare.get(first) or split(self.bare, first, "")] if first else []
         out += [led[p] if p in led else split(led, p, " ") for p in rest]
-        self.texts.append(pack(np.frombuffer(b"".join(out), np.uint32)))
+        self.texts.append(b"".join(out))
         self.size += len(text)
 
     def full(self) -> bool:
-        return len(self.words) >= BLOCK_WORDS or len(self.led) >= BLOCK_PIECES or self.size >= BLOCK_BYTES
+        return len(self.words) >= BLOCK_WORDS or self.size >= BLOCK_CHARS
+
+    def order(self) -> np.ndarray:
+        """Place of each word in the list, by frequency (the first of equally frequent ones first)."""
+        counts = np.zeros(len(self.words), np.int64)
+        for t in self.texts:
+            np.add.at(counts, np.frombuffer(t, np.uint32), 1)
+        out = np.empty(len(counts), np.int32)
+        out[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+        return out
 
     def key(self, part: int, number: int) -> int:
-        h = xxhash.xxh64(f"{part} {number} {len(self.texts)}".encode())
-        for w in self.words:
-            h.update(w.encode() + b"\xff")
+        h = xxhash.xxh64(f"{part} {number} {len(self.texts)} {sum(map(len, self.texts))} ".encode())
+        h.update(b"\xff".join([w.encode() for w in self.words]))
         return h.intdigest() - (1 << 63)
 
 
@@ -166,43 +183,62 @@ def _words(df: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block, _ in _blocks(batches, pattern, carry=False):
-            words = pa.array([w.encode() for w in block.words], pa.binary())
-            n = len(words)
-            for lo in range(0, n, 1 << 15):
-                hi = min(n, lo + (1 << 15))
-                yield pa.RecordBatch.from_arrays([words[lo:hi], pa.array(np.full(hi - lo, key)), pa.array(np.arange(lo, hi, dtype=np.int32))], names=["word", "block", "at"])
+            words = pa.array([w.encode() for w in block.words], pa.large_binary())
+            near = pc.sort_indices(words)  # neighbours that begin alike take less room
+            place = block.order()[near.to_numpy()]
+            for lo in range(0, len(near), 1 << 15):
+                some = near[lo : lo + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([words.take(some).cast(pa.binary()), pa.array(np.full(len(some), key)), pa.array(place[lo : lo + (1 << 15)])], names=["word", "block", "at"])
 
     return df.select("text").mapInArrow(run, "word binary, block long, at int")
 
 
+def _by_block(block: np.ndarray, at: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    """One row for each block: its words' places, numbers of ids and ids, packed."""
+    order = np.lexsort((at, block))
+    block, at, ids = block[order], at[order], [ids[i] for i in order.tolist()]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    cuts = [*np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))).tolist(), len(block)]
+    rows = []
+    for lo, hi in itertools.pairwise(cuts):
+        step = np.diff(at[lo:hi], prepend=0)
+        rows.append(pack(np.concatenate(([hi - lo], step, size[lo:hi], np.frombuffer(b"".join(ids[lo:hi]), np.int32)))))
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(np.full(len(rows), -1, np.int32)), pa.array(rows, pa.binary())], names=["block", "at", "ids"])
+
+
 def _ids(words: DataFrame, send) -> DataFrame:
-    """(block, at, ids): words in sorted order; a run of equal words is merged once."""
+    """(block, -1, ids): words in sorted order; a run of equal words is merged once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge, last, got = encoder(send.value).word, None, b""
+        held, out = [], []
         for b in batches:
-            out = []
             for w in b.column("word").to_pylist():
                 if w != last:
                     last, got = w, np.array(merge(w), np.int32).tobytes()
                 out.append(got)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array(out, pa.binary())], names=["block", "at", "ids"])
+            held.append((b.column("block").to_numpy(), b.column("at").to_numpy()))
+            if len(out) >= AT_ONCE:
+                yield _by_block(*map(np.concatenate, zip(*held, strict=True)), out)
+                held, out = [], []
+        if out:
+            yield _by_block(*map(np.concatenate, zip(*held, strict=True)), out)
 
     return words.repartition("word").sortWithinPartitions("word").select("block", "at", "word").mapInArrow(run, "block long, at int, ids binary")
 
 
 def _positions(df: DataFrame, pattern: str) -> DataFrame:
-    """(block, at, ids, n_words, row): every text as packed places in its block's list; at counts on from the list's end."""
+    """(block, at, ids, n_words, row): every text as packed places in its block's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block, rows in _blocks(batches, pattern, carry=True):
-            at, n = 0, len(block.words)
+            at, n, order = 0, len(block.words), block.order()
             for b in rows:
                 for lo in range(0, b.num_rows, 256):
                     part = b.slice(lo, 256)
                     k = part.num_rows
-                    packed = pa.array(block.texts[at : at + k], pa.binary())
-                    place = np.arange(n + at, n + at + k, dtype=np.int32)
+                    packed = pa.array([pack(order[np.frombuffer(t, np.uint32)]) if t else b"" for t in block.texts[at : at + k]], pa.binary())
+                    place = np.arange(at, at + k, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array(place), packed, pa.array(np.full(k, n, np.int32)), part.column(0)], names=["block", "at", "ids", "n_words", "row"])
                     at += k
 
@@ -210,23 +246,38 @@ def _positions(df: DataFrame, pattern: str) -> DataFrame:
     return df.select("row", "text").mapInArrow(run, schema)
 
 
+def _listed(packed: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of a block's words one after another, where each word's start)."""
+    at, size, ids = [], [], []
+    for x in map(unpack, packed):
+        k = int(x[0])
+        at.append(np.cumsum(x[1 : k + 1], dtype=np.int64))
+        size.append(x[k + 1 : 2 * k + 1].astype(np.int64))
+        ids.append(x[2 * k + 1 :].astype(np.int32))
+    at, size, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, size, ids))
+    order = np.argsort(at)
+    if not np.array_equal(at[order], np.arange(n)):
+        raise RuntimeError("the input's rows came in another order the second time; encode with cut_first=True")
+    start = (np.cumsum(size) - size)[order]
+    size = size[order]
+    ends = np.cumsum(size)
+    return ids[np.arange(ends[-1] if n else 0) + np.repeat(start - ends + size, size)], np.concatenate((np.zeros(1, np.int64), ends))
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block and place: the ids of a block's words, then its texts."""
     block, lists, flat, start = None, [], None, None
     for b in batches:
         out: list[bytes] = []
         texts = b.column("n_words").is_valid().to_numpy(zero_copy_only=False)
-        for i, (key, packed, n) in enumerate(zip(b.column("block").to_pylist(), b.column("ids"), b.column("n_words").to_pylist(), strict=True)):
+        for key, packed, n in zip(b.column("block").to_pylist(), b.column("ids"), b.column("n_words").to_pylist(), strict=True):
             if key != block:
                 block, lists, flat = key, [], None
             if n is None:
                 lists.append(packed.as_py())
                 continue
             if flat is None:
-                if len(lists) != n:
-                    raise RuntimeError("the input's rows came in another order the second time; encode with cut_first=True")
-                sizes = np.fromiter(map(len, lists), np.int64, n) // 4
-                flat, start, lists = np.frombuffer(b"".join(lists), np.int32), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), []
+                (flat, start), lists = _listed(lists, n), []
             packed = packed.as_py()
             if not packed:
                 out.append(b"")

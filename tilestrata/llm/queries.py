@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tilestrata.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, ngram_join, prefix_trie, quality_fm, sentencepiece_codec, sharding, token_alignment, url_filter, warc
 from tilestrata.llm.storage import cut, scratch
 
-#: Rank file of op12 and the pattern that splits text before its merges (a fixed value of the vocabulary).
+#: Rank file of op12.
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokenizer file of op11's first side.
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Vocabulary file of op3, op5 and op11.
@@ -90,7 +89,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str, tokenizer_path: str =
     return token_alignment.align(table(spark, sf_dir, "documents"), a, b, columns=[F.col("doc_id")])
 
 
-def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH, pattern: str = RANKS_PATTERN) -> DataFrame:
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH, pattern: str = byte_bpe.PATTERN) -> DataFrame:
     ranks = byte_bpe.read_ranks(ranks_path)
     out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, columns=[F.col("doc_id")]), ranks)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
