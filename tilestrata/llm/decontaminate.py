@@ -17,9 +17,9 @@ and loses nothing. A document is never joined with all windows, and the words of
 document are never shuffled: only verified spans are.
 
 Defined results: null and empty texts have no words, are never hit, and items without
-words have no windows; equal windows of several items count for each of them; rows that
-repeat a doc_id share its hits; rows with a null doc_id have words but no hits, since nothing names them; an empty benchmark leaves all documents clean; other columns
-are not read.
+words have no windows; equal windows of several items count for each of them; every row is judged by its own text, whether
+its id is repeated or null (rows go by the MD5 of id and text, 128 bits; rows equal in both have equal results); an empty
+benchmark leaves all documents clean; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilestrata.llm.storage import cut, small
+from tilestrata.llm.storage import cut, fresh, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of ASCII letters, digits and everything beyond ASCII.
@@ -71,24 +71,37 @@ def occurrences(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str,
     return reduce(DataFrame.unionByName, found)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, block_windows: int = 200_000) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
+def row_key(id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text, null told apart from empty."""
+    name = F.coalesce(id.cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.when(id.isNull(), F.lit("-")).otherwise(F.octet_length(name).cast("string")), F.lit(":"), name, F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def _hit(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, window: int, block_windows: int) -> DataFrame:
+    """(doc, n_hit, item_ids) by the keys of rows that hold a window."""
     pairs = windows_of(items, item_col, text_col, window)
-    windows = cut(pairs.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("win_id", F.monotonically_increasing_id()), "windows")
-    hits = cut(occurrences(docs, windows.select("win_id", "win"), id_col, text_col, block_windows), "hits")
+    windows = cut(pairs.select("win").distinct().withColumn("win_id", F.monotonically_increasing_id()), "windows")
+    held_by = cut(pairs.join(windows, "win").select("win_id", "item"), "window-items")
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
+    hits = cut(occurrences(keyed, windows, "doc", "text", block_windows), "hits")
     # spans of a document in order; each adds what lies beyond the furthest end so far
     spans = hits.select("doc", "start", "len").distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("s"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     grow = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n"))
     hit = spans.select("doc", F.aggregate("s", zero, grow)["n"].alias("n_hit"))
-    named = hits.select("doc", "win_id").distinct().join(windows.select("win_id", F.explode("items").alias("item")), "win_id")
+    named = hits.select("doc", "win_id").distinct().join(held_by, "win_id")
     named = named.select("doc", F.col("item").cast("string").alias("item")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    per_doc = hit.join(named, "doc")
-    size = docs.select(F.col(id_col).alias("doc"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    return hit.join(named, "doc")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, block_windows: int = 200_000) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
+    per_doc = _hit(docs, items, id_col, text_col, item_col, window, block_windows)
+    size = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("doc"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     out = size.join(per_doc, "doc", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        F.col("doc").alias(id_col),
+        F.col("_id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
@@ -97,14 +110,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold a benchmark window; all columns of docs. An id that repeats goes with any of its texts; rows without an id go by their text."""
-    bad = small(decontaminate(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("_bad")))
-    out = docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
-    mark = lambda df: F.md5(F.coalesce(df[text_col].cast("string"), F.lit("")))
-    nameless = docs.filter(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return out
-    nameless = nameless.select(mark(docs).alias("_mark"), F.col(text_col).alias(text_col)).dropDuplicates(["_mark"])
-    bad = decontaminate(nameless, items, "_mark", text_col, **options).filter("contaminated").select(F.col("_mark").alias("_bad"))
-    return out.join(bad, docs[id_col].isNull() & (mark(docs) == bad["_bad"]), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 10, block_windows: int = 200_000) -> DataFrame:
+    """docs without the rows that hold a benchmark window; all columns of docs."""
+    own = fresh("_bad", docs.columns)
+    bad = small(_hit(docs, items, id_col, text_col, item_col, window, block_windows).select(F.col("doc").alias(own)))
+    return docs.join(bad, row_key(docs[id_col], docs[text_col]) == bad[own], "left_anti")

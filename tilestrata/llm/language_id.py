@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tilestrata.llm.storage import fresh
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
@@ -313,8 +315,8 @@ class Verdict:
 def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text", columns: list[Column] | None = None) -> DataFrame:
     """columns of df (all by default), with lang_pred, score, bits (bits a symbol of the winner) and excess (bits without the first phrase, which no text can save)."""
     taken = set(df.columns)
-    new = {c: c if c not in taken or columns is not None else f"_{c}" for c in ("lang_pred", "score", "bits", "excess")}
-    shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns]), F.col(text_col).cast("string").alias("_langid_text"))
+    new = {c: c if c not in taken or columns is not None else fresh(f"_{c}", df.columns) for c in ("lang_pred", "score", "bits", "excess")}
+    shown = df.select(F.struct(*(columns if columns is not None else [F.col(f"`{c}`") for c in df.columns])).alias("row"), F.col(text_col).cast("string").alias("text"))
     send = df.sparkSession.sparkContext.broadcast(blocks(samples))
     names = list(new.values())
 
@@ -356,10 +358,10 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str
             for verdict, b in zip(verdicts, pa.ipc.open_stream(file), strict=True):
                 yield judged(b, verdict)
 
-    schema = shown.drop("_langid_text").schema
+    schema = shown.drop("text").schema
     for name, kind in zip(names, ("string", "double", "double", "double"), strict=True):
         schema = schema.add(name, kind)
-    return shown.mapInArrow(run, schema)
+    return shown.mapInArrow(run, schema).select("row.*", *names)
 
 
 def letter_bits(sample: str) -> float:

@@ -172,7 +172,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", chars_col: str
     """columns of df (all by default) with quality_score, 0 to 1. A model that learned from chars_col takes 0 characters where df has no such column."""
     learned = len(model.edges) > STATS
     chars_col = chars_col if chars_col in df.columns else None
-    shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns if c != "quality_score"]), F.col(text_col).cast("string").alias("_fm_text"), F.coalesce(_chars(df, chars_col), F.lit(0.0)).alias("_fm_chars"))
+    shown = columns if columns is not None else [F.col(f"`{c}`") for c in df.columns if c != "quality_score"]
+    shown = df.select(F.struct(*shown).alias("row"), F.col(text_col).cast("string").alias("text"), F.coalesce(_chars(df, chars_col), F.lit(0.0)).alias("chars"))
     send = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +184,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", chars_col: str
                 s = send.value.predict(b.column(k), b.column(k + 1).to_numpy(zero_copy_only=False) if learned else None)
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(k)], pa.array(s)], names=[*b.schema.names[:k], "quality_score"])
 
-    return shown.mapInArrow(run, shown.drop("_fm_text", "_fm_chars").schema.add("quality_score", "double"))
+    return shown.mapInArrow(run, shown.drop("text", "chars").schema.add("quality_score", "double")).select("row.*", "quality_score")

@@ -194,7 +194,8 @@ def read_model(path: str) -> bytes:
 
 def encode(df: DataFrame, model: bytes, text_col: str = "text", columns: list[Column] | None = None) -> DataFrame:
     """columns of df (all by default) with token_ids, n_tokens and round_trip (whether decoding gives the text again)."""
-    shown = df.select(*(columns if columns is not None else [F.col(c) for c in df.columns if c not in ("token_ids", "n_tokens", "round_trip")]), F.col(text_col).cast("string").alias("_codec_text"))
+    shown = columns if columns is not None else [F.col(f"`{c}`") for c in df.columns if c not in ("token_ids", "n_tokens", "round_trip")]
+    shown = df.select(F.struct(*shown).alias("row"), F.col(text_col).cast("string").alias("text"))
     send = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +213,13 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", columns: list[Co
                 cols = [b.column(i) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, flat, pa.array(sizes), pa.array(same)], names=[*b.schema.names[:-1], "token_ids", "n_tokens", "round_trip"])
 
-    schema = shown.drop("_codec_text").schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "integer").add("round_trip", "boolean")
-    return shown.mapInArrow(run, schema)
+    schema = shown.drop("text").schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "integer").add("round_trip", "boolean")
+    return shown.mapInArrow(run, schema).select("row.*", "token_ids", "n_tokens", "round_trip")
 
 
 def decode(df: DataFrame, model: bytes, ids_col: str = "token_ids", name: str = "decoded") -> DataFrame:
     """df with the text of ids_col; null ids give null."""
-    shown = df.select(*[F.col(c) for c in df.columns if c != name], F.col(ids_col).cast("array<int>").alias("_codec_ids"))
+    shown = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("row"), F.col(ids_col).cast("array<int>").alias("ids"))
     send = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,4 +228,4 @@ def decode(df: DataFrame, model: bytes, ids_col: str = "token_ids", name: str =
             texts = [None if x is None else c.decode(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], name])
 
-    return shown.mapInArrow(run, shown.drop("_codec_ids").schema.add(name, "string"))
+    return shown.mapInArrow(run, shown.drop("ids").schema.add(name, "string")).select("row.*", f"`{name}`")

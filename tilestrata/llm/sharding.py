@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilestrata.llm.storage import shared_dir
+from tilestrata.llm.storage import fresh, shared_dir
 
 
 def _positions(rows: DataFrame, before: dict[int, tuple[int, int]]) -> DataFrame:
@@ -104,8 +104,9 @@ def _cuts(placed: DataFrame, rows: DataFrame, total: int, n: int, share: float)
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with shard and slot, written under path by shard, each file sorted by slot; returns what was written."""
-    plan = byte_shards(df, n_shards, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    out = df.join(plan, df[id_col].eqNullSafe(plan["_id"])).drop(plan["_id"])
-    out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    """df with _shard and _slot (with more underscores after them where df has such columns), written under path by shard, each file sorted by slot; returns what was written."""
+    own, shard, slot = (fresh(c, df.columns) for c in ("_id", "_shard", "_slot"))
+    plan = byte_shards(df, n_shards, id_col, text_col).select(F.col(id_col).alias(own), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out = df.join(plan, df[id_col].eqNullSafe(plan[own])).drop(plan[own])
+    out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -46,6 +46,14 @@ def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with underscores after it, so that no column has it (names are told apart without case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs started inside send at most so many rows in an Arrow batch, which bounds a worker's memory where rows are wide."""

@@ -59,18 +59,19 @@ def _line(name: str, value: Column) -> Column:
 
 def write_warc(df: DataFrame, path: str, id_col: str, url_col: str | None, payload_col: str, date: str = "1970-01-01T00:00:00Z", least_bytes: int = 1000) -> None:
     """Writes a record per row of df."""
-    rows = mark_revisits(df, id_col, payload_col, least_bytes)
-    again = F.col("_stays").isNotNull() & ~F.col("_stays").eqNullSafe(F.col(id_col))
+    df = df.select(F.col(id_col).alias("id"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"), F.col(payload_col).alias("payload"))
+    rows = mark_revisits(df, "id", "payload", least_bytes)
+    again = F.col("_stays").isNotNull() & ~F.col("_stays").eqNullSafe(F.col("id"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     name = lambda c: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("_bytes").cast("string"), F.lit(END * 2))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("_payload")))
-    url = F.replace(F.replace(F.col(url_col).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")) if url_col else F.lit(None).cast("string")
+    url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     profile = F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     head = F.concat(
         F.lit(VERSION + END),
         _line("WARC-Type", kind),
-        _line("WARC-Record-ID", name(F.col(id_col))),
+        _line("WARC-Record-ID", name(F.col("id"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", url),
         _line("WARC-Refers-To", F.when(again, name(F.col("_stays")))),
