@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -39,14 +40,14 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from tilestrata.llm import byte_bpe
-from tilestrata.llm.sentencepiece_codec import MARK, Codec
+from tilestrata.llm.sentencepiece_codec import MARK, Vocabulary
 from tilestrata.llm.storage import cut
 
 #: Events of a run, and events that the machine turns into groups at once.
 RUN, AT_ONCE = 4096, 1 << 19
 #: Pairs whose counts are sent to all tasks (17 bytes each); more are joined by shuffle.
 MOST_PAIRS = 1 << 22
-#: Bytes of pieces and ids that a worker keeps.
+#: Bytes of pieces and ids that a worker keeps in each of two generations.
 CACHE_BYTES = 1 << 25
 #: Texts of one block.
 BLOCK_BITS = 16
@@ -56,24 +57,41 @@ _loaded: dict[int, "Pair"] = {}
 
 
 class ByteBPE:
-    """A tokenizer file of byte-level BPE, without its special tokens."""
+    """A tokenizer file of byte-level BPE, without its special tokens.
+
+    The file lists merges, the encoder takes ranks of tokens. Both agree on all texts if every token, merged from its bytes by the
+    file's list, gives itself: tokens that stay side by side in some text do so where they stand alone, so no two of them
+    spell a third. The driver checks that (confirm), and that merges are in the order of ids and each byte has a token.
+    """
 
     def __init__(self, data: bytes) -> None:
-        spec = json.loads(data)
-        self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
+        self.data, spec = data, json.loads(data)
+        self.merges = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
+        pre = spec["pre_tokenizer"] or {}
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError("only byte-level files that split by the pattern and change nothing are supported")
         # printable stand-ins of bytes in the file: bytes that print stand for themselves, others for 256, 257, ...
         prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in prints]
         byte = {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
-        vocabulary = spec["model"]["vocab"]
-        self.raw = [b""] * (max(vocabulary.values(), default=-1) + 1)
-        for token, i in vocabulary.items():
+        self.ids = spec["model"]["vocab"]
+        self.raw = [b""] * (max(self.ids.values(), default=-1) + 1)
+        for token, i in self.ids.items():
             self.raw[i] = bytes(byte[c] for c in token)
+        ranks = {x: i for i, x in enumerate(self.raw) if x}
+        self.one = tiktoken.Encoding("file", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def confirm(self) -> None:
+        model = Tokenizer.from_str(self.data.decode()).model
+        order = [self.ids[x + y] for x, y in self.merges]
+        if order != sorted(order) or {x for x in self.raw if len(x) == 1} != {bytes([b]) for b in range(256)}:
+            raise ValueError("merges must be in the order of their ids, and every byte must have one")
+        if any([t.id for t in model.tokenize(token)] != [i] for token, i in self.ids.items()):
+            raise ValueError("a token's merges don't give the token")
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+        one = self.one
+        return [one(" " + p) for p in pieces]
 
 
 class PieceBPE:
@@ -81,7 +99,7 @@ class PieceBPE:
 
     def __init__(self, data: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
-        v = Codec(data).vocabulary
+        v = Vocabulary(data)
         if not (v.by_word and v.dummy_prefix):
             raise ValueError("pieces must not continue after a space, and the model must add one in front")
         self.raw = [p.replace(MARK, " ").encode() for p in v.pieces]
@@ -99,6 +117,7 @@ class Pair:
     def __init__(self, a: bytes, b: bytes) -> None:
         self.sides = ByteBPE(a), PieceBPE(b)
         self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
         self.size = 0
 
     def sizes(self) -> list[np.ndarray]:
@@ -106,21 +125,23 @@ class Pair:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides for each text; none where a side doesn't give the text back."""
-        if self.size > CACHE_BYTES:
-            self.kept, self.size = {}, 0
-        kept = self.kept
+        if self.size > CACHE_BYTES:  # pieces not met since the last time go
+            self.before, self.kept, self.size = self.kept, {}, 0
+        kept, before, raw = self.kept, self.before, self.sides[1].raw
         parts = [byte_bpe.pieces(" " + t) if t else [] for t in texts]
         for p in parts:  # a text of its own starts with an empty piece, or else with a piece that keeps its space
             if p:
                 p[0] = p[0][1:]
                 if len(p) > 1 and not p[0]:
                     del p[0]
-        new = list({x for p in parts for x in p if x not in kept})
+        new = {x for p in parts for x in p if x not in kept}
+        kept.update((x, before[x]) for x in new if x in before)
+        self.size += 250 * len(new)
+        new = [x for x in new if x not in kept]
         for piece, *ids in zip(new, *(s.encode(new) for s in self.sides), strict=True):
-            want = b" " + piece.encode()
-            same = all(b"".join([s.raw[i] for i in x]) == want for s, x in zip(self.sides, ids, strict=True))
+            same = b"".join([raw[i] for i in ids[1]]) == b" " + piece.encode()  # A has every byte and gives all back
             kept[piece] = tuple(np.array(x, np.int32).tobytes() for x in ids) if same else None
-            self.size += len(piece) + 4 * (len(ids[0]) + len(ids[1])) + 200
+            self.size += len(piece) + 4 * (len(ids[0]) + len(ids[1]))
         none = np.zeros(0, np.int32)
         for p in parts:
             got = [kept[x] for x in p]
@@ -411,6 +432,8 @@ def align(df: DataFrame, a: bytes, b: bytes, text_col: str = "text", columns: li
     """columns of df (all by default) with RESULTS. a: a byte-level BPE's tokenizer file, b: a piece model that adds a space in front; A encodes a space and the text."""
     shown = columns if columns is not None else [F.col(f"`{c}`") for c in df.columns if c not in RESULTS]
     texts = df.select(F.struct(*shown).alias("row"), F.col(text_col).cast("string").alias("text"))
-    sizes = Pair(a, b).sizes()
+    tokenizers = Pair(a, b)
+    tokenizers.sides[0].confirm()
+    sizes = tokenizers.sizes()
     blocks = cut(sweep(end_events(texts, df.sparkSession.sparkContext.broadcast((a, b))), sizes), "aligned-blocks")
     return weighed(blocks, len(sizes[1]), most_pairs).select("row.*", *RESULTS)
