@@ -7,12 +7,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tilestrata import command_queries, document_queries, oracles, wide_queries
+from tilestrata import command_queries, document_queries, oracles, path_queries, wide_queries
 from tilestrata import queries as raster_queries
 
 SF = "/root/testdata/sf0.001"
-SQL = oracles.oracle_sql() | command_queries.oracle_sql() | wide_queries.oracle_sql() | document_queries.oracle_sql()
-QUERIES = raster_queries.queries() | command_queries.queries() | wide_queries.queries() | document_queries.queries()
+SQL = oracles.oracle_sql() | command_queries.oracle_sql() | wide_queries.oracle_sql() | document_queries.oracle_sql() | path_queries.oracle_sql()
+QUERIES = raster_queries.queries() | command_queries.queries() | wide_queries.queries() | document_queries.queries() | path_queries.queries()
 
 
 @pytest.fixture(scope="module")
