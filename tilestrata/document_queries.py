@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilestrata import fixtures as fx
 from tilestrata import queries as base
+from tilestrata import wide_queries as wide
+from tilestrata.operators.tiles import Rect
 from tilestrata.oracles import R, rgba, w
 from tilestrata.plans import forest, oplog
+from tilestrata.plans.history import Document
+from tilestrata.scratch import new_path
+from tilestrata.sources import native
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT, VERSION = 12, 30
@@ -125,8 +132,35 @@ def _folded(rows: str, group: str, order: str) -> str:
     return f"SELECT {group}, list_reduce([{zero}] || list({one} ORDER BY {order}), lambda acc, e: {{{fields}, 'mode': 'normal', 'op': 1.0::DOUBLE, 'adj': false}}) AS p FROM ({rows}) GROUP BY ALL"
 
 
+def _saved(s: SparkSession, d: str) -> DataFrame:
+    """A document with masks, a selection and vector paths of all strokes, saved as the second version and loaded: every row of its tables."""
+    px = wide.pixels(s, d)
+    vertices = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.floor("px").cast("int").alias("x"), F.floor("py").cast("int").alias("y")))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    ink = F.struct(*[F.lit(0.5).alias(c) for c in "rgba"])
+    paths = fx.strokes(s, d).groupBy("stroke_id").agg(vertices.alias("vertices")).select((1 + F.col("stroke_id") % 7).cast("int").alias("layer_id"), F.col("stroke_id").cast("int").alias("path"), "vertices", F.lit(True).alias("closed"), ink.alias("fill"), ink.alias("stroke"), F.lit(1.0).alias("width"))
+    masks = px.filter("layer_id IN (2, 5)").select("layer_id", "x", "y", F.col("g").alias("cov"))
+    chosen = px.filter("layer_id = 7").select("x", "y", F.col("b").alias("cov"))
+    canvas = Rect(0, 0, native.MAX_SIDE, 8)
+    where = new_path(s, "document")
+    native.save(Document(canvas, fx.tree(), px.limit(0), masks.limit(0)), where)
+    native.save(Document(canvas, fx.tree(), px, masks, chosen, paths=paths, masked=frozenset({2, 5})), where)
+    back = native.load(s, where)
+    part = lambda df, name, layer, v: df.select(F.lit(name).alias("part"), layer.cast("int").alias("layer_id"), "x", "y", base.rounded(v).alias("v"))
+    corners = back.paths.select("layer_id", "path", F.posexplode("vertices").alias("k", "c")).select("layer_id", F.col("c.x").alias("x"), F.col("c.y").alias("y"), (F.col("path") * 1000 + F.col("k")).alias("v"))
+    rows = [part(back.pixels, c, F.col("layer_id"), F.col(c)) for c in "rgba"] + [part(back.masks, "mask", F.col("layer_id"), F.col("cov")), part(back.selection, "selection", F.lit(0), F.col("cov")), part(corners, "path", F.col("layer_id"), F.col("v"))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+SAVED_SQL = (
+    w(wide.WIDE, f"st AS ({fx.STROKES_SQL})")
+    + " UNION ALL ".join(f"SELECT '{c}' AS part, layer_id, x, y, {R(c, 'v')} FROM px" for c in "rgba")
+    + f" UNION ALL SELECT 'mask', layer_id, x, y, {R('g', 'v')} FROM px WHERE layer_id IN (2, 5) UNION ALL SELECT 'selection', 0, x, y, {R('b', 'v')} FROM px WHERE layer_id = 7 AND x < 8192"
+    + f" UNION ALL SELECT 'path', CAST(1 + stroke_id % 7 AS INT), CAST(floor(px) AS INT), CAST(floor(py) AS INT), {R('stroke_id * 1000 + seq - 1', 'v')} FROM st"
+)
+
+
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {}
+    q: dict[str, Query] = {"save_load_document": _saved}
     q["oplog_active"] = lambda s, d: active(s, d).select("doc_id", "seq", "step", "op")
     q["oplog_as_of"] = lambda s, d: oplog.at(oplog.resolved(log(s, d), LIMIT), VERSION).select("doc_id", "seq", "step", "op")
     q["oplog_layers"] = lambda s, d: oplog.layers(active(s, d), trees(s, d))
@@ -177,7 +211,7 @@ PIXELS_SQL = [
 
 
 def oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {}
+    q: dict[str, str] = {"save_load_document": SAVED_SQL}
     machine = [LOG_SQL, STACKS_SQL]
     q["oplog_active"] = w(*machine, NOW) + "SELECT doc_id, seq, step, op FROM now"
     q["oplog_as_of"] = w(*machine, _held_sql(str(VERSION), "held")) + "SELECT doc_id, seq, step, op FROM held"
