@@ -17,7 +17,7 @@ from tilestrata.oracles import R, rgba, w
 from tilestrata.plans import forest, oplog
 from tilestrata.plans.history import Document
 from tilestrata.scratch import new_path
-from tilestrata.sources import native
+from tilestrata.sources import large_raster, native
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT, VERSION = 12, 30
@@ -159,8 +159,18 @@ SAVED_SQL = (
 )
 
 
+def _tiffs(s: SparkSession, d: str) -> DataFrame:
+    """Each layer written as an image of strips and read again by its strips."""
+    px = wide.pixels(s, d)
+    size = px.agg(F.max("x")).first()[0] or 0
+    where = new_path(s, "images")
+    large_raster.write_tiffs(px, where, "layer_id", Rect(0, 0, size + 1, 8)).count()
+    back = large_raster.read(large_raster.blocks(s, where)).filter("a > 0")
+    return base.show(back.withColumn("layer_id", F.regexp_extract("file", r"(\d+)\.tif$", 1).cast("int")), "layer_id")
+
+
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {"save_load_document": _saved}
+    q: dict[str, Query] = {"save_load_document": _saved, "tiff_strips": _tiffs}
     q["oplog_active"] = lambda s, d: active(s, d).select("doc_id", "seq", "step", "op")
     q["oplog_as_of"] = lambda s, d: oplog.at(oplog.resolved(log(s, d), LIMIT), VERSION).select("doc_id", "seq", "step", "op")
     q["oplog_layers"] = lambda s, d: oplog.layers(active(s, d), trees(s, d))
@@ -211,7 +221,7 @@ PIXELS_SQL = [
 
 
 def oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {"save_load_document": SAVED_SQL}
+    q: dict[str, str] = {"save_load_document": SAVED_SQL, "tiff_strips": w(wide.WIDE) + f"SELECT layer_id, x, y, {rgba()} FROM px WHERE a > 0"}
     machine = [LOG_SQL, STACKS_SQL]
     q["oplog_active"] = w(*machine, NOW) + "SELECT doc_id, seq, step, op FROM now"
     q["oplog_as_of"] = w(*machine, _held_sql(str(VERSION), "held")) + "SELECT doc_id, seq, step, op FROM held"

@@ -1,4 +1,4 @@
-"""PNG and SVG images, with the standard library only: 8- and 16-bit grey, RGB and RGBA without interlacing."""
+"""PNG and SVG images, with the standard library only: grey and palettes of 1 to 8 bits, grey, RGB and RGBA of 8 and 16, without interlacing."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from tilestrata.operators.tiles import Rect, read_rect
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels of the colour types (fixed values of the format).
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+PALETTE = 3
 MAX_SIDE = 8192
 
 
@@ -33,10 +34,10 @@ def encode(px: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """(h, w, channels) of uint8 or uint16."""
+    """(h, w, channels) of uint8 or uint16; palettes give RGBA."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, body, head = 8, b"", None
+    at, body, head, table, clear = 8, b"", None, b"", b""
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
@@ -44,14 +45,19 @@ def decode(data: bytes) -> np.ndarray:
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
             body += part
+        elif kind == b"PLTE":
+            table = part
+        elif kind == b"tRNS":
+            clear = part
         elif kind == b"IEND":
             break
         at += n + 12
-    if head is None or head[2] not in (8, 16) or head[3] not in CHANNELS or head[6] or max(head[:2]) > MAX_SIDE or not min(head[:2]):
+    if head is None or head[2] not in ((1, 2, 4, 8) if head[3] == PALETTE else (1, 2, 4, 8, 16) if head[3] == 0 else (8, 16)) or head[3] not in (*CHANNELS, PALETTE) or head[6] or max(head[:2]) > MAX_SIDE or not min(head[:2]):
         raise ValueError("this kind of PNG is not supported")
     w, h, bits, kind = head[:4]
-    step = CHANNELS[kind] * bits // 8
-    size = w * step
+    channels = CHANNELS.get(kind, 1)
+    step = max(1, channels * bits // 8)
+    size = -(-w * channels * bits // 8)
     unpacker = zlib.decompressobj()
     raw = unpacker.decompress(body, (size + 1) * h)
     if len(raw) != (size + 1) * h:
@@ -63,12 +69,12 @@ def decode(data: bytes) -> np.ndarray:
         if how == 2:
             line = line + above
         elif how == 1:
-            line = line.reshape(w, step).cumsum(axis=0).reshape(-1)
+            line = line.reshape(-1, step).cumsum(axis=0).reshape(-1)
         elif how in (3, 4):
             left, corner = np.zeros(step, np.int64), np.zeros(step, np.int64)
-            line = line.reshape(w, step)
-            up = above.reshape(w, step)
-            for x in range(w):
+            line = line.reshape(-1, step)
+            up = above.reshape(-1, step)
+            for x in range(len(line)):
                 if how == 3:
                     guess = (left + up[x]) // 2
                 else:
@@ -80,8 +86,23 @@ def decode(data: bytes) -> np.ndarray:
             line = line.reshape(-1)
         above = line & 255
         out[y] = above
-    px = out.reshape(h, w, CHANNELS[kind], bits // 8)
-    return px[..., 0] if bits == 8 else (px[..., 0].astype(np.uint16) << 8 | px[..., 1])
+    if bits < 8:
+        small = np.unpackbits(out, axis=1)[:, : w * bits].reshape(h, w, bits) @ (1 << np.arange(bits)[::-1])
+        out = (small if kind == PALETTE else small * (255 // ((1 << bits) - 1))).astype(np.uint8)
+    if kind == PALETTE:
+        return _coloured(out.reshape(h, w), table, clear)
+    px = out.reshape(h, w, channels, max(1, bits // 8))
+    return px[..., 0] if bits <= 8 else (px[..., 0].astype(np.uint16) << 8 | px[..., 1])
+
+
+def _coloured(at: np.ndarray, table: bytes, clear: bytes) -> np.ndarray:
+    """RGBA of places in a palette; colours that `clear` has no alpha for are opaque."""
+    colours = np.frombuffer(table[: len(table) // 3 * 3], np.uint8).reshape(-1, 3)
+    if at.max(initial=0) >= len(colours):
+        raise ValueError("the palette has no such colour")
+    alpha = np.full(len(colours), 255, np.uint8)
+    alpha[: len(clear)] = np.frombuffer(clear[: len(colours)], np.uint8)
+    return np.dstack((colours[at], alpha[at]))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
