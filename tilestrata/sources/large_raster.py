@@ -328,9 +328,9 @@ def _decode_exr(how: dict, data: list[bytes], w: int, h: int) -> np.ndarray:
     kinds = [np.dtype(EXR_KINDS[k]) for _, k in how["channels"]]
     line = sum(k.itemsize for k in kinds) * w
     size = line * h
-    n = struct.unpack("<i", data[0][4:8])[0]
-    raw = data[0][8 : 8 + n]
-    if size > MAX_BLOCK or len(raw) != n:
+    n = struct.unpack("<i", data[0][4:8].ljust(4, b"\0"))[0]
+    raw = data[0][8 : 8 + max(n, 0)]
+    if size > MAX_BLOCK or len(raw) != n or not n:
         raise ValueError("the block is too large or cut off")
     if how["packing"] and n < size:
         raw = _runs(raw, size, False) if how["packing"] == 1 else _unzipped(raw, size)
