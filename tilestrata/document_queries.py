@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +18,7 @@ from tilestrata.oracles import R, rgba, w
 from tilestrata.plans import forest, oplog
 from tilestrata.plans.history import Document
 from tilestrata.scratch import new_path
-from tilestrata.sources import large_raster, native
+from tilestrata.sources import icc, large_raster, native
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT, VERSION = 12, 30
@@ -169,8 +170,26 @@ def _tiffs(s: SparkSession, d: str) -> DataFrame:
     return base.show(back.withColumn("layer_id", F.regexp_extract("file", r"(\d+)\.tif$", 1).cast("int")), "layer_id")
 
 
+#: A profile of wider primaries and the power 2.2 (as profiles round it), and the way back to a narrower power.
+WIDE_GAMUT = icc.matrix_profile(((0.64, 0.33), (0.21, 0.71), (0.15, 0.06)), icc.D65, icc.power_curve(2.2))
+NARROW = icc.matrix_profile(icc.PRIMARIES, icc.D65, icc.power_curve(1.8))
+
+
+def _profiled(s: SparkSession, d: str) -> DataFrame:
+    """All pixels from one colour profile to another, over the working space."""
+    return base.show(icc.convert(wide.pixels(s, d), WIDE_GAMUT, NARROW), "layer_id")
+
+
+def _profiled_sql() -> str:
+    m, n = icc.parse(WIDE_GAMUT).matrix, icc.parse(NARROW).matrix
+    to = np.linalg.inv(n) @ m
+    lin = [f"pow(least(greatest({c}, 0.0), 1.0), {round(2.2 * 256) / 256}::DOUBLE)" for c in "rgb"]
+    out = [f"pow(least(greatest({' + '.join(f'{float(to[i, j])!r}::DOUBLE * {lin[j]}' for j in range(3))}, 0.0), 1.0), {256 / round(1.8 * 256)}::DOUBLE)" for i in range(3)]
+    return w(wide.WIDE) + f"SELECT layer_id, x, y, {', '.join(R(e, c) for e, c in zip(out, 'rgb', strict=True))}, {R('a', 'a')} FROM px"
+
+
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {"save_load_document": _saved, "tiff_strips": _tiffs}
+    q: dict[str, Query] = {"save_load_document": _saved, "tiff_strips": _tiffs, "icc_convert": _profiled}
     q["oplog_active"] = lambda s, d: active(s, d).select("doc_id", "seq", "step", "op")
     q["oplog_as_of"] = lambda s, d: oplog.at(oplog.resolved(log(s, d), LIMIT), VERSION).select("doc_id", "seq", "step", "op")
     q["oplog_layers"] = lambda s, d: oplog.layers(active(s, d), trees(s, d))
@@ -221,7 +240,7 @@ PIXELS_SQL = [
 
 
 def oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {"save_load_document": SAVED_SQL, "tiff_strips": w(wide.WIDE) + f"SELECT layer_id, x, y, {rgba()} FROM px WHERE a > 0"}
+    q: dict[str, str] = {"save_load_document": SAVED_SQL, "icc_convert": _profiled_sql(), "tiff_strips": w(wide.WIDE) + f"SELECT layer_id, x, y, {rgba()} FROM px WHERE a > 0"}
     machine = [LOG_SQL, STACKS_SQL]
     q["oplog_active"] = w(*machine, NOW) + "SELECT doc_id, seq, step, op FROM now"
     q["oplog_as_of"] = w(*machine, _held_sql(str(VERSION), "held")) + "SELECT doc_id, seq, step, op FROM held"

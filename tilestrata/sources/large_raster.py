@@ -377,7 +377,7 @@ def write_tiffs(px: DataFrame, folder: str, key: str, rect: Rect) -> DataFrame:
 
     from tilestrata.operators.raster import RGBA
 
-    def run(keys, rows: pa.Table) -> pa.Table:
+    def run(keys, rows):
         from pyarrow import fs
 
         out = np.zeros((rect.h, rect.w, 4))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tilestrata.functions.color import from_u8, to_u8, to_u16
 from tilestrata.operators.raster import RGBA
 from tilestrata.operators.tiles import Rect, read_rect
+from tilestrata.sources import icc
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels of the colour types (fixed values of the format).
@@ -95,6 +96,23 @@ def decode(data: bytes) -> np.ndarray:
     return px[..., 0] if bits <= 8 else (px[..., 0].astype(np.uint16) << 8 | px[..., 1])
 
 
+def profile_of(data: bytes) -> bytes | None:
+    """The colour profile in a PNG's iCCP chunk, which comes before the image data."""
+    at = 8
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"iCCP":
+            name, end, rest = data[at + 8 : at + 8 + n].partition(b"\0")
+            if not end or rest[:1] != b"\0":
+                raise ValueError("the iCCP chunk is broken")
+            unpacker = zlib.decompressobj()
+            return unpacker.decompress(rest[1:], icc.MAX_PROFILE)
+        if kind in (b"IDAT", b"IEND"):
+            break
+        at += n + 12
+    return None
+
+
 def _coloured(at: np.ndarray, table: bytes, clear: bytes) -> np.ndarray:
     """RGBA of places in a palette; colours that `clear` has no alpha for are opaque."""
     colours = np.frombuffer(table[: len(table) // 3 * 3], np.uint8).reshape(-1, 3)
@@ -106,7 +124,7 @@ def _coloured(at: np.ndarray, table: bytes, clear: bytes) -> np.ndarray:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(name, x, y, r, g, b, a) of every PNG under path: linear light, missing alpha 1, named by file stem."""
+    """(name, x, y, r, g, b, a) of every PNG under path: linear light (through the image's own colour profile where it has one), missing alpha 1, named by file stem."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,7 +133,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 v = px / float(np.iinfo(px.dtype).max)
                 colour = v[..., :3] if v.shape[2] >= 3 else np.repeat(v[..., :1], 3, axis=2)
                 alpha = v[..., -1] if v.shape[2] in (2, 4) else np.ones(v.shape[:2])
-                linear = np.where(colour <= 0.04045, colour / 12.92, ((colour + 0.055) / 1.055) ** 2.4)
+                profile = profile_of(bytes(data))
+                if profile is None:
+                    linear = np.where(colour <= 0.04045, colour / 12.92, ((colour + 0.055) / 1.055) ** 2.4)
+                else:
+                    linear = icc.parse(profile).to_working(colour.reshape(-1, 3)).reshape(colour.shape)
                 y, x = np.mgrid[: v.shape[0], : v.shape[1]].astype(np.int32)
                 yield pd.DataFrame({"name": name, "x": x.ravel(), "y": y.ravel(), "r": linear[..., 0].ravel(), "g": linear[..., 1].ravel(), "b": linear[..., 2].ravel(), "a": alpha.ravel()})
 
