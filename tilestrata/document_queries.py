@@ -14,11 +14,12 @@ from tilestrata import fixtures as fx
 from tilestrata import queries as base
 from tilestrata import wide_queries as wide
 from tilestrata.operators.tiles import Rect
-from tilestrata.oracles import R, rgba, w
+from tilestrata.oracles import FLAT_CTES, R, rgba, w
 from tilestrata.plans import forest, oplog
 from tilestrata.plans.history import Document
 from tilestrata.scratch import new_path
 from tilestrata.sources import icc, large_raster, native
+from tilestrata.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT, VERSION = 12, 30
@@ -188,8 +189,61 @@ def _profiled_sql() -> str:
     return w(wide.WIDE) + f"SELECT layer_id, x, y, {', '.join(R(e, c) for e, c in zip(out, 'rgb', strict=True))}, {R('a', 'a')} FROM px"
 
 
+def _edits(s: SparkSession, d: str) -> DataFrame:
+    """An edit of a place for each event, with what was there before."""
+    k = F.col("event_id")
+    e = s.read.parquet(f"{d}/events.parquet").select(k.alias("edit_id"), (1 + k % 7).cast("int").alias("layer_id"), F.floor(F.col("value") * 10).cast("int").alias("x"), (k % 8).cast("int").alias("y"), F.when(k % 5 > 0, F.struct(*[v.alias(c) for c, v in zip("rgba", ((k % 11) / 10, (k % 4) / 3, (k % 6) / 5, (1 + k % 3) / 3), strict=True)])).alias("new"))
+    place = ["layer_id", "x", "y"]
+    order = Window.partitionBy(*place).orderBy("edit_id")
+    first = wide.pixels(s, d).select(*place, F.struct(*[F.col(c).cast("double").alias(c) for c in "rgba"]).alias("base"))
+    e = e.withColumns({"n": F.row_number().over(order), "before": F.lag("new").over(order)}).join(first, place, "left")
+    return e.select("edit_id", *place, F.when(F.col("n") == 1, F.col("base")).otherwise(F.col("before")).alias("old"), "new")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The composite after a stream of edits, in three batches."""
+    where, edits = new_path(s, "live"), _edits(s, d)
+    last = edits.agg(F.max("edit_id")).first()[0] or 0
+    live.open_document(wide.pixels(s, d), fx.tree(), f"{where}/document")
+    for k in range(3):  # one file after the other, as edits come
+        edits.filter((F.col("edit_id") * 3 >= k * (last + 1)) & (F.col("edit_id") * 3 < (k + 1) * (last + 1))).coalesce(1).write.mode("append").parquet(f"{where}/edits")
+    stream = s.readStream.schema(live.EDIT).option("maxFilesPerTrigger", 1).parquet(f"{where}/edits")
+    live.start(stream, fx.tree(), f"{where}/document", once=True).awaitTermination()
+    return base.show(live.view(s, f"{where}/document"))
+
+
+def _prints(s: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of tiles after all edits: carried on by the edits alone, against those of the pixels as they are then."""
+    place = ["layer_id", "x", "y"]
+    old = wide.pixels(s, d).select(*place, *[F.col(c).cast("double").alias(c) for c in "rgba"])
+    last = _edits(s, d).groupBy(*place).agg(F.max_by(F.struct("new"), "edit_id").alias("l")).select(*place, F.col("l.new").alias("new"))
+    gone = old.join(last.select(*place), place, "left_semi")
+    come = last.filter("new IS NOT NULL").select(*place, *[F.col(f"new.{c}").alias(c) for c in "rgba"])
+    before = live.fingerprint(old, "layer_id")
+    now = live.fingerprint(old.join(last.select(*place), place, "left_anti").unionByName(come), "layer_id")
+    keys = ["layer_id", "tx", "ty"]
+    carried = live.edited(before, gone, come, "layer_id").select(*keys, F.col("sig").alias("s1"), F.col("n").alias("n1"))
+    rows = now.join(carried, keys, "full").join(before.select(*keys, F.col("sig").alias("s0"), F.col("n").alias("n0")), keys, "left")
+    return rows.select(*keys, "n", (F.col("sig").eqNullSafe(F.col("s1")) & F.col("n").eqNullSafe(F.col("n1"))).alias("same"), (~(F.col("sig").eqNullSafe(F.col("s0")) & F.col("n").eqNullSafe(F.col("n0")))).alias("changed"))
+
+
+EDITED_SQL = [
+    wide.WIDE.replace("px AS", "px0 AS", 1),
+    "ev AS (SELECT event_id AS id, CAST(1 + event_id % 7 AS INT) AS layer_id, CAST(floor(value * 10) AS INT) AS x, CAST(event_id % 8 AS INT) AS y FROM events)",
+    "la AS (SELECT layer_id, x, y, max(id) AS k FROM ev GROUP BY 1, 2, 3)",
+    "px AS (SELECT * FROM px0 WHERE NOT EXISTS (SELECT 1 FROM la WHERE la.layer_id = px0.layer_id AND la.x = px0.x AND la.y = px0.y) UNION ALL SELECT layer_id, x, y, (k % 11) / 10.0::DOUBLE, (k % 4) / 3.0::DOUBLE, (k % 6) / 5.0::DOUBLE, (1 + k % 3) / 3.0::DOUBLE FROM la WHERE k % 5 > 0)",
+]
+TILE = "CAST(floor(x / 256.0) AS INT) AS tx, CAST(floor(y / 256.0) AS INT) AS ty"
+PRINTS_SQL = (
+    w(*EDITED_SQL)
+    + f"""SELECT n.layer_id, n.tx, n.ty, n.n, true AS same, c.tx IS NOT NULL AS changed
+FROM (SELECT layer_id, {TILE}, count(*) AS n FROM px GROUP BY 1, 2, 3) n
+LEFT JOIN (SELECT DISTINCT layer_id, {TILE} FROM ((SELECT * FROM px EXCEPT SELECT * FROM px0) UNION ALL (SELECT * FROM px0 EXCEPT SELECT * FROM px))) c USING (layer_id, tx, ty)"""
+)
+
+
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {"save_load_document": _saved, "tiff_strips": _tiffs, "icc_convert": _profiled}
+    q: dict[str, Query] = {"stream_recomposite": _streamed, "fingerprint_tiles": _prints, "save_load_document": _saved, "tiff_strips": _tiffs, "icc_convert": _profiled}
     q["oplog_active"] = lambda s, d: active(s, d).select("doc_id", "seq", "step", "op")
     q["oplog_as_of"] = lambda s, d: oplog.at(oplog.resolved(log(s, d), LIMIT), VERSION).select("doc_id", "seq", "step", "op")
     q["oplog_layers"] = lambda s, d: oplog.layers(active(s, d), trees(s, d))
@@ -240,7 +294,7 @@ PIXELS_SQL = [
 
 
 def oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {"save_load_document": SAVED_SQL, "icc_convert": _profiled_sql(), "tiff_strips": w(wide.WIDE) + f"SELECT layer_id, x, y, {rgba()} FROM px WHERE a > 0"}
+    q: dict[str, str] = {"stream_recomposite": w(*EDITED_SQL, *FLAT_CTES[1:]) + f"SELECT x, y, {rgba()} FROM f5", "fingerprint_tiles": PRINTS_SQL, "save_load_document": SAVED_SQL, "icc_convert": _profiled_sql(), "tiff_strips": w(wide.WIDE) + f"SELECT layer_id, x, y, {rgba()} FROM px WHERE a > 0"}
     machine = [LOG_SQL, STACKS_SQL]
     q["oplog_active"] = w(*machine, NOW) + "SELECT doc_id, seq, step, op FROM now"
     q["oplog_as_of"] = w(*machine, _held_sql(str(VERSION), "held")) + "SELECT doc_id, seq, step, op FROM held"
