@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tilestrata.functions import array_pixels
 from tilestrata.functions.blend import MODES
 from tilestrata.operators.tiles import Rect
-from tilestrata.plans import forest, history, oplog
+from tilestrata.plans import forest, history, oplog, tree_tables
 from tilestrata.plans.compositor import composite
 from tilestrata.plans.tree import Layer, LayerTree
 
@@ -134,3 +134,23 @@ def test_forest_of_nothing(spark):
     got = {tuple(x[:3]): tuple(x[3:]) for x in forest.composite_many(px, layers).collect()}
     assert got == {(1, 0, 0): (0.0, 0.0, 0.0, 0.0), (1, 1, 0): (0.5, 0.2, 0.1, 1.0)}
     assert forest.composite_many(px.limit(0), layers).count() == 0 and forest.composite_many(px, layers.limit(0)).count() == 0
+
+
+def test_reordering_and_removing_as_tables(spark):
+    """As the single tree does, for every layer and place."""
+    r = random.Random(6)
+    tree = LayerTree([Layer(i, parent=p, index=r.randrange(3), kind="group" if i < 4 else "raster") for i, p in [(1, None), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, None), (8, 3), (9, 3), (10, 3)]])
+    rows = [(i, x.id, x.parent, x.index, True, 1.0) for i in range(len(tree.by_id) * 5) for x in tree.by_id.values()]
+    layers = spark.createDataFrame(rows, "doc_id long, id long, parent long, idx long, visible boolean, opacity double")
+    cases = [(i, k, to) for i, (k, to) in enumerate((k, to) for k in tree.by_id for to in (-1, 0, 1, 2, 9))]
+    moves = spark.createDataFrame(cases, "doc_id long, id long, to long")
+    got = {}
+    for x in tree_tables.reordered(layers, moves).collect():
+        got.setdefault(x["doc_id"], {})[x["id"]] = x["idx"]
+    left = {}
+    for x in tree_tables.without(layers, moves).collect():
+        left.setdefault(x["doc_id"], set()).add(x["id"])
+    for i, k, to in cases:
+        siblings = [c.id for c in tree.reorder(k, to).children(tree.by_id[k].parent)]
+        assert sorted(siblings, key=got[i].get) == siblings
+        assert left.get(i, set()) == set(tree.without(k).by_id)

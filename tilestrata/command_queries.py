@@ -181,9 +181,9 @@ def queries() -> dict[str, Query]:
     q["cmd_set_selection"] = lambda s, d: base.cov(applied(document(s, d), h.select("replace", sel(s)), h.select("subtract", base._mask(s, d))).selection)
     q["cmd_combine_selection"] = lambda s, d: base.cov(applied(document(s, d), h.select("replace", sel(s)), h.select("add", base._mask(s, d))).selection)
     q["cmd_invert_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=base._mask(s, d)), h.change_selection("invert", selection.invert)).selection)
-    q["cmd_feather_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=selection.rect(s, BOX)), h.change_selection("feather", lambda x, c: selection.feather(x, 1.5))).selection)
-    q["cmd_grow_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=selection.ellipse(s, BOX)), h.change_selection("grow", lambda x, c: selection.grow(x, 2))).selection)
-    q["cmd_shrink_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=selection.ellipse(s, BOX)), h.change_selection("shrink", lambda x, c: selection.shrink(x, 2))).selection)
+    q["cmd_feather_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=base._mask(s, d)), h.change_selection("feather", lambda x, c: selection.feather(x, 1.5))).selection)
+    q["cmd_grow_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=base._mask(s, d)), h.change_selection("grow", lambda x, c: selection.grow(x, 2))).selection)
+    q["cmd_shrink_selection"] = lambda s, d: base.cov(applied(document(s, d, sel=base._full(s, d)), h.change_selection("shrink", lambda x, c: selection.shrink(x, 1))).selection)
     grey = lambda s, d: document(s, d, base._grey(s, d).withColumn("layer_id", F.lit(1)), LayerTree([Layer(1)]))
     q["cmd_magic_wand"] = lambda s, d: base.cov(applied(grey(s, d), h.wand(1, 20, 20, 0.12)).selection)
 
@@ -307,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
     q["cmd_copy_to_new_layer"] = b["extract"]
     q["cmd_cut_to_new_layer"] = f"SELECT 8 AS layer_id, * FROM ({b['extract']}) UNION ALL SELECT 1, * FROM ({b['erase']})"
     q["cmd_set_selection"], q["cmd_combine_selection"], q["cmd_invert_selection"] = b["sel_subtract"], b["sel_union"], b["sel_invert"]
-    q["cmd_feather_selection"], q["cmd_grow_selection"], q["cmd_shrink_selection"] = b["sel_feather"], b["sel_grow"], b["sel_shrink"]
+    q["cmd_feather_selection"], q["cmd_grow_selection"], q["cmd_shrink_selection"] = sql.feathered(*sql.MASKED), sql.grown(*sql.MASKED), b["sel_shrink"]
     q["cmd_magic_wand"] = b["magic_wand"]
     q["cmd_paint_bucket"] = upserted(b["bucket_fill"], "grey", (sql.GREY,))
     q["cmd_fill_selection"], q["cmd_stroke_selection"], q["cmd_gradient_fill"] = (upserted(b[x]) for x in ("fill_selection", "stroke_selection", "gradient_linear"))

@@ -141,6 +141,14 @@ def resize_shift(canvas: Rect, w: int, h: int, anchor: str) -> tuple[int, int]:
     return half(w - canvas.w, ax), half(h - canvas.h, ay)
 
 
+def resize_shifts(sizes: DataFrame) -> DataFrame:
+    """(id, anchor, dx, dy) for canvases (id, w, h, new_w, new_h) and every anchor."""
+    anchors = F.explode(F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(x).alias("ax"), F.lit(y).alias("ay")) for a, (x, y) in ANCHORS.items()]))
+    rows = sizes.withColumn("a", anchors)
+    half = lambda new, old, k: F.expr(f"CAST((new_{new} - {old}) * a.{k} AS BIGINT) DIV 2")
+    return rows.select("id", "a.anchor", half("w", "w", "ax").alias("dx"), half("h", "h", "ay").alias("dy"))
+
+
 def safe_name(name: Column) -> Column:
     """File-name form: anything but letters, digits, - and _ becomes _."""
     return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")

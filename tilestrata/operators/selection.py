@@ -29,6 +29,29 @@ def ellipse(spark: SparkSession, r: Rect) -> DataFrame:
     return grid(spark, r).withColumn("cov", smoothstep(1.0 + aa, 1.0 - aa, dx * dx + dy * dy)).filter("cov > 0")
 
 
+def ellipses(rects: DataFrame) -> DataFrame:
+    """(id, x, y, cov) of the anti-aliased ellipses in many rectangles (id, x, y, w, h); empty ones have none."""
+    rows = rects.filter("w > 0 AND h > 0").select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h")
+    rows = rows.withColumn("y", F.explode(F.sequence("y0", F.col("y0") + F.col("h") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x0") + F.col("w") - 1)))
+    rx, ry = F.col("w") / 2.0, F.col("h") / 2.0
+    aa = 0.5 / F.greatest(rx, ry)
+    dx, dy = (F.col("x") + 0.5 - (F.col("x0") + rx)) / rx, (F.col("y") + 0.5 - (F.col("y0") + ry)) / ry
+    t = limit((dx * dx + dy * dy - (1.0 + aa)) / (-2.0 * aa))
+    return rows.select("id", "x", "y", (t * t * (3.0 - 2.0 * t)).alias("cov")).filter("cov > 0")
+
+
+def polygons(edges: DataFrame) -> DataFrame:
+    """(path, x, y, cov) inside many closed outlines given as edges (path, ax, ay, bx, by), by the rule of polygon()."""
+    e = edges.filter("ay <> by").withColumn("y", F.explode(F.sequence(F.least("ay", "by"), F.greatest("ay", "by") - 1)))
+    cross = e.select("path", "y", (F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))).alias("cx"))
+    row = Window.partitionBy("path", "y").orderBy("cx")
+    pair = cross.withColumns({"k": F.row_number().over(row), "end": F.lead("cx").over(row)}).filter("k % 2 = 1 and end is not null")
+    size = edges.groupBy("path").agg(F.min("ax").alias("lo"), F.max("ax").alias("hi"))
+    keep = lambda c: F.least(F.greatest(c, F.col("lo")), F.col("hi")).cast("int")
+    span = pair.join(size, "path").select("path", "y", keep(F.ceil("cx")).alias("s"), keep(F.floor("end") + 1).alias("e")).filter("s < e")
+    return span.select("path", F.explode(F.sequence("s", F.col("e") - 1)).alias("x"), "y").distinct().withColumn("cov", F.lit(1.0))
+
+
 def polygon(spark: SparkSession, points: Sequence[tuple[int, int]]) -> DataFrame:
     """Even-odd scanline fill: edges meet rows, crossings of a row pair up in order."""
     xs, ys = [p[0] for p in points], [p[1] for p in points]

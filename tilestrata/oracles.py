@@ -154,6 +154,31 @@ RECTS = "rects AS (SELECT o_orderkey AS id, CAST(o_orderkey % 3000 - 1500 AS INT
 INV = {"ia": 0.75 / 1.0625, "ib": -0.25 / 1.0625, "ic": 0.5 / 1.0625, "id": 1.25 / 1.0625}
 
 
+#: The mask of layer 7, by name and CTEs.
+MASKED = ("mask", PX, L[7], MASK)
+CORNERS = [
+    f"vt AS (SELECT stroke_id AS path, seq, CAST(floor(px / 4.0) AS INT) AS ax, CAST(floor(py / 4.0) AS INT) AS ay FROM ({STROKES_SQL}))",
+    "pe AS (SELECT path, ax, ay, coalesce(lead(ax) OVER o, first_value(ax) OVER o) AS bx, coalesce(lead(ay) OVER o, first_value(ay) OVER o) AS by2 FROM vt WINDOW o AS (PARTITION BY path ORDER BY seq))",
+]
+
+
+def crossings(at: str) -> str:
+    """CTEs of where edges pe cross the middles of rows, in order along a row."""
+    row = "(PARTITION BY path, y ORDER BY cx)"
+    return f"cr AS (SELECT path, y, {at} AS cx FROM (SELECT *, unnest(range(least(ay, by2), greatest(ay, by2))) AS y FROM pe WHERE ay <> by2)), pr AS (SELECT path, y, cx, lead(cx) OVER {row} AS nx, row_number() OVER {row} AS k FROM cr)"
+
+
+def grown(name: str, *ctes: str) -> str:
+    """SQL of a selection grown by 2."""
+    return w(*ctes) + f"SELECT x, y, {R('cov', 'cov')} FROM (SELECT CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, max(cov) AS cov FROM {name}, range(-2, 3) u(i), range(-2, 3) v(j) GROUP BY 1, 2)"
+
+
+def feathered(name: str, *ctes: str) -> str:
+    """SQL of a selection feathered by 1.5."""
+    weights = "kw AS (SELECT i, exp(-(i * i) / 4.5) / (SELECT sum(exp(-(i * i) / 4.5)) FROM range(-5, 6) t(i)) AS w FROM range(-5, 6) t(i))"
+    return w(*ctes, weights) + f"SELECT x, y, {R('cov', 'cov')} FROM (SELECT CAST(x + u.i AS INT) AS x, CAST(y + v.i AS INT) AS y, sum(cov * u.w * v.w) AS cov FROM {name}, kw u, kw v GROUP BY 1, 2)"
+
+
 def retouched(target: dict[str, str], pre: str = "") -> str:
     """Target mixed in by coverage, where it changes enough."""
     mix = {c: f"{c} + ({target.get(c, c)} - {c}) * cov" for c in "rgba"}
@@ -308,16 +333,11 @@ def oracle_sql() -> dict[str, str]:
     q["sel_intersect"] = sel + f"SELECT {COV} FROM (SELECT x, y, least(ell.cov, mask.cov) AS cov FROM ell JOIN mask USING (x, y)) WHERE cov > 0"
     q["sel_subtract"] = sel + f"SELECT {COV} FROM (SELECT x, y, ell.cov - coalesce(mask.cov, 0.0) AS cov FROM ell LEFT JOIN mask USING (x, y)) WHERE cov > 0"
     q["sel_invert"] = w(PX, L[7], MASK, grid(CANVAS)) + f"SELECT {COV} FROM (SELECT x, y, 1 - coalesce(cov, 0.0) AS cov FROM gr LEFT JOIN mask USING (x, y)) WHERE cov > 0"
-    q["sel_ellipse"] = w(*SEL) + f"SELECT {COV} FROM ell"
-    edges = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
-    cross = f"e(ax, ay, cx2, cy2) AS (VALUES {edges}), cr AS (SELECT CAST(y AS INT) AS y, ax + (y + 0.5 - ay) / (cy2 - ay) * (cx2 - ax) AS cx FROM e, range(-18, 20) t(y) WHERE y + 0.5 > least(ay, cy2) AND y + 0.5 <= greatest(ay, cy2)), pr AS (SELECT y, cx, lead(cx) OVER (PARTITION BY y ORDER BY cx) AS nx, row_number() OVER (PARTITION BY y ORDER BY cx) AS k FROM cr)"
-    q["sel_polygon"] = w(cross) + "SELECT DISTINCT CAST(x AS INT) AS x, y, 1.0::DOUBLE AS cov FROM pr, range(CAST(least(greatest(ceil(cx), -24), 22) AS BIGINT), CAST(least(greatest(floor(nx) + 1, -24), 22) AS BIGINT)) t(x) WHERE k % 2 = 1 AND nx IS NOT NULL"
-    bell = w(grid(BOX, "gb"), BELL)
-    near = "range(-2, 3) u(i), range(-2, 3) v(j)"
-    q["sel_grow"] = bell + f"SELECT x, y, {R('cov', 'cov')} FROM (SELECT CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, max(cov) AS cov FROM bell, {near} GROUP BY 1, 2)"
-    q["sel_shrink"] = bell + f"SELECT x, y, {R('cov', 'cov')} FROM (SELECT CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, min(cov) AS cov FROM bell, {near} GROUP BY 1, 2 HAVING count(*) = 25)"
-    g = "kw AS (SELECT i, exp(-(i * i) / 4.5) / (SELECT sum(exp(-(i * i) / 4.5)) FROM range(-5, 6) t(i)) AS w FROM range(-5, 6) t(i))"
-    q["sel_feather"] = w(grid(BOX, "gb"), g) + f"SELECT x, y, {R('cov', 'cov')} FROM (SELECT CAST(x + u.i AS INT) AS x, CAST(y + v.i AS INT) AS y, sum(u.w * v.w) AS cov FROM gb, kw u, kw v GROUP BY 1, 2)"
+    q["sel_ellipse"] = w("bx AS (SELECT o_orderkey AS id, CAST(o_orderkey % 3000 - 1500 AS INT) AS x0, CAST(o_custkey * 7 % 2000 - 1000 AS INT) AS y0, CAST(o_orderkey % 11 AS INT) AS w, CAST(o_custkey % 9 AS INT) AS h FROM orders)", "pl AS (SELECT *, x0 + i AS x, y0 + j AS y, 0.5 / greatest(w / 2.0, h / 2.0) AS aa FROM (SELECT *, unnest(range(h)) AS j FROM bx), LATERAL (SELECT unnest(range(w)) AS i))", "el AS (SELECT *, least(greatest((pow((x + 0.5 - (x0 + w / 2.0)) / (w / 2.0), 2) + pow((y + 0.5 - (y0 + h / 2.0)) / (h / 2.0), 2) - (1 + aa)) / (-2 * aa), 0.0), 1.0) AS t FROM pl)") + f"SELECT id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {R('t * t * (3 - 2 * t)', 'cov')} FROM el WHERE t > 0"
+    q["sel_polygon"] = w(*CORNERS, crossings("ax + (y + 0.5 - ay) / (by2 - ay)::DOUBLE * (bx - ax)"), "lim AS (SELECT path, min(ax) AS lo, max(ax) AS hi FROM pe GROUP BY 1)") + "SELECT DISTINCT path, CAST(x AS INT) AS x, CAST(y AS INT) AS y, 1.0::DOUBLE AS cov FROM (SELECT *, unnest(range(CAST(least(greatest(ceil(cx), lo), hi) AS BIGINT), CAST(least(greatest(floor(nx) + 1, lo), hi) AS BIGINT))) AS x FROM pr JOIN lim USING (path) WHERE k % 2 = 1 AND nx IS NOT NULL)"
+    wide = f"wm AS (SELECT CAST(l_orderkey AS INT) AS x, CAST(CAST(l_partkey AS BIGINT) % 8 AS INT) AS y, max(l_quantity) / 50.0 AS cov FROM lineitem WHERE l_linenumber = 7 GROUP BY 1, 2)"
+    q["sel_grow"], q["sel_feather"] = grown("wm", wide), feathered("wm", wide)
+    q["sel_shrink"] = w(PX, "fm AS (SELECT x, y, max(r) AS cov FROM px GROUP BY 1, 2)") + f"SELECT x, y, {R('cov', 'cov')} FROM (SELECT CAST(x + i AS INT) AS x, CAST(y + j AS INT) AS y, min(cov) AS cov FROM fm, range(-1, 2) u(i), range(-1, 2) v(j) GROUP BY 1, 2 HAVING count(*) = 9)"
     side = "(VALUES (-1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1), (0, -1, 0, 0, 1, 0), (0, 1, 0, 1, 1, 1)) s(nx, ny, ax, ay, ox, oy)"
     q["sel_outline"] = w(PX, L[7], "m AS (SELECT x, y FROM l7 WHERE r >= 0.5)") + f"SELECT x + ax AS x0, y + ay AS y0, x + ox AS x1, y + oy AS y1 FROM m, {side} WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.x = m.x + nx AND o.y = m.y + ny)"
     cd = " + ".join(f"pow({enc(f'coalesce({c}, 0.0)')} - {enc(v)}, 2)" for c, v in zip("rgb", ("0.6", "0.5", "0.5"), strict=True)) + " + pow(least(coalesce(a, 0.0), 1.0) - 0.6, 2)"
@@ -340,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
     q["flip_v"] = w(PX, L[1]) + f"SELECT x, -1 - y AS y, {rgba()} FROM l1"
     q["trim"] = w(*FLAT_CTES) + f"SELECT {bounds} FROM f5 WHERE a > 0.9"
     q["crop"] = w(*FLAT_CTES) + f"SELECT {ALL} FROM f5 WHERE {inside(BOX)}"
-    q["resize_canvas"] = "SELECT anchor, CAST(trunc(37 * ax / 2.0) AS BIGINT) AS dx, CAST(trunc(-33 * ay / 2.0) AS BIGINT) AS dy FROM (VALUES ('nw', 0, 0), ('n', 1, 0), ('ne', 2, 0), ('w', 0, 1), ('c', 1, 1), ('e', 2, 1), ('sw', 0, 2), ('s', 1, 2), ('se', 2, 2)) t(anchor, ax, ay)"
+    q["resize_canvas"] = "SELECT o_orderkey AS id, anchor, CAST(trunc((o_custkey % 700 - o_orderkey % 640) * ax / 2.0) AS BIGINT) AS dx, CAST(trunc((o_orderkey % 500 - o_custkey % 480) * ay / 2.0) AS BIGINT) AS dy FROM orders, (VALUES ('nw', 0, 0), ('n', 1, 0), ('ne', 2, 0), ('w', 0, 1), ('c', 1, 1), ('e', 2, 1), ('sw', 0, 2), ('s', 1, 2), ('se', 2, 2)) t(anchor, ax, ay)"
     q["slice_export_rows"] = w(PX, L[1]) + f"SELECT regexp_replace(name, '[^A-Za-z0-9_-]', '_', 'g') || '_' || sx || '_' || sy AS file, x - sx AS x, y - sy AS y, {rgba()} FROM l1, (VALUES ('top left', -32, -32, 10, 12), ('mid/é', -4, -4, 9, 7)) t(name, sx, sy, sw, sh) WHERE x >= sx AND x < sx + sw AND y >= sy AND y < sy + sh"
     q["slice_names"] = "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS name FROM pages"
     q["gaussian"] = w(*blur(1.2, 4)) + f"SELECT {ALL} FROM h2"
@@ -415,9 +435,14 @@ def oracle_sql() -> dict[str, str]:
         means.append(f"c{i + 1} AS (SELECT o.k, coalesce(avg(p.r), any_value(o.r)) AS r, coalesce(avg(p.g), any_value(o.g)) AS g, coalesce(avg(p.b), any_value(o.b)) AS b, count(p.r) AS n FROM c{i} o LEFT JOIN (SELECT p.r, p.g, p.b, CASE WHEN {d('u')} <= {d('v')} THEN 0 ELSE 1 END AS k FROM pal p, (SELECT * FROM c{i} WHERE k = 0) u, (SELECT * FROM c{i} WHERE k = 1) v) p ON p.k = o.k GROUP BY o.k)")
     q["palette_two_means"] = w(pal, *means) + f"SELECT k, {', '.join(R(c, c) for c in 'rgb')}, n FROM c8"
     # eight by eight samples of a polygon a place
-    corners = ", ".join(f"({a[0]}.0, {a[1]}.0, {b[0]}.0, {b[1]}.0)" for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
-    q["supersample"] = w(f"eg AS (SELECT ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, by2::DOUBLE AS by2 FROM (VALUES {corners}) t(ax, ay, bx, by2))", "sm AS (SELECT x, y, x + (i + 0.5) / 8.0::DOUBLE AS sx, y + (j + 0.5) / 8.0::DOUBLE AS sy FROM range(-24, 22) a(x), range(-18, 20) b(y), range(8) c(i), range(8) d(j))",
-                         "hits AS (SELECT x, y, sx, sy, count(*) AS n FROM sm JOIN eg ON (ay > sy) <> (by2 > sy) AND sx < ax + (sy - ay) / (by2 - ay) * (bx - ax) GROUP BY 1, 2, 3, 4)") + f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, {R('count(*) / 64.0::DOUBLE', 'cov')} FROM hits WHERE n % 2 = 1 GROUP BY 1, 2"
+    shapes = [
+        f"sv AS (SELECT stroke_id AS path, seq, px / 16.0 AS ax, py / 16.0 AS ay FROM ({STROKES_SQL}))",
+        "eg AS (SELECT path, ax, ay, coalesce(lead(ax) OVER o, first_value(ax) OVER o) AS bx, coalesce(lead(ay) OVER o, first_value(ay) OVER o) AS by2 FROM sv WINDOW o AS (PARTITION BY path ORDER BY seq))",
+        "lm AS (SELECT path, CAST(floor(min(ax)) AS BIGINT) AS x0, CAST(ceil(max(ax)) AS BIGINT) AS x1, CAST(floor(min(ay)) AS BIGINT) AS y0, CAST(ceil(max(ay)) AS BIGINT) AS y1 FROM sv GROUP BY 1)",
+        "sm AS (SELECT path, x, y, x + (i + 0.5) / 8.0::DOUBLE AS sx, y + (j + 0.5) / 8.0::DOUBLE AS sy FROM (SELECT *, unnest(range(x0, x1)) AS x FROM lm), LATERAL (SELECT unnest(range(y0, y1)) AS y), range(8) c(i), range(8) d(j))",
+        "hits AS (SELECT sm.path, x, y, sx, sy, count(*) AS n FROM sm JOIN eg ON eg.path = sm.path AND (ay > sy) <> (by2 > sy) AND sx < ax + (sy - ay) / (by2 - ay) * (bx - ax) GROUP BY 1, 2, 3, 4, 5)",
+    ]
+    q["supersample"] = w(*shapes) + f"SELECT path, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {R('count(*) / 64.0::DOUBLE', 'cov')} FROM hits WHERE n % 2 = 1 GROUP BY 1, 2, 3"
     st6 = f"st AS (SELECT * FROM ({STROKES_SQL}))"
 
     def spline(c: str) -> str:
@@ -428,7 +453,7 @@ def oracle_sql() -> dict[str, str]:
     ln = "ln AS (SELECT stroke_id, seq, CAST(floor(px) AS INT) AS x0, CAST(floor(py) AS INT) AS y0, CAST(floor(lead(px) OVER o) AS INT) AS x1, CAST(floor(lead(py) OVER o) AS INT) AS y1 FROM st WINDOW o AS (PARTITION BY stroke_id ORDER BY seq))"
     n = "greatest(abs(x1 - x0), abs(y1 - y0))"
     q["bresenham"] = w(st6, ln) + f"SELECT DISTINCT stroke_id, seq, CAST(x0 + CASE WHEN n = 0 THEN 0 ELSE floor((x1 - x0) * k / n::DOUBLE + 0.5) END AS INT) AS x, CAST(y0 + CASE WHEN n = 0 THEN 0 ELSE floor((y1 - y0) * k / n::DOUBLE + 0.5) END AS INT) AS y FROM (SELECT *, {n} AS n, unnest(range(0, {n} + 1)) AS k FROM ln WHERE x1 IS NOT NULL)"
-    q["scanline_fill"] = w(cross) + "SELECT DISTINCT 1 AS path, CAST(x AS INT) AS x, y FROM (SELECT y, CAST(ceil(cx) AS BIGINT) AS s, CAST(ceil(nx - 1) AS BIGINT) AS e FROM pr WHERE k % 2 = 1 AND nx IS NOT NULL) z, range(s, greatest(s, e) + 1) t(x)"
+    q["scanline_fill"] = w(*CORNERS, crossings("ax + (y + 0.5 - ay) * (bx - ax) / (by2 - ay)::DOUBLE")) + "SELECT DISTINCT path, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT path, y, CAST(ceil(cx) AS BIGINT) AS s, CAST(ceil(nx - 1) AS BIGINT) AS e FROM pr WHERE k % 2 = 1 AND nx IS NOT NULL) z, LATERAL (SELECT unnest(range(s, greatest(s, e) + 1)) AS x)"
     q["nearest_vertex"] = w(st6) + "SELECT stroke_id AS path, seq AS vertex, px AS vx, py AS vy FROM st WHERE pow(px - 60, 2) + pow(py - 60, 2) <= 1600 ORDER BY pow(px - 60, 2) + pow(py - 60, 2), stroke_id, seq LIMIT 1"
     q["last_write_wins"] = w(PX) + f"SELECT {ALL} FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY layer_id DESC) AS k FROM px) WHERE k = 1"
     return q

@@ -45,6 +45,25 @@ def visible_leaves(layers: DataFrame) -> DataFrame:
     return walked(layers).filter("shown").join(groups, ["doc_id", "id"], "left_anti").select("doc_id", "id")
 
 
+def reordered(layers: DataFrame, moves: DataFrame) -> DataFrame:
+    """layers with idx as the places among siblings after moves (doc_id, id, to), at most one among the children of a group."""
+    siblings = ["doc_id", "parent"]
+    order = Window.partitionBy(*siblings).orderBy("idx", "id")
+    rows = layers.withColumn("at", F.row_number().over(order) - 1).join(moves.select("doc_id", "id", "to"), ["doc_id", "id"], "left")
+    whole = Window.partitionBy(*siblings)
+    rows = rows.withColumns({"to": F.when(F.col("to").isNotNull(), F.least(F.greatest("to", F.lit(0)), F.count(F.lit(1)).over(whole) - 1)), "from": F.max(F.when(F.col("to").isNotNull(), F.col("at"))).over(whole)})
+    rows = rows.withColumn("goal", F.max("to").over(whole))
+    rest = F.when(F.col("at") > F.col("from"), F.col("at") - 1).otherwise(F.col("at"))
+    place = F.when(F.col("from").isNull(), F.col("at")).when(F.col("to").isNotNull(), F.col("to")).otherwise(rest + F.when(rest >= F.col("goal"), 1).otherwise(0))
+    return rows.withColumn("idx", place).select(*layers.columns)
+
+
+def without(layers: DataFrame, gone: DataFrame) -> DataFrame:
+    """layers less those of gone (doc_id, id) and all that is below them."""
+    below = descendants(layers, gone).select("doc_id", "id")
+    return layers.join(below.unionByName(gone.select("doc_id", "id")), ["doc_id", "id"], "left_anti")
+
+
 def descendants(layers: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, root, id) of all layers below the roots (doc_id, id): the paths that start with a root's."""
     rows = walked(layers).select("doc_id", "id", "path", "depth")

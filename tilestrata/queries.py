@@ -14,6 +14,7 @@ from tilestrata.functions import adjust, blend, color
 from tilestrata.operators import brush, raster, region, resample, retouch, selection, stencil, tiles
 from tilestrata.operators.raster import RGBA, named, pixel
 from tilestrata.operators.tiles import Rect
+from tilestrata.plans import tree_tables
 from tilestrata.plans.compositor import composite, merge_down, sample
 from tilestrata.plans.tree import Layer, LayerTree
 
@@ -62,10 +63,47 @@ def _extent(s: SparkSession, d: str) -> Rect:
     return Rect(0, 0, int(r["w"] or 0), int(-1 if r["y"] is None else r["y"]) + 1)
 
 
-def _nodes(s: SparkSession, d: str) -> LayerTree:
-    r = [Layer(x["r_regionkey"] + 1000, index=x["r_regionkey"], kind="group", visible=x["r_regionkey"] != 2) for x in s.read.parquet(f"{d}/region.parquet").collect()]
-    n = [Layer(x["n_nationkey"], parent=x["n_regionkey"] + 1000, index=x["n_nationkey"], opacity=0.0 if x["n_nationkey"] == 3 else 1.0) for x in s.read.parquet(f"{d}/nation.parquet").collect()]
-    return LayerTree(r + n)
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    """One tree as a table: regions are groups, nations their layers."""
+    r = s.read.parquet(f"{d}/region.parquet").select(F.lit(0).alias("doc_id"), (F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_regionkey").cast("long").alias("idx"), (F.col("r_regionkey") != 2).alias("visible"), F.lit(1.0).alias("opacity"))
+    n = s.read.parquet(f"{d}/nation.parquet").select(F.lit(0).alias("doc_id"), F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent"), F.col("n_nationkey").cast("long").alias("idx"), F.lit(True).alias("visible"), F.when(F.col("n_nationkey") == 3, 0.0).otherwise(1.0).alias("opacity"))
+    return r.unionByName(n)
+
+
+def _top(s: SparkSession, d: str) -> DataFrame:
+    return _nodes(s, d).filter("parent IS NULL")
+
+
+def _corners(s: SparkSession, d: str) -> DataFrame:
+    """Closed outlines through all samples of each stroke, as edges (path, ax, ay, bx, by) in whole places."""
+    order = Window.partitionBy("stroke_id").orderBy("seq")
+    v = fx.strokes(s, d).select("stroke_id", "seq", F.floor(F.col("px") / 4.0).cast("int").alias("ax"), F.floor(F.col("py") / 4.0).cast("int").alias("ay"))
+    end = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(order))
+    return v.select(F.col("stroke_id").alias("path"), "ax", "ay", end("ax").alias("bx"), end("ay").alias("by"))
+
+
+def _wide_mask(s: SparkSession, d: str) -> DataFrame:
+    """Quantities of the seventh lines at (order, part modulo 8)."""
+    rows = s.read.parquet(f"{d}/lineitem.parquet").filter("l_linenumber = 7")
+    return rows.groupBy(F.col("l_orderkey").cast("int").alias("x"), (F.col("l_partkey").cast("long") % 8).cast("int").alias("y")).agg((F.max("l_quantity") / 50.0).alias("cov"))
+
+
+def _full(s: SparkSession, d: str) -> DataFrame:
+    """Places of all layers, selected by their largest quantity."""
+    return pixels(s, d).groupBy("x", "y").agg(F.max("r").alias("cov"))
+
+
+def _boxes(s: SparkSession, d: str) -> DataFrame:
+    o = s.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3000 - 1500).cast("int").alias("x"), (F.col("o_custkey") * 7 % 2000 - 1000).cast("int").alias("y"), (F.col("o_orderkey") % 11).cast("int").alias("w"), (F.col("o_custkey") % 9).cast("int").alias("h"))
+
+
+def _sampled(s: SparkSession, d: str) -> DataFrame:
+    """Coverage of all strokes' outlines by 8 x 8 samples a place."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "px", "py")))
+    shapes = fx.strokes(s, d).groupBy(F.col("stroke_id").alias("path")).agg(ordered.alias("v"))
+    shapes = shapes.select("path", F.transform("v", lambda e: e["px"] / 16.0).alias("xs"), F.transform("v", lambda e: e["py"] / 16.0).alias("ys"))
+    return brush.supersample(shapes, 8).select("path", "x", "y", rounded(F.col("cov")).alias("cov"))
 
 
 def _strokes(s: SparkSession, d: str) -> DataFrame:
@@ -185,11 +223,6 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return _strokes(s, d).select("stroke_id", "seq", i("px").alias("x0"), i("py").alias("y0"), i(F.lead("px").over(w)).alias("x1"), i(F.lead("py").over(w)).alias("y1")).filter("x1 is not null")
 
 
-def _edges(s: SparkSession) -> DataFrame:
-    e = [(1, *p, *q) for p, q in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True)]
-    return s.createDataFrame(e, "path int, ax int, ay int, bx int, by int")
-
-
 def _mode(s: SparkSession, d: str) -> DataFrame:
     k = pixels(s, d).groupBy("layer_id", rounded(F.col("g")).alias("v")).count()
     return k.groupBy("layer_id").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v"))
@@ -230,21 +263,21 @@ def queries() -> dict[str, Query]:
     q["merge_down"] = lambda s, d: show(merge_down(pixels(s, d), fx.LAYERS[1], fx.LAYERS[0]))
     q["flatten_checker"] = _flat
     # tree
-    q["render_order"] = lambda s, d: s.createDataFrame([(k, i, dep) for k, (i, dep) in enumerate(_nodes(s, d).render_order())], "pos long, id long, depth long")
-    q["descendants"] = lambda s, d: s.createDataFrame([(g.id, i) for t in [_nodes(s, d)] for g in t.children(None) for i in t.descendants(g.id)], "grp long, id long")
-    q["reorder_layer"] = lambda s, d: s.createDataFrame([(x.id, k) for k, x in enumerate(_nodes(s, d).reorder(1003, 1).children(None))], "id long, idx long")
-    q["visible_leaves"] = lambda s, d: s.createDataFrame([(x.id,) for x in _nodes(s, d).visible_leaves()], "id long")
-    q["soft_delete"] = lambda s, d: s.createDataFrame([(i,) for i, _ in _nodes(s, d).without(1001).render_order()], "id long")
+    q["render_order"] = lambda s, d: tree_tables.render_order(_nodes(s, d)).select(F.col("pos").cast("long").alias("pos"), "id", F.col("depth").cast("long").alias("depth"))
+    q["descendants"] = lambda s, d: tree_tables.descendants(_nodes(s, d), _top(s, d)).select(F.col("root").alias("grp"), "id")
+    q["reorder_layer"] = lambda s, d: tree_tables.reordered(_top(s, d), _top(s, d).filter("id = 1003").select("doc_id", "id", F.lit(1).alias("to"))).select("id", F.col("idx").cast("long").alias("idx"))
+    q["visible_leaves"] = lambda s, d: tree_tables.visible_leaves(_nodes(s, d)).select("id")
+    q["soft_delete"] = lambda s, d: tree_tables.without(_nodes(s, d), _top(s, d).filter("id = 1001")).select("id")
     # selection
     q["sel_union"] = lambda s, d: cov(selection.union(selection.ellipse(s, SEL_A), _mask(s, d)))
     q["sel_intersect"] = lambda s, d: cov(selection.intersect(selection.ellipse(s, SEL_A), _mask(s, d)))
     q["sel_subtract"] = lambda s, d: cov(selection.subtract(selection.ellipse(s, SEL_A), _mask(s, d)))
     q["sel_invert"] = lambda s, d: cov(selection.invert(_mask(s, d), CANVAS))
-    q["sel_ellipse"] = lambda s, d: cov(selection.ellipse(s, SEL_A))
-    q["sel_polygon"] = lambda s, d: selection.polygon(s, POLYGON)
-    q["sel_grow"] = lambda s, d: cov(selection.grow(selection.ellipse(s, BOX), 2))
-    q["sel_shrink"] = lambda s, d: cov(selection.shrink(selection.ellipse(s, BOX), 2))
-    q["sel_feather"] = lambda s, d: cov(selection.feather(selection.rect(s, BOX), 1.5))
+    q["sel_ellipse"] = lambda s, d: selection.ellipses(_boxes(s, d)).select("id", "x", "y", rounded(F.col("cov")).alias("cov"))
+    q["sel_polygon"] = lambda s, d: selection.polygons(_corners(s, d))
+    q["sel_grow"] = lambda s, d: cov(selection.grow(_wide_mask(s, d), 2))
+    q["sel_shrink"] = lambda s, d: cov(selection.shrink(_full(s, d), 1))
+    q["sel_feather"] = lambda s, d: cov(selection.feather(_wide_mask(s, d), 1.5))
     q["sel_outline"] = lambda s, d: selection.outline_edges(_mask(s, d))
     q["select_by_color"] = lambda s, d: cov(region.select_by_color(layer(s, d, 1), [0.6, 0.5, 0.5, 0.6], 0.4, CANVAS))
     # selection-driven
@@ -259,7 +292,7 @@ def queries() -> dict[str, Query]:
     q["flip_v"] = lambda s, d: show(raster.flip(layer(s, d, 1), "y", -32, 31))
     q["trim"] = _trimmed
     q["crop"] = lambda s, d: show(raster.crop(composite(pixels(s, d), fx.tree()), BOX))
-    q["resize_canvas"] = lambda s, d: s.createDataFrame([(a, *raster.resize_shift(CANVAS, 101, 31, a)) for a in raster.ANCHORS], "anchor string, dx long, dy long")
+    q["resize_canvas"] = lambda s, d: raster.resize_shifts(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % 640).alias("w"), (1 + F.col("o_custkey") % 480).alias("h"), (1 + F.col("o_custkey") % 700).alias("new_w"), (1 + F.col("o_orderkey") % 500).alias("new_h")))
     q["slice_export_rows"] = lambda s, d: show(raster.slice_rows(layer(s, d, 1), _slices(s)), "file")
     q["slice_names"] = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", raster.safe_name(F.col("url")).alias("name"))
     # stencils
@@ -305,8 +338,8 @@ def queries() -> dict[str, Query]:
     q["smudge"] = lambda s, d: show(brush.smudge(layer(s, d, 1), _stamps(s, d).select("stroke_id", F.col("n").alias("seq"), F.col("cx").alias("px"), F.col("cy").alias("py"), "pressure"), brush.Brush(6.0, 0.5, spacing=1.0), 0.6), "stroke_id")
     q["simplify_path"] = lambda s, d: brush.simplify_path(_strokes(s, d), 25.0).select("stroke_id", "seq")
     q["bresenham"] = lambda s, d: brush.bresenham(_lines(s, d)).select("stroke_id", "seq", "x", "y").distinct()
-    q["scanline_fill"] = lambda s, d: brush.scanline_fill(_edges(s)).distinct()
+    q["scanline_fill"] = lambda s, d: brush.scanline_fill(_corners(s, d)).distinct()
     q["nearest_vertex"] = lambda s, d: brush.nearest_vertex(_strokes(s, d).select(F.col("stroke_id").alias("path"), F.col("seq").alias("vertex"), F.col("px").alias("vx"), F.col("py").alias("vy")), 60.0, 60.0, 40.0)
-    q["supersample"] = lambda s, d: cov(brush.supersample(s.createDataFrame([(1, [float(p[0]) for p in POLYGON], [float(p[1]) for p in POLYGON])], "path long, xs array<double>, ys array<double>"), 8))
+    q["supersample"] = _sampled
     q["last_write_wins"] = lambda s, d: show(retouch.last_write(pixels(s, d), "layer_id"))
     return q
