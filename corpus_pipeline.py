@@ -2,7 +2,7 @@
 
 Every stage but the last returns the columns of its input, whatever their names; an empty table stays empty. Rows with a null id
 take part in all stages and are told apart by their text; rows that repeat an id are judged each by
-language identification and exact deduplication, and are one document of several texts in the two stages after.
+itself, but for near copies, where they are one document of several texts.
 """
 
 from __future__ import annotations
