@@ -98,7 +98,7 @@ def main() -> None:
         "brightness_contrast_1920x1080": lambda: tc.pointwise(ramp, rgb(lambda c: (c - 0.5) * 1.2 + 0.6)),
         "copy_selection_2048x2048": lambda: tc.window(large, Rect(0, 0, 2048, 2048)),
         "cut_selection_512x512": lambda: raster.extract(base, selection.rect(spark, Rect(0, 0, 512, 512))).unionByName(raster.erase_rect(base, Rect(0, 0, 512, 512))),
-        "paint_stroke_20_samples": lambda: brush.paint_stamps(empty, brush.stamp_cover(brush.stroke_stamps(samples, tip), tip), (0.9, 0.1, 0.1, 1.0), ("stroke_id", "n")),
+        "paint_stroke_20_samples": lambda: brush.paint_stamps(empty, brush.stamp_cover(brush.stroke_stamps(samples, tip), tip), (0.9, 0.1, 0.1, 1.0)),
         "native_save": save,
         "native_load": lambda: native.load(spark, saved[0]).pixels,
         "tiles_from_lineitem": lambda: queries.flagship(spark, sf),

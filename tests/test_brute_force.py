@@ -172,7 +172,7 @@ def test_stamps_fold_in_order(spark):
     df = spark.createDataFrame(stamps, "stroke_id long, n int, cx double, cy double, pressure double")
     tip = brush.Brush(6.0, 0.3, 0.8, opacity_pressure=True, size_pressure=True)
     px = spark.createDataFrame([(x, y, 0.2, 0.4, 0.6, 0.5) for x in range(10) for y in range(10)], PX)
-    got = image(brush.paint_stamps(px, brush.stamp_cover(df, tip), (0.9, 0.1, 0.2, 0.7), ("stroke_id", "n")))
+    got = image(brush.paint_stamps(px, brush.stamp_cover(df, tip), (0.9, 0.1, 0.2, 0.7)))
     want = {(x, y): (0.2, 0.4, 0.6, 0.5) for x in range(10) for y in range(10)}
     for _, _, cx, cy, pressure in stamps:
         for p, d in list(want.items()):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilestrata.functions.blend import blend_pixel
-from tilestrata.operators.raster import RGBA, named
+from tilestrata.operators.raster import RGBA
 
 
 @dataclass(frozen=True)
@@ -78,20 +78,25 @@ def stamp_cover(stamps: DataFrame, brush: Brush) -> DataFrame:
     return rows.withColumn("cov", falloff(t, brush.hardness) * (brush.opacity * brush.flow) * brush.share("opacity_pressure")).filter((t < 1) & (F.col("cov") > 0)).drop("_r")
 
 
-def paint_stamps(px: DataFrame, covered: DataFrame, colour: tuple[float, ...], order: tuple[str, ...] = ("n",), erase: bool = False) -> DataFrame:
-    """px after the covers (x, y, cov) in order: a fold for each place, since blending doesn't commute."""
-    entry = F.struct(*[F.col(o) for o in order], "cov")
-    if erase:  # erasing commutes: what is left is a product
-        left = covered.groupBy("x", "y").agg(F.product(1.0 - F.col("cov")).alias("left"))
-        out = px.select("x", "y", *RGBA).join(left, ["x", "y"], "left")
+def paint_stamps(px: DataFrame, covered: DataFrame, colour: tuple[float, ...], erase: bool = False) -> DataFrame:
+    """px after the covers (x, y, cov) of one colour.
+
+    Stamps of one colour over each other let through a product, whatever their order, so a place needs no list of its stamps: the sums
+    are combined where stamps are made, and the colour is blended once by what the product leaves.
+    """
+    ink = F.col("cov") if erase else F.least(F.greatest(F.col("cov") * float(colour[3]), F.lit(0.0)), F.lit(1.0))
+    left = covered.groupBy("x", "y").agg(F.product(1.0 - ink).alias("left"))
+    px = px.select("x", "y", *RGBA)
+    if erase:
+        out = px.join(left, ["x", "y"], "left")
         return out.withColumn("a", F.col("a") * F.coalesce("left", F.lit(1.0))).drop("left").filter("a > 0")
-    stack = covered.groupBy("x", "y").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    old = stack.join(px.select("x", "y", *RGBA), ["x", "y"], "left").select("x", "y", "e", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in RGBA])
-    start = F.struct(*[F.col(c).cast("double").alias(c) for c in RGBA])
-    src = lambda e: [*[F.lit(float(c)) for c in colour[:3]], e["cov"] * float(colour[3])]
-    step = lambda acc, e: F.struct(*named(blend_pixel("normal", [acc[c] for c in RGBA], src(e))))
-    new = old.select("x", "y", F.aggregate("e", start, step).alias("p")).select("x", "y", *[F.col(f"p.{c}").alias(c) for c in RGBA]).filter("a > 0")
-    return px.select("x", "y", *RGBA).join(stack.select("x", "y"), ["x", "y"], "left_anti").unionByName(new)
+    both = px.join(left, ["x", "y"], "full")
+    old = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in RGBA]
+    new = blend_pixel("normal", old, [*[F.lit(float(c)) for c in colour[:3]], 1.0 - F.col("left")])
+    drawn = F.struct(*[n.cast("double").alias(c) for n, c in zip(new, RGBA, strict=True)])
+    same = F.struct(*[F.col(c).cast("double").alias(c) for c in RGBA])
+    out = both.select("x", "y", "left", F.when(F.col("left").isNull(), same).otherwise(drawn).alias("p"))
+    return out.filter("left IS NULL OR p.a > 0").select("x", "y", *[F.col(f"p.{c}").alias(c) for c in RGBA])
 
 
 def finger_cover(stamps: DataFrame, radius: float, hardness: float) -> DataFrame:

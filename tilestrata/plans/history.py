@@ -208,7 +208,7 @@ def paint_stroke(i: int, samples: DataFrame, tip: brush.Brush, colour: tuple[flo
 
     def change(d: Document, px: DataFrame) -> DataFrame:
         covered = brush.stamp_cover(brush.stroke_stamps(samples, tip), tip)
-        return brush.paint_stamps(px, covered, colour, ("stroke_id", "n"), erase)
+        return brush.paint_stamps(px, covered, colour, erase)
 
     return pixel_step("stroke", i, change)
 

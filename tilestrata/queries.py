@@ -325,8 +325,8 @@ def queries() -> dict[str, Query]:
     q["remove_matte"] = lambda s, d: show(region.remove_matte(_grey(s, d).withColumns({c: F.when(BOX.expand(-2).contains(F.col("x") - 40, F.col("y") - 30), F.col(c)).otherwise(0.25) for c in "rgb"}), _extent(s, d)))
     # brushes and retouching
     q["stamp_single"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_middle(s, d), brush.Brush(14.0, 0.4, 0.8)), (0.9, 0.2, 0.1, 1.0)))
-    q["stamp_order"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_stamps(s, d), brush.Brush(16.0, 0.2, 0.6)), (0.9, 0.2, 0.1, 1.0), ("stroke_id", "n")))
-    q["brush_stroke"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(brush.stroke_stamps(_strokes(s, d), brush.Brush(8.0)), brush.Brush(8.0)), (0.1, 0.3, 0.9, 0.5), ("stroke_id", "n")))
+    q["stamp_order"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(_stamps(s, d), brush.Brush(16.0, 0.2, 0.6)), (0.9, 0.2, 0.1, 1.0)))
+    q["brush_stroke"] = lambda s, d: show(brush.paint_stamps(layer(s, d, 1), brush.stamp_cover(brush.stroke_stamps(_strokes(s, d), brush.Brush(8.0)), brush.Brush(8.0)), (0.1, 0.3, 0.9, 0.5)))
     q["finger_coverage"] = lambda s, d: cov(_cover(s, d))
     q["dodge"] = _retouch(lambda: retouch.dodge(pixel(), retouch.range_mask(color.luma(*pixel()[:3]), "midtones") * 0.5))
     q["burn"] = _retouch(lambda: retouch.burn(pixel(), retouch.range_mask(color.luma(*pixel()[:3]), "shadows") * 0.5))
