@@ -75,7 +75,7 @@ def test_svg(spark, tmp_path):
     doc = formats.open_document(spark, f"file://{tmp_path}/d.svgz")
     assert doc.canvas == Rect(0, 0, 96, 48)
     size, paths = svg.parse(DRAWING.encode())
-    assert size == (96, 48) and len(paths) == 6
+    assert size == (96, 48) and len(paths) == 7
     assert paths[0]["vertices"] == [(2, 3), (12, 3), (12, 9), (2, 9)] and paths[0]["fill"] == (1.0, 0.0, 0.0, 1.0) and paths[0]["width"] == 0
     assert paths[1]["fill"] == svg.CLEAR and paths[1]["stroke"][2] == 1.0 and paths[1]["width"] == 2
     assert paths[2]["vertices"] == [(10, 20), (15, 20), (15, 25), (10, 25)] and paths[2]["closed"] and not paths[3]["closed"]
