@@ -78,6 +78,36 @@ def test_rare_words_have_arcs(spark, monkeypatch):
         assert other.base_score.to_numpy() == pytest.approx(got[0].base_score.to_numpy(), rel=1e-9)
 
 
+def test_every_round_learns_from_every_word(spark):
+    """Scores equal those of rounds over all 9,500 words in plain numpy, whatever their frequency or letters."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(9)) for _ in range(8600)} | {"z" + "".join(rng.choice("uvwxyz") for _ in range(9)) for _ in range(1300)})
+    assert len(words) > 9500
+    model = sp.read_model(queries.MODEL_PATH)
+    v = sp.Vocabulary(model)
+    texts = [" ".join(words[i::10]) for i in range(10)] + ["zzuzu zebra", "abc abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score(df, model, F.col("doc_id") < 10).collect()}
+
+    def joined(words):
+        return np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words)])
+
+    used = [*v.usable, *v.bytes.values(), v.unknown]
+    scores = np.array(v.scores)
+    for _ in range(lattice_lm.WARM_ROUNDS + 1):
+        total = lattice_lm.Lattice(v, scores[None]).expect(*joined(words), np.full(len(words), lattice_lm.DISCOUNT))
+        scores = np.full(len(v.scores), -60.0)
+        scores[used] = np.log((total[used] + 0.01) / (total[used].sum() + 0.01 * len(used)))
+    lattice, n = lattice_lm.Lattice(v, scores[None]), len(words)
+    stop = np.log(10.5 / (n + 11))
+    for i, text in enumerate(texts):
+        parts = text.split()
+        marginal = lattice.forward(*joined(parts))[:, 0] + np.log(lattice_lm.DISCOUNT)
+        arcs = np.full(len(parts), np.log((1 - lattice_lm.DISCOUNT) / n) if i < 10 else -np.inf)
+        want = (np.logaddexp(marginal, arcs) + np.log1p(-np.exp(stop))).sum() + stop
+        assert got[i] == pytest.approx(want / np.log(10), rel=1e-9)
+
+
 def test_copies_go_by_id_and_text(spark):
     rows = [(1, "a"), (None, "a"), (None, "only here"), (5, "a"), (5, "also only here"), (7, None), (8, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

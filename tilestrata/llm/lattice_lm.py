@@ -8,15 +8,15 @@ one end piece, so its probability is the product of theirs.
 
 Learning: the vocabulary's own scores weight the segmentations of all training words; the
 expected piece counts (forward-backward over every word type of all training texts) give the
-piece probabilities, after a few warm rounds on the most frequent words. Every word of the training texts
+piece probabilities, in a few rounds, each over all of them. Every word of the training texts
 gets an arc of its own beside the pieces, weighted by its discounted count; what is discounted goes to the pieces.
 Training texts of one labelled group (`group_col`, at most `groups` groups, and the rest) have
 their own counts, and a text's probability is the mixture over groups of its products, so that
 pieces and words need not be alike in every language. The group of a scored text is never read.
 
-Frequent words (count of at least 1 / HEAVY of all tokens, so at most HEAVY of them) are looked up in broadcast
-tables; the others meet their counts, and what their arcs add to the pieces' sum, by a shuffle join, so
-nothing is dropped and what is broadcast has a fixed bound.
+Every distinct word of all texts is summed up once. Frequent words (at least 1 / HEAVY of the words of all texts, so at
+most HEAVY of them) are looked up in broadcast tables; the others meet their counts and log marginals by a
+shuffle join, so nothing is dropped and what is broadcast has a fixed bound.
 
 Defined results: null and empty texts are one end token; without training texts all counts are 0 and
 pieces keep the vocabulary's scores; rows that repeat an id are scored each; other columns are not read.
@@ -37,8 +37,10 @@ from tilestrata.llm.sentencepiece_codec import MARK, Vocabulary
 from tilestrata.llm.storage import arrow_rows, cut
 
 HEAVY = 1 << 20
-#: Words of the warm rounds and the number of rounds.
-WARM_WORDS, WARM_ROUNDS = 8192, 3
+#: Rounds for all groups together before the last, which tells them apart.
+WARM_ROUNDS = 3
+#: Group of the texts that nothing is learned from, whose words are only scored.
+UNSEEN = -1
 #: Share of the whole in a group's piece probabilities, and what a word's arc is discounted by.
 WHOLE, DISCOUNT = 0.02, 0.75
 #: Rows of an Arrow batch of texts.
@@ -175,8 +177,8 @@ class Lattice:
         return out
 
     def expect(self, words: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected pieces, each word taken `weight` times, by the first score table."""
-        total = np.zeros(len(self.scores))
+        """Expected pieces, each word taken `weight` times (or a row of them for each row of weights), by the first score table."""
+        total = np.zeros((*weight.shape[:-1], len(self.scores)))
         for pick in self._blocks(offsets):
             data, at = self._led(*gather(words, offsets[pick], offsets[pick + 1]))
             size = np.diff(at)
@@ -192,7 +194,8 @@ class Lattice:
                 w, x = self._log_sums((b[word[o], end[o]] + gain[o])[:, None], word[o])
                 b[w, start[o[0]]] = x[:, 0]
             share = np.exp(a[word, start] + gain + b[word, end] - a[word, size[word]])
-            total += np.bincount(piece, share * weight[pick][word], minlength=len(total))
+            for row, times in zip(np.atleast_2d(total), np.atleast_2d(weight), strict=True):
+                row += np.bincount(piece, share * times[pick][word], minlength=len(row))
         return total
 
 
@@ -259,8 +262,11 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "grp int, h long, w binary, c long").groupBy("grp", "h", "w").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, groups: int, model: bytes) -> np.ndarray:
-    """Log probabilities by group and piece, from (grp, w, weight)."""
+def fit(words: DataFrame, weights: list[Column], model: bytes) -> np.ndarray:
+    """Log probabilities by group and piece, from all words (w); weights: how often each counts in a group.
+
+    Every round reads every word.
+    """
     v = _vocabulary(model)
     size = len(v.scores)
     used = [*v.usable, *v.bytes.values(), v.unknown]
@@ -270,32 +276,32 @@ def fit(counts: DataFrame, groups: int, model: bytes) -> np.ndarray:
         out[used] = _normal(c[used])
         return out
 
-    scores = np.array([v.scores])
-    warm = counts.groupBy("w").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "w").limit(WARM_WORDS).collect()
-    if not warm:
-        return np.repeat(scores, groups, axis=0)
-    text = np.frombuffer(b"".join(bytes(r["w"]) for r in warm), np.uint8)
-    ends = np.cumsum([0, *(len(r["w"]) for r in warm)])
-    for _ in range(WARM_ROUNDS):
-        scores = normal(Lattice(v, scores).expect(text, ends, np.array([r["weight"] for r in warm])))[None]
-    send = counts.sparkSession.sparkContext.broadcast((model, scores))
+    def expected(scores: np.ndarray, weights: list[Column]) -> np.ndarray:
+        """Expected counts by weight and piece."""
+        names = [f"k{g}" for g in range(len(weights))]
+        send = words.sparkSession.sparkContext.broadcast((model, scores))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, scores = send.value
+            lattice, total = Lattice(_vocabulary(model), scores[None]), np.zeros((len(names), size))
+            for b in batches:
+                total += lattice.expect(*text_buffers(b.column("w")), np.stack([b.column(k).to_numpy() for k in names]))
+            g, p = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(total[g, p])], names=["g", "p", "e"])
+
+        weighed = words.select("w", *[k.cast("double").alias(name) for k, name in zip(weights, names, strict=True)])
+        total = np.zeros((len(names), size))
+        for g, p, e in weighed.mapInArrow(sums, "g int, p int, e double").groupBy("g", "p").agg(F.sum("e").alias("e")).collect():
+            total[g, p] = e
+        return total
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, scores = send.value
-        lattice, total = Lattice(_vocabulary(model), scores), np.zeros((groups, size))
-        for b in batches:
-            data, offsets = text_buffers(b.column("w"))
-            grp, weight = b.column("grp").to_numpy(), b.column("weight").to_numpy()
-            for x in np.unique(grp):
-                at = np.flatnonzero(grp == x)
-                total[x] += lattice.expect(*gather(data, offsets[at], offsets[at + 1]), weight[at])
-        g, p = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(total[g, p])], names=["g", "p", "e"])
-
-    got = counts.select("grp", "w", "weight").mapInArrow(expect, "g int, p int, e double").groupBy("g", "p").agg(F.sum("e").alias("e")).collect()
-    total = np.zeros((groups, size))
-    for g, p, e in got:
-        total[g, p] = e
+    scores = np.array(v.scores)
+    for _ in range(WARM_ROUNDS):
+        total = expected(scores, [sum(weights[1:], weights[0])])[0]
+        if not total.any():
+            return np.repeat(scores[None], len(weights), axis=0)
+        scores = normal(total)
+    total = expected(scores, weights)
     whole = normal(total.sum(axis=0))
     return np.stack([np.logaddexp(math.log(WHOLE) + whole, math.log(1 - WHOLE) + normal(t)) if t.sum() else whole for t in total])
 
@@ -318,69 +324,67 @@ def _score(df: DataFrame, model: bytes, train: Column, id_col: str, text_col: st
     group = F.lit(len(names))
     for i, g in enumerate(names):
         group = F.when(F.col("_g") == g, i).otherwise(group)
-    learn = learn.withColumn("grp", group.cast("int"))
+    rows = rows.withColumn("grp", F.when(F.col("_train"), group).otherwise(UNSEEN).cast("int"))
     ends = np.zeros(len(names) + 1)
-    for g, n in learn.groupBy("grp").count().collect():
+    for g, n in rows.filter("_train").groupBy("grp").count().collect():
         ends[g] = n
-    counts = cut(word_counts(learn.select("grp", "text")), "word-counts")
-    by_group = [F.sum(F.when(F.col("grp") == g, F.col("c")).otherwise(0)).alias(f"c{g}") for g in range(len(ends))]
-    words = cut(counts.groupBy("h").agg(F.sum("c").alias("c"), F.min("w").alias("w"), *by_group), "words")
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    learned = {"c": F.col("grp") != UNSEEN} | {f"c{g}": F.col("grp") == g for g in range(len(ends))}
+    by_group = [F.sum(F.when(where, F.col("c")).otherwise(0)).alias(name) for name, where in learned.items()]
+    words = cut(word_counts(rows.select("grp", "text")).groupBy("h").agg(F.sum("c").alias("n"), F.min("w").alias("w"), *by_group), "words")
+    every, total, kinds = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "c")], F.count(F.when(F.col("c") > 0, 1))).first()
     end = int(ends.sum())
     total, kinds = int(total) + end, int(kinds) + (end > 0)
-    frequent = F.col("c") * HEAVY >= total
-    table = fit(counts.select("grp", "w", F.lit(DISCOUNT).alias("weight")), len(ends), model)
-    heavy = words.filter(frequent).drop("w").toPandas().sort_values("h")
-    heavy_h = heavy["h"].to_numpy(np.int64)
+    frequent = F.col("n") * HEAVY >= int(every)
+    table = fit(words.filter("c > 0"), [F.when(F.col(f"c{g}") > 0, DISCOUNT).otherwise(0.0) for g in range(len(ends))], model)
     sums = words.agg(*[f(F.col(f"c{g}")).alias(f"{n}{g}") for g in range(len(ends)) for n, f in (("t", F.sum), ("k", lambda c: F.sum(F.when(c > 0, c - DISCOUNT))))]).first()
     tokens = np.array([float(sums[f"t{g}"] or 0) for g in range(len(ends))])
     kept = np.array([float(sums[f"k{g}"] or 0) for g in range(len(ends))])
-    arc = np.stack([_arc(heavy[f"c{g}"].to_numpy(float), tokens[g]) for g in range(len(ends))])
     other = np.log(np.maximum(1e-9, 1 - kept / np.maximum(tokens, 1)))
     stop = np.log((ends + 0.5) / (tokens + ends + 1))
     word = np.log1p(-np.exp(stop))
     keep = [i for i in range(len(ends)) if ends[i]] or [0]
     weights = np.log(np.maximum(ends[keep], 1) / max(1, ends[keep].sum()))
     of_group = [f"p{i}" for i in range(len(keep))]
-    send = spark.sparkContext.broadcast((model, table[keep], weights, heavy_h, heavy["c"].to_numpy(np.int64), (arc + word[:, None])[keep], (other + word)[keep], stop[keep]))
     least = math.log10(total + 0.1 * (kinds + 1)) if total else 0.0
-    rare = spark.sparkContext.broadcast((model, table[keep], tokens[keep], word[keep], (other + word)[keep]))
+    fitted = spark.sparkContext.broadcast((model, table[keep], tokens[keep], word[keep], (other + word)[keep]))
 
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the arc of a rare word adds to its log marginal, by group."""
-        model, scores, tokens, word, other = rare.value
+    def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Log marginal of each word by group, over its pieces and its arc."""
+        model, scores, tokens, word, other = fitted.value
         lattice = _lattice(model, scores)
         for b in batches:
             pieces = lattice.forward(*text_buffers(b.column("w"))) + other
-            more = [np.logaddexp(pieces[:, i], _arc(b.column(f"c{g}").to_numpy().astype(float), tokens[i]) + word[i]) - pieces[:, i] for i, g in enumerate(keep)]
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), *map(pa.array, more)], names=["h", "c", *of_group])
+            of = [np.logaddexp(pieces[:, i], _arc(b.column(f"c{g}").to_numpy().astype(float), tokens[i]) + word[i]) for i, g in enumerate(keep)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), *map(pa.array, of)], names=["h", "c", *of_group])
+
+    def values(words: DataFrame) -> DataFrame:
+        return words.select("h", "c", "w", *[f"c{g}" for g in keep]).mapInArrow(marginals, f"h long, c long, {', '.join(f'{p} double' for p in of_group)}")
+
+    heavy = values(words.filter(frequent)).toPandas().sort_values("h")
+    send = spark.sparkContext.broadcast((heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64), [heavy[p].to_numpy(float) for p in of_group], stop[keep] + weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, scores, weights, heavy_h, heavy_c, arc, other, stop = send.value
-        lattice = _lattice(model, scores)
+        """Sums over the frequent words of a text, and its other words with their counts."""
+        heavy_h, heavy_c, marginal, ends = send.value
         ready = np.log10(heavy_c + 0.1)
         for b in batches:
             n = b.num_rows
             words = Words(b.column("text"))
-            owner = np.repeat(np.arange(n), np.diff(words.range))
-            u, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-            signed = u.view(np.int64)
+            owner, signed = np.repeat(np.arange(n), np.diff(words.range)), words.hashes.view(np.int64)
             at = np.minimum(np.searchsorted(heavy_h, signed), max(0, len(heavy_h) - 1))
-            hit = heavy_h[at] == signed if len(heavy_h) else np.zeros(len(u), bool)
-            marginal = lattice.forward(*words.bytes_of(first)) + other
-            if hit.any():
-                marginal[hit] = np.logaddexp(marginal[hit], arc[:, at[hit]].T)
-            per = [np.bincount(owner, marginal[inverse, g], n) + stop[g] + weights[g] for g in range(len(scores))]
-            value = np.where(hit, ready[at] if len(heavy_h) else 0.0, 0.0)
-            tokens = np.diff(words.range) + 1
-            base = np.bincount(owner, value[inverse], n).astype(float)
-            known = np.bincount(owner, hit[inverse], n).astype(np.int64)
-            light = ~hit[inverse]
-            pairs, tf = np.unique(owner[light] * np.int64(len(u) or 1) + inverse[light], return_counts=True)
-            rest = np.concatenate(([0], np.cumsum(np.bincount(pairs // (len(u) or 1), minlength=n))))
-            rest = pa.array(rest.astype(np.int32))
+            hit = heavy_h[at] == signed if len(heavy_h) else np.zeros(len(signed), bool)
+            whose, at = owner[hit], at[hit]
+            per = [np.bincount(whose, x[at], n) + end for x, end in zip(marginal, ends, strict=True)]
+            base = np.bincount(whose, ready[at], n).astype(float)
+            known = np.bincount(whose[heavy_c[at] > 0], minlength=n)
+            whose, light = owner[~hit], signed[~hit]
+            order = np.lexsort((light, whose))
+            whose, light = whose[order], light[order]
+            first = np.flatnonzero(np.concatenate(([True], (light[1:] != light[:-1]) | (whose[1:] != whose[:-1]))) if len(light) else [])
+            tf = np.diff(np.append(first, len(light))).astype(np.int32)
+            rest = pa.array(np.concatenate(([0], np.cumsum(np.bincount(whose[first], minlength=n)))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_train"), pa.array(tokens), pa.array(known), pa.array(base), *map(pa.array, per), pa.ListArray.from_arrays(rest, pa.array(signed[pairs % (len(u) or 1)])), pa.ListArray.from_arrays(rest, pa.array(tf.astype(np.int32)))],
+                [b.column("_id"), b.column("_train"), pa.array(np.diff(words.range) + 1), pa.array(known), pa.array(base), *map(pa.array, per), pa.ListArray.from_arrays(rest, pa.array(light[first])), pa.ListArray.from_arrays(rest, pa.array(tf))],
                 names=["_id", "_train", "n", "known", "base", *of_group, "hs", "ns"],
             )
 
@@ -389,10 +393,10 @@ def _score(df: DataFrame, model: bytes, train: Column, id_col: str, text_col: st
     scored = slim.mapInArrow(run, f"_id {schema}, _train boolean, n long, known long, base double, {', '.join(f'{p} double' for p in of_group)}, hs array<long>, ns array<int>")
     scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     light = scored.select("_row", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("_row", F.col("x.hs").alias("h"), F.col("x.ns").alias("tf"))
-    kinds_of = words.filter(~frequent).mapInArrow(gains, f"h long, c long, {', '.join(f'{p} double' for p in of_group)}")
-    seen = light.join(kinds_of, "h", "left")
-    value = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) * F.col("tf")
-    rest = seen.groupBy("_row").agg(F.sum(value).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("few"), *[F.sum(F.coalesce(p, F.lit(0.0)) * F.col("tf")).alias(f"_{p}") for p in of_group])
+    seen = light.join(values(words.filter(~frequent)), "h", "left")
+    count = F.coalesce("c", F.raise_error(F.lit("a text differs from what it was when its words were counted")).cast("long"))
+    value = F.log10(count + F.lit(0.1)) * F.col("tf")
+    rest = seen.groupBy("_row").agg(F.sum(value).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("few"), *[F.sum(F.col(p) * F.col("tf")).alias(f"_{p}") for p in of_group])
     out = scored.drop("hs", "ns").join(rest, "_row", "left")
     out = out.withColumns({p: F.col(p) + F.coalesce(f"_{p}", F.lit(0.0)) for p in of_group})
     top = F.greatest(*of_group) if len(of_group) > 1 else F.col("p0")
