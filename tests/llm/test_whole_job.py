@@ -108,6 +108,16 @@ def test_every_round_learns_from_every_word(spark):
         assert got[i] == pytest.approx(want / np.log(10), rel=1e-9)
 
 
+def test_blocks_of_words_keep_to_their_cells():
+    """One long word does not widen the forward table of thousands of short ones."""
+    v = sp.Vocabulary(sp.read_model(queries.MODEL_PATH))
+    lattice = lattice_lm.Lattice(v, np.repeat(np.array(v.scores)[None], 5, axis=0))
+    size = np.array([5, 9, 30] * 2000 + [20_000, 0, 400_000])
+    blocks = list(lattice._blocks(np.concatenate(([0], np.cumsum(size)))))
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(len(size)))
+    assert all(len(b) == 1 or len(b) * (size[b].max() + len(sp.MARK.encode()) + 1) * 5 <= lattice.CELLS for b in blocks)
+
+
 def test_copies_go_by_id_and_text(spark):
     rows = [(1, "a"), (None, "a"), (None, "only here"), (5, "a"), (5, "also only here"), (7, None), (8, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

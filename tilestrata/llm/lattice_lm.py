@@ -75,6 +75,9 @@ class Lattice:
         self.known[hashes >> U64(64 - self.FILTER_BITS)] = True
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], ids[order]
+        slot = self.hashes >> U64(64 - self.FILTER_BITS)
+        self.first = np.searchsorted(slot, np.arange(1 << self.FILTER_BITS, dtype=U64)).astype(np.int32)
+        self.most = int(np.bincount(slot.astype(np.int64)).max())  # hashes of one slot
         self.sizes = np.unique(size)
         self.single = np.zeros(len(vocabulary.pieces), bool)
         self.single[[i for i, p in pieces if len(p) == 1]] = True
@@ -116,9 +119,11 @@ class Lattice:
                 break
             with np.errstate(over="ignore"):
                 h = mix64(((sums[here + k] - sums[here]) * down[here]) ^ (U64(k) * LENGTH_SALT))
-            likely = self.known[h >> shift]
-            h, p = h[likely], here[likely]
-            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            slot = (h >> shift).astype(np.int64)
+            likely = np.flatnonzero(self.known[slot])
+            h, p, place = h[likely], here[likely], self.first[slot[likely]]
+            for _ in range(self.most - 1):
+                place = np.minimum(place + (self.hashes[place] < h), len(self.hashes) - 1)
             hit = self.hashes[place] == h
             starts.append(p[hit])
             ends.append(p[hit] + k)
@@ -134,6 +139,11 @@ class Lattice:
         word = owner[start]
         return word, start - at[word], end - at[word], piece
 
+    @staticmethod
+    def _order(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Arcs by place and word; keys of 16 bits, where they fit, are sorted by radix."""
+        return np.lexsort([k.astype(np.uint16) if len(k) and k.max() < 1 << 16 else k for k in (word, at)])
+
     @staticmethod
     def _log_sums(x: np.ndarray, key: np.ndarray):
         """(keys, log of summed exponentials of x by runs of equal keys)."""
@@ -146,17 +156,16 @@ class Lattice:
         """Words of like length, so many that the forward table stays small."""
         size = np.diff(offsets) + len(self.mark) + 1
         order = np.argsort(size, kind="stable")
-        width, lo = self.scores.shape[1], 0
+        size, width, lo = size[order], self.scores.shape[1], 0
         while lo < len(order):
-            hi = lo + 1
-            step = 4096
-            while hi < len(order) and (hi - lo) * size[order[hi]] * width <= self.CELLS:
-                hi = min(len(order), hi + step)
+            most = 1 + self.CELLS // (int(size[lo]) * width)
+            cells = np.arange(1, len(size[lo : lo + most]) + 1) * size[lo : lo + most] * width
+            hi = lo + max(1, int(np.searchsorted(cells, self.CELLS, side="right")))
             yield order[lo:hi]
             lo = hi
 
     def _forward(self, word, start, end, piece, n: int, longest: int) -> np.ndarray:
-        order = np.lexsort((word, end))
+        order = self._order(word, end)
         word, start, end, gain = word[order], start[order], end[order], self.scores[piece[order]]
         a = np.full((n, longest + 1, self.scores.shape[1]), -np.inf)
         a[:, 0] = 0.0
@@ -187,7 +196,7 @@ class Lattice:
             gain = self.scores[piece, 0]
             b = np.full(a.shape, -np.inf)
             b[np.arange(len(pick)), size] = 0.0
-            order = np.lexsort((word, -start))
+            order = self._order(word, size.max() - start)
             edges = np.flatnonzero(np.concatenate(([True], np.diff(start[order]) != 0, [True])))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 o = order[lo:hi]
