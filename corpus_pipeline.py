@@ -13,8 +13,21 @@ from tilestrata.llm import decontaminate, exact_dedup, language_id, ngram_join,
 from tilestrata.llm.storage import cut
 
 
+#: Rows of an Arrow batch that holds whole texts, here and in what the session runs next; the default of 10,000 takes some 60 MB, several times over, in each task.
+BATCH_ROWS = 1000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """For stages whose rows go through Python only when their result is written, after the stage's function is over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; null and empty texts, those without letters, and those that no language explains go. Lengths don't matter: short texts are judged by what they need beyond one phrase."""
+    narrow_batches(spark)
     return language_id.keep_known(docs, language_id.learn(docs.filter(queries.fold("doc_id", 4) != 2)))
 
 
@@ -37,6 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str =
     """Token ids of every document; null and empty texts have none."""
     from pyspark.sql import functions as F
 
+    narrow_batches(spark)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(model_path), columns=[F.col(c) for c in ("doc_id", "lang", "source")])
 
 

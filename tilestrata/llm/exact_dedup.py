@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tilestrata.llm.merge import bitmap, has, slot
 from tilestrata.llm.storage import arrow_rows, cut, small
+from tilestrata.llm.workers import lean
 
 #: Bits of the bitmap of hashes as powers of two, least and most, and how many for each hash.
 BITMAP_BITS, BITMAP_EACH = (16, 27), 16
@@ -85,7 +86,7 @@ def _distinct_members(hashed: DataFrame, many: DataFrame) -> DataFrame:
                     before.append(text)
             yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_t")], names=["_h", "_t"]).filter(pa.array(keep))
 
-    return hashed.select("_h", "_t", slot("_h", bits).alias("slot")).mapInArrow(run, "_h binary, _t string")
+    return hashed.select("_h", "_t", slot("_h", bits).alias("slot")).mapInArrow(lean(run), "_h binary, _t string")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:

@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilestrata.llm.storage import fresh
-from pyspark.sql.window import Window
+from tilestrata.llm.workers import keep, lean
 
 UNKNOWN = "und"
 SEGMENT = 1024
@@ -49,7 +50,6 @@ HELD = 1 << 21
 LETTER_BITS = 5.0
 
 _letters: list[np.ndarray] = []
-_built: dict[tuple, "Tables"] = {}
 
 
 def _is_letter() -> np.ndarray:
@@ -248,10 +248,7 @@ class Tables:
 
 def tables(samples: tuple[tuple[str, str], ...]) -> Tables:
     """Built once in each Python worker."""
-    if samples not in _built:
-        _built.clear()
-        _built[samples] = Tables(samples)
-    return _built[samples]
+    return keep(("languages", samples), lambda: Tables(samples))
 
 
 def blocks(samples: tuple[tuple[str, str], ...]) -> list[tuple[tuple[str, str], ...]]:
@@ -282,7 +279,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("k"), pa.array(t, pa.string())], names=["lang", "k", "t"])
 
     got: dict[str, list] = {}
-    for r in sample.mapInArrow(short, "lang string, k int, t string").collect():
+    for r in sample.mapInArrow(lean(short), "lang string, k int, t string").collect():
         got.setdefault(r["lang"], []).append((r["k"], r["t"]))
     out = [(lang, "".join(t + " " for _, t in sorted(got[lang]))) for lang in sorted(got)]
     return tuple((lang, t) for lang, t in out if t.strip())
@@ -361,7 +358,7 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str
     schema = shown.drop("text").schema
     for name, kind in zip(names, ("string", "double", "double", "double"), strict=True):
         schema = schema.add(name, kind)
-    return shown.mapInArrow(run, schema).select("row.*", *names)
+    return shown.mapInArrow(lean(run, keeps=True), schema).select("row.*", *names)
 
 
 def letter_bits(sample: str) -> float:

@@ -44,6 +44,7 @@ from tilestrata.llm._text import chunks, shingle_set, text_buffers, word_hashes
 from tilestrata.llm.components import components
 from tilestrata.llm.merge import bitmap, has, merged, pack, slot
 from tilestrata.llm.storage import arrow_rows, cut, small
+from tilestrata.llm.workers import lean
 
 #: Counters of the sketch and bits of the bitmap, as powers of two: least and most, and how many for each row.
 SKETCH_BITS, SKETCH_EACH = (21, 24), 8
@@ -98,7 +99,7 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         data = [pack(x) for x in total.reshape(-1, SKETCH_CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int64()), pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["part", "chunk", "data"])
 
-    return merged(docs.select("text").mapInArrow(count, "part long, chunk int, data binary"), width)
+    return merged(docs.select("text").mapInArrow(lean(count), "part long, chunk int, data binary"), width)
 
 
 def telling_none(n: int, percent: int) -> bool:
@@ -143,7 +144,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts, bits: int) -> Dat
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, mark binary, n int, fp binary, cen float, ell int, sig array<long>, prefix array<long>")
+    return docs.mapInArrow(lean(run), f"id {kind}, mark binary, n int, fp binary, cen float, ell int, sig array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -175,11 +176,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     # a class is found by the id and the fingerprint of its first row, so a further row of the id can't stand in for it
-    have = docs.select("id", "text", slot("id", bits).alias("slot")).mapInArrow(sets, f"_id {kind}, _fp binary, s binary")
+    have = docs.select("id", "text", slot("id", bits).alias("slot")).mapInArrow(lean(sets), f"_id {kind}, _fp binary, s binary")
     have = have.join(wanted, (F.col("_fp") == F.col("fp")) & F.col("_id").eqNullSafe(F.col("id"))).select("key", "s").dropDuplicates(["key"])
     have = cut(have, "sets")
     both = pairs.select("a", "b").join(have.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    return cut(both.mapInArrow(reach, "a long, b long"), "links")
+    return cut(both.mapInArrow(lean(reach), "a long, b long"), "links")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -204,7 +205,7 @@ def _likely(classes: DataFrame, shared: DataFrame) -> DataFrame:
             key = np.repeat(b.column("key").to_numpy(), np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(tok[keep])], names=["key", "pos", "tok"])
 
-    return classes.mapInArrow(run, "key long, pos int, tok long")
+    return classes.mapInArrow(lean(run), "key long, pos int, tok long")
 
 
 def _near_components(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:

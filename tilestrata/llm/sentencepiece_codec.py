@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilestrata.llm.workers import keep, lean
+
 MARK = "▁"
 #: Kinds of pieces in a model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -39,8 +41,6 @@ UNIGRAM = 1
 #: Distinct words kept by a worker.
 CACHE_WORDS = 300_000
 
-_loaded: dict[tuple[int, int], "Codec"] = {}
-
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     out = shift = 0
@@ -179,11 +179,7 @@ class Codec:
 
 def codec(model: bytes) -> Codec:
     """Built once in each Python worker."""
-    key = len(model), hash(model)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Codec(model)
-    return _loaded[key]
+    return keep(("pieces", len(model), hash(model)), lambda: Codec(model))
 
 
 def read_model(path: str) -> bytes:
@@ -214,7 +210,7 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", columns: list[Co
                 yield pa.RecordBatch.from_arrays([*cols, flat, pa.array(sizes), pa.array(same)], names=[*b.schema.names[:-1], "token_ids", "n_tokens", "round_trip"])
 
     schema = shown.drop("text").schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "integer").add("round_trip", "boolean")
-    return shown.mapInArrow(run, schema).select("row.*", "token_ids", "n_tokens", "round_trip")
+    return shown.mapInArrow(lean(run, keeps=True), schema).select("row.*", "token_ids", "n_tokens", "round_trip")
 
 
 def decode(df: DataFrame, model: bytes, ids_col: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -228,4 +224,4 @@ def decode(df: DataFrame, model: bytes, ids_col: str = "token_ids", name: str =
             texts = [None if x is None else c.decode(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], name])
 
-    return shown.mapInArrow(run, shown.drop("ids").schema.add(name, "string")).select("row.*", f"`{name}`")
+    return shown.mapInArrow(lean(run, keeps=True), shown.drop("ids").schema.add(name, "string")).select("row.*", f"`{name}`")
