@@ -205,3 +205,21 @@ def test_turns_differ_by_role_and_text(spark):
     pairs = [("a", "bc"), ("ab", "c"), (None, "abc"), ("", "abc"), ("abc", None)]
     df = spark.createDataFrame([(i, 0, x, y, "") for i, (x, y) in enumerate(pairs)], SCHEMA)
     assert df.select(prefix_trie.unit(F.col("role"), F.col("text"))).distinct().count() == 4
+
+
+def test_new_pieces_are_encoded_together():
+    both, calls = ta.Pair(A, B), []
+    one = both.sides[0].one
+    both.sides[0].one = lambda text: calls.append(text) or one(text)
+    texts = [*[t for t in ODD if t and "▁" not in t], *(f"item{i} of {i * 7} is \t {i}th " for i in range(300))]
+    for _ in range(2):  # then by the cache
+        got = [tuple(x.tolist() for x in pair) for pair in both.encode(texts)]
+        assert got == [(one(" " + t), both.sides[1].model.encode(t)) for t in texts]
+    assert len(calls) < 20
+
+
+@pytest.mark.parametrize("text", [" ", "a ", "  ", "x"])
+def test_a_single_new_piece(text):
+    both = ta.Pair(A, B)
+    assert [tuple(x.tolist() for x in pair) for pair in both.encode([text])] == [(both.sides[0].one(" " + text), both.sides[1].model.encode(text))]
+    assert [len(x) for pair in both.encode([None, ""]) for x in pair] == [0] * 4

@@ -47,8 +47,8 @@ from tilestrata.llm.storage import cut
 RUN, AT_ONCE = 4096, 1 << 19
 #: Pairs whose counts are sent to all tasks (17 bytes each); more are joined by shuffle.
 MOST_PAIRS = 1 << 22
-#: Bytes of pieces and ids that a worker keeps in each of two generations.
-CACHE_BYTES = 1 << 25
+#: Bytes of pieces and ids that a worker keeps.
+CACHE_BYTES = 1 << 26
 #: Texts of one block.
 BLOCK_BITS = 16
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -79,6 +79,7 @@ class ByteBPE:
         for token, i in self.ids.items():
             self.raw[i] = bytes(byte[c] for c in token)
         ranks = {x: i for i, x in enumerate(self.raw) if x}
+        self.sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
         self.one = tiktoken.Encoding("file", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def confirm(self) -> None:
@@ -89,9 +90,28 @@ class ByteBPE:
         if any([t.id for t in model.tokenize(token)] != [i] for token, i in self.ids.items()):
             raise ValueError("a token's merges don't give the token")
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        one = self.one
-        return [one(" " + p) for p in pieces]
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each).
+
+        Pieces that end with another character than a space are encoded as one text: a token ends at the space that leads the next.
+        """
+        joined = [k for k, p in enumerate(pieces) if p and not p[-1].isspace()]
+        ids = np.array(self.one("".join([" " + pieces[k] for k in joined])), np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum(np.fromiter((1 + len(pieces[k].encode()) for k in joined), np.int64, len(joined)))
+        upto = np.searchsorted(ends, wanted, side="right")
+        if len(joined) and not np.array_equal(ends[upto - 1], wanted):
+            raise ValueError("a token crosses a space that leads a piece")
+        n = np.zeros(len(pieces), np.int64)
+        n[joined] = np.diff(np.concatenate(([0], upto)))
+        if len(joined) < len(pieces):
+            parts = dict(zip(joined, np.split(ids, upto[:-1]), strict=False))
+            for k, p in enumerate(pieces):
+                if k not in parts:
+                    parts[k] = np.array(self.one(" " + p), np.int32)
+                    n[k] = len(parts[k])
+            ids = np.concatenate([parts[k] for k in range(len(pieces))])
+        return ids, n
 
 
 class PieceBPE:
@@ -106,49 +126,91 @@ class PieceBPE:
         for b, i in v.bytes.items():
             self.raw[i] = bytes([b])
         self.space = self.model.piece_to_id(MARK)
+        self.sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x or [self.space] for x in self.model.encode(pieces, num_threads=1)]
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        got = [x or [self.space] for x in self.model.encode(pieces, num_threads=1)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.int32, int(n.sum())), n
+
+    def differing(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each piece, whether its ids don't give it and the space in front back."""
+        size = np.fromiter((1 + len(p.encode()) for p in pieces), np.int64, len(pieces))
+        until = np.concatenate(([0], np.cumsum(n)))
+        given = np.diff(np.concatenate(([0], np.cumsum(self.sizes[ids])))[until])
+        ids = ids.tolist()
+        if np.array_equal(given, size) and b"".join(map(self.raw.__getitem__, ids)) == "".join([" " + p for p in pieces]).encode():
+            return np.zeros(len(pieces), bool)
+        at = until.tolist()
+        return np.array([b"".join([self.raw[i] for i in ids[x:y]]) != b" " + p.encode() for p, (x, y) in zip(pieces, itertools.pairwise(at), strict=True)])
+
+
+class _New(dict):
+    """Place of each piece, in order of first sight; pieces not met before are also in `new`."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = len(self)
+        self.new.append(piece)
+        return at
 
 
 class Pair:
-    """Both tokenizers, with a cache of pieces."""
+    """Both tokenizers, with a cache of pieces: the ids of all in one array a side, found by a piece's place."""
 
     def __init__(self, a: bytes, b: bytes) -> None:
         self.sides = ByteBPE(a), PieceBPE(b)
-        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
-        self.before: dict[str, tuple[bytes, bytes] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places = _New()
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.differs = np.zeros(0, bool)
         self.size = 0
 
     def sizes(self) -> list[np.ndarray]:
-        return [np.fromiter(map(len, s.raw), np.int64, len(s.raw)) for s in self.sides]
+        return [s.sizes for s in self.sides]
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides for each text; none where a side doesn't give the text back."""
-        if self.size > CACHE_BYTES:  # pieces not met since the last time go
-            self.before, self.kept, self.size = self.kept, {}, 0
-        kept, before, raw = self.kept, self.before, self.sides[1].raw
+        if self.size > CACHE_BYTES:
+            self.forget()
         parts = [byte_bpe.pieces(" " + t) if t else [] for t in texts]
         for p in parts:  # a text of its own starts with an empty piece, or else with a piece that keeps its space
             if p:
                 p[0] = p[0][1:]
                 if len(p) > 1 and not p[0]:
                     del p[0]
-        new = {x for p in parts for x in p if x not in kept}
-        kept.update((x, before[x]) for x in new if x in before)
-        self.size += 250 * len(new)
-        new = [x for x in new if x not in kept]
-        for piece, *ids in zip(new, *(s.encode(new) for s in self.sides), strict=True):
-            same = b"".join([raw[i] for i in ids[1]]) == b" " + piece.encode()  # A has every byte and gives all back
-            kept[piece] = tuple(np.array(x, np.int32).tobytes() for x in ids) if same else None
-            self.size += len(piece) + 4 * (len(ids[0]) + len(ids[1]))
+        words = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+        where = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(words[-1]))
+        self._learn()
+        bad = np.concatenate(([0], np.cumsum(self.differs[where])))[words]
+        flat, bounds = [], []
+        for ids, ends in zip(self.ids, self.ends, strict=True):
+            n = ends[where + 1] - ends[where]
+            until = np.concatenate(([0], np.cumsum(n)))
+            flat.append(ids[np.repeat(ends[where] - until[:-1], n) + np.arange(until[-1])])
+            bounds.append(until[words].tolist())
         none = np.zeros(0, np.int32)
-        for p in parts:
-            got = [kept[x] for x in p]
-            if None in got:
-                yield none, none
-            else:
-                yield np.frombuffer(b"".join([x[0] for x in got]), np.int32), np.frombuffer(b"".join([x[1] for x in got]), np.int32)
+        for k in range(len(parts)):
+            yield (none, none) if bad[k + 1] > bad[k] else tuple(f[b[k] : b[k + 1]] for f, b in zip(flat, bounds, strict=True))
+
+    def _learn(self) -> None:
+        """Encodes the pieces that are new."""
+        new = self.places.new
+        if not new:
+            return
+        got = [s.encode(new) for s in self.sides]
+        self.differs = np.concatenate((self.differs, self.sides[1].differing(new, *got[1])))  # A has every byte and gives all back
+        for k, (ids, n) in enumerate(got):
+            self.ids[k] = np.concatenate((self.ids[k], ids))
+            self.ends[k] = np.concatenate((self.ends[k], self.ends[k][-1] + np.cumsum(n)))
+        self.size += 200 * len(new) + sum(map(len, new)) + 4 * sum(len(ids) for ids, _ in got)
+        new.clear()
 
 
 def pair(a: bytes, b: bytes) -> Pair:
@@ -186,7 +248,7 @@ def end_events(df: DataFrame, send) -> DataFrame:
                 key, at, side, ids = list(range(base + n, base + n + b.num_rows)), [-1] * b.num_rows, [0] * b.num_rows, [None] * b.num_rows
                 for k, sides in enumerate(both.encode(b.column(1).to_pylist()), base + n):
                     for s, x in enumerate(sides):
-                        starts = np.cumsum(sizes[s][x]) - sizes[s][x]
+                        starts = np.cumsum(sizes[s][x]) - sizes[s][x] if len(x) > RUN else [0]
                         for first in range(0, len(x), RUN):
                             key.append(k)
                             at.append(int(starts[first]))
