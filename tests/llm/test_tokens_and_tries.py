@@ -5,8 +5,12 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
@@ -57,6 +61,30 @@ def test_byte_bpe_in_many_blocks(spark, monkeypatch):
     assert seen == docs.count()
 
 
+@pytest.mark.parametrize("pattern", [byte_bpe.PATTERN, r"\p{L}+", r"[a-z .]+|\s"])
+def test_pieces_of_many_texts_are_split_together(monkeypatch, pattern):
+    """One call splits all plain pieces; the words are those of whole texts, where the pattern lets a space begin one."""
+    calls, real = [], regex.compile(pattern)
+    counting = SimpleNamespace(findall=lambda text: calls.append(text) or real.findall(text))
+    monkeypatch.setattr(byte_bpe, "regex", SimpleNamespace(compile=lambda _: counting, Pattern=regex.Pattern))
+    monkeypatch.setattr(byte_bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(5)
+    parts = ["a", "Bc", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\u2003", "é", "中", "1", ".", "'s", "\U0001f600", "\x00"]
+    texts = [*ODD, *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)), " ".join(f"w{i}." for i in range(20000))]
+    for some, kind in ((texts, pa.string()), (texts[:1000], pa.large_string()), (texts[-1:], pa.string())):
+        calls.clear()
+        batches = (pa.RecordBatch.from_arrays([pa.array(some[i : i + 500], kind)], names=["text"]) for i in range(0, len(some), 500))
+        got = []
+        for _, block, _ in byte_bpe._blocks(batches, pattern, carry=False):
+            words = pa.array(list(block.words)).to_pylist()
+            got += [[words[i] for i in np.frombuffer(t, np.uint32)] for t in block.texts]
+        # as cut by pieces(): a space after a non-space starts a word
+        assert got == [[w for i, p in enumerate(byte_bpe.pieces(t)) for w in real.findall(" " * (i > 0) + p)] if t else [] for t in some]
+        if pattern == byte_bpe.PATTERN:
+            assert got == [real.findall(t or "") for t in some]
+    assert pattern != byte_bpe.PATTERN or len(calls) < 10
+
+
 def test_decoding_nulls_and_foreign_ids(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [0, 256])], "doc_id long, token_ids array<int>")
     got = {r["doc_id"]: r["decoded"] for r in byte_bpe.decode(rows, RANKS).collect()}

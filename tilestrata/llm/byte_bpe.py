@@ -8,14 +8,14 @@
 3. Ids and texts of a block meet by block, ids first; each text is put together by position while the block streams by.
 
 A word is at most once in a block, so one that every text has is spread thinly: of a block's words it is a single row.
-Blocks are cut by size, so no key of the last shuffle is larger than a block (or one single text).
+Blocks are cut by size, so no key of the last shuffle is larger than a block and a slice of texts (or one single text).
 
 The texts are read once for the words and once for the positions. Both must see the same rows in the same order, as a scan
 of files does; a block's key is a hash of its words and place, so a difference is an error, never a wrong result. With
 cut_first the input is written to the shared folder before, for inputs that come from a shuffle.
 
-Pre-tokens are those of the pattern; spaces after a non-space always start one, so pieces between spaces are split once a
-block and kept. Merging a single word is left to the tiktoken library.
+Pre-tokens are those of the pattern; spaces after a non-space always start one, so texts are cut there, and the distinct
+pieces of a slice of texts are split together, once. Merging a single word is left to the tiktoken library.
 
 Defined results: null and empty texts have no ids; special tokens don't exist, their strings are plain text; rows are coded
 one by one, so ties, repeats and null ids don't matter; an empty table gives an empty table; input columns keep their names
@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,18 +44,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilestrata.llm.storage import cut
+from tilestrata.llm.workers import lean
 
 #: The pattern of byte-level vocabularies, which splits text before the merges (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A block ends with the text that reaches one of these: distinct words, characters.
+#: A block ends with the slice of texts that reaches one of these: distinct words, characters.
 BLOCK_WORDS, BLOCK_CHARS = 1 << 19, 1 << 25
-#: Pieces between spaces that are kept, and words whose ids are sorted by block at once.
-KEPT_PIECES, AT_ONCE = 1 << 18, 1 << 18
+#: Pieces between spaces that are split together, and words whose ids are sorted by block at once.
+KEPT_PIECES, AT_ONCE = 1 << 19, 1 << 18
 #: Ids of a batch of results.
 BATCH_IDS = 1 << 20
 
 _after_space = re.compile(r"\s ")
 _breaks = re.compile(r"(?<=\S)(?= )")
+_spaces = [x for x in map(chr, range(0x3001)) if x.isspace()]  # U+3000 is the last one
 _encoders: dict[int, tuple[bytes, "Encoder"]] = {}
 
 
@@ -108,37 +111,64 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-class _Places(dict):
-    """Place of each word in a block's list; new words are added."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        return at
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, where each text's begin, and their number): texts are cut before spaces that follow a non-space, as by pieces(), but keep the space."""
+    texts = texts.cast(pa.string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    tops = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = (data or pa.py_buffer(b"")).slice(int(tops[0]), int(tops[-1] - tops[0]))
+    seen, tops = np.frombuffer(data, np.uint8), tops - tops[0]
+    space = np.flatnonzero(seen == ord(" "))
+    before = [seen[np.maximum(space - k, 0)].astype(np.int32) for k in (1, 2, 3)]
+    tails = before[0], before[0] + (before[1] << 8), before[0] + (before[1] << 8) + (before[2] << 16)  # the last bytes before each space, as numbers
+    after = np.zeros(len(space), bool)
+    for size, tail in enumerate(tails, 1):
+        after |= np.isin(tail, [int.from_bytes(x.encode()) for x in _spaces if len(x.encode()) == size])
+    begins = np.zeros(len(seen) + 1, bool)
+    begins[space[~after]] = begins[tops] = True
+    cuts = np.append(np.flatnonzero(begins[:-1]), len(seen)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data), np.searchsorted(cuts, tops)
 
 
 class _Block:
     """Words and texts of one block under construction."""
 
     def __init__(self, pattern: regex.Pattern) -> None:
-        self.find, self.words, self.texts, self.size = pattern.findall, _Places(), [], 0
-        self.led, self.bare = {}, {}
-
-    def _split(self, kept: dict[str, bytes], piece: str, lead: str) -> bytes:
-        got = kept[piece] = np.fromiter(map(self.words.__getitem__, self.find(lead + piece)), np.uint32).tobytes()
-        return got
-
-    def add(self, text: str | None) -> None:
-        if not text:
-            self.texts.append(b"")
-            return
-        if len(self.led) + len(self.bare) > KEPT_PIECES:
-            self.led, self.bare = {}, {}
-        first, *rest = pieces(text)
-        led, split = self.led, self._split
-        out = [self.bare.get(first) or split(self.bare, first, "")] if first else []
-        out += [led[p] if p in led else split(led, p, " ") for p in rest]
-        self.texts.append(b"".join(out))
-        self.size += len(text)
+        self.find, self.words, self.texts, self.size = pattern.findall, pa.array([], pa.large_string()), [], 0
+
+    def _found(self, led: pa.Array, others: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(words, their number in each piece).
+
+        led begin with a space and end with none, so that they are split as one text, which has words' ends where theirs are; otherwise each is split by itself.
+        """
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(led)], pa.int32()), led), "")[0].as_py()
+        words = pa.array(self.find(text), pa.large_string())
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.utf8_length(words).to_numpy())))
+        want = np.cumsum(pc.utf8_length(led).to_numpy(), dtype=np.int64)
+        last = np.searchsorted(ends, want)
+        if text and (last[-1] == len(ends) or not np.array_equal(ends[last], want)):  # the pattern leaves out characters, or has words over spaces
+            return self._found(led[:0], led.to_pylist() + others)
+        alone = list(map(self.find, others))
+        words = pa.concat_arrays([words, pa.array(list(itertools.chain.from_iterable(alone)), pa.large_string())])
+        return words, np.concatenate((np.diff(last, prepend=0), np.fromiter(map(len, alone), np.int64, len(alone))))
+
+    def add(self, texts: pa.Array) -> None:
+        """More texts: each distinct piece is split once."""
+        parts, tops = _cut(texts)
+        coded = parts.dictionary_encode()
+        code, known = coded.indices.to_numpy(), coded.dictionary
+        plain = pc.and_not(pc.starts_with(known, " "), pc.is_in(pc.utf8_slice_codeunits(known, -1), pa.array(_spaces))).to_numpy(zero_copy_only=False)
+        led, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        words, counts = self._found(known.take(led), known.take(others).to_pylist())
+        at = np.empty(len(known), np.int64)
+        at[np.concatenate((led, others))] = np.arange(len(known))
+        both = pa.concat_arrays([self.words, words]).dictionary_encode()
+        place, self.words = both.indices.to_numpy()[len(self.words) :].astype(np.uint32), both.dictionary
+        start, size = (np.cumsum(counts) - counts)[at][code], counts[at][code]
+        stop = np.append(0, np.cumsum(size))
+        flat = place[np.arange(stop[-1]) + np.repeat(start - stop[:-1], size)]
+        self.texts += [flat[x:y].tobytes() for x, y in itertools.pairwise(stop[tops].tolist())]
+        self.size += pc.sum(pc.utf8_length(texts)).as_py() or 0
 
     def full(self) -> bool:
         return len(self.words) >= BLOCK_WORDS or self.size >= BLOCK_CHARS
@@ -154,23 +184,34 @@ class _Block:
 
     def key(self, part: int, number: int) -> int:
         h = xxhash.xxh64(f"{part} {number} {len(self.texts)} {sum(map(len, self.texts))} ".encode())
-        h.update(b"\xff".join([w.encode() for w in self.words]))
+        for x in pa.concat_arrays([self.words]).buffers()[1:]:
+            h.update(x or b"")
         return h.intdigest() - (1 << 63)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most KEPT_PIECES pieces and a quarter of a block's characters (in bytes), or of a single text."""
+    parts = pc.count_substring(texts, " ").fill_null(0).to_numpy(zero_copy_only=False) + 1
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    cost = np.cumsum(np.maximum(parts / KEPT_PIECES, size / (BLOCK_CHARS / 4)))
+    lo = 0
+    while lo < len(cost):
+        hi = max(lo + 1, int(np.searchsorted(cost, 1 + (cost[lo - 1] if lo else 0), "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, carry: bool) -> Iterator[tuple[int, _Block, list[pa.RecordBatch]]]:
     """(key, block, the rows of its texts) of a task's rows, whose last column is the text."""
     part, number = TaskContext.get().partitionId(), 0
     compiled = regex.compile(pattern)
     block, rows = _Block(compiled), []
     for b in batches:
-        lo = 0
-        for hi, text in enumerate(b.column(b.num_columns - 1), 1):
-            block.add(text.as_py())
-            if block.full() or hi == b.num_rows:
-                if carry:
-                    rows.append(b.slice(lo, hi - lo).select(range(b.num_columns - 1)))
-                lo = hi
+        texts = b.column(b.num_columns - 1)
+        for lo, hi in _slices(texts):
+            block.add(texts.slice(lo, hi - lo))
+            if carry:
+                rows.append(b.slice(lo, hi - lo).select(range(b.num_columns - 1)))
             if block.full():
                 yield block.key(part, number), block, rows
                 block, rows, number = _Block(compiled), [], number + 1
@@ -183,14 +224,14 @@ def _words(df: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block, _ in _blocks(batches, pattern, carry=False):
-            words = pa.array([w.encode() for w in block.words], pa.large_binary())
+            words = block.words.cast(pa.large_binary())
             near = pc.sort_indices(words)  # neighbours that begin alike take less room
             place = block.order()[near.to_numpy()]
             for lo in range(0, len(near), 1 << 15):
                 some = near[lo : lo + (1 << 15)]
                 yield pa.RecordBatch.from_arrays([words.take(some).cast(pa.binary()), pa.array(np.full(len(some), key)), pa.array(place[lo : lo + (1 << 15)])], names=["word", "block", "at"])
 
-    return df.select("text").mapInArrow(run, "word binary, block long, at int")
+    return df.select("text").mapInArrow(lean(run), "word binary, block long, at int")
 
 
 def _by_block(block: np.ndarray, at: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
@@ -215,7 +256,7 @@ def _ids(words: DataFrame, send) -> DataFrame:
         for b in batches:
             for w in b.column("word").to_pylist():
                 if w != last:
-                    last, got = w, np.array(merge(w), np.int32).tobytes()
+                    last, got = w, array("i", merge(w)).tobytes()
                 out.append(got)
             held.append((b.column("block").to_numpy(), b.column("at").to_numpy()))
             if len(out) >= AT_ONCE:
@@ -224,7 +265,7 @@ def _ids(words: DataFrame, send) -> DataFrame:
         if out:
             yield _by_block(*map(np.concatenate, zip(*held, strict=True)), out)
 
-    return words.repartition("word").sortWithinPartitions("word").select("block", "at", "word").mapInArrow(run, "block long, at int, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").select("block", "at", "word").mapInArrow(lean(run), "block long, at int, ids binary")
 
 
 def _positions(df: DataFrame, pattern: str) -> DataFrame:
@@ -243,7 +284,7 @@ def _positions(df: DataFrame, pattern: str) -> DataFrame:
                     at += k
 
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("n_words", T.IntegerType()), df.schema["row"]])
-    return df.select("row", "text").mapInArrow(run, schema)
+    return df.select("row", "text").mapInArrow(lean(run), schema)
 
 
 def _listed(packed: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +350,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", co
     send = df.sparkSession.sparkContext.broadcast(ranks)
     both = _positions(packed, pattern).unionByName(_ids(_words(packed, pattern), send), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
     row = T.StructField("row", packed.schema["row"].dataType)
-    out = both.mapInArrow(_assemble, T.StructType([row, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]))
+    out = both.mapInArrow(lean(_assemble), T.StructType([row, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]))
     return out.select("row.*", "token_ids", "n_tokens")
 
 
@@ -332,5 +373,5 @@ def decode(df: DataFrame, ranks: bytes, ids_col: str = "token_ids", name: str =
                 texts = [data[x:y] if k else None for k, x, y in zip(known, ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.binary())], names=["row", name])
 
-    out = shown.mapInArrow(run, T.StructType([shown.schema["row"], T.StructField(name, T.BinaryType())]))
+    out = shown.mapInArrow(lean(run), T.StructType([shown.schema["row"], T.StructField(name, T.BinaryType())]))
     return out.select("row.*", name)
