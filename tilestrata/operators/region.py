@@ -102,7 +102,8 @@ def magic_wand(px: DataFrame, x: int, y: int, tolerance: float, rect: Rect, cont
         return select_by_color(px, [0.0] * 4, -1.0, rect).limit(0)
     like = select_by_color(px, _seed(px, x, y), max(0.0, tolerance), rect)
     if radius is not None:
-        like = like.filter((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) <= radius * radius)
+        dx, dy = F.col("x").cast("long") - x, F.col("y").cast("long") - y
+        like = like.filter(dx * dx + dy * dy <= radius * radius)
     return component_of(like, x, y).withColumn("cov", F.lit(1.0)) if contiguous else like
 
 
