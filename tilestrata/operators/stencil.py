@@ -103,7 +103,8 @@ def sobel(px: DataFrame, rect: Rect) -> DataFrame:
 
 def snap_to_edge(field: DataFrame, cx: int, cy: int, radius: int, contrast: float) -> DataFrame:
     """The strongest edge within radius (first in scan order on ties), else the nearest place; one row."""
-    d2 = (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)
+    dx, dy = F.col("x").cast("long") - cx, F.col("y").cast("long") - cy
+    d2 = dx * dx + dy * dy
     p = F.struct("x", "y", "mag")
     ok = (d2 <= radius * radius) & (F.col("mag") >= contrast)
     best = F.max_by(F.when(ok, p), F.when(ok, F.struct("mag", -F.col("y"), -F.col("x"))))
