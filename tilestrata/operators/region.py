@@ -100,6 +100,8 @@ def magic_wand(px: DataFrame, x: int, y: int, tolerance: float, rect: Rect, cont
     """(x, y, cov): places like the seed's colour, by perceptual distance, connected with it and within radius."""
     if not (rect.x <= x < rect.right and rect.y <= y < rect.bottom):
         return select_by_color(px, [0.0] * 4, -1.0, rect).limit(0)
+    if radius is not None:  # no place beyond the circle's box can be like the seed
+        rect = rect.intersect(Rect(x, y, 1, 1).expand(abs(radius)))
     like = select_by_color(px, _seed(px, x, y), max(0.0, tolerance), rect)
     if radius is not None:
         dx, dy = F.col("x").cast("long") - x, F.col("y").cast("long") - y
