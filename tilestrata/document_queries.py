@@ -164,10 +164,10 @@ SAVED_SQL = (
 def _tiffs(s: SparkSession, d: str) -> DataFrame:
     """Each layer written as an image of strips and read again by its strips."""
     px = wide.pixels(s, d)
-    size = px.agg(F.max("x")).first()[0] or 0
+    size = s.read.parquet(f"{d}/lineitem.parquet").agg(F.max(F.col("l_orderkey").cast("int"))).first()[0] or 0
     where = new_path(s, "images")
     large_raster.write_tiffs(px, where, "layer_id", Rect(0, 0, size + 1, 8)).count()
-    back = large_raster.read(large_raster.blocks(s, where)).filter("a > 0")
+    back = large_raster.read(large_raster.blocks(s, where), covered=True)
     return base.show(back.withColumn("layer_id", F.regexp_extract("file", r"(\d+)\.tif$", 1).cast("int")), "layer_id")
 
 

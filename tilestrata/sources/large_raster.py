@@ -3,13 +3,14 @@
 1. Files are listed without their contents; a task reads the directory of each of its files and gives a row for every strip, tile or
    group of lines: where its bytes are, and which rectangle they hold.
 2. That table is filtered by rectangle, page or file like any other; what is left is dealt out in runs of neighbouring blocks.
-3. A task reads the bytes of its blocks, unpacks and decodes them, one block in memory at a time.
+3. A task reads the bytes of its blocks, unpacks and decodes them, one block in memory at a time; of large strips without packing or with deflate, a piece at a time.
+4. Images are written by tasks that pack some places of a strip each; one task an image puts their packed bytes together, a batch at a time.
 
 TIFF: classic and big files of both byte orders, any number of pages, strips and tiles; grey, RGB and palettes of 1 to 16 bits, grey and RGB of 32
 bits and floats of 16, 32 and 64; no packing, LZW, deflate and PackBits, with predictors. EXR: single parts of lines, half, float and
 integer channels, no packing, RLE and ZIP. Integers are sRGB and become linear light, floats are linear already; associated alpha is taken out of colours.
 
-Defined results: files of another kind, cut-off directories, blocks that lie outside the file, are larger than MAX_BLOCK or unpack to
+Defined results: files of another kind, cut-off directories, blocks that lie outside the file, are larger than MAX_BLOCK (unless they are read by pieces) or unpack to
 another size than they must raise; missing alpha is 1; empty files, and no files, give no rows.
 """
 
@@ -18,13 +19,16 @@ from __future__ import annotations
 import json
 import re
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tilestrata.operators.tiles import Rect
 
@@ -32,6 +36,8 @@ BLOCKS = "file string, page int, block long, offsets array<long>, lengths array<
 PIXELS = "file string, page int, x int, y int, r double, g double, b double, a double"
 #: Bytes of a block, packed or not, and packed bytes of a run.
 MAX_BLOCK, RUN_BYTES = 1 << 28, 8 << 20
+#: Bytes of a strip from which on it is read by pieces, and places of a piece.
+LARGE_STRIP, PIECE = 16 << 20, 1 << 16
 #: Bytes of the types of a TIFF directory's values, and their formats (fixed values of the format).
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -182,13 +188,18 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(F.lower("path").rlike(r"\.(tiff?|exr)$")).mapInArrow(run, BLOCKS)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions of few rows that take long: a given number, as Spark puts small ones together otherwise."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def inside(blocks: DataFrame, rect: Rect) -> DataFrame:
     """The blocks that meet a rectangle."""
     return blocks.filter((F.col("x") < rect.right) & (F.col("x") + F.col("w") > rect.x) & (F.col("y") < rect.bottom) & (F.col("y") + F.col("h") > rect.y))
 
 
-def read(blocks: DataFrame, rect: Rect | None = None) -> DataFrame:
-    """PIXELS of blocks, of a rectangle where one is given."""
+def read(blocks: DataFrame, rect: Rect | None = None, covered: bool = False) -> DataFrame:
+    """PIXELS of blocks, of a rectangle where one is given; covered: only those whose alpha is over 0."""
     if rect is not None:
         blocks = inside(blocks, rect)
 
@@ -201,21 +212,59 @@ def read(blocks: DataFrame, rect: Rect | None = None) -> DataFrame:
                         f.close()
                     f = _File(row["file"])
                 how = json.loads(row["how"])
-                data = [f.read(o, n) for o, n in zip(row["offsets"], row["lengths"], strict=True)]
-                px = (_decode_exr if how["kind"] == "exr" else _decode_tiff)(how, data, row["w"], row["h"])
-                for lo in range(0, row["h"], max(1, (1 << 16) // row["w"])):
-                    part = px[lo : lo + max(1, (1 << 16) // row["w"])]
-                    y, x = np.mgrid[: part.shape[0], : part.shape[1]].astype(np.int32).reshape(2, -1)
-                    n = len(x)
-                    keys = [pa.array([row["file"]] * n, pa.string()), pa.array(np.full(n, row["page"], np.int32)), pa.array(x + np.int32(row["x"])), pa.array(y + np.int32(row["y"] + lo))]
-                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(np.ascontiguousarray(part[..., c].ravel())) for c in range(4))], names=[c.split()[0] for c in PIXELS.split(", ")])
+                for at, px in _pieces(f, how, row):
+                    place = at + np.arange(len(px))
+                    if covered:
+                        shown = px[:, 3] > 0
+                        place, px = place[shown], px[shown]
+                    n = len(px)
+                    if n:
+                        keys = [pa.array([row["file"]] * n, pa.string()), pa.array(np.full(n, row["page"], np.int32)), pa.array((row["x"] + place % row["w"]).astype(np.int32)), pa.array((row["y"] + place // row["w"]).astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([*keys, *(pa.array(np.ascontiguousarray(px[:, c])) for c in range(4))], names=[c.split()[0] for c in PIXELS.split(", ")])
         if f:
             f.close()
 
-    out = blocks.repartition("file", "page", "run").sortWithinPartitions("file", "page", "block").mapInArrow(run, PIXELS)
+    out = blocks.repartition(_tasks(blocks), "file", "page", "run").sortWithinPartitions("file", "page", "block").mapInArrow(run, PIXELS)
     return out if rect is None else out.filter(rect.contains())
 
 
+def _pieces(f: _File, how: dict, row: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, (n, 4) in linear light) of a block, at most PIECE places at a time; places are counted along its lines."""
+    w, h = row["w"], row["h"]
+    wide = how.get("samples", 0) * how.get("bits", 0) // 8
+    if how["kind"] == "tiff" and not how["bh"] and how["planes"] == 1 and how["bits"] >= 8 and how["packing"] in (NONE, DEFLATE, OLD_DEFLATE) and how["predictor"] == 1 and wide * w * h > LARGE_STRIP:
+        at, form = 0, f"{how['order']}{'f' if how['floats'] else 'u'}{how['bits'] // 8}"
+        for raw in _unpacked(f, row["offsets"][0], row["lengths"][0], how["packing"] != NONE, wide * PIECE, wide * w * h):
+            yield at, _light(how, np.frombuffer(raw, form).reshape(1, -1, how["samples"]))[0]
+            at += len(raw) // wide
+        return
+    data = [f.read(o, n) for o, n in zip(row["offsets"], row["lengths"], strict=True)]
+    px = (_decode_exr if how["kind"] == "exr" else _decode_tiff)(how, data, w, h).reshape(-1, 4)
+    for at in range(0, len(px), PIECE):
+        yield at, px[at : at + PIECE]
+
+
+def _unpacked(f: _File, at: int, n: int, packed: bool, piece: int, size: int) -> Iterator[bytes]:
+    """The first `size` unpacked bytes of n bytes of a file, a piece at a time; fewer raise."""
+    if at + n > f.size:
+        raise ValueError(f"{f.path}: {n} bytes at {at} lie outside the file")
+    inflate, end, have, part = zlib.decompressobj(), at + n, 0, bytearray()
+    while have < size:
+        want = min(piece, size - have)
+        while len(part) < want:
+            data = inflate.unconsumed_tail
+            if not data and at < end and not inflate.eof:
+                data = f.read(at, min(1 << 20, MAX_BLOCK, end - at))
+                at += len(data)
+            more = data if not packed else inflate.decompress(data, want - len(part))
+            if not more and (inflate.eof or (at >= end and not inflate.unconsumed_tail)):
+                raise ValueError("the block's size isn't what it must be")
+            part += more
+        yield bytes(part[:want])
+        have += want
+        del part[:want]
+
+
 def lzw(data: bytes, most: int) -> bytes:
     """LZW of TIFF: codes of 9 to 12 bits, high bits first, that widen one code early."""
     out, table, size = bytearray(), [], 0
@@ -304,7 +353,11 @@ def _decode_tiff(how: dict, data: list[bytes], w: int, h: int) -> np.ndarray:
     """(h, w, 4) in linear light."""
     bw, bh = (how["bw"], how["bh"]) if how["bh"] else (w, h)
     each = how["samples"] if how["planes"] == 1 else 1
-    px = np.concatenate([_plane(how, d, bw, bh, each) for d in data], axis=2)[:h, :w]
+    return _light(how, np.concatenate([_plane(how, d, bw, bh, each) for d in data], axis=2)[:h, :w])
+
+
+def _light(how: dict, px: np.ndarray) -> np.ndarray:
+    """(h, w, 4) in linear light of (h, w, samples) as stored."""
     colours = 3 if how["photo"] == 2 else 1
     if how["photo"] == 3:
         table = np.array(how["map"], float).reshape(3, -1).T / 65535.0
@@ -315,7 +368,7 @@ def _decode_tiff(how: dict, data: list[bytes], w: int, h: int) -> np.ndarray:
         if how["photo"] == 0:
             colour = 1.0 - colour
     colour = np.repeat(colour, 3, axis=2) if colour.shape[2] == 1 else colour
-    alpha = px[..., colours].astype(float) / (top if how["photo"] != 3 else float((1 << how["bits"]) - 1)) if px.shape[2] > colours else np.ones((h, w))
+    alpha = px[..., colours].astype(float) / (top if how["photo"] != 3 else float((1 << how["bits"]) - 1)) if px.shape[2] > colours else np.ones(px.shape[:2])
     if how["alpha"] == 1:
         colour = colour / np.where(alpha > 0, alpha, 1.0)[..., None]
     if not how["floats"]:
@@ -360,33 +413,93 @@ def encode_tiff(px: np.ndarray, rows_per_strip: int = 64) -> bytes:
     """(h, w, 4) of floats as a TIFF of straight alpha, in deflated strips of doubles."""
     h, w = px.shape[:2]
     strips = [zlib.compress(np.ascontiguousarray(px[y : y + rows_per_strip], "<f8").tobytes(), 1) for y in range(0, h, rows_per_strip)]
-    n = len(strips)
+    return _tiff_head(w, h, rows_per_strip, [len(s) for s in strips]) + b"".join(strips)
+
+
+def _tiff_head(w: int, h: int, rows_per_strip: int, lengths: list[int]) -> bytes:
+    """All of a TIFF of straight alpha in deflated strips of doubles that comes before its strips."""
+    n = len(lengths)
     entries = 12
     after = 16 + 8 + entries * 20 + 8
     offsets_at, lengths_at = after, after + 8 * n
     first = lengths_at + 8 * n
-    offsets = first + np.concatenate(([0], np.cumsum([len(s) for s in strips])))[:-1]
-    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 4, 64 | 64 << 16 | 64 << 32 | 64 << 48), (259, 3, 1, DEFLATE), (262, 3, 1, 2), (273, 16, n, int(offsets[0]) if n == 1 else offsets_at), (277, 3, 1, 4), (278, 4, 1, rows_per_strip), (279, 16, n, len(strips[0]) if n == 1 else lengths_at), (284, 3, 1, 1), (338, 3, 1, 2), (339, 3, 4, 3 | 3 << 16 | 3 << 32 | 3 << 48)]
+    offsets = first + np.cumsum([0, *lengths[:-1]])
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 4, 64 | 64 << 16 | 64 << 32 | 64 << 48), (259, 3, 1, DEFLATE), (262, 3, 1, 2), (273, 16, n, int(offsets[0]) if n == 1 else offsets_at), (277, 3, 1, 4), (278, 4, 1, rows_per_strip), (279, 16, n, lengths[0] if n == 1 else lengths_at), (284, 3, 1, 1), (338, 3, 1, 2), (339, 3, 4, 3 | 3 << 16 | 3 << 32 | 3 << 48)]
     head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) + struct.pack("<Q", entries) + b"".join(struct.pack("<HHQQ", *t) for t in tags) + struct.pack("<Q", 0)
-    return head + struct.pack(f"<{n}Q", *offsets.tolist()) + struct.pack(f"<{n}Q", *map(len, strips)) + b"".join(strips)
+    return head + struct.pack(f"<{n}Q", *offsets.tolist()) + struct.pack(f"<{n}Q", *lengths)
+
+
+def _adler(a: int, b: int, n: int) -> int:
+    """Adler-32 of two runs of bytes after each other, the second of n bytes, by those of both."""
+    low = ((a & 0xFFFF) + (b & 0xFFFF) - 1) % 65521
+    return (((a >> 16) + (b >> 16) + n * ((a & 0xFFFF) - 1)) % 65521) << 16 | low
+
+
+def _part(px: np.ndarray) -> tuple[bytes, int]:
+    """Places (n, 4) as a part of a deflated stream, and their Adler-32."""
+    raw = np.ascontiguousarray(px, "<f8").tobytes()
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    return deflate.compress(raw) + deflate.flush(zlib.Z_FULL_FLUSH), zlib.adler32(raw)
 
 
 def write_tiffs(px: DataFrame, folder: str, key: str, rect: Rect) -> DataFrame:
-    """(key, file): an image for each value of key, of px (key, x, y, r, g, b, a) inside a rectangle; a task holds one image."""
+    """(key, file): an image for each value of key, of px (key, x, y, r, g, b, a) inside a rectangle.
+
+    Strips have 64 lines, or as many as fit into 8 MB, but one at least. Each group of PIECE places of a strip is packed by itself; a task puts
+    an image together in a temporary file of packed bytes, as the lengths of its strips come first.
+    """
     from pyspark.sql import types as T
 
     from tilestrata.operators.raster import RGBA
 
-    def run(keys, rows):
+    lines = max(1, min(64, (8 << 20) // (32 * max(1, rect.w))))
+    strips = -(-rect.h // lines)
+    kind = px.schema[key]
+    size = lambda strip: min(lines, rect.h - strip * lines) * rect.w  # noqa: E731 - places of a strip
+
+    def pack(keys, rows):
+        strip, part = keys[1].as_py(), keys[2].as_py()
+        out = np.zeros((min(PIECE, size(strip) - part * PIECE), 4))
+        out[rows.column("at").to_numpy()] = np.column_stack([rows.column(c).to_numpy() for c in RGBA])
+        data, check = _part(out)
+        return pa.table({key: pa.array([keys[0].as_py()], rows.schema.field(key).type), "strip": [strip], "part": [part], "adler": [check], "data": pa.array([data], pa.binary())})
+
+    def image(name, parts: Iterator[tuple[int, int, int, bytes]], spool) -> None:
+        """One file of the parts that hold pixels; all others are empty."""
         from pyarrow import fs
 
-        out = np.zeros((rect.h, rect.w, 4))
-        out[rows.column("y").to_numpy() - rect.y, rows.column("x").to_numpy() - rect.x] = np.column_stack([rows.column(c).to_numpy() for c in RGBA])
-        where, name = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", folder)))
-        where.create_dir(name, recursive=True)
-        path = f"{name}/{keys[0].as_py()}.tif"
-        with where.open_output_stream(path) as f:
-            f.write(encode_tiff(out))
-        return pa.table({key: pa.array([keys[0].as_py()], rows.schema.field(key).type), "file": [f"{folder}/{keys[0].as_py()}.tif"]})
+        lengths, empty, given = [], {}, next(parts, None)
+        for strip in range(strips):
+            start, check, left = spool.tell(), 1, size(strip)
+            spool.write(b"\x78\x01")
+            for part in range(-(-left // PIECE)):
+                n = min(PIECE, left - part * PIECE)
+                if given is not None and given[:2] == (strip, part):
+                    (_, _, own, data), given = given, next(parts, None)
+                else:
+                    if n not in empty:
+                        empty[n] = _part(np.zeros((n, 4)))
+                    data, own = empty[n]
+                spool.write(data)
+                check = _adler(check, own, 32 * n)
+            spool.write(b"\x03\x00" + struct.pack(">I", check))
+            lengths.append(spool.tell() - start)
+        where, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", folder)))
+        where.create_dir(path, recursive=True)
+        spool.seek(0)
+        with where.open_output_stream(f"{path}/{name}.tif") as f:
+            f.write(_tiff_head(rect.w, rect.h, lines, lengths))
+            while data := spool.read(1 << 20):
+                f.write(data)
 
-    return px.filter(rect.contains()).select(key, "x", "y", *RGBA).groupBy(key).applyInArrow(run, T.StructType([px.schema[key], T.StructField("file", T.StringType())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, (s.as_py(), p.as_py(), a.as_py(), d.as_py())) for b in batches for k, s, p, a, d in zip(b.column(0).to_pylist(), *(b.column(c) for c in range(1, 5)), strict=True))
+        for name, parts in groupby(rows, lambda r: r[0]):
+            with tempfile.TemporaryFile() as spool:
+                image(name, (r[1] for r in parts), spool)
+            yield pa.RecordBatch.from_pydict({key: pa.array([name], to_arrow_type(kind.dataType)), "file": [f"{folder}/{name}.tif"]})
+
+    place = (F.col("y") - rect.y).cast("long") % lines * rect.w + (F.col("x") - rect.x)
+    inside = px.filter(rect.contains()).select(key, F.floor((F.col("y") - rect.y) / lines).cast("int").alias("strip"), F.floor(place / PIECE).cast("int").alias("part"), (place % PIECE).cast("int").alias("at"), *RGBA)
+    packed = inside.groupBy(key, "strip", "part").applyInArrow(pack, T.StructType([kind, *(T.StructField(n, k) for n, k in (("strip", T.LongType()), ("part", T.LongType()), ("adler", T.LongType()), ("data", T.BinaryType())))]))
+    return packed.repartition(_tasks(px), key).sortWithinPartitions(key, "strip", "part").mapInArrow(run, T.StructType([kind, T.StructField("file", T.StringType())]))
