@@ -29,6 +29,8 @@ ALL = "x, y, " + rgba()
 LEVELS = base.ADJUST["levels"]
 RED = (0.9, 0.1, 0.1, 1.0)
 TABLES = "layer_id int, x int, y int, cov double"
+#: The longest side of a previewed copy.
+LONGEST_PREVIEW = 100_000
 
 
 def document(s: SparkSession, d: str, px: DataFrame | None = None, tree: LayerTree | None = None, sel: DataFrame | None = None) -> h.Document:
@@ -262,7 +264,7 @@ def queries() -> dict[str, Query]:
     q["screen_transform"] = there
     q["grid_lines"] = lambda s, d: view.grid_lines(views(s, d).select("id", F.col("pan_x").alias("lo"), (F.col("pan_x") + 90.5).alias("hi")), 16).select("id", "at")
     half = lambda px, r, k: tiles.stored(tiles.read_rect(px, r).select("x", "y", *[(1.0 - F.col(c)).alias(c) for c in "rgb"], "a"))
-    q["filter_preview"] = lambda s, d: base.show(view.preview(base._grey(s, d), half, 100_000))
+    q["filter_preview"] = lambda s, d: base.show(view.preview(base._grey(s, d), half, LONGEST_PREVIEW))
     # trees of many documents: a nation's customers in groups by market segment
     q["render_order_many"] = lambda s, d: tree_tables.render_order(_forest(s, d)).select("doc_id", "pos", "id", "depth")
     q["visible_leaves_many"] = lambda s, d: tree_tables.visible_leaves(_forest(s, d))
@@ -277,6 +279,20 @@ def queries() -> dict[str, Query]:
 SEL_A_RECT = Rect(SEL_A.x, SEL_A.y, SEL_A.w, SEL_A.h)
 
 
+def preview_sql(longest: int) -> str:
+    """The inverted copy of the grey image, bilinear at places / scale; places of the window that nothing reaches are transparent black before."""
+    ctes = [
+        "bd AS (SELECT min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, greatest(max(x) - min(x), max(y) - min(y)) + 1 AS m FROM grey WHERE r <> 0 OR g <> 0 OR b <> 0 OR a <> 0)",
+        f"sc AS (SELECT *, least(1.0::DOUBLE, {longest}::DOUBLE / m) AS s, CASE WHEN m <= {longest} THEN bw ELSE (bw * {longest}::BIGINT + m - 1) // m END AS sw, CASE WHEN m <= {longest} THEN bh ELSE (bh * {longest}::BIGINT + m - 1) // m END AS sh FROM bd)",
+        "gr AS (SELECT x, CAST(unnest(range(sh)) AS INT) AS y, s / (s * s) AS k, s, x0, y0 FROM (SELECT *, CAST(unnest(range(sw)) AS INT) AS x FROM sc))",
+        "fl AS (SELECT x, y, CAST(floor(sx) AS INT) AS ix, CAST(floor(sy) AS INT) AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM (SELECT *, x * k + k * (x0 * s) AS sx, y * k + k * (y0 * s) AS sy FROM gr))",
+        "tp AS (SELECT x, y, ix + i AS qx, iy + j AS qy, (CASE WHEN i = 0 THEN 1 - fx ELSE fx END) * (CASE WHEN j = 0 THEN 1 - fy ELSE fy END) AS wv FROM fl, range(0, 2) u(i), range(0, 2) v(j))",
+        "sm AS (SELECT tp.x, tp.y, " + ", ".join(f"sum(wv * p.{c} * p.a) AS {c}" for c in "rgb") + ", sum(wv * p.a) AS a FROM tp JOIN grey p ON p.x = qx AND p.y = qy WHERE wv <> 0 GROUP BY 1, 2)",
+        "iv AS (SELECT gr.x, gr.y, " + ", ".join(f"1 - coalesce(CASE WHEN a > 0 THEN {c} / a END, 0.0) AS {c}" for c in "rgb") + ", coalesce(CASE WHEN a > 0 THEN a END, 0.0) AS a FROM gr LEFT JOIN sm ON sm.x = gr.x AND sm.y = gr.y)",
+    ]
+    return w(sql.GREY, *ctes) + f"SELECT {ALL} FROM iv WHERE r <> 0 OR g <> 0 OR b <> 0 OR a <> 0"
+
+
 def oracle_sql() -> dict[str, str]:
     b = sql.oracle_sql()
     q: dict[str, str] = {}
@@ -348,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
     q["visible_region"] = w(view_sql) + f"SELECT id, {cut_('px', 1920)} AS x, {cut_('py', 1080)} AS y, CAST(least({span('px', 1920)}, 65536) AS BIGINT) AS vw, CAST(least({span('py', 1080)}, 65536) AS BIGINT) AS vh FROM vw"
     q["screen_transform"] = w(view_sql) + f"SELECT id, {R('40 + (px - 12.5) * 0.25::DOUBLE', 'sx')}, {R('40 + (py - 12.5) * 0.25::DOUBLE', 'sy')}, {R('px', 'bx')}, {R('py', 'back_y')} FROM vw"
     q["grid_lines"] = w(view_sql) + "SELECT id, unnest(range(CAST(floor(floor(px) / 16) * 16 AS BIGINT), CAST(floor(ceil(px + 90.5) / 16) * 16 AS BIGINT) + 1, 16)) AS at FROM vw"
-    q["filter_preview"] = w(sql.GREY) + f"SELECT x, y, {', '.join(R(f'1 - {c}', c) for c in 'rgb')}, {R('a', 'a')} FROM grey"
+    q["filter_preview"] = preview_sql(LONGEST_PREVIEW)
     q["render_order_many"] = w(*FOREST_SQL, "fo AS (SELECT doc_id, id, 0 AS depth, id AS g, -1 AS i, 0 AS k FROM fg UNION ALL SELECT doc_id, id, 1, parent, id % 7, id FROM fc)") + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, depth, i, k) - 1 AS pos, id, depth FROM fo"
     q["visible_leaves_many"] = w(*FOREST_SQL) + "SELECT doc_id, id FROM fc WHERE id % 5 > 0 AND bal >= 0 AND parent % 3 <> 0"
     q["descendants_many"] = w(*FOREST_SQL) + "SELECT doc_id, parent AS root, id FROM fc"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -43,10 +42,14 @@ def grid_lines(ranges: DataFrame, step: int) -> DataFrame:
 
 
 def preview(px: DataFrame, change: Callable[[DataFrame, Rect, float], DataFrame], longest: int) -> DataFrame:
-    """A filter on a copy of at most `longest` places a side, anchored at (0, 0); change gets the copy, its window and the scale, by which it shrinks radii."""
+    """A filter on a copy of at most `longest` places a side, anchored at (0, 0); change gets the copy, its window and the scale, by which it shrinks radii.
+
+    The scale is longest / the longer side, where that is longer; sides are rounded up (in whole numbers), and places sample bilinearly what lies at them / the scale.
+    """
     b = bounds_of(px)
     if b is None or longest <= 0:
         return px.limit(0)
     scale = min(1.0, longest / max(b.w, b.h))
     proxy = resample(px, (scale, 0.0, 0.0, scale, -b.x * scale, -b.y * scale), b, "bilinear")
-    return change(proxy, Rect(0, 0, max(1, math.ceil(b.w * scale)), max(1, math.ceil(b.h * scale))), scale)
+    side = lambda n: n if scale == 1.0 else -(-n * longest // max(b.w, b.h))
+    return change(proxy, Rect(0, 0, side(b.w), side(b.h)), scale)
