@@ -1,10 +1,13 @@
-"""Neighbourhood operators. Every source pixel is sent to the places it contributes to (with
-edge clamping folded into that), and partial sums combine before the shuffle."""
+"""Neighbourhood operators. Every source pixel is sent to the places it contributes to, and partial sums combine before the
+shuffle; wide kernels work on blocks of places as arrays."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +22,49 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _pass(df: DataFrame, axis: str, lo: int, hi: int, weights: list[float]) -> DataFrame:
-    """One weighted sum along an axis, clamped to lo..hi: what leaves the window is what edge pixels stand in for."""
-    k = len(weights) // 2
-    ws = F.array(*[F.lit(w) for w in weights])
-    c = F.col(axis)
-    # an edge pixel also stands for the k places beyond it
-    first, last = F.when(c == lo, c - k).otherwise(c), F.when(c == hi, c + k).otherwise(c)
-    spread = df.withColumn("_s", F.explode(F.sequence(first, last))).withColumn("_d", F.explode(F.sequence(F.lit(-k), F.lit(k))))
-    spread = spread.withColumn("_t", F.col("_s") + F.col("_d")).filter(F.col("_t").between(lo, hi))
-    other = "y" if axis == "x" else "x"
-    w = F.element_at(ws, F.col("_d") + k + 1)
-    return spread.groupBy(F.col("_t").cast("int").alias(axis), other).agg(*[F.sum(F.col(ch) * w).alias(ch) for ch in RGBA])
+#: Places of a block that a blur works on at a time.
+BLOCK = 1 << 16
 
 
 def gaussian_blur(px: DataFrame, rect: Rect, sigma: float) -> DataFrame:
-    """Separable blur of the dense window, clamped at its edges, on straight channels."""
-    dense = read_rect(px, rect)
+    """Separable blur of the dense window, clamped at its edges, on straight channels.
+
+    The window may have any number of places: pixels go to the blocks they reach, each of which is an array of its places and what lies around it.
+    """
     if sigma <= 0:
-        return dense
+        return read_rect(px, rect)
+    if rect.empty:
+        return read_rect(px, rect).select("x", "y", *RGBA)
     w = gaussian_weights(sigma)
-    return _pass(_pass(dense, "x", rect.x, rect.right - 1, w), "y", rect.y, rect.bottom - 1, w).select("x", "y", *RGBA)
+    k = len(w) // 2
+    bh = min(rect.h, max(256, k))
+    bw = min(rect.w, max(BLOCK // bh, k))
+    across, down = -(-rect.w // bw), -(-rect.h // bh)
+
+    def run(key, rows):
+        j, i = divmod(key[0].as_py(), across)
+        x0, y0 = rect.x + i * bw, rect.y + j * bh
+        x1, y1 = min(x0 + bw, rect.right), min(y0 + bh, rect.bottom)
+        u0, v0, u1, v1 = max(rect.x, x0 - k), max(rect.y, y0 - k), min(rect.right, x1 + k), min(rect.bottom, y1 + k)
+        out = np.zeros((4, y1 - y0, x1 - x0))
+        rows = rows.filter(pc.is_valid(rows.column("x")))
+        if rows.num_rows:
+            src = np.zeros((4, v1 - v0, u1 - u0))
+            at = rows.column("y").to_numpy() - v0, rows.column("x").to_numpy() - u0
+            for n, c in enumerate(RGBA):
+                np.add.at(src[n], at, rows.column(c).to_numpy())
+            src = np.pad(src, ((0, 0), (k - (y0 - v0), k - (v1 - y1)), (k - (x0 - u0), k - (u1 - x1))), mode="edge")
+            src = sum(v * src[:, :, n : n + x1 - x0] for n, v in enumerate(w))
+            out = sum(v * src[:, n : n + y1 - y0] for n, v in enumerate(w))
+        x, y = np.tile(np.arange(x0, x1, dtype=np.int32), y1 - y0), np.repeat(np.arange(y0, y1, dtype=np.int32), x1 - x0)
+        return pa.table([x, y, *[c.ravel() for c in out]], names=["x", "y", *RGBA])
+
+    place = lambda c, lo, size, last: F.sequence(*[F.greatest(F.lit(0), F.least(F.lit(last), F.floor((F.col(c).cast("long") - lo + d) / size).cast("int"))) for d in (-k, k)])
+    rows = px.filter(rect.contains()).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in RGBA])
+    rows = rows.withColumn("_i", F.explode(place("x", rect.x, bw, across - 1))).withColumn("_j", F.explode(place("y", rect.y, bh, down - 1)))
+    rows = rows.select((F.col("_j").cast("long") * across + F.col("_i")).alias("block"), "x", "y", *RGBA)
+    none = px.sparkSession.range(across * down).select(F.col("id").alias("block"), *[F.lit(None).cast(t).alias(c) for c, t in zip(("x", "y", *RGBA), ("int", "int", *["double"] * 4), strict=True)])
+    return rows.unionByName(none).groupBy("block").applyInArrow(run, "x int, y int, r double, g double, b double, a double")
 
 
 def sharpen(px: DataFrame, rect: Rect, sigma: float, amount: float) -> DataFrame:
