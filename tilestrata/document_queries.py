@@ -189,26 +189,28 @@ def _profiled_sql() -> str:
     return w(wide.WIDE) + f"SELECT layer_id, x, y, {', '.join(R(e, c) for e, c in zip(out, 'rgb', strict=True))}, {R('a', 'a')} FROM px"
 
 
-def _edits(s: SparkSession, d: str) -> DataFrame:
-    """An edit of a place for each event, with what was there before."""
+def _edits(s: SparkSession, d: str, px: DataFrame | None = None) -> DataFrame:
+    """An edit of a place for each event, with what was there before (px, if it is there already)."""
     k = F.col("event_id")
     e = s.read.parquet(f"{d}/events.parquet").select(k.alias("edit_id"), (1 + k % 7).cast("int").alias("layer_id"), F.floor(F.col("value") * 10).cast("int").alias("x"), (k % 8).cast("int").alias("y"), F.when(k % 5 > 0, F.struct(*[v.alias(c) for c, v in zip("rgba", ((k % 11) / 10, (k % 4) / 3, (k % 6) / 5, (1 + k % 3) / 3), strict=True)])).alias("new"))
     place = ["layer_id", "x", "y"]
     order = Window.partitionBy(*place).orderBy("edit_id")
-    first = wide.pixels(s, d).select(*place, F.struct(*[F.col(c).cast("double").alias(c) for c in "rgba"]).alias("base"))
+    first = (wide.pixels(s, d) if px is None else px).select(*place, F.struct(*[F.col(c).cast("double").alias(c) for c in "rgba"]).alias("base"))
     e = e.withColumns({"n": F.row_number().over(order), "before": F.lag("new").over(order)}).join(first, place, "left")
     return e.select("edit_id", *place, F.when(F.col("n") == 1, F.col("base")).otherwise(F.col("before")).alias("old"), "new")
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     """The composite after a stream of edits, in three batches."""
-    where, edits = new_path(s, "live"), _edits(s, d)
-    last = edits.agg(F.max("edit_id")).first()[0] or 0
+    where = new_path(s, "live")
     live.open_document(wide.pixels(s, d), fx.tree(), f"{where}/document")
-    for k in range(3):  # one file after the other, as edits come
-        edits.filter((F.col("edit_id") * 3 >= k * (last + 1)) & (F.col("edit_id") * 3 < (k + 1) * (last + 1))).coalesce(1).write.mode("append").parquet(f"{where}/edits")
-    stream = s.readStream.schema(live.EDIT).option("maxFilesPerTrigger", 1).parquet(f"{where}/edits")
-    live.start(stream, fx.tree(), f"{where}/document", once=True).awaitTermination()
+    _edits(s, d, live.opened(s, f"{where}/document")).write.parquet(f"{where}/all")
+    edits = s.read.schema(live.EDIT).parquet(f"{where}/all")
+    last = edits.agg(F.max("edit_id")).first()[0] or 0
+    for k in range(3):  # the stream takes what has come and goes on where it ended
+        edits.filter((F.col("edit_id") * 3 >= k * (last + 1)) & (F.col("edit_id") * 3 < (k + 1) * (last + 1))).write.mode("append").parquet(f"{where}/edits")
+        stream = s.readStream.schema(live.EDIT).parquet(f"{where}/edits")
+        live.start(stream, fx.tree(), f"{where}/document", once=True).awaitTermination()
     return base.show(live.view(s, f"{where}/document"))
 
 

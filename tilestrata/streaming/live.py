@@ -64,16 +64,15 @@ def changes(edits: DataFrame) -> DataFrame:
     rows = rows.select("layer_id", tile_of(F.col("x")).alias("tx"), tile_of(F.col("y")).alias("ty"), "edit_id", "x", "y", *[F.col(f"new.{c}").alias(c) for c in RGBA], place_hash(F.col("x"), F.col("y"), F.col("old")).alias("h0"), place_hash(F.col("x"), F.col("y"), F.col("new")).alias("h1"))
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: dict[tuple[int, int], tuple] = {}
+        last: list[pd.DataFrame] = []
         before = sig = state.get[0] if state.exists else 0
         for b in batches:
             sig ^= int(np.bitwise_xor.reduce(b["h0"].to_numpy(np.int64) ^ b["h1"].to_numpy(np.int64)))
-            for at, x, y, *px in b[["edit_id", "x", "y", *RGBA]].itertuples(index=False):
-                if (x, y) not in last or last[x, y][0] <= at:
-                    last[x, y] = (at, *px)
+            rows = pd.concat([*last, b[["edit_id", "x", "y", *RGBA]]], ignore_index=True)
+            last = [rows.sort_values("edit_id", kind="stable").drop_duplicates(["x", "y"], keep="last")]
         if sig != before:
             state.update((sig,))
-            yield pd.DataFrame([(key[0], x, y, *px[1:], sig) for (x, y), px in last.items()], columns=[c.split()[0] for c in CHANGED.split(", ")])
+            yield last[0].assign(layer_id=key[0], sig=sig)[[c.split()[0] for c in CHANGED.split(", ")]]
 
     return rows.groupBy("layer_id", "tx", "ty").applyInPandasWithState(run, CHANGED, "sig long", "append", GroupStateTimeout.NoTimeout)
 
@@ -92,11 +91,13 @@ def open_document(px: DataFrame, tree: LayerTree, folder: str) -> None:
     spark.read.parquet(f"{folder}/composite/v=-1").select(tile_of(F.col("x")).alias("tx"), tile_of(F.col("y")).alias("ty")).distinct().write.parquet(f"{folder}/tiles/v=-1")
 
 
-def pixels(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
-    """The document's pixels as the newest version, or `upto`, has them."""
+def pixels(spark: SparkSession, folder: str, upto: int | None = None, tree: LayerTree | None = None, tiles: DataFrame | None = None) -> DataFrame:
+    """The document's pixels as the newest version, or `upto`, has them; with a tree, only those that show in tiles (tx, ty) of the composite."""
     rows = _versions(spark, folder, "pixels", PLACE)
     if upto is not None:
         rows = rows.filter(F.col("v") <= upto)
+    if tree is not None:
+        rows = _shown(rows, tree).join(tiles, ["tx", "ty"], "left_semi")
     last = rows.groupBy("layer_id", "x", "y").agg(F.max_by(F.struct(*RGBA), "v").alias("p"))
     return last.select("layer_id", "x", "y", *[F.col(f"p.{c}").alias(c) for c in RGBA]).filter("a IS NOT NULL")
 
@@ -109,9 +110,13 @@ def view(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(last, ["tx", "ty", "v"], "left_semi").select("x", "y", *RGBA)
 
 
-def reached(places: DataFrame, tree: LayerTree) -> DataFrame:
-    """(tx, ty) of the composite that places (layer_id, x, y) of layers that can show lie in."""
-    spark = places.sparkSession
+def opened(spark: SparkSession, folder: str) -> DataFrame:
+    """The pixels the document was opened with."""
+    return spark.read.schema(PLACE).parquet(f"{folder}/pixels/v=-1")
+
+
+def _shown(places: DataFrame, tree: LayerTree) -> DataFrame:
+    """places (layer_id, x, y, ...) of layers that can show, with the tile (tx, ty) of the composite that each lies in."""
     offsets = []
 
     def walk(parent: int | None, dx: int, dy: int) -> None:
@@ -123,9 +128,14 @@ def reached(places: DataFrame, tree: LayerTree) -> DataFrame:
                     offsets.append((x.id, dx + x.dx, dy + x.dy))
 
     walk(None, 0, 0)
-    at = spark.createDataFrame(offsets, "layer_id int, dx int, dy int")
+    at = places.sparkSession.createDataFrame(offsets, "layer_id int, dx int, dy int")
     moved = places.join(F.broadcast(at), "layer_id")
-    return moved.select(tile_of(F.col("x") + F.col("dx")).alias("tx"), tile_of(F.col("y") + F.col("dy")).alias("ty")).distinct()
+    return moved.withColumns({"tx": tile_of(F.col("x") + F.col("dx")), "ty": tile_of(F.col("y") + F.col("dy"))}).drop("dx", "dy")
+
+
+def reached(places: DataFrame, tree: LayerTree) -> DataFrame:
+    """(tx, ty) of the composite that places (layer_id, x, y) of layers that can show lie in."""
+    return _shown(places, tree).select("tx", "ty").distinct()
 
 
 def start(edits: DataFrame, tree: LayerTree, folder: str, once: bool = False) -> StreamingQuery:
@@ -137,7 +147,7 @@ def start(edits: DataFrame, tree: LayerTree, folder: str, once: bool = False) ->
         fresh = spark.read.schema(PLACE).parquet(f"{folder}/pixels/v={v}")
         reached(fresh, tree).write.mode("overwrite").parquet(f"{folder}/half/v={v}")
         tiles = spark.read.schema("tx int, ty int").parquet(f"{folder}/half/v={v}")
-        now = composite(pixels(spark, folder, v), tree)
+        now = composite(pixels(spark, folder, v, tree, tiles), tree)
         here = [tile_of(F.col("x")) == F.col("tx"), tile_of(F.col("y")) == F.col("ty")]
         if now is not None:
             now.join(tiles, here, "left_semi").select("x", "y", *RGBA).write.mode("overwrite").parquet(f"{folder}/composite/v={v}")
