@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilestrata.functions.blend import blend_pixel
 from tilestrata.operators.raster import RGBA
+from tilestrata.scratch import new_path
 
 
 @dataclass(frozen=True)
@@ -141,46 +143,72 @@ def segment_stamps(samples: DataFrame, step: float) -> DataFrame:
     return rows.select("stroke_id", n.alias("n"), at("px").alias("cx"), at("py").alias("cy"), at("pressure").alias("pressure"))
 
 
-def carried_colour(stamps: DataFrame, strength: float) -> DataFrame:
-    """stamps (stroke_id, n, ..., r, g, b, a) with the colour carried along: it starts as the first stamp's and each stamp takes `strength` of what is under it.
-
-    A running fold, so a stroke is one sequential group of slim rows.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        under = pdf[list(RGBA)].to_numpy(float)
-        now = under[0].copy()
-        for k in range(len(under)):
-            now = now + (under[k] - now) * strength
-            under[k] = now
-        return pdf.assign(**{c: under[:, i] for i, c in enumerate(RGBA)})
-
-    return stamps.groupBy("stroke_id").applyInPandas(run, stamps.schema)
+def _carried(under: np.ndarray, strength: float) -> np.ndarray:
+    """Colours (n, 4) carried along: the first stamp's to begin with, and each stamp takes `strength` of what is under it."""
+    out, now = np.empty_like(under), under[0].tolist()
+    for k, row in enumerate(under.tolist()):
+        now = [c + (u - c) * strength for c, u in zip(now, row, strict=True)]
+        out[k] = now
+    return out
+
+
+def _last_hits(at: np.ndarray, size: np.ndarray, most: np.ndarray, hardness: float, colours: np.ndarray, places: int = 1 << 18) -> tuple[np.ndarray, ...]:
+    """(x, y, greatest cover, last stamp's colour) of the places that stamps in order cover; so many stamps at a time that they have `places`, or one."""
+    m = int(np.ceil(size.max() + 1)) if len(size) else 0
+    chunk, off = max(1, places // (2 * m + 1) ** 2), np.arange(-m, m + 1)
+    held = np.empty(0, np.int64), np.empty(0), np.empty((0, 4))
+    for lo in range(0, len(at), chunk):
+        c, r = at[lo : lo + chunk], size[lo : lo + chunk]
+        x, y = (np.floor(c[:, i]).astype(np.int64)[:, None] + off for i in (0, 1))
+        dx, dy = x + 0.5 - c[:, :1], y + 0.5 - c[:, 1:]
+        t = np.sqrt((dx * dx)[:, :, None] + (dy * dy)[:, None, :]) / r[:, None, None]
+        k, i, j = np.nonzero(t < 1)
+        t = t[k, i, j]
+        cov = np.minimum((1.0 - t) * (1.0 - 0.5 * hardness * t) * most[lo + k], 1.0)
+        code = (x[k, i] << 32) | (y[k, j] & 0xFFFFFFFF)
+        code, cov, ink = (np.concatenate(p) for p in zip(held, (code, cov, colours[lo + k]), strict=True))
+        order = np.argsort(code, kind="stable")
+        code, cov, ink = code[order], cov[order], ink[order]
+        first = np.flatnonzero(np.diff(code, prepend=code[:1] - 1))
+        end = np.append(first[1:], len(code)) - 1
+        held = (code[end], np.maximum.reduceat(cov, first), ink[end]) if len(code) else (code, cov, ink)
+    code, cov, ink = held
+    return code >> 32, (code & 0xFFFFFFFF).astype(np.uint32).view(np.int32), cov, ink
 
 
 def smudge(px: DataFrame, samples: DataFrame, brush: Brush, strength: float) -> DataFrame:
     """Edits (stroke_id, x, y, r, g, b, a) of a finger that carries colour from the untouched pixels along.
 
-    At each place the last stamp's colour counts, mixed in once by the greatest falloff times strength.
+    At each place the last stamp's colour counts, mixed in once by the greatest falloff times strength. The colour is a running fold, so a stroke
+    is one group of stamps, which also gives its places; px is kept as a table first, whose size tells whether it goes to all tasks.
     """
+    spark, strength = px.sparkSession, min(1.0, max(0.0, strength))
+    where = new_path(spark, "smudged")
+    px.select("x", "y", *RGBA).write.parquet(where)
+    px = spark.read.parquet(where)
     at = segment_stamps(samples, brush.step)
     whole = lambda c: F.when(F.col(c) >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("int")
-    under = at.withColumns({"x": whole("cx"), "y": whole("cy")}).join(px.select("x", "y", *RGBA), ["x", "y"], "left")
-    under = under.select("stroke_id", "n", "cx", "cy", "pressure", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in RGBA])
-    stamps = carried_colour(under, min(1.0, max(0.0, strength)))
-    radius = F.lit(brush.size / 2) * brush.share("size_pressure")
-    rows = stamps.withColumn("_r", radius).filter("_r > 0")
-    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("_r")).cast("int"), F.ceil(F.col(c) + F.col("_r")).cast("int")))
-    rows = rows.withColumn("x", span("cx")).withColumn("y", span("cy"))
-    dx, dy = F.col("x") + 0.5 - F.col("cx"), F.col("y") + 0.5 - F.col("cy")
-    rows = rows.withColumn("_t", F.sqrt(dx * dx + dy * dy) / F.col("_r")).filter("_t < 1")
-    cover = (1.0 - F.col("_t")) * (1.0 - 0.5 * brush.hardness * F.col("_t")) * brush.opacity * brush.flow * brush.share("opacity_pressure")
-    hit = rows.groupBy("stroke_id", "x", "y").agg(F.max(F.least(cover, F.lit(1.0))).alias("cov"), F.max_by(F.struct(*RGBA), "n").alias("s")).filter("cov > 0")
-    old = px.select("x", "y", *[F.col(c).alias("o" + c) for c in RGBA])
-    out = hit.join(old, ["x", "y"], "left")
-    k = F.col("cov") * min(1.0, max(0.0, strength))
-    return out.select("stroke_id", "x", "y", *[(F.coalesce(F.col("o" + c), F.lit(0.0)) * (1.0 - k) + F.col("s." + c) * k).alias(c) for c in RGBA])
+    under = at.withColumns({"x": whole("cx"), "y": whole("cy")}).join(px, ["x", "y"], "left")
+    radius, most = F.lit(brush.size / 2) * brush.share("size_pressure"), F.lit(brush.opacity * brush.flow) * brush.share("opacity_pressure")
+    under = under.select("stroke_id", "n", "cx", "cy", radius.cast("double").alias("_r"), most.cast("double").alias("_m"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in RGBA])
+
+    def run(key, rows):
+        rows = rows.sort_by("n")
+        take = lambda *names: np.column_stack([rows.column(c).to_numpy() for c in names])
+        ink, size = _carried(take(*RGBA), strength), rows.column("_r").to_numpy()
+        on = size > 0
+        x, y, cov, ink = _last_hits(take("cx", "cy")[on], size[on], rows.column("_m").to_numpy()[on], brush.hardness, ink[on])
+        on = cov > 0
+        stroke = pa.array([key[0].as_py()], rows.schema.field("stroke_id").type).take(pa.array(np.zeros(on.sum(), np.int32)))
+        return pa.table([stroke, x[on].astype(np.int32), y[on], cov[on], *[np.ascontiguousarray(ink[on, i]) for i in range(4)]], names=["stroke_id", "x", "y", "cov", *["s" + c for c in RGBA]])
+
+    from pyspark.sql import types as T
+
+    hits = T.StructType([samples.schema["stroke_id"], T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("cov", *["s" + c for c in RGBA])]])
+    hit = under.groupBy("stroke_id").applyInArrow(run, hits)
+    out = hit.join(px, ["x", "y"], "left")
+    k = F.col("cov") * strength
+    return out.select("stroke_id", "x", "y", *[(F.coalesce(F.col(c), F.lit(0.0)) * (1.0 - k) + F.col("s" + c) * k).alias(c) for c in RGBA])
 
 
 def simplify_path(samples: DataFrame, tolerance: float) -> DataFrame:
