@@ -1,4 +1,4 @@
-"""Exact anti-aliased coverage of curved outlines, filled and stroked; DataFrame functions only.
+"""Exact anti-aliased coverage of curved outlines, filled and stroked: DataFrame functions, and a kernel over Arrow batches for the edges of strokes.
 
 A path is a row with `verbs`, an array of (v, p): v is M, L, Q, C or Z and p the numbers of its points (control points first). Curves become chords within a
 tolerance. Coverage needs no ordered polygon: every edge is cut at rows and columns of places, and adds to a place the area
@@ -16,9 +16,13 @@ the inner side of its stroke folds over. Paths without verbs, and empty tables,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tilestrata.operators.raster import RGBA
@@ -29,6 +33,8 @@ NUMBERS = {"M": 2, "L": 2, "Q": 4, "C": 6, "Z": 0}
 #: Longest miter, in halves of the width (a fixed value of the format).
 MITER = 4.0
 LEAST = 1e-9
+#: Edges of strokes made at a time.
+BATCH = 1 << 17
 
 
 def segments(paths: DataFrame, key: str = "path") -> DataFrame:
@@ -102,17 +108,68 @@ def coverage(edges: DataFrame, rule: str = "nonzero", key: str = "path") -> Data
     return spans.select(key, F.explode(F.sequence("x", F.col("next") - 1)).alias("x"), "y", "cov")
 
 
-def _arc(x: Column, y: Column, a: Column, turn: Column, r: Column, tolerance: float) -> Column:
-    """Edges, as an array of (ax, ay, bx, by), of an arc around (x, y) from angle a by turn."""
-    step = 2.0 * F.acos(F.greatest(1.0 - tolerance / F.greatest(r, F.lit(tolerance)), F.lit(0.0)))
-    n = F.greatest(F.ceil(F.abs(turn) / step), F.lit(1)).cast("int")
-    on = lambda k: (x + r * F.cos(a + turn * k / n), y + r * F.sin(a + turn * k / n))
-
-    def edge(k: Column) -> Column:
-        (ax, ay), (bx, by) = on(k), on(k + 1)
-        return F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
-
-    return F.transform(F.sequence(F.lit(0), n - 1), edge)
+def _angle(r: np.ndarray, tolerance: float) -> np.ndarray:
+    """The turn of an arc's chord that stays within tolerance."""
+    return 2.0 * np.arccos(np.maximum(1.0 - tolerance / np.maximum(r, tolerance), 0.0))
+
+
+def _edges_of(c: dict[str, np.ndarray], tolerance: float) -> np.ndarray:
+    """At most so many edges each chord gives, all its arcs being half turns."""
+    return 8.0 + 3.0 * np.ceil(math.pi / _angle(c["r"], tolerance))
+
+
+def _arc(row: np.ndarray, x: np.ndarray, y: np.ndarray, a: np.ndarray, turn: np.ndarray, r: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, edges) of arcs around (x, y) from angles a by turns."""
+    n = np.maximum(np.ceil(np.abs(turn) / _angle(r, tolerance)), 1).astype(np.int64)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, x, y, a, turn, r, n = (np.repeat(v, n) for v in (row, x, y, a, turn, r, n))
+    on = lambda k: (x + r * np.cos(a + turn * k / n), y + r * np.sin(a + turn * k / n))
+    return row, np.column_stack((*on(k), *on(k + 1)))
+
+
+def _around(c: dict[str, np.ndarray], tolerance: float, join: str, cap: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, edges) around chords (ax, ay, bx, by) of directions d, after chords of directions u and before those of v (x, y and length l; NaN: there is none)."""
+    r, d, u, v = c["r"], *((c[p + "x"], c[p + "y"], c[p + "l"]) for p in "duv")
+    a, b = (c["ax"], c["ay"]), (c["bx"], c["by"])
+    row = np.arange(len(r))
+
+    def side(at, u, v, own, s: float) -> tuple[np.ndarray, np.ndarray]:
+        """Points of side s (1: left) at vertices between u and v, one of which is the chord's own direction."""
+        dot, inner = u[0] * v[0] + u[1] * v[1], s * (u[0] * v[1] - u[1] * v[0]) > 0
+        inner |= (s < 0) & (u[0] * v[1] - u[1] * v[0] == 0)
+        least = np.maximum(1.0 + dot, LEAST)
+        fits = (r * np.sqrt(np.maximum(1.0 - dot, 0.0) / least) <= np.minimum(u[2], v[2])) & (1.0 + dot > LEAST) & (dot <= 1.0)
+        meets = (inner & fits) | (~inner & (np.sqrt(2.0 / least) <= MITER) & (join == "miter"))
+        k = s * r / least
+        meets &= ~np.isnan(dot)
+        return np.where(meets, at[0] - k * (u[1] + v[1]), at[0] - s * r * own[1]), np.where(meets, at[1] + k * (u[0] + v[0]), at[1] + s * r * own[0])
+
+    la, ra, lb, rb = side(a, u, d, d, 1.0), side(a, u, d, d, -1.0), side(b, d, v, d, 1.0), side(b, d, v, d, -1.0)
+    lp, rp = side(a, u, d, u, 1.0), side(a, u, d, u, -1.0)
+    edge = lambda on, p, q: (row[on], np.column_stack((*p, *q))[on])
+    arc = lambda on, at, start, turn: _arc(row[on], at[0][on], at[1][on], start[on], turn[on], r[on], tolerance)
+    every, has = np.ones(len(r), bool), ~np.isnan(u[0])
+    out = [edge(every, la, lb), edge(every, rb, ra)]
+    if join == "round":
+        left = u[0] * d[1] - u[1] * d[0] > 0
+        was, way = np.arctan2(u[1], u[0]), np.arctan2(d[1], d[0])
+        turn = way - was
+        turn = np.where(turn > math.pi, turn - 2 * math.pi, np.where(turn < -math.pi, turn + 2 * math.pi, turn))
+        out += [edge(has & left, lp, la), arc(has & left, a, way - math.pi / 2, -turn)]  # the right side runs backwards
+        out += [arc(has & ~left, a, was + math.pi / 2, turn), edge(has & ~left, ra, rp)]
+    else:
+        out += [edge(has, lp, la), edge(has, ra, rp)]
+    starts, stops = ~c["closed"] & ~has, ~c["closed"] & np.isnan(v[0])
+    if cap == "butt":
+        out += [edge(starts, ra, la), edge(stops, lb, rb)]
+    elif cap == "square":
+        far = lambda p, s: (p[0] + s * r * d[0], p[1] + s * r * d[1])
+        out += [edge(starts, ra, far(ra, -1.0)), edge(starts, far(ra, -1.0), far(la, -1.0)), edge(starts, far(la, -1.0), la)]
+        out += [edge(stops, lb, far(lb, 1.0)), edge(stops, far(lb, 1.0), far(rb, 1.0)), edge(stops, far(rb, 1.0), rb)]
+    else:
+        way, half = np.arctan2(d[1], d[0]), np.full(len(r), -math.pi)
+        out += [arc(starts, a, way - math.pi / 2, half), arc(stops, b, way + math.pi / 2, half)]
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
 def stroke_edges(paths: DataFrame, tolerance: float = 0.05, join: str = "miter", cap: str = "butt", key: str = "path") -> DataFrame:
@@ -128,53 +185,22 @@ def stroke_edges(paths: DataFrame, tolerance: float = 0.05, join: str = "miter",
     rows = rows.withColumns({"before": F.lag("d").over(order), "after": F.lead("d").over(order), "first": F.first("d").over(whole), "last": F.last("d").over(whole)})
     rows = rows.withColumns({"before": F.coalesce("before", F.when(F.col("closed"), F.col("last"))), "after": F.coalesce("after", F.when(F.col("closed"), F.col("first")))})
     rows = rows.join(paths.select(key, (F.col("width") / 2.0).alias("r")), key).filter("r > 0 AND r < 1e9")
-    r, dx, dy = F.col("r"), F.col("d.x"), F.col("d.y")
-
-    def corner(u: str, v: str) -> tuple[Column, Column, Column]:
-        """(whether the left side is the inner one, miter over half the width, whether the inner point lies on both chords) between directions u and v."""
-        dot = F.col(f"{u}.x") * F.col(f"{v}.x") + F.col(f"{u}.y") * F.col(f"{v}.y")
-        cross = F.col(f"{u}.x") * F.col(f"{v}.y") - F.col(f"{u}.y") * F.col(f"{v}.x")
-        reach = r * F.sqrt((1.0 - dot) / F.greatest(1.0 + dot, F.lit(LEAST)))
-        return cross > 0, F.sqrt(2.0 / F.greatest(1.0 + dot, F.lit(LEAST))), (reach <= F.least(F.col(f"{u}.l"), F.col(f"{v}.l"))) & (1.0 + dot > LEAST)
-
-    def side(x: str, y: str, u: str, v: str, own: str, s: float) -> Column:
-        """Point of side s (1: left) at the vertex (x, y) between u and v, one of which is the chord's own direction."""
-        plain = F.struct((F.col(x) - s * r * F.col(f"{own}.y")).alias("x"), (F.col(y) + s * r * F.col(f"{own}.x")).alias("y"))
-        inner_left, miter, fits = corner(u, v)
-        inner = inner_left if s > 0 else ~inner_left
-        dot = F.col(f"{u}.x") * F.col(f"{v}.x") + F.col(f"{u}.y") * F.col(f"{v}.y")
-        k = s * r / F.greatest(1.0 + dot, F.lit(LEAST))
-        meet = F.struct((F.col(x) - k * (F.col(f"{u}.y") + F.col(f"{v}.y"))).alias("x"), (F.col(y) + k * (F.col(f"{u}.x") + F.col(f"{v}.x"))).alias("y"))
-        meets = (inner & fits) | (~inner & (miter <= MITER) & F.lit(join == "miter"))
-        return F.when(F.col(u).isNull() | F.col(v).isNull(), plain).when(meets, meet).otherwise(plain)
-
-    rows = rows.withColumns({"la": side("ax", "ay", "before", "d", "d", 1.0), "ra": side("ax", "ay", "before", "d", "d", -1.0), "lb": side("bx", "by", "d", "after", "d", 1.0), "rb": side("bx", "by", "d", "after", "d", -1.0), "lp": side("ax", "ay", "before", "d", "before", 1.0), "rp": side("ax", "ay", "before", "d", "before", -1.0)})
-    edge = lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
-    none = F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>")
-    la, ra, lb, rb, lp, rp = (F.col(c) for c in ("la", "ra", "lb", "rb", "lp", "rp"))
-    parts = [F.array(edge(la, lb), edge(rb, ra))]
-    has = F.col("before").isNotNull()
-    inner_left, _, _ = corner("before", "d")
-    bevel = F.array(edge(lp, la), edge(ra, rp))
-    if join == "round":
-        a, b = F.atan2("before.y", "before.x"), F.atan2(dy, dx)
-        turn = b - a
-        turn = F.when(turn > math.pi, turn - 2 * math.pi).when(turn < -math.pi, turn + 2 * math.pi).otherwise(turn)
-        around_right = _arc(F.col("ax"), F.col("ay"), b - math.pi / 2, -turn, r, tolerance)  # right side runs backwards
-        around_left = _arc(F.col("ax"), F.col("ay"), a + math.pi / 2, turn, r, tolerance)
-        bevel = F.when(inner_left, F.concat(F.array(edge(lp, la)), around_right)).otherwise(F.concat(around_left, F.array(edge(ra, rp))))
-    parts.append(F.when(has, bevel).otherwise(none))
-    starts, stops = ~F.col("closed") & F.col("before").isNull(), ~F.col("closed") & F.col("after").isNull()
-    if cap == "butt":
-        ends = F.array(edge(ra, la)), F.array(edge(lb, rb))
-    elif cap == "square":
-        out = lambda p, s: F.struct((p["x"] + s * r * dx).alias("x"), (p["y"] + s * r * dy).alias("y"))
-        ends = F.array(edge(ra, out(ra, -1.0)), edge(out(ra, -1.0), out(la, -1.0)), edge(out(la, -1.0), la)), F.array(edge(lb, out(lb, 1.0)), edge(out(lb, 1.0), out(rb, 1.0)), edge(out(rb, 1.0), rb))
-    else:
-        way = F.atan2(dy, dx)
-        ends = _arc(F.col("ax"), F.col("ay"), way - math.pi / 2, F.lit(-math.pi), r, tolerance), _arc(F.col("bx"), F.col("by"), way + math.pi / 2, F.lit(-math.pi), r, tolerance)
-    parts += [F.when(starts, ends[0]).otherwise(none), F.when(stops, ends[1]).otherwise(none)]
-    return rows.select(key, F.explode(F.concat(*parts)).alias("e")).select(key, "e.*")
+    part = lambda c, p: [F.col(f"{c}.{k}").alias(p + k) for k in "xyl"]
+    rows = rows.select(key, "ax", "ay", "bx", "by", "closed", "r", *part("d", "d"), *part("before", "u"), *part("after", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {n: b.column(n).to_numpy(zero_copy_only=False).astype(float) for n in b.schema.names if n not in (key, "closed")}
+            c["closed"] = b.column("closed").to_numpy(zero_copy_only=False).astype(bool)
+            upto = np.cumsum(_edges_of(c, tolerance))
+            lo = 0
+            while lo < len(upto):  # rows of some BATCH edges at a time
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BATCH, "right")))
+                row, edges = _around({n: v[lo:hi] for n, v in c.items()}, tolerance, join, cap)
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(lo, hi - lo).take(pa.array(row)), *(pa.array(np.ascontiguousarray(edges[:, k])) for k in range(4))], names=[key, "ax", "ay", "bx", "by"])
+                lo = hi
+
+    return rows.mapInArrow(run, T.StructType([paths.schema[key], *(T.StructField(n, T.DoubleType()) for n in ("ax", "ay", "bx", "by"))]))
 
 
 def rasterize(paths: DataFrame, tolerance: float = 0.05, rule: str = "evenodd", join: str = "miter", cap: str = "butt") -> DataFrame:
